@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, licenses, mixing, packing
+from . import archives, licenses, mixing, packing, substring
 from .store import Scratch
 
 
@@ -22,6 +22,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(_table(spark, sf_dir, "documents"), Scratch(spark, "op3"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(_table(spark, sf_dir, "documents"), Scratch(spark, "op5"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"), Scratch(spark, "op9"))
 
@@ -31,7 +35,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_mix_sources, op9_license_scan, op10_warc)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op3_mix_sources, op5_substring_dedup, op9_license_scan, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:

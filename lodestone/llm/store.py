@@ -14,6 +14,8 @@ from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -27,6 +29,7 @@ class Scratch:
     """One call's tables. `keep` writes a table and reads it again; `drop` deletes those no later step needs."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}", {}
 
     def path(self, name: str) -> str:
