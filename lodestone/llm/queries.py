@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, licenses, mixing, packing, substring
+from . import archives, jaccard, licenses, mixing, packing, substring
 from .store import Scratch
 
 
@@ -18,6 +18,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), Scratch(spark, "op1"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.digest(_table(spark, sf_dir, "documents"), Scratch(spark, "op2"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(_table(spark, sf_dir, "documents"), Scratch(spark, "op3"))
 
@@ -35,7 +39,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_mix_sources, op5_substring_dedup, op9_license_scan, op10_warc)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard, op3_mix_sources, op5_substring_dedup, op9_license_scan, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:

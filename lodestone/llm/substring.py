@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .packed import bounds, pack_row, runs, to_batch, unpack
 from .store import Scratch, parts_for
 from .text import Words, stream
 
@@ -32,31 +33,10 @@ GROUP_WORDS, BUCKET_BYTES = 1 << 21, 8 << 20
 PACKED = "bucket int, probes binary, twice binary, keys binary, owners binary, counts binary, places binary, known binary"
 
 
-def _row(**columns) -> dict:
-    return {k: v if isinstance(v, int) else np.ascontiguousarray(v).tobytes() for k, v in columns.items()}
-
-
-def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, schema)
-
-
 _SCHEMA = pa.schema([("bucket", pa.int32()), *((x.split()[0], pa.binary()) for x in PACKED.split(", ")[1:])])
 _HITS = pa.schema([("dest", pa.int32()), ("owners", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())])
 
 
-def _split(order_by: np.ndarray, n: int) -> np.ndarray:
-    """Bounds of 0..n-1 in an ascending array."""
-    return np.searchsorted(order_by, np.arange(n + 1))
-
-
-def _owners(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Run lengths of an array whose equal values stand together."""
-    if not len(owner):
-        return owner.astype(np.int64), np.zeros(0, np.int32)
-    cut = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-    return owner[cut].astype(np.int64), np.diff(np.append(cut, len(owner))).astype(np.int32)
-
-
 def _requests(hashes: np.ndarray, ask: np.ndarray, owner: np.ndarray, place: np.ndarray, buckets: int, wide: bool) -> Iterator[dict]:
     """Packed rows of one group.
 
@@ -71,25 +51,21 @@ def _requests(hashes: np.ndarray, ask: np.ndarray, owner: np.ndarray, place: np.
     ask, owner, place = ask[~many], owner[~many], place[~many]
     b = bucket_of(new)
     order = np.argsort(b, kind="stable")
-    new, twice, bounds = new[order].astype(kind), count[order] > 1, _split(b[order], buckets)
+    new, twice, cuts = new[order].astype(kind), count[order] > 1, bounds(b[order], buckets)
     b = bucket_of(ask)
     order = np.argsort(b, kind="stable")
-    ask, owner, place, mine = ask[order].astype(kind), owner[order], place[order], _split(b[order], buckets)
+    ask, owner, place, mine = ask[order].astype(kind), owner[order], place[order], bounds(b[order], buckets)
     share = np.linspace(0, len(known_owner), buckets + 1).astype(np.int64)
     for k in range(buckets):
-        i, j = bounds[k], bounds[k + 1]
+        i, j = cuts[k], cuts[k + 1]
         p, q = mine[k], mine[k + 1]
         s, t = share[k], share[k + 1]
         if i == j and s == t:
             continue
-        o, c = _owners(owner[p:q])
-        ko, kc = _owners(known_owner[s:t])
+        o, c = runs(owner[p:q])
+        ko, kc = runs(known_owner[s:t])
         known = np.concatenate([np.array([len(ko)], np.int64).view(np.uint8), ko.view(np.uint8), kc.view(np.uint8), known_place[s:t].astype(np.int32).view(np.uint8)])
-        yield _row(bucket=k, probes=new[i:j], twice=np.packbits(twice[i:j]), keys=ask[p:q], owners=o, counts=c, places=place[p:q].astype(np.int32), known=known)
-
-
-def _read(row: dict, name: str, kind) -> np.ndarray:
-    return np.frombuffer(row[name], kind)
+        yield pack_row(bucket=k, probes=new[i:j], twice=np.packbits(twice[i:j]), keys=ask[p:q], owners=o, counts=c, places=place[p:q].astype(np.int32), known=known)
 
 
 def _answers(buckets: int, wide: bool):
@@ -102,13 +78,13 @@ def _answers(buckets: int, wide: bool):
         for batch in batches:
             for row in batch.to_pylist():
                 d = parts.setdefault(row["bucket"], {"probes": [], "twice": [], "keys": [], "owner": [], "place": []})
-                p = _read(row, "probes", kind)
+                p = unpack(row, "probes", kind)
                 d["probes"].append(p)
-                d["twice"].append(np.unpackbits(_read(row, "twice", np.uint8), count=len(p)).astype(bool))
-                d["keys"].append(_read(row, "keys", kind))
-                d["owner"].append(np.repeat(_read(row, "owners", np.int64), _read(row, "counts", np.int32)))
-                d["place"].append(_read(row, "places", np.int32))
-                raw = _read(row, "known", np.uint8)
+                d["twice"].append(np.unpackbits(unpack(row, "twice", np.uint8), count=len(p)).astype(bool))
+                d["keys"].append(unpack(row, "keys", kind))
+                d["owner"].append(np.repeat(unpack(row, "owners", np.int64), unpack(row, "counts", np.int32)))
+                d["place"].append(unpack(row, "places", np.int32))
+                raw = unpack(row, "known", np.uint8)
                 n = int(raw[:8].view(np.int64)[0])
                 c = raw[8 + 8 * n : 8 + 12 * n].view(np.int32)
                 owners.append(np.repeat(raw[8 : 8 + 8 * n].view(np.int64), c))
@@ -132,14 +108,14 @@ def _answers(buckets: int, wide: bool):
         dest = (owner.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
         order = np.lexsort((place, owner, dest))
         dest, owner, place = dest[order], owner[order], place[order]
-        bounds, rows = _split(dest, buckets), []
+        cuts, rows = bounds(dest, buckets), []
         for k in range(buckets):
-            i, j = bounds[k], bounds[k + 1]
+            i, j = cuts[k], cuts[k + 1]
             if i < j:
-                o, counts = _owners(owner[i:j])
-                rows.append(_row(dest=k, owners=o, counts=counts, places=place[i:j]))
+                o, counts = runs(owner[i:j])
+                rows.append(pack_row(dest=k, owners=o, counts=counts, places=place[i:j]))
         if rows:
-            yield _batch(rows, _HITS)
+            yield to_batch(rows, _HITS)
 
     return run
 
@@ -149,18 +125,18 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     owners, places = [], []
     for batch in batches:
         for row in batch.to_pylist():
-            owners.append(np.repeat(_read(row, "owners", np.int64), _read(row, "counts", np.int32)))
-            places.append(_read(row, "places", np.int32))
+            owners.append(np.repeat(unpack(row, "owners", np.int64), unpack(row, "counts", np.int32)))
+            places.append(unpack(row, "places", np.int32))
     if not owners:
         return
     owner, place = np.concatenate(owners), np.concatenate(places)
     order = np.lexsort((place, owner))
     owner, place = owner[order], place[order]
-    o, c = _owners(owner)
+    o, c = runs(owner)
     stop = np.cumsum(c)
     for i in range(0, len(o), 5000):
         rows = [{"_row": int(k), "places": place[e - n : e].tobytes()} for k, n, e in zip(o[i : i + 5000], c[i : i + 5000], stop[i : i + 5000])]
-        yield _batch(rows, pa.schema([("_row", pa.int64()), ("places", pa.binary())]))
+        yield to_batch(rows, pa.schema([("_row", pa.int64()), ("places", pa.binary())]))
 
 
 def _exchange(rows: DataFrame, buckets: int, wide: bool) -> DataFrame:
@@ -179,7 +155,7 @@ def _blocks(window: int, buckets: int):
             rows = list(_requests(*(np.concatenate(x) for x in (all_h, ask, owner, place)), buckets, False))
             for x in (all_h, ask, owner, place):
                 x.clear()
-            return _batch(rows, _SCHEMA)
+            return to_batch(rows, _SCHEMA)
 
         for part in stream(batches):
             w = Words(part.column("text"))
@@ -213,7 +189,7 @@ def _windows(window: int, buckets: int):
             rows = list(_requests(h, h, np.concatenate(owner), np.concatenate(place), buckets, True))
             for x in (all_h, owner, place):
                 x.clear()
-            return _batch(rows, _SCHEMA)
+            return to_batch(rows, _SCHEMA)
 
         for part in stream(batches):
             w = Words(part.column("text"))
