@@ -1,4 +1,4 @@
-"""Corpus pipeline over documents: each stage calls one operator of lodestone.llm."""
+"""Corpus pipeline over documents: five stages, each one operator of lodestone.llm."""
 
 from __future__ import annotations
 
@@ -6,26 +6,49 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import mixing, packing
+from lodestone.llm import jaccard, language, mixing, packing, substring
 from lodestone.llm.store import Scratch
 
-#: No stage but mixing can be written in SQL.
+#: Language models, similarity joins and packing are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without an identified language go."""
+    return language.accept(docs, Scratch(spark, "stage-language"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, that with the smallest id."""
+    return jaccard.keep_one(docs, Scratch(spark, "stage-jaccard"))
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 35 words or more that stand elsewhere too are cut from the texts."""
+    return substring.remove(docs, Scratch(spark, "stage-substring"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeat or go so that the sources come near their target weights."""
     return mixing.mix(docs)
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, Scratch(spark, "pack"))
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all documents' token pieces in sequences of 2048."""
+    return packing.pack(docs, Scratch(spark, "stage-packing"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("mix_sources", mix), ("best_fit_packing", pack)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify_language),
+    ("ngram_jaccard", drop_near_duplicates),
+    ("substring_dedup", drop_repeated_passages),
+    ("mix_sources", mix_sources),
+    ("best_fit_packing", pack_sequences),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is a Parquet table that the next stage reads."""
+    """All stages over documents; each result is a Parquet table in the shared folder that the next stage reads."""
     scratch, docs = Scratch(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = scratch.keep(stage(spark, docs, sf_dir), name)

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, jaccard, licenses, mixing, packing, substring
+from . import archives, caps, jaccard, language, licenses, mixing, neighbours, packing, substring, toxicity
+from ..session import ship
 from .store import Scratch
 
 
@@ -26,10 +27,28 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(_table(spark, sf_dir, "documents"), Scratch(spark, "op3"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return toxicity.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(_table(spark, sf_dir, "documents"), Scratch(spark, "op5"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.digest(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"), Scratch(spark, "op6"))
+
+
+def op7_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return neighbours.search(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.digest(_table(spark, sf_dir, "embeddings"), Scratch(spark, "op8"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"), Scratch(spark, "op9"))
 
@@ -39,7 +58,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard, op3_mix_sources, op5_substring_dedup, op9_license_scan, op10_warc)}
+    all_ = (
+        op1_best_fit_packing, op2_ngram_jaccard, op3_mix_sources, op4_toxicity, op5_substring_dedup, op6_language_id,
+        op7_additive_quantisation, op8_spherical_caps, op9_license_scan, op10_warc,
+    )
+    return {f.__name__: f for f in all_}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -24,6 +24,9 @@ _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Separators of words of letters and digits; bytes beyond ASCII belong to words.
+PUNCTUATED = np.ones(256, bool)
+PUNCTUATED[48:58] = PUNCTUATED[65:91] = PUNCTUATED[97:123] = PUNCTUATED[128:] = False
 _P = 0x9E3779B97F4A7C15 | 1
 _W = 0xD6E8FEB86659FD93 | 1
 
@@ -91,10 +94,10 @@ def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterat
 class Words:
     """Words of each text of a column: hashes, byte spans, and `first[d]:first[d + 1]` per document."""
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, separators: np.ndarray = _SPACE):
         self.raw, self.offsets = raw, off = buffers(column)
         n = len(raw)
-        solid = ~_SPACE[raw]
+        solid = ~separators[raw]
         edge = np.zeros(n + 1, bool)
         edge[off] = True
         start = solid.copy()
