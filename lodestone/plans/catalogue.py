@@ -427,7 +427,7 @@ def poll_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triggers.polls(table(spark, sf_dir, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "events")
 
 
-@query("""with recursive p as (select user_id % 4 as key, epoch_ms(ts) as t, row_number() over (partition by user_id % 4 order by ts, event_id) as k from events where event_id % 10 = 0),
+@query("""with recursive p as (select user_id % 4 as key, epoch_us(ts) // 1000 as t, row_number() over (partition by user_id % 4 order by ts, event_id) as k from events where event_id % 10 = 0),
 r as (select key, t, k, true as passed, t as last from p where k=1 union all select p.key, p.t, p.k, p.t - r.last >= 43200000, case when p.t - r.last >= 43200000 then p.t else r.last end from r join p on p.key=r.key and p.k=r.k+1)
 select key, t, passed from r""")
 def poll_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
