@@ -56,22 +56,13 @@ class Scratch:
 
 
 def bytes_of(df: DataFrame) -> int:
-    """Size of a table by Spark's own statistics (file sizes for a scan)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes that a table's sources hold by Spark's own statistics (file sizes of a scan); sources of unknown size count nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
 
 
 def parts_for(df: DataFrame, per: int) -> int:
     """Partitions so that each holds about `per` bytes of the table, the session's number at least."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(100_000, math.ceil(bytes_of(df) / per)))
-
-
-def source_bytes(df: DataFrame) -> int:
-    """Bytes of the files that a table is read from."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    total = 0
-    for f in df.inputFiles():
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        total += path.getFileSystem(conf).getFileStatus(path).getLen()
-    return total
