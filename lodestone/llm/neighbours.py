@@ -19,9 +19,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BOOKS, WORDS, BEAM, ROUNDS = 8, 256, 4, 6
+BOOKS, WORDS, BEAM, ROUNDS = 16, 256, 4, 6
 SAMPLE, QUERY_BLOCK, ROW_BLOCK = 16_384, 4096, 8192
-K, SHORT, EVERY = 20, 160, 20
+K, SHORT, EVERY = 20, 320, 20
 
 
 def vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
