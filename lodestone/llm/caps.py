@@ -27,6 +27,7 @@ from .neighbours import dimension, vectors
 from .store import Scratch, parts_for
 
 COSINE, PARTS, WANTED, CHUNK = 0.9, 3, 48, 1024
+LEAST, STEPS = 32, 12
 SKETCH, NEAR = 128, 36
 SEED = 23
 
@@ -62,17 +63,31 @@ class ProductCode:
         return out
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, filter) of all filters whose inner product with a row exceeds the threshold."""
+        """(row, filter) of all filters whose inner product with a row exceeds the threshold.
+
+        Where fewer than LEAST do, the row's threshold is lowered step by step until LEAST do.
+        """
         y = [(x @ self.turn)[:, a:b] @ c.T for (a, b), c in zip(zip(self.cuts[:-1], self.cuts[1:]), self.books)]
         best = np.zeros((len(x), self.parts + 1))
         for p in range(self.parts - 1, -1, -1):
             best[:, p] = best[:, p + 1] + y[p].max(1)
-        row, name, total = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x))
-        for p in range(self.parts):
-            reach = total[:, None] + y[p][row] + best[row, p + 1][:, None] > self.threshold
-            i, w = np.nonzero(reach)
-            row, name, total = row[i], name[i] * self.words + w, total[i] + y[p][row[i], w]
-        return row, name
+        rows, names, todo, threshold = [], [], np.arange(len(x)), self.threshold
+        for step in range(STEPS):
+            row, name, total = todo, np.zeros(len(todo), np.int64), np.zeros(len(todo))
+            for p in range(self.parts):
+                reach = total[:, None] + y[p][row] + best[row, p + 1][:, None] > threshold
+                i, w = np.nonzero(reach)
+                row, name, total = row[i], name[i] * self.words + w, total[i] + y[p][row[i], w]
+            few = np.bincount(row, minlength=len(x)) < LEAST if step < STEPS - 1 else np.zeros(len(x), bool)
+            rows.append(row[~few[row]])
+            names.append(name[~few[row]])
+            todo = todo[few[todo]]
+            if not len(todo):
+                break
+            threshold -= abs(self.threshold) * 0.08
+        row, name = np.concatenate(rows), np.concatenate(names)
+        order = np.lexsort((name, row))
+        return row[order], name[order]
 
     def sketch(self, x: np.ndarray) -> np.ndarray:
         return np.packbits((x @ self.signs) > 0, axis=1).view(np.int64)
