@@ -179,15 +179,29 @@ CHAIN = "bucket int, tokens binary, owners binary, sizes binary, u binary, v bin
 
 
 def _chain(token: np.ndarray, owner: np.ndarray, size: np.ndarray, percent: int):
-    """Ties holders of a shingle, in order of size, to the next while sizes allow a link; marks the ends of each chain."""
+    """Ties holders of a shingle, in order of size, to the next while sizes allow a link.
+
+    Of each chain its ends stay and so many between them that the sizes of neighbours that stay allow a link: a
+    holder elsewhere that fits any of the chain in size then fits one that stays.
+    """
     order = np.lexsort((owner, size, token))
     token, owner, size = token[order], owner[order], size[order]
     tie = (token[1:] == token[:-1]) & (100 * size[:-1] >= percent * size[1:])
-    end = np.ones(len(token), bool)
-    end[1:-1] = ~(tie[:-1] & tie[1:]) if len(token) > 2 else end[1:-1]
+    stays = _rungs(np.append(np.ones(min(len(token), 1), bool), ~tie), size, percent)
     u, v = owner[:-1][tie], owner[1:][tie]
     pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
-    return token[end], owner[end], size[end], _spanning(pairs[pairs[:, 0] != pairs[:, 1]])
+    return token[stays], owner[stays], size[stays], _spanning(pairs[pairs[:, 0] != pairs[:, 1]])
+
+
+def _rungs(opens: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """Marks, from each chain's first holder, the last one within the size ratio of the one marked before, to the chain's end."""
+    chain, size, stays = np.cumsum(opens).astype(np.int64) << 32, size.astype(np.int64), np.zeros(len(size), bool)
+    to = np.searchsorted(chain + size, chain + np.minimum(100 * size // percent, (1 << 32) - 1), "right") - 1
+    at = np.flatnonzero(opens)
+    while len(at):
+        stays[at] = True
+        at = to[at][to[at] != at]
+    return stays
 
 
 def _spanning(pairs: np.ndarray) -> np.ndarray:

@@ -155,6 +155,24 @@ def test_keep_one(spark, docs, rows):
     assert collections.Counter(r["doc_id"] for r in kept.collect()) == collections.Counter({k[0]: n for k, n in want.items()})
 
 
+def test_candidates_of_a_wide_chain_meet_a_set_of_another_task():
+    rng = random.Random(7)
+    for groups in [[[5, 6, 7, 8, 10, 12, 14], [9]]] + [[[rng.randrange(3, 60) for _ in range(rng.randrange(1, 30))] for _ in range(3)] for _ in range(60)]:
+        flat, sent = [n for g in groups for n in g], []
+        for k, g in enumerate(groups):
+            first = sum(map(len, groups[:k]))
+            sets = [np.append(np.uint64(1), np.uint64(1000 * (first + i + 1)) + np.arange(n - 1, dtype=np.uint64)).tobytes() for i, n in enumerate(g)]
+            batch = pa.RecordBatch.from_arrays([pa.array(range(first, first + len(g)), pa.int64()), pa.array(sets, pa.binary())], ["_row", "tokens"])
+            sent += jaccard._prefixes(1, 80, np.zeros(0, np.uint64), 1)(iter([batch]))
+        forest = graph.Forest(len(flat))
+        for b in jaccard._ties(80)(iter(sent)):
+            for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist()):
+                forest.union(u, v)
+        for i, j in itertools.combinations(range(len(flat)), 2):
+            if 100 * min(flat[i], flat[j]) >= 80 * max(flat[i], flat[j]):
+                assert forest.find(i) == forest.find(j), (groups, i, j)
+
+
 def test_signature_tree_equals_all_pairs():
     rng = np.random.default_rng(1)
     base = np.unique(rng.integers(0, 2**63, 100).astype(np.uint64))
