@@ -16,6 +16,7 @@ by its author, so it is inlined and broadcast.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,25 @@ TEMPLATES = {
     "mit": "released under the mit license",
     "mpl-2.0": "subject to the terms of the mozilla public license version 2 0",
 }
+#: Notices as licenses word them, found in windows of words: label, text, words that only notices of other licenses have,
+#: words that must be there whatever the threshold.
+NOTICES = (
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", (), ("apache", "2")),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", (), ()),
+    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", ("sharealike", "noncommercial", "noderivatives"), ("attribution", "4")),
+    ("cc-by-4.0", "Creative Commons Attribution 4.0 International Public License", ("sharealike", "noncommercial", "noderivatives"), ("attribution", "4")),
+    ("cc-by-nc-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ("sharealike", "noderivatives"), ("noncommercial", "4")),
+    ("cc-by-nc-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License", ("sharealike", "noderivatives"), ("noncommercial", "4")),
+    ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ("noncommercial",), ("sharealike", "4")),
+    ("cc-by-sa-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License", ("noncommercial",), ("sharealike", "4")),
+    ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", (), ()),
+    ("cc0-1.0", "Creative Commons Legal Code CC0 1.0 Universal", (), ()),
+    ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ("lesser", "affero"), ("gnu", "3")),
+    ("gpl-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", ("lesser", "affero"), ("gnu", "3")),
+    ("gpl-3.0", "The GNU General Public License is a free, copyleft license for software and other kinds of works.", ("lesser", "affero"), ("gnu",)),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", (), ()),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/", (), ("mozilla", "2")),
+)
 THRESHOLD = 0.9
 
 
@@ -112,16 +132,64 @@ def blocks_join(docs: DataFrame, templates: dict[str, str] | None = None, thresh
     return sure.select(*also, "block", "label", "overlap", (F.col("overlap") / F.col("t_size")).alias("containment"))
 
 
+def library(templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> list[tuple[int, str, list[str], int, int, list[str], list[str]]]:
+    """Number, label, distinct words, needed words, window, shut-out and indispensable words of each template; of TEMPLATES and NOTICES where none are given.
+
+    A window has twice a template's words, so that others may stand between; where shut-out words tell licenses
+    apart it has as many as the template, so that a neighbour's words stay out.
+    """
+    rows = [(label, t, (), ()) for label, t in (templates or TEMPLATES).items()] + ([] if templates else list(NOTICES))
+    out = []
+    for i, (label, t, shut, must) in enumerate(rows):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+        distinct = sorted(set(words))
+        out.append((i, label, distinct, math.ceil(threshold * len(distinct) - 1e-9), len(words) * (1 if shut else 2), list(shut), list(must)))
+    return out
+
+
+def candidates(docs: DataFrame, known: list[tuple], text: str = "text", also: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns `also`, text, _in: the texts that hold enough words of a template of the library, at any places, with those templates' numbers."""
+    vocab = F.array(*[F.lit(w) for w in sorted({w for t in known for w in t[2]})])
+    held = docs.select(*also, F.col(text).alias("text"), F.array_intersect(F.split(spaced(lowered(F.col(text))), " "), vocab).alias("_v"))
+    enough = [F.when(F.size(F.array_intersect("_v", F.array(*[F.lit(w) for w in t[2]]))) >= t[3], F.lit(t[0])) for t in known]
+    some = F.when(F.size("_v") >= min(t[3] for t in known), F.array_compact(F.array(*enough)))
+    # outer, so that no filter on the arrays is computed apart from them
+    found = held.select(*also, "text", some.alias("_some")).select(*also, "text", F.explode_outer(F.when(F.size("_some") > 0, F.array("_some"))).alias("_in"))
+    return found.where("_in is not null")
+
+
+def windows_join(found: DataFrame, known: list[tuple], also: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Every template that a window of consecutive words of a candidate text holds a share `threshold` or more of.
+
+    Columns: `also`, label, containment (the best).  Windows do not end with lines.
+    """
+    spark = found.sparkSession
+    index = [(w, t[0], w in t[5]) for t in known for w in sorted({*t[2], *t[5]})]
+    index = spark.createDataFrame(index, "token string, _t int, shut boolean")
+    names = spark.createDataFrame([(t[0], t[1], len(t[2]), t[3], t[4], t[6]) for t in known], "_t int, label string, t_size int, need int, span int, must array<string>")
+    words = found.select(*also, "_in", F.posexplode(F.split(F.trim(F.regexp_replace(lowered(F.col("text")), SEPARATORS, " ")), " ")).alias("pos", "token"))
+    at = words.join(F.broadcast(index), "token").where(F.array_contains("_in", F.col("_t"))).join(F.broadcast(names), "_t")  # the library, fixed by the caller
+    # places in units of the template's window, so that one frame serves windows of all lengths
+    reach = 1 - 0.5 / max(t[4] for t in known)
+    over = f"over (partition by {', '.join(also)}, _t order by pos / double(span) range between current row and {reach!r}D following)"
+    at = at.select("*", F.expr(f"collect_set(if(shut, null, token)) {over}").alias("_held"), F.expr(f"max(shut) {over}").alias("_other"))
+    sure = at.withColumn("overlap", F.size("_held")).where("overlap >= need and not _other and size(array_except(must, _held)) = 0")
+    return sure.groupBy(*also, "label").agg(F.max(F.col("overlap") / F.col("t_size")).alias("containment"))
+
+
 def scan(docs: DataFrame, scratch, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    score is 1 where a base phrase stands, else the best containment of a template found, else 0.  Labels are
+    Labels are of templates found in a line or in a window of words that spans lines.  score is 1 where a base phrase stands, else the best containment of a template found, else 0.  Labels are
     strings of distinct sorted labels joined by commas, empty where there are none.  Rows that repeat an id and
     text each get their own result; an empty table gives no rows; extra columns are ignored.
     """
     docs = docs.select("doc_id", "text").withColumn("_key", F.xxhash64("text"))
     key = ("doc_id", "_key")
-    hits = blocks_join(docs, templates, threshold, also=key).groupBy(*key).agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"))
+    known = library(templates, threshold)
+    held = scratch.keep(candidates(docs, known, also=key), "held")
+    lines = blocks_join(held, templates, threshold, also=key).select(*key, "label", "containment")
+    hits = lines.unionByName(windows_join(held, known, key)).groupBy(*key).agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"))
     hits = scratch.keep(hits, "hits").select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k"), "_more", "_best")
     found = base(docs, phrases, also=key)
     out = found.join(hits, found["doc_id"].eqNullSafe(hits["_id"]) & (found["_key"] == hits["_k"]), "left")

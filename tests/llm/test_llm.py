@@ -8,6 +8,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -376,6 +377,25 @@ def test_licenses(spark):
     assert got[3]["score"] == 0 and got[1]["score"] == 1
 
 
+def test_licenses_across_lines(spark):
+    wrap = lambda t, n: "\n# ".join(textwrap.wrap(t, n))
+    notices = [x for x in licenses.NOTICES]
+    texts = {
+        0: ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that", {"bsd"}),
+        1: (" * This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not", {"mpl-2.0"}),
+        2: ("released under\n\n the MIT\nlicense", {"mit"}),
+        3: ("released x " + "y " * 40 + "\n under the mit license", set()),
+        4: (wrap(notices[2][1], 30) + "\n\n" + wrap(notices[6][1], 25), {"cc-by-4.0", "cc-by-sa-4.0"}),
+        5: ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0\nInternational License", set()),
+        7: (wrap(notices[10][1], 50).replace("version 3", "version 2"), set()),
+        6: ("released " + "y " * 40 + " under the mit license", {"mit"}),
+    }
+    texts |= {100 + i: ("Aa bb\n" * 30 + wrap(t, 40) + "\nzz dd" * 30, {label}) for i, (label, t, *_) in enumerate(notices)}
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: set(r["labels"].split(",")) - set(r["base_labels"].split(",")) - {""} for r in licenses.scan(docs, scratch(spark)).collect()}
+    assert got == {k: want for k, (_, want) in texts.items()}
+
+
 def test_license_blocks_equal_brute_force(spark):
     rng = random.Random(5)
     vocab = sorted({w for t in licenses.TEMPLATES.values() for w in t.split()})
