@@ -237,6 +237,16 @@ def hover_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.lookup(p, findings.diagnostics(events_as_findings(spark, sf_dir)))
 
 
+@query(f"""with {FINDINGS}, {DIAGNOSTICS}, p as (select event_id as pos_id, concat('lib/u', event_id%40, '.dart') as file, (event_id%199)::int as at_line, (event_id%90)::int as at_col from events)
+select pos_id, arg_min(d.ord, d.ord) as ord, arg_min(d.message, d.ord) as message, arg_min(d.code, d.ord) as code from p join diagnostics d on p.file=d.file and at_line=line0 and at_col between start_col and end_col group by pos_id""")
+def hover_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hover_lookup of every event's position."""
+    p = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("pos_id"), F.concat(F.lit("lib/u"), F.col("event_id") % 40, F.lit(".dart")).alias("file"), (F.col("event_id") % 199).cast("int").alias("at_line"), (F.col("event_id") % 90).cast("int").alias("at_col")
+    )
+    return findings.lookup(p, findings.diagnostics(events_as_findings(spark, sf_dir)))
+
+
 # lines and literals
 
 
@@ -436,6 +446,15 @@ def poll_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triggers.throttle(e.select((F.col("user_id") % 4).alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("t")))
 
 
+@query("""with recursive p as (select user_id % 4 as key, epoch_us(ts) // 1000 as t, row_number() over (partition by user_id % 4, epoch_us(ts) // 1000) as k from events),
+r as (select key, min(t) as t from p group by key union all select r.key, min(p.t) from r join p on p.key = r.key and p.t >= r.t + 43200000 group by r.key)
+select p.key, p.t, p.k = 1 and r.t is not null as passed from p left join r on p.key = r.key and p.t = r.t""")
+def poll_throttle_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event is a poll of one of four timers."""
+    e = table(spark, sf_dir, "events")
+    return triggers.throttle(e.select((F.col("user_id") % 4).alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("t")))
+
+
 # feedback
 
 
@@ -505,3 +524,13 @@ def enclosing_executable(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = x.withColumn("name", F.concat(F.lit("x"), F.col("end") - F.col("start"), F.lit("-"), F.col("start")))
     p = e.where("event_id % 7 = 0").select("file", F.col("event_id").alias("point_id"), (F.col("event_id") % 60).alias("offset"))
     return metrics.enclosing(p, x).select("point_id", "name")
+
+
+@query("""with x as (select distinct user_id % 40 as f, event_id % 50 as s, event_id % 50 + event_id % 17 as e from events), p as (select event_id, user_id % 40 as f, event_id % 60 as at from events)
+select p.event_id as point_id, arg_min(concat('x', x.e - x.s, '-', x.s), (x.e - x.s, x.s)) filter (where x.s is not null) as name from p left join x on p.f = x.f and p.at between x.s and x.e group by 1""")
+def enclosing_executable_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """enclosing_executable with an interval and a point of every event."""
+    e = table(spark, sf_dir, "events").withColumn("file", F.col("user_id") % 40)
+    x = e.select("file", (F.col("event_id") % 50).alias("start"), (F.col("event_id") % 50 + F.col("event_id") % 17).alias("end")).distinct()
+    x = x.withColumn("name", F.concat(F.lit("x"), F.col("end") - F.col("start"), F.lit("-"), F.col("start")))
+    return metrics.enclosing(e.select("file", F.col("event_id").alias("point_id"), (F.col("event_id") % 60).alias("offset")), x).select("point_id", "name")

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -51,16 +54,26 @@ def on_save(events: DataFrame, scan: Callable[[DataFrame, int], None], checkpoin
 def throttle(polled: DataFrame, age_ms: int = THROTTLE_MS) -> DataFrame:
     """Which polls (key, t in epoch ms) go through: the first, and each that comes age_ms or more after the last that did.
 
-    One pass over each key's ordered polls; a key's polls are one timer's, hours apart.
+    Each key's polls are read in order, a batch at a time; only the last that went through is carried on.
     """
-    ordered = polled.groupBy("key").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<t:bigint,passed:boolean>>").alias("out"))
-
-    def step(s, t):
-        passed = s["last"].isNull() | (t - s["last"] >= age_ms)
-        return F.struct(F.when(passed, t).otherwise(s["last"]).alias("last"), F.concat(s["out"], F.array(F.struct(t.alias("t"), passed.alias("passed")))).alias("out"))
-
-    return ordered.select("key", F.explode(F.aggregate("ts", start, step, lambda s: s["out"])).alias("p")).select("key", "p.t", "p.passed")
+    ordered = polled.where("t is not null").select("key", F.col("t").cast("long").alias("t")).repartition("key").sortWithinPartitions("key", "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, now, last = False, None, None
+        for batch in batches:
+            keys, t = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            passed = np.zeros(len(t), bool)
+            starts = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]
+            for a, b in zip(starts, [*starts[1:], len(keys)]):
+                if not seen or keys[a] != now:
+                    seen, now, last = True, keys[a], None
+                at = a if last is None else a + int(np.searchsorted(t[a:b], last + age_ms))
+                while at < b:
+                    passed[at], last = True, int(t[at])
+                    at = max(at + 1, a + int(np.searchsorted(t[a:b], last + age_ms)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(passed)], ["key", "t", "passed"])
+
+    return ordered.mapInArrow(run, T.StructType([*ordered.schema.fields]).add("passed", "boolean"))
 
 
 def throttle_stream(polled: DataFrame, age_ms: int = THROTTLE_MS) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import collections
 import json
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import dart, feedback, labels
 from lodestone.operators import dashboard, detect, findings, lines, literals, metrics
+from lodestone.plans import catalogue
 from lodestone.plans.catalogue import EXPECTED, SOURCES
 from lodestone.schemas import FINDING
 from lodestone.sources import files, rules
@@ -246,3 +249,30 @@ def test_save_trigger_and_throttle_stream(spark, tmp_path):
     q = triggers.throttle_stream(live).writeStream.format("memory").queryName("passed").outputMode("append").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r["t"] // 3_600_000, r["passed"]) for r in spark.table("passed").orderBy("t").collect()] == want
+
+
+@pytest.mark.parametrize("name, counted", [("poll_throttle_all", "events"), ("enclosing_executable_all", "events")])
+def test_every_event_is_used(spark, name, counted):
+    data = "/root/testdata/sf0.001"
+    assert catalogue.QUERIES[name](spark, data).count() == spark.read.parquet(f"{data}/{counted}.parquet").count()
+
+
+def test_throttle_equals_one_by_one(spark):
+    rng = random.Random(3)
+    polls = [(rng.choice(["a", "b", None]), rng.randrange(10_000)) for _ in range(3000)] + [("a", None)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = triggers.throttle(spark.createDataFrame(polls, "key string, t long"), 40)
+        assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+        got = collections.Counter(map(tuple, found.collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = collections.Counter()
+    for key in ("a", "b", None):
+        last = None
+        for t in sorted(t for k, t in polls if k == key and t is not None):
+            passed = last is None or t - last >= 40
+            last = t if passed else last
+            want[key, t, passed] += 1
+    assert got == want
