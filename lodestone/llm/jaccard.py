@@ -2,20 +2,22 @@
 
 Documents with equal shingle sets are one class; the join works on one row a
 class.  A pair of sets with similarity 0.8 or more shares one of the first
-n - ceil(0.8 n) + 1 shingles of each set under any order of all shingles, so:
+n - ceil(0.8 n) + 1 shingles of each set under any order of all shingles.
 
 1. Shingles that one document alone holds are ordered first.  A set with enough
    of them has nothing but them in its prefix and can have no partner; counting
    document frequencies in hash buckets settles most sets this way.
-2. The remaining sets are ordered by hash, the most frequent shingles last, and
-   sets that share a prefix shingle and fit in size are tied into candidate
-   components, so that a shingle's holders are never paired with each other.
-3. In each candidate component a signature tree holds OR-combined bitmaps and
-   size ranges; a dual traversal compares node with node, prunes by the largest
-   possible overlap and skips nodes already connected.  Sets are verified on
-   their full shingles.
-4. Components too large for a task are dealt into chunks that share a few pivot
-   sets; if the chunks' results don't join up, all pairs of chunks are traversed.
+2. The rest are the leaves of the trees, in runs that share a least shingle hash
+   (near copies mostly do, twice over).  In each run a signature tree holds
+   OR-combined bitmaps and size ranges; a dual traversal compares node with node,
+   prunes by the largest possible overlap, skips nodes already connected, and
+   verifies sets on their full shingles.
+3. What these links connect has one label.  The upper levels of the trees are
+   tables: a node is the holders of one prefix shingle, and nodes whose holders
+   all have one label are pruned.  Large nodes are cut by size range and label,
+   and pairs of their children go on only if sizes allow a link and labels
+   differ.  What is left is traversed as in 2, so no candidate pair is written
+   and nothing depends on how far candidates chain up.
 """
 
 from __future__ import annotations
@@ -24,19 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import Forest, components
 from .packed import bounds, pack_row, runs, to_batch, unpack
-from .store import Scratch, parts_for
+from .store import Scratch, by_keys, parts_for
 from .substring import keyed
-from .text import Words, mix, stream
+from .text import mix, shingle_sets, stream
 
 SHINGLE, PERCENT = 5, 80
 GROUP_TOKENS, BUCKET_BYTES = 1 << 21, 8 << 20
 FREQUENT_FROM, FREQUENT = 32, 1 << 17
-CHUNK_SETS, CHUNK_TOKENS, PIVOTS = 1000, 2_000_000, 8
+CHUNK_SETS, CHUNK_TOKENS, TURNS = 1000, 2_000_000, 2
 LEAF = 8
 
 
@@ -80,7 +82,7 @@ def _posts(k: int, buckets: int):
             return to_batch(rows, _POST)
 
         for part in stream(batches):
-            sets = Words(part.column("text"), lower=True).shingles(k)
+            sets = shingle_sets(part.column("text"), k)
             row, doc = part.column("_row").to_numpy(), part.column("doc_id")
             sizes = np.array([len(s) for s in sets], np.int64)
             info = np.zeros(len(sets), _ABOUT)
@@ -172,103 +174,27 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in SETS.split(", ")])
 
 
-# 2. candidate components
+# 2. leaves and prefixes
 
-_CHAIN = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("owners", pa.binary()), ("sizes", pa.binary()), ("u", pa.binary()), ("v", pa.binary())])
-CHAIN = "bucket int, tokens binary, owners binary, sizes binary, u binary, v binary"
 
+def _keys(percent: int, frequent: np.ndarray, of: int):
+    """Of each set its size, the shingles of which a partner must hold one, and its leaves: the least shingle under TURNS hashes."""
 
-def _chain(token: np.ndarray, owner: np.ndarray, size: np.ndarray, percent: int):
-    """Ties holders of a shingle, in order of size, to the next while sizes allow a link.
-
-    Of each chain its ends stay and so many between them that the sizes of neighbours that stay allow a link: a
-    holder elsewhere that fits any of the chain in size then fits one that stays.
-    """
-    order = np.lexsort((owner, size, token))
-    token, owner, size = token[order], owner[order], size[order]
-    tie = (token[1:] == token[:-1]) & (100 * size[:-1] >= percent * size[1:])
-    stays = _rungs(np.append(np.ones(min(len(token), 1), bool), ~tie), size, percent)
-    u, v = owner[:-1][tie], owner[1:][tie]
-    pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
-    return token[stays], owner[stays], size[stays], _spanning(pairs[pairs[:, 0] != pairs[:, 1]])
-
-
-def _rungs(opens: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
-    """Marks, from each chain's first holder, the last one within the size ratio of the one marked before, to the chain's end."""
-    chain, size, stays = np.cumsum(opens).astype(np.int64) << 32, size.astype(np.int64), np.zeros(len(size), bool)
-    to = np.searchsorted(chain + size, chain + np.minimum(100 * size // percent, (1 << 32) - 1), "right") - 1
-    at = np.flatnonzero(opens)
-    while len(at):
-        stays[at] = True
-        at = to[at][to[at] != at]
-    return stays
-
-
-def _spanning(pairs: np.ndarray) -> np.ndarray:
-    """A spanning forest of the pairs."""
-    if not len(pairs):
-        return pairs
-    names, back = np.unique(pairs, return_inverse=True)
-    forest = Forest(len(names))
-    keep = [forest.union(a, b) for a, b in back.reshape(-1, 2).tolist()]
-    return pairs[np.array(keep)]
-
-
-def _prefixes(buckets: int, percent: int, frequent: np.ndarray, of: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, owners, sizes, n = [], [], [], 0
-
-        def send():
-            t, o, s, pairs = _chain(*(np.concatenate(x) for x in (tokens, owners, sizes)), percent)
-            for x in (tokens, owners, sizes):
-                x.clear()
-            b = (t % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(b, kind="stable")
-            t, o, s, cuts = t[order], o[order], s[order], bounds(b[order], buckets)
-            share, rows = np.linspace(0, len(pairs), buckets + 1).astype(np.int64), []
-            for i in range(buckets):
-                (p, q), (x, y) = cuts[i : i + 2], share[i : i + 2]
-                if p < q or x < y:
-                    rows.append(pack_row(bucket=i, tokens=t[p:q], owners=o[p:q], sizes=s[p:q].astype(np.int32), u=pairs[x:y, 0], v=pairs[x:y, 1]))
-            return to_batch(rows, _CHAIN)
-
         for batch in batches:
-            for row, blob in zip(batch.column("_row").to_pylist(), batch.column("tokens").to_pylist()):
+            sizes, prefixes, leaves = [], [], []
+            for blob in batch.column("tokens").to_pylist():
                 t = np.frombuffer(blob, np.uint64)
                 last = np.zeros(len(t), bool)
                 if len(frequent):
                     short = ((t >> np.uint64(32)) % np.uint64(of)) << np.uint64(32) | (t & np.uint64(0xFFFFFFFF))
                     at = np.minimum(np.searchsorted(frequent, short), len(frequent) - 1)
                     last = frequent[at] == short
-                first = np.concatenate([t[~last], t[last]])[: prefix_length(len(t), percent)]
-                tokens.append(first)
-                owners.append(np.full(len(first), row, np.int64))
-                sizes.append(np.full(len(first), len(t), np.int64))
-                n += len(first)
-            if n >= GROUP_TOKENS // 2:
-                yield send()
-                n = 0
-        if n:
-            yield send()
-
-    return run
-
-
-def _ties(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, owners, sizes, pairs = [], [], [], []
-        for batch in batches:
-            for row in batch.to_pylist():
-                tokens.append(unpack(row, "tokens", np.uint64))
-                owners.append(unpack(row, "owners", np.int64))
-                sizes.append(unpack(row, "sizes", np.int32).astype(np.int64))
-                pairs.append(np.stack([unpack(row, "u", np.int64), unpack(row, "v", np.int64)], 1))
-        if not tokens:
-            return
-        pairs.append(_chain(*(np.concatenate(x) for x in (tokens, owners, sizes)), percent)[3])
-        out = _spanning(np.concatenate(pairs))
-        if len(out):
-            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["u", "v"])
+                sizes.append(len(t))
+                prefixes.append(np.concatenate([t[~last], t[last]])[: prefix_length(len(t), percent)].view(np.int64))
+                leaves.append([int(mix(t, 21 + turn).min().view(np.int64)) for turn in range(TURNS)])
+            lists = pa.ListArray.from_arrays(np.append(0, np.cumsum([len(x) for x in prefixes])).astype(np.int32), pa.array(np.concatenate(prefixes))) if prefixes else pa.array([], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(sizes, pa.int32()), lists, pa.array(leaves, pa.list_(pa.int64()))], ["_row", "n", "prefix", "leaf"])
 
     return run
 
@@ -283,19 +209,18 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 class SignatureTree:
-    """Sets in leaves of LEAF, ordered by size class and least shingle; each node has the OR of its bitmaps and its size range."""
+    """Sets in leaves of LEAF, ordered by size class and least shingle; each node has the OR of its bitmaps and its size range.
+
+    visited counts the pairs of nodes that were opened, compared the pairs of sets whose shingles were compared.
+    """
 
     def __init__(self, sets: list[np.ndarray], percent: int):
         self.percent, n = percent, np.array([len(s) for s in sets], np.int64)
+        self.visited = self.compared = 0
         self.order = np.lexsort((np.array([s[0] for s in sets], np.uint64), np.floor(np.log(n) / np.log(100 / percent))))
         self.sets, self.n = [sets[i] for i in self.order], n[self.order]
         self.bits = 1 << min(16, max(8, int(2 * n.max()).bit_length()))
-        grid = np.zeros((len(sets), self.bits // 8), np.uint8)
-        for row, s in zip(grid, self.sets):
-            mark = np.zeros(self.bits, np.uint8)
-            mark[(s & np.uint64(self.bits - 1)).astype(np.int64)] = 1
-            row[:] = np.packbits(mark)
-        self.maps = grid.view(np.uint64)
+        self.maps = np.concatenate([self._bitmaps(self.sets[i : i + 64]) for i in range(0, len(sets), 64)])
         self.clash = self.n - np.bitwise_count(self.maps).sum(1)
         starts = np.arange(0, len(sets), LEAF)
         self.levels = [self._level(self.maps, self.n, self.n, self.clash, starts)]
@@ -303,6 +228,12 @@ class SignatureTree:
             maps, low, high, clash = self.levels[-1]
             self.levels.append(self._level(maps, low, high, clash, np.arange(0, len(maps), 2)))
 
+    def _bitmaps(self, sets: list[np.ndarray]) -> np.ndarray:
+        mark = np.zeros((len(sets), self.bits), np.uint8)
+        for row, s in zip(mark, sets):
+            row[(s & np.uint64(self.bits - 1)).astype(np.int64)] = 1
+        return np.packbits(mark, axis=1).view(np.uint64)
+
     @staticmethod
     def _level(maps, low, high, clash, starts):
         return np.bitwise_or.reduceat(maps, starts), np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts), np.maximum.reduceat(clash, starts)
@@ -324,6 +255,7 @@ class SignatureTree:
         out, pairs = [], [(len(self.levels) - 1, 0, 0)]
         while pairs:
             level, a, b = pairs.pop()
+            self.visited += 1
             if level == 0:
                 out += self._leaves(forest, a, b, side)
                 continue
@@ -361,9 +293,11 @@ class SignatureTree:
         for i, j in zip(*(k.tolist() for k in np.nonzero(may))):
             i, j = i + x.start, j + y.start
             p, q = int(self.order[i]), int(self.order[j])
-            if (side is None or side[p] != side[q]) and forest.find(p) != forest.find(q) and linked(_common(self.sets[i], self.sets[j]), int(self.n[i]), int(self.n[j]), self.percent):
-                forest.union(p, q)
-                out.append((p, q))
+            if (side is None or side[p] != side[q]) and forest.find(p) != forest.find(q):
+                self.compared += 1
+                if linked(_common(self.sets[i], self.sets[j]), int(self.n[i]), int(self.n[j]), self.percent):
+                    forest.union(p, q)
+                    out.append((p, q))
         return out
 
 
@@ -382,34 +316,55 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
         yield now, rows
 
 
-def _links(keys: list[str], percent: int, across: bool = False):
-    """Links within each group; across: only between the two sides, of sets whose labels differ."""
+def _links(keys: list[str], percent: int):
+    """Links within each node, of sets whose labels differ; where a node has two sides, of sets of different sides only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, v = [], []
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
         for _, rows in _groups(batches, keys):
-            sets = [np.frombuffer(r["tokens"], np.uint64) for r in rows]
-            forest, side = Forest(len(rows)), None
-            if across:
-                first: dict[int, int] = {}
-                for i, r in enumerate(rows):
-                    forest.union(first.setdefault(r["label"], i), i)
-                side = np.array([r["side"] for r in rows])
-            if len(rows) == 2:
-                found = [(0, 1)] if forest.find(0) != forest.find(1) and linked(_common(*sets), len(sets[0]), len(sets[1]), percent) else []
-            else:
-                found = SignatureTree(sets, percent).join(forest, side) if len(rows) > 1 else []
+            if len(rows) < 2:
+                continue
+            forest, first = Forest(len(rows)), {}
+            for i, r in enumerate(rows):
+                forest.union(first.setdefault(r["label"], i), i)
+            side = np.array([r["side"] for r in rows])
+            found = SignatureTree([np.frombuffer(r["tokens"], np.uint64) for r in rows], percent).join(forest, side if side.any() else None) if len(first) > 1 else []
             u += [rows[a]["_row"] for a, _ in found]
             v += [rows[b]["_row"] for _, b in found]
             if len(u) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+                yield batch()
                 u, v = [], []
         if u:
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+            yield batch()
 
     return run
 
 
+def _chunks(sets: str = "sets", tokens: str = "tokens"):
+    return F.greatest(F.ceil(F.col(sets) / CHUNK_SETS), F.ceil(F.col(tokens) / CHUNK_TOKENS)).cast("int")
+
+
+def _children(held: DataFrame, percent: int) -> DataFrame:
+    """Pairs of children of large nodes: (_row, label, token, i, j, side) of held (_row, n, label, token, chunks).
+
+    A child has one size class, and either one label or a share of the small labels.  A pair goes on only if its
+    size ranges allow a link and its labels are not all the same.
+    """
+    key = ["token", "class", "label"]
+    rows = held.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int"))
+    own = rows.groupBy(*key).agg(F.count("*").alias("sets"), F.sum("n").alias("tokens")).where((F.col("sets") > CHUNK_SETS // 2) | (F.col("tokens") > CHUNK_TOKENS // 2))
+    rows = rows.join(own.select(*key, _chunks().alias("own")), key, "left")
+    node = F.when(F.col("own").isNotNull(), F.xxhash64("class", "label", F.pmod(F.xxhash64("_row"), F.col("own")))).otherwise(F.xxhash64("class", F.pmod(F.xxhash64("label", F.lit(5)), F.col("chunks"))))
+    rows = rows.select("_row", "n", "label", "token", "class", node.alias("node"))
+    nodes = rows.groupBy("token", "class", "node").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("a"), F.max("label").alias("b"))
+    named = lambda s: nodes.select("token", F.col("class").alias(f"class{s}"), *[F.col(c).alias(c + s) for c in ("node", "low", "high", "a", "b")])
+    one = named("1").withColumn("class2", F.explode(F.array("class1", F.col("class1") + 1)))
+    pairs = one.join(named("2"), ["token", "class2"]).where(f"(class1 < class2 or node1 <= node2) and 100 * least(high1, high2) >= {percent} * greatest(low1, low2) and not (a1 = b1 and a2 = b2 and a1 = a2)")
+    ends = pairs.select("token", F.col("node1").alias("i"), F.col("node2").alias("j")).select("*", F.explode(F.array_distinct(F.array("i", "j"))).alias("node"))
+    return rows.join(ends, ["token", "node"]).select("_row", "label", "token", "i", "j", (F.col("node") != F.col("i")).cast("int").alias("side"))
+
+
 def classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """The near-duplicate classes of keyed documents (doc_id, text, _row).
 
@@ -426,55 +381,50 @@ def classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, percent: int =
     rep = sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min_by(F.struct("_row", "shared"), F.struct("doc_id", "_row")).alias("r"), F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     rep = scratch.keep(rep.select("n", "f1", "f2", "r._row", "r.shared", "first", "copies"), "classes")
     # fewer shingles of its own than the prefix is long
-    open_ = rep.where(100 * F.col("shared") >= percent * F.col("n")).select("_row")
+    open_ = scratch.keep(rep.where(100 * F.col("shared") >= percent * F.col("n")).select("_row"), "open")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in stream(batches):
-            found = Words(part.column("text"), lower=True).shingles(k)
+            found = shingle_sets(part.column("text"), k)
             yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array([s.tobytes() for s in found], pa.binary())], ["_row", "tokens"])
 
-    full = docs.select("_row", "text").join(open_.hint("shuffle_hash"), "_row").select("_row", "text").mapInArrow(tokens, "_row long, tokens binary")
+    # rows that repeat have one name and label, so they meet in every node without a comparison
+    full = by_keys(docs.select("_row", "text"), open_, "_row", "left_semi").mapInArrow(tokens, "_row long, tokens binary")
     full = scratch.keep(full, "tokens")
-    chained = full.mapInArrow(_prefixes(buckets, percent, frequent, buckets), CHAIN).repartitionById(buckets, "bucket")
-    near = components(chained.mapInArrow(_ties(percent), "u long, v long"), scratch, "near")
-    near = near.select(F.col("id").alias("_row"), "component")
-
-    sizes = near.join(rep.select("_row", "n"), "_row").groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("all"))
-    chunks = F.greatest(F.ceil(F.col("sets") / CHUNK_SETS), F.ceil(F.col("all") / CHUNK_TOKENS)).cast("int")
-    plan = near.join(sizes.select("component", chunks.alias("chunks")), "component")
-    plan = scratch.keep(plan.select("*", F.pmod(F.xxhash64("_row"), F.col("chunks")).cast("int").alias("chunk")), "plan")
-    big = plan.where("chunks > 1")
-
-
-    rank = F.row_number().over(Window.partitionBy("component").orderBy(F.xxhash64(F.col("_row"), F.lit(3)), "_row"))
-    pivots = big.withColumn("k", rank).where(F.col("k") <= PIVOTS)
-    pivots = pivots.select("_row", "component", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"), "chunk").where("other != chunk").select("_row", "component", F.col("other").alias("chunk"))
-    jobs = plan.select("_row", "component", "chunk").unionByName(pivots)
-    work = jobs.join(full, "_row")
-    keys = ["component", "chunk"]
-    work = work.repartition(buckets, *keys).sortWithinPartitions(*keys)
-    links = scratch.keep(work.mapInArrow(_links(keys, percent), "u long, v long"), "links")
-    joined = components(links, scratch, "joined").select(F.col("id").alias("_row"), F.col("component").alias("label"))
-    if big.limit(1).count():
-        marked = big.join(joined, "_row", "left").select("_row", "component", "chunk", "chunks", F.coalesce("label", "_row").alias("label"))
-        marked = scratch.keep(marked, "marked")
-        apart = marked.groupBy("component").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("component")
-        # a chunk whose sets all have one label need not meet another of the same label
-        of = marked.groupBy("component", "chunk").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.first("chunks").alias("chunks")).join(apart, "component", "left_semi")
-        one = of.select("component", F.col("chunk").alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"), F.col("a").alias("ai"), F.col("b").alias("bi"))
-        two = of.select("component", F.col("chunk").alias("j"), F.col("a").alias("aj"), F.col("b").alias("bj"))
-        meet = one.where("i < j").join(two, ["component", "j"]).where("not (ai = bi and aj = bj and ai = aj)").select("component", "i", "j")
-        ends = meet.select("*", F.explode(F.array("i", "j")).alias("chunk"))
-        work = marked.join(ends, ["component", "chunk"]).select("_row", "component", "i", "j", "label", (F.col("chunk") == F.col("j")).cast("int").alias("side")).join(full, "_row")
-        keys = ["component", "i", "j"]
-        more = work.repartition(buckets, *keys).sortWithinPartitions(*keys).mapInArrow(_links(keys, percent, True), "u long, v long")
-        joined = components(scratch.keep(links.unionByName(more), "links2"), scratch, "final").select(F.col("id").alias("_row"), F.col("component").alias("label"))
+    near = scratch.keep(full.mapInArrow(_keys(percent, frequent, buckets), "_row long, n int, prefix array<long>, leaf array<long>").dropDuplicates(["_row"]), "keys")
+
+    def traverse(work: DataFrame, keys: list[str], name: str) -> DataFrame:
+        dealt = work.join(full, "_row").repartition(buckets, *keys).sortWithinPartitions(*keys)
+        return scratch.keep(dealt.mapInArrow(_links(keys, percent), "u long, v long"), name)
+
+    leaves = near.select("_row", "n", F.posexplode("leaf").alias("turn", "leaf"))
+    shared = leaves.groupBy("turn", "leaf").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens")).where("sets > 1").select("turn", "leaf", _chunks().alias("chunks"))
+    work = leaves.join(shared, ["turn", "leaf"]).select("_row", F.col("_row").alias("label"), F.lit(0).alias("side"), "turn", "leaf", F.pmod(F.xxhash64("_row"), F.col("chunks")).alias("run"))
+    links = traverse(work, ["turn", "leaf", "run"], "links")
+    joined = components(links, scratch, "near").select(F.col("id").alias("_row"), F.col("component").alias("label"))
+
+    held = near.select("_row", "n", "prefix").join(joined, "_row", "left")
+    held = scratch.keep(held.select("_row", "n", F.coalesce("label", "_row").alias("label"), F.explode("prefix").alias("token")), "held")
+    nodes = held.groupBy("token").agg(
+        F.min("label").alias("a"), F.max("label").alias("b"), F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("sets"), F.sum("n").alias("tokens"),
+        F.bit_xor(F.xxhash64("_row")).alias("x"), F.bit_xor(F.xxhash64("_row", F.lit(1))).alias("y"),
+    )
+    nodes = nodes.where(f"a < b and (sets > 2 or 100 * low >= {percent} * high)")
+    # shingles with the same holders are one node
+    nodes = scratch.keep(nodes.groupBy("x", "y", "sets", "tokens").agg(F.min("token").alias("token")).select("token", _chunks().alias("chunks")), "nodes")
+    if nodes.limit(1).count():
+        inside = held.join(nodes, "token")
+        small = inside.where("chunks = 1").select("_row", "label", "token", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side"))
+        if nodes.where("chunks > 1").limit(1).count():
+            small = small.unionByName(_children(inside.where("chunks > 1"), percent))
+        more = traverse(small, ["token", "i", "j"], "links2")
+        joined = components(links.unionByName(more), scratch, "final").select(F.col("id").alias("_row"), F.col("component").alias("label"))
     named = rep.join(joined, "_row", "left").withColumn("label", F.coalesce("label", "_row"))
     least = named.where("label != _row or copies > 1").select("label").distinct()
     linked_ = named.join(least, "label", "left_semi")
     ids = linked_.groupBy("label").agg(F.min("first").alias("component_id"))
     found = scratch.keep(linked_.join(ids, "label").select("n", "f1", "f2", "component_id"), "found")
-    scratch.drop("tokens", "plan", "links")
+    scratch.drop("tokens", "keys", "held", "nodes", "links", "links2", "open")
     return sets.select("_row", "doc_id", "n", "f1", "f2"), found
 
 
@@ -493,10 +443,9 @@ def digest(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, percent: int = P
 def keep_one(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents with one of each near-duplicate group: that with the smallest id; every column stays.
 
-    Rows that repeat the id that stays all stay; documents without words are no near duplicates and stay.
+    Rows that repeat the id that stays all stay; documents without words are no near duplicates and stay.  Long
+    texts are read in pieces.  Only the names of the rows that go travel; an empty table gives no rows.
     """
     sets, found = classes(keyed(docs), scratch, k, percent)
     lost = sets.join(found, ["n", "f1", "f2"]).where("doc_id != component_id or (doc_id is null and component_id is not null)").select(F.col("_row").alias("_gone")).distinct()
-    row = F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    kept = docs.withColumn("_row", row).join(lost.hint("shuffle_hash"), F.col("_row") == F.col("_gone"), "left_anti")
-    return kept.drop("_row")
+    return without(docs, scratch.keep(lost, "lost"))

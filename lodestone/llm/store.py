@@ -13,15 +13,20 @@ import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
 
+#: Rows of narrow keys (16 to 32 bytes each in memory) that may go to all tasks.
+BROADCAST_ROWS = 1 << 21
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all machines share")
     return found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
 
 
@@ -50,6 +55,12 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(conf).delete(path, True)
 
+    def close(self) -> None:
+        """Deletes all tables of the call. For callers whose result does not read them any more."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(conf).delete(path, True)
+
     @property
     def local(self) -> bool:
         return urlparse(self.root).scheme in ("", "file")
@@ -62,6 +73,12 @@ def bytes_of(df: DataFrame) -> int:
     return sum(x for x in sizes if x < 1 << 60)
 
 
+def by_keys(rows: DataFrame, keys: DataFrame, on, how: str, known: int | None = None) -> DataFrame:
+    """A join of wide rows with a kept table of narrow keys: broadcast where its counted rows are few, else as Spark plans it."""
+    n = keys.count() if known is None else known
+    return rows.join(F.broadcast(keys) if n <= BROADCAST_ROWS else keys, on, how)
+
+
 def parts_for(df: DataFrame, per: int) -> int:
     """Partitions so that each holds about `per` bytes of the table, the session's number at least."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

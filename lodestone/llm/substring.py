@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packed import bounds, pack_row, runs, to_batch, unpack
-from .store import Scratch, parts_for
+from .store import Scratch, by_keys, parts_for
 from .text import Words, stream
 
 WINDOW = 35
@@ -220,6 +220,12 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_row", F.xxhash64("doc_id", "text"))
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose name by id and text is not among a kept table's (_gone); every column stays."""
+    name = F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return by_keys(docs, gone, name == gone["_gone"], "left_anti")
+
+
 def repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
     """(_row, places): starts of the windows of each keyed row that also start anywhere else, as packed int32."""
     buckets = parts_for(docs, BUCKET_BYTES)

@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 
 WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 2 << 20
+#: A text beyond this is read in pieces of about so many bytes.
+PIECE_BYTES = 4 << 20
 
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -143,6 +145,58 @@ class Words:
         return out
 
 
+def pieces(column: pa.Array, overlap: int, limit: int | None = None) -> Iterator[pa.Array]:
+    """The column itself, or a single long text in pieces that end between words.
+
+    Each piece but the first begins with the `overlap` words that its predecessor ends with, so that every run of
+    overlap + 1 words stands whole in exactly one piece.  Only a single word can make a piece much longer.
+    """
+    raw, off = buffers(column)
+    size = limit or PIECE_BYTES
+    if len(off) != 2 or len(raw) <= size:
+        yield column
+        return
+    start, stop, n = 0, 0, len(raw)
+    while True:
+        stop = min(n, max(stop, start) + size)
+        while stop < n and not _SPACE[raw[stop]]:  # to the end of a word
+            ahead = np.flatnonzero(_SPACE[raw[stop : stop + 4096]])
+            stop += int(ahead[0]) if len(ahead) else min(4096, n - stop)
+        if stop >= n:
+            yield pa.array([raw[start:].tobytes()], pa.binary())
+            return
+        solid = ~_SPACE[raw[start:stop]]
+        first = np.flatnonzero(solid & np.append(True, ~solid[:-1]))
+        if len(first) > overlap:  # else the piece grows
+            yield pa.array([raw[start:stop].tobytes()], pa.binary())
+            start = start + int(first[-overlap]) if overlap else stop
+
+
+def windows_of(column: pa.Array, k: int, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, document number and first word's number of every k-word window of a column, and each document's number of words."""
+    parts, words, count = [], 0, None
+    for piece in pieces(column, k - 1):
+        w = Words(piece, lower)
+        h, ok = w.windows(k)
+        doc = np.repeat(np.arange(len(w)), w.count)
+        place = np.arange(len(h)) - np.repeat(w.first[:-1], w.count) + words
+        parts.append((h[ok], doc[ok], place[ok]))
+        count = w.count
+        words += len(h) - (k - 1)
+    if len(parts) == 1:
+        return *parts[0], count
+    return *(np.concatenate([p[i] for p in parts]) for i in range(3)), np.array([words + k - 1])
+
+
+def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
+    """Each text's distinct lower-cased k-word shingles, ascending; long texts in pieces."""
+    if len(column) == 1 and len(buffers(column)[0]) > PIECE_BYTES:
+        h = windows_of(column, k, True)[0]
+        if len(h):
+            return [np.unique(h)]
+    return Words(column, lower=True).shingles(k)
+
+
 def stream(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield from chunks(batch, text, limit)

@@ -80,6 +80,21 @@ def test_words_match_regex(rows):
     assert len(set(spans)) == len(by)
 
 
+@pytest.mark.parametrize("limit", [1, 7, 30])
+def test_pieces_of_long_texts(limit, monkeypatch):
+    rng = random.Random(limit)
+    for _ in range(60):
+        parts = ["".join(rng.choice("abcdé") for _ in range(rng.choice([1, 2, 3, 40]))) for _ in range(rng.randrange(0, 60))]
+        column = pa.array([rng.choice(["", " ", "\n\n"]) + rng.choice([" ", "  ", "\n "]).join(parts) + rng.choice(["", " "])])
+        for k in (1, 2, 5, 35):
+            monkeypatch.setattr(text, "PIECE_BYTES", 1 << 30)
+            whole, sets = text.windows_of(column, k, True), text.shingle_sets(column, k)
+            monkeypatch.setattr(text, "PIECE_BYTES", limit)
+            cut = text.windows_of(column, k, True)
+            assert all(a.tolist() == b.tolist() for a, b in zip(whole, cut)) and cut[3][0] == len(parts)
+            assert text.shingle_sets(column, k)[0].tolist() == sets[0].tolist()
+
+
 def test_windows_do_not_depend_on_place():
     w = text.Words(pa.array(["a b c d e", "x a b c", "b c d"]))
     h, ok = w.windows(3)
@@ -144,36 +159,55 @@ def brute_components(rows):
 @pytest.mark.parametrize("chunk", [1000, 3])
 def test_jaccard(spark, docs, rows, chunk, monkeypatch):
     monkeypatch.setattr(jaccard, "CHUNK_SETS", chunk)
-    monkeypatch.setattr(jaccard, "PIVOTS", 1)
     got = collections.Counter(map(tuple, jaccard.digest(docs, scratch(spark)).select("doc_id", "n_shingles", "component_id").collect()))
     assert got == brute_components(rows)
 
 
+def chained(rng, groups, size, step):
+    """Texts of families whose members drift away from the first, so that many are near and few linked."""
+    out = []
+    for g in range(groups):
+        w = [f"g{g}w{i}" for i in range(30)]
+        for _ in range(size):
+            w = [x if rng.random() > step else f"r{rng.randrange(10**9)}" for x in w]
+            out.append(" ".join(w + ["common tail of all the families here"]))
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1000, 4])
+@pytest.mark.parametrize("frequent", [1 << 17, 0])
+def test_jaccard_of_drifting_families(spark, chunk, frequent, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK_SETS", chunk)
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    monkeypatch.setattr(jaccard, "FREQUENT_FROM", 4)
+    rng = random.Random(11)
+    texts = chained(rng, 6, 40, 0.01) + [" ".join(f"s{rng.randrange(9)}" for _ in range(rng.randrange(5, 30))) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = collections.Counter(map(tuple, jaccard.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), scratch(spark)).collect()))
+    assert got == brute_components(rows)
+
+
+def test_signature_tree_prunes_near_sets_that_are_not_linked():
+    rng = np.random.default_rng(5)
+    draw = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(80) < 0.8], draw(14)])) for base in (draw(80) for _ in range(60)) for _ in range(20)]
+    tree = jaccard.SignatureTree(sets, 80)
+    assert tree.join(graph.Forest(len(sets))) == []
+    assert tree.compared < 0.001 * len(sets) ** 2 / 2
+    lone = [np.unique(draw(n)) for n in range(8, 1208)]  # of all sizes: most pairs of nodes are out of reach
+    tree = jaccard.SignatureTree(lone, 80)
+    assert tree.join(graph.Forest(len(lone))) == [] and tree.compared == 0
+    assert tree.visited < 0.4 * sum(len(n) * (len(n) + 1) / 2 for _, n, _, _ in tree.levels)
+
+
 def test_keep_one(spark, docs, rows):
+    docs = docs.withColumn("_row", F.lit(7)).withColumn("_gone", F.lit("x"))
     kept = jaccard.keep_one(docs, scratch(spark))
     assert kept.columns == docs.columns
     want = collections.Counter({k: n for k, n in brute_components(rows).items() if k[0] == k[2]})
     assert collections.Counter(r["doc_id"] for r in kept.collect()) == collections.Counter({k[0]: n for k, n in want.items()})
 
 
-def test_candidates_of_a_wide_chain_meet_a_set_of_another_task():
-    rng = random.Random(7)
-    for groups in [[[5, 6, 7, 8, 10, 12, 14], [9]]] + [[[rng.randrange(3, 60) for _ in range(rng.randrange(1, 30))] for _ in range(3)] for _ in range(60)]:
-        flat, sent = [n for g in groups for n in g], []
-        for k, g in enumerate(groups):
-            first = sum(map(len, groups[:k]))
-            sets = [np.append(np.uint64(1), np.uint64(1000 * (first + i + 1)) + np.arange(n - 1, dtype=np.uint64)).tobytes() for i, n in enumerate(g)]
-            batch = pa.RecordBatch.from_arrays([pa.array(range(first, first + len(g)), pa.int64()), pa.array(sets, pa.binary())], ["_row", "tokens"])
-            sent += jaccard._prefixes(1, 80, np.zeros(0, np.uint64), 1)(iter([batch]))
-        forest = graph.Forest(len(flat))
-        for b in jaccard._ties(80)(iter(sent)):
-            for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist()):
-                forest.union(u, v)
-        for i, j in itertools.combinations(range(len(flat)), 2):
-            if 100 * min(flat[i], flat[j]) >= 80 * max(flat[i], flat[j]):
-                assert forest.find(i) == forest.find(j), (groups, i, j)
-
-
 def test_signature_tree_equals_all_pairs():
     rng = np.random.default_rng(1)
     base = np.unique(rng.integers(0, 2**63, 100).astype(np.uint64))
