@@ -16,8 +16,9 @@ n - ceil(0.8 n) + 1 shingles of each set under any order of all shingles.
    tables: a node is the holders of one prefix shingle, and nodes whose holders
    all have one label are pruned.  Large nodes are cut by size range and label,
    and pairs of their children go on only if sizes allow a link and labels
-   differ.  What is left is traversed as in 2, so no candidate pair is written
-   and nothing depends on how far candidates chain up.
+   differ.  Nodes are traversed on bitmaps first, which leaves the sets that may
+   have a partner of another label; these are traversed as in 2.  No candidate
+   pair is written, and nothing depends on how far candidates chain up.
 """
 
 from __future__ import annotations
@@ -30,16 +31,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import Forest, components
-from .packed import bounds, pack_row, runs, to_batch, unpack
+from .packed import bounds, groups_of, pack_row, runs, to_batch, unpack
 from .store import Scratch, by_keys, parts_for
-from .substring import keyed
+from .substring import keyed, without
 from .text import mix, shingle_sets, stream
 
 SHINGLE, PERCENT = 5, 80
-GROUP_TOKENS, BUCKET_BYTES = 1 << 21, 8 << 20
+GROUP_TOKENS, BUCKET_BYTES = 1 << 20, 8 << 20
 FREQUENT_FROM, FREQUENT = 32, 1 << 17
 CHUNK_SETS, CHUNK_TOKENS, TURNS = 1000, 2_000_000, 2
-LEAF = 8
+LEAF, WIDE = 8, 64
+#: Bits of a signature: this many a shingle, rounded up to a power of 2, within these bounds.
+BITS, LEAST_BITS, MOST_BITS = 8, 1 << 8, 1 << 17
 
 
 def prefix_length(n, percent: int = PERCENT):
@@ -177,12 +180,22 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # 2. leaves and prefixes
 
 
+def bitmap(t: np.ndarray, bits: int) -> np.ndarray:
+    mark = np.zeros(bits, np.uint8)
+    mark[(t & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(mark, bitorder="little").view(np.uint64)
+
+
+def signature(t: np.ndarray) -> np.ndarray:
+    return bitmap(t, 1 << int(min(MOST_BITS, max(LEAST_BITS, BITS * len(t))) - 1).bit_length())
+
+
 def _keys(percent: int, frequent: np.ndarray, of: int):
-    """Of each set its size, the shingles of which a partner must hold one, and its leaves: the least shingle under TURNS hashes."""
+    """Of each set its size, the shingles of which a partner must hold one, its leaves (the least shingle under TURNS hashes) and its bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, prefixes, leaves = [], [], []
+            sizes, prefixes, leaves, maps = [], [], [], []
             for blob in batch.column("tokens").to_pylist():
                 t = np.frombuffer(blob, np.uint64)
                 last = np.zeros(len(t), bool)
@@ -193,8 +206,9 @@ def _keys(percent: int, frequent: np.ndarray, of: int):
                 sizes.append(len(t))
                 prefixes.append(np.concatenate([t[~last], t[last]])[: prefix_length(len(t), percent)].view(np.int64))
                 leaves.append([int(mix(t, 21 + turn).min().view(np.int64)) for turn in range(TURNS)])
+                maps.append(signature(t).tobytes())
             lists = pa.ListArray.from_arrays(np.append(0, np.cumsum([len(x) for x in prefixes])).astype(np.int32), pa.array(np.concatenate(prefixes))) if prefixes else pa.array([], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(sizes, pa.int32()), lists, pa.array(leaves, pa.list_(pa.int64()))], ["_row", "n", "prefix", "leaf"])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(sizes, pa.int32()), lists, pa.array(leaves, pa.list_(pa.int64())), pa.array(maps, pa.binary())], ["_row", "n", "prefix", "leaf", "map"])
 
     return run
 
@@ -209,38 +223,33 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 class SignatureTree:
-    """Sets in leaves of LEAF, ordered by size class and least shingle; each node has the OR of its bitmaps and its size range.
+    """Sets in leaves, ordered by size class and a key; each node has the OR of its sets' bitmaps and its size range.
 
     visited counts the pairs of nodes that were opened, compared the pairs of sets whose shingles were compared.
     """
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
-        self.percent, n = percent, np.array([len(s) for s in sets], np.int64)
-        self.visited = self.compared = 0
-        self.order = np.lexsort((np.array([s[0] for s in sets], np.uint64), np.floor(np.log(n) / np.log(100 / percent))))
-        self.sets, self.n = [sets[i] for i in self.order], n[self.order]
-        self.bits = 1 << min(16, max(8, int(2 * n.max()).bit_length()))
-        self.maps = np.concatenate([self._bitmaps(self.sets[i : i + 64]) for i in range(0, len(sets), 64)])
-        self.clash = self.n - np.bitwise_count(self.maps).sum(1)
-        starts = np.arange(0, len(sets), LEAF)
-        self.levels = [self._level(self.maps, self.n, self.n, self.clash, starts)]
+    def __init__(self, maps: np.ndarray, n: np.ndarray, key: np.ndarray, percent: int, leaf: int = LEAF):
+        self.percent, self.leaf, self.visited, self.compared = percent, leaf, 0, 0
+        self.order = np.lexsort((key, np.floor(np.log(n) / np.log(100 / percent))))
+        self.maps, self.n = maps[self.order], n[self.order]
+        self.clash = self.n - np.bitwise_count(self.maps).sum(1, dtype=np.int64)
+        self.levels = [self._level(self.maps, self.n, self.n, self.clash, np.arange(0, len(n), leaf))]
         while len(self.levels[-1][0]) > 1:
-            maps, low, high, clash = self.levels[-1]
-            self.levels.append(self._level(maps, low, high, clash, np.arange(0, len(maps), 2)))
+            self.levels.append(self._level(*self.levels[-1], np.arange(0, len(self.levels[-1][0]), 2)))
 
-    def _bitmaps(self, sets: list[np.ndarray]) -> np.ndarray:
-        mark = np.zeros((len(sets), self.bits), np.uint8)
-        for row, s in zip(mark, sets):
-            row[(s & np.uint64(self.bits - 1)).astype(np.int64)] = 1
-        return np.packbits(mark, axis=1).view(np.uint64)
+    @classmethod
+    def of(cls, sets: list[np.ndarray], percent: int) -> SignatureTree:
+        n = np.array([len(s) for s in sets], np.int64)
+        bits = 1 << min(16, max(8, int(2 * n.max()).bit_length()))
+        return cls(np.stack([bitmap(s, bits) for s in sets]), n, np.array([s[0] for s in sets], np.uint64), percent)
 
     @staticmethod
     def _level(maps, low, high, clash, starts):
         return np.bitwise_or.reduceat(maps, starts), np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts), np.maximum.reduceat(clash, starts)
 
-    def members(self, level: int, node: int) -> range:
-        size = LEAF << level
-        return range(node * size, min(len(self.sets), (node + 1) * size))
+    def members(self, level: int, node: int) -> np.ndarray:
+        """Numbers of a node's sets as they were given."""
+        return self.order[node * (self.leaf << level) : (node + 1) * (self.leaf << level)]
 
     def may_link(self, level: int, a: int, b: int) -> bool:
         """False if the largest possible overlap of the nodes' sets is too small for a link."""
@@ -250,54 +259,65 @@ class SignatureTree:
         most = int(np.bitwise_count(maps[a] & maps[b]).sum()) + min(clash[a], clash[b])
         return (100 + self.percent) * most >= self.percent * (low[a] + low[b])
 
-    def join(self, forest: Forest, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-        """Links that connect what was not connected yet, by a dual traversal, near pairs of nodes first; only between sides where given."""
-        out, pairs = [], [(len(self.levels) - 1, 0, 0)]
+    def walk(self, wanted) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The dual traversal, near pairs of nodes first: numbers of the two sets of each pair that may link, leaf by leaf.
+
+        wanted(level, a, b) can close a pair of nodes; it is asked when the pair is reached.
+        """
+        pairs = [(len(self.levels) - 1, 0, 0)]
         while pairs:
             level, a, b = pairs.pop()
             self.visited += 1
             if level == 0:
-                out += self._leaves(forest, a, b, side)
+                yield self._leaves(a, b)
                 continue
             width = len(self.levels[level - 1][0])
-            if a == b:
-                i, j = 2 * a, 2 * a + 1
-                if j < width:
-                    if self._open(level - 1, i, j, forest):
-                        pairs.append((level - 1, i, j))
-                    pairs.append((level - 1, j, j))
-                pairs.append((level - 1, i, i))
-            else:
-                for i in (2 * a, 2 * a + 1):
-                    for j in (2 * b, 2 * b + 1):
-                        if i < width and j < width and self._open(level - 1, i, j, forest):
-                            pairs.append((level - 1, i, j))
+            below = [(i, j) for i in (2 * a, 2 * a + 1) for j in (2 * b, 2 * b + 1) if i < width and j < width and (a != b or i <= j)]
+            # a node with itself comes last on the stack, so first
+            for i, j in sorted(below, key=lambda p: p[0] == p[1]):
+                if i == j or self.may_link(level - 1, i, j) and wanted(level - 1, i, j):
+                    pairs.append((level - 1, i, j))
+
+    def _leaves(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        size = self.leaf
+        x, y = slice(a * size, (a + 1) * size), slice(b * size, (b + 1) * size)
+        most = np.bitwise_count(self.maps[x, None] & self.maps[None, y]).sum(2, dtype=np.int64) + np.minimum(self.clash[x, None], self.clash[None, y])
+        may = (100 + self.percent) * most >= self.percent * (self.n[x, None] + self.n[None, y])
+        i, j = np.nonzero(np.triu(may, 1) if a == b else may)
+        return self.order[i + x.start], self.order[j + y.start]
+
+    def join(self, sets: list[np.ndarray], forest: Forest, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """Links that connect what was not connected yet, each verified on its sets; only between sides where given."""
+        out = []
+
+        def apart(level: int, a: int, b: int) -> bool:
+            if level > 4:
+                return True
+            all_ = np.append(self.members(level, a), self.members(level, b)).tolist()
+            first = forest.find(all_[0])
+            return any(forest.find(i) != first for i in all_)
+
+        for i, j in self.walk(apart):
+            for p, q in zip(i.tolist(), j.tolist()):
+                if (side is None or side[p] != side[q]) and forest.find(p) != forest.find(q):
+                    self.compared += 1
+                    if linked(_common(sets[p], sets[q]), len(sets[p]), len(sets[q]), self.percent):
+                        forest.union(p, q)
+                        out.append((p, q))
         return out
 
-    def _open(self, level: int, a: int, b: int, forest: Forest) -> bool:
-        if not self.may_link(level, a, b):
-            return False
-        if level > 4:
-            return True
-        first = forest.find(int(self.order[a * (LEAF << level)]))
-        return any(forest.find(int(self.order[i])) != first for node in (a, b) for i in self.members(level, node))
-
-    def _leaves(self, forest: Forest, a: int, b: int, side: np.ndarray | None) -> list[tuple[int, int]]:
-        x, y = self.members(0, a), self.members(0, b)
-        rows, cols = slice(x.start, x.stop), slice(y.start, y.stop)
-        most = np.bitwise_count(self.maps[rows, None] & self.maps[None, cols]).sum(2, dtype=np.int64) + np.minimum(self.clash[rows, None], self.clash[None, cols])
-        may = (100 + self.percent) * most >= self.percent * (self.n[rows, None] + self.n[None, cols])
-        if a == b:
-            may = np.triu(may, 1)
-        out = []
-        for i, j in zip(*(k.tolist() for k in np.nonzero(may))):
-            i, j = i + x.start, j + y.start
-            p, q = int(self.order[i]), int(self.order[j])
-            if (side is None or side[p] != side[q]) and forest.find(p) != forest.find(q):
-                self.compared += 1
-                if linked(_common(self.sets[i], self.sets[j]), int(self.n[i]), int(self.n[j]), self.percent):
-                    forest.union(p, q)
-                    out.append((p, q))
+    def partnered(self, label: np.ndarray, may) -> np.ndarray:
+        """Marks of the sets that may link with one of another label; may(i, j) tells which pairs count."""
+        low = [np.minimum.reduceat(label[self.order], np.arange(0, len(label), self.leaf))]
+        high = [np.maximum.reduceat(label[self.order], np.arange(0, len(label), self.leaf))]
+        for maps, *_ in self.levels[:-1]:
+            starts = np.arange(0, len(maps), 2)
+            low.append(np.minimum.reduceat(low[-1], starts))
+            high.append(np.maximum.reduceat(high[-1], starts))
+        out = np.zeros(len(label), bool)
+        for i, j in self.walk(lambda level, a, b: min(low[level][a], low[level][b]) != max(high[level][a], high[level][b])):
+            ok = (label[i] != label[j]) & may(i, j)
+            out[i[ok]] = out[j[ok]] = True
         return out
 
 
@@ -329,7 +349,8 @@ def _links(keys: list[str], percent: int):
             for i, r in enumerate(rows):
                 forest.union(first.setdefault(r["label"], i), i)
             side = np.array([r["side"] for r in rows])
-            found = SignatureTree([np.frombuffer(r["tokens"], np.uint64) for r in rows], percent).join(forest, side if side.any() else None) if len(first) > 1 else []
+            sets = [np.frombuffer(r["tokens"], np.uint64) for r in rows]
+            found = SignatureTree.of(sets, percent).join(sets, forest, side if side.any() else None) if len(first) > 1 else []
             u += [rows[a]["_row"] for a, _ in found]
             v += [rows[b]["_row"] for _, b in found]
             if len(u) > 50_000:
@@ -341,12 +362,41 @@ def _links(keys: list[str], percent: int):
     return run
 
 
+def _open(keys: list[str], percent: int):
+    """Of each node those sets that by their bitmaps may link with one of another label (of the other side where a node has two).
+
+    Bitmaps have 8 to 16 bits a shingle, so sets that can link have the same length or one is twice the other; the
+    longer is folded to the shorter.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups_of(batches, keys):
+            label, n = t.column("label").to_numpy(), t.column("n").to_numpy().astype(np.int64)
+            if label.min() == label.max():
+                continue
+            side, maps = t.column("side").to_numpy(), [np.frombuffer(m, np.uint64) for m in t.column("map").to_pylist()]
+            words = np.array([len(m) for m in maps])
+            across, hit = side.any(), np.zeros(len(n), bool)
+            for w in np.unique(words).tolist():
+                at = np.flatnonzero((words == w) | (words == 2 * w) & (percent * n <= 100 * n[words == w].max()))
+                if len(at) < 2:
+                    continue
+                flat = np.stack([maps[i] if words[i] == w else maps[i][:w] | maps[i][w:] for i in at])
+                own, s = words[at] == w, side[at]
+                may = lambda i, j: (own[i] | own[j]) & (s[i] != s[j] if across else True)  # noqa: B023, E731
+                hit[at] |= SignatureTree(flat, n[at], label[at], percent, WIDE).partnered(label[at], may)
+            if hit.any():
+                yield from t.select(["_row", "label", *keys, "side"]).filter(pa.array(hit)).combine_chunks().to_batches()
+
+    return run
+
+
 def _chunks(sets: str = "sets", tokens: str = "tokens"):
     return F.greatest(F.ceil(F.col(sets) / CHUNK_SETS), F.ceil(F.col(tokens) / CHUNK_TOKENS)).cast("int")
 
 
 def _children(held: DataFrame, percent: int) -> DataFrame:
-    """Pairs of children of large nodes: (_row, label, token, i, j, side) of held (_row, n, label, token, chunks).
+    """Pairs of children of large nodes: (_row, n, label, token, i, j, side) of held (_row, n, label, token, chunks).
 
     A child has one size class, and either one label or a share of the small labels.  A pair goes on only if its
     size ranges allow a link and its labels are not all the same.
@@ -362,7 +412,7 @@ def _children(held: DataFrame, percent: int) -> DataFrame:
     one = named("1").withColumn("class2", F.explode(F.array("class1", F.col("class1") + 1)))
     pairs = one.join(named("2"), ["token", "class2"]).where(f"(class1 < class2 or node1 <= node2) and 100 * least(high1, high2) >= {percent} * greatest(low1, low2) and not (a1 = b1 and a2 = b2 and a1 = a2)")
     ends = pairs.select("token", F.col("node1").alias("i"), F.col("node2").alias("j")).select("*", F.explode(F.array_distinct(F.array("i", "j"))).alias("node"))
-    return rows.join(ends, ["token", "node"]).select("_row", "label", "token", "i", "j", (F.col("node") != F.col("i")).cast("int").alias("side"))
+    return rows.join(ends, ["token", "node"]).select("_row", "n", "label", "token", "i", "j", (F.col("node") != F.col("i")).cast("int").alias("side"))
 
 
 def classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -391,7 +441,7 @@ def classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, percent: int =
     # rows that repeat have one name and label, so they meet in every node without a comparison
     full = by_keys(docs.select("_row", "text"), open_, "_row", "left_semi").mapInArrow(tokens, "_row long, tokens binary")
     full = scratch.keep(full, "tokens")
-    near = scratch.keep(full.mapInArrow(_keys(percent, frequent, buckets), "_row long, n int, prefix array<long>, leaf array<long>").dropDuplicates(["_row"]), "keys")
+    near = scratch.keep(full.mapInArrow(_keys(percent, frequent, buckets), "_row long, n int, prefix array<long>, leaf array<long>, map binary").dropDuplicates(["_row"]), "keys")
 
     def traverse(work: DataFrame, keys: list[str], name: str) -> DataFrame:
         dealt = work.join(full, "_row").repartition(buckets, *keys).sortWithinPartitions(*keys)
@@ -414,17 +464,20 @@ def classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, percent: int =
     nodes = scratch.keep(nodes.groupBy("x", "y", "sets", "tokens").agg(F.min("token").alias("token")).select("token", _chunks().alias("chunks")), "nodes")
     if nodes.limit(1).count():
         inside = held.join(nodes, "token")
-        small = inside.where("chunks = 1").select("_row", "label", "token", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side"))
+        small = inside.where("chunks = 1").select("_row", "n", "label", "token", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side"))
         if nodes.where("chunks > 1").limit(1).count():
             small = small.unionByName(_children(inside.where("chunks > 1"), percent))
-        more = traverse(small, ["token", "i", "j"], "links2")
+        keys = ["token", "i", "j"]
+        bits = small.join(near.select("_row", "map"), "_row").repartition(buckets, *keys).sortWithinPartitions(*keys)
+        work = scratch.keep(bits.mapInArrow(_open(keys, percent), "_row long, label long, token long, i long, j long, side int"), "left")
+        more = traverse(work, keys, "links2")
         joined = components(links.unionByName(more), scratch, "final").select(F.col("id").alias("_row"), F.col("component").alias("label"))
     named = rep.join(joined, "_row", "left").withColumn("label", F.coalesce("label", "_row"))
     least = named.where("label != _row or copies > 1").select("label").distinct()
     linked_ = named.join(least, "label", "left_semi")
     ids = linked_.groupBy("label").agg(F.min("first").alias("component_id"))
     found = scratch.keep(linked_.join(ids, "label").select("n", "f1", "f2", "component_id"), "found")
-    scratch.drop("tokens", "keys", "held", "nodes", "links", "links2", "open")
+    scratch.drop("tokens", "keys", "held", "nodes", "left", "links", "links2", "open")
     return sets.select("_row", "doc_id", "n", "f1", "f2"), found
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -29,3 +31,27 @@ def runs(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def unpack(row: dict, name: str, kind) -> np.ndarray:
     return np.frombuffer(row[name], kind)
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
+    """All rows of each key, as one table a key; batches are sorted by the key, which has no nulls."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in key]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        change[0] = last is not None and last != tuple(c[0] for c in columns)
+        last = tuple(c[-1] for c in columns)
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for n, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+            if n and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            if a < b:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
