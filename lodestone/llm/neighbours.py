@@ -2,15 +2,18 @@
 
 A vector is its norm times a direction; the direction is coded as a sum of one
 codeword from each of BOOKS full-dimensional codebooks, fitted to residuals of
-a bounded sample and searched with a beam.  Every row is encoded.  A query's
-inner products with all codewords form a lookup table; a code's score is a sum
-of table entries times the stored norm.  The best-scored rows of each partition
-are ranked again on their original vectors in double precision, so a task's
-result is exact for its short list and only K rows a query and task are sent on.
+a bounded sample and searched with a beam.  Every row is encoded once, into a
+kept index.  Its first codeword is its list.  A query goes to the lists whose
+codewords it is nearest to; there its inner products with all codewords form a
+lookup table, a code's score is a sum of table entries times the stored norm,
+and the best-scored rows are ranked again on their original vectors in double
+precision.  Lists and queries meet as tables: a job holds some lists, or a share
+of a large one, and a block of the queries that probe them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +21,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .packed import groups_of
+from .store import Scratch
 
 BOOKS, WORDS, BEAM, ROUNDS = 16, 256, 4, 6
-SAMPLE, QUERY_BLOCK, ROW_BLOCK = 16_384, 4096, 8192
-K, SHORT, EVERY = 20, 320, 20
+SAMPLE, QUERY_BLOCK, JOB_ROWS = 16_384, 4096, 1 << 15
+K, EVERY = 20, 20
+#: Rows that a job ranks again for a query, and the share of all lists that a query probes.
+SHORT, PROBE = 128, 0.6
 
 
 def vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,8 +85,10 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
     rest = x.astype(np.float32)[:, None, :]
     codes = np.zeros((n, 1, 0), np.uint8)
     for c in books:
-        gain = 2 * (rest @ c.T) - (c**2).sum(1)
-        error = (rest**2).sum(2)[:, :, None] - gain
+        error = rest @ c.T
+        error *= -2
+        error += (c**2).sum(1)
+        error += (rest**2).sum(2)[:, :, None]
         flat = error.reshape(n, -1)
         best = np.argpartition(flat, min(beam, flat.shape[1] - 1), 1)[:, :beam]
         parent, word = best // len(c), best % len(c)
@@ -87,20 +98,42 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
     return codes[np.arange(n), best].reshape(n, m)
 
 
-def _search(queries: np.ndarray, names: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: np.ndarray, k: int, short: int):
-    """For each query the k best of its short list: (query, id, exact inner product) arrays."""
+def probes(queries: np.ndarray, first: np.ndarray, share: float) -> np.ndarray:
+    """(queries, lists) marks: the share of lists whose codewords have the largest inner products with each query."""
+    n = max(1, math.ceil(share * len(first)))
+    near = queries.astype(np.float32) @ first.T
+    out = np.zeros(near.shape, bool)
+    np.put_along_axis(out, np.argpartition(-near, n - 1, 1)[:, :n] if n < len(first) else np.broadcast_to(np.arange(len(first)), near.shape), True, 1)
+    return out
+
+
+def ranked(queries: np.ndarray, names: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: np.ndarray, k: int, short: int, probe: float):
+    """For each query the k best of its short list among rows of the lists it probes: (query, id, exact inner product) arrays.
+
+    Rows are sorted by their first codeword.
+    """
     q32, out = queries.astype(np.float32), ([], [], [])
+    lists, starts = np.unique(codes[:, 0], return_index=True)
+    stops = np.append(starts[1:], len(codes))
+    marks = probes(queries, books[0], probe)
     for a in range(0, len(queries), 256):
         table = np.einsum("mwd,qd->mwq", books, q32[a : a + 256])
-        score = table[0][codes[:, 0]]
-        for m in range(1, len(books)):
-            score += table[m][codes[:, m]]
-        score *= norms[:, None]
-        short_n = min(short + 1, len(ids))  # one more: the query's own row drops out
-        lists = np.argpartition(-score, short_n - 1, 0)[:short_n] if short_n < len(ids) else np.broadcast_to(np.arange(len(ids))[:, None], score.shape)
-        for j in range(score.shape[1]):
-            rows = lists[:, j]
-            rows = rows[ids[rows] != names[a + j]]
+        score = np.full((table.shape[2], len(ids)), -np.inf, np.float32)
+        for word, i, j in zip(lists.tolist(), starts.tolist(), stops.tolist()):
+            who = np.flatnonzero(marks[a : a + 256, word])
+            if not len(who):
+                continue
+            part = table[:, :, who]
+            total = np.repeat(part[0][word][None], j - i, 0)
+            for m in range(1, len(books)):
+                total += part[m][codes[i:j, m]]
+            total *= norms[i:j, None]
+            score[who, i:j] = total.T
+        n = min(short + 1, len(ids))  # one more: the query's own row drops out
+        best = np.argpartition(score, len(ids) - n, 1)[:, len(ids) - n :] if n < len(ids) else np.broadcast_to(np.arange(n), score.shape)
+        for j in range(len(score)):
+            rows = best[j]
+            rows = rows[(ids[rows] != names[a + j]) & (score[j, rows] > -np.inf)]
             exact = x[rows] @ queries[a + j]
             top = np.lexsort((ids[rows], -exact))[:k]
             out[0].append(np.full(len(top), names[a + j]))
@@ -109,54 +142,104 @@ def _search(queries: np.ndarray, names: np.ndarray, ids: np.ndarray, x: np.ndarr
     return [np.concatenate(v) if v else np.zeros(0) for v in out]
 
 
-def search(rows: DataFrame, k: int = K, every: int = EVERY, short: int = SHORT, sample: int = SAMPLE, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def codebooks(rows: DataFrame, dim: int, sample: int) -> np.ndarray:
+    """Codebooks of the directions of at most `sample` vectors, those whose ids have the least hashes."""
+    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
+    _, x = vectors(picked.column("embedding"), dim)
+    return fit(x / np.linalg.norm(x, axis=1, keepdims=True)) if len(x) else np.zeros((BOOKS, WORDS, max(dim, 1)), np.float32)
+
+
+def index(rows: DataFrame, books, dim: int, scratch: Scratch, k: int = K) -> DataFrame:
+    """The kept index: list, vec_id, codes, vector and rank of every row that takes part.
+
+    rank numbers the rows of one and the same vector by id: beyond the k + 1 smallest none can be in a result.
+    """
+    kind = rows.schema["embedding"].dataType
+    rank = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
+    few = rows.where(F.size("embedding") == dim).select("vec_id", "embedding", rank.alias("rank")).where((F.col("rank") <= k + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
+                keep, x = vectors(part.column("embedding"), dim)
+                codes = encode(x / np.linalg.norm(x, axis=1, keepdims=True), books.value) if len(x) else np.zeros((0, BOOKS), np.uint8)
+                part = part.take(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([pa.array(codes[:, 0].astype(np.int32)), part.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), part.column("embedding")], ["list", "vec_id", "codes", "vector"])
+
+    schema = T.StructType().add("list", "integer").add("vec_id", "long").add("codes", "binary").add("vector", kind)
+    return scratch.keep(few.select("vec_id", "embedding").mapInArrow(run, schema), "index")
+
+
+def search(rows: DataFrame, scratch: Scratch, k: int = K, every: int = EVERY, short: int = SHORT, probe: float = PROBE, sample: int = SAMPLE, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, the k rows of largest inner product.
 
     The codebooks are fitted on `sample` vectors at most, those whose ids have the least hashes; every row is
-    encoded and searched.  Queries go to the tasks in blocks of QUERY_BLOCK vectors, a bounded broadcast each.
-    Vectors that are null, zero, of an unusual dimension or hold null or non-finite components take no part, and
-    rows without an id neither.  Ties go to the smaller id; rows that repeat an id are candidates each, but not
-    for their own id.  An empty table gives no rows.
+    encoded and searched.  Vectors that are null, zero, of an unusual dimension or hold null or non-finite
+    components take no part, and rows without an id neither.  Ties go to the smaller id; rows that repeat an id
+    are candidates each, but not for their own id.  An empty table gives no rows; extra columns are ignored.
     """
-    rows = rows.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("embedding")).where("vec_id is not null")
+    spark = rows.sparkSession
+    rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("embedding")).where("vec_id is not null")
     dim = dimension(rows, "embedding")
-    context = rows.sparkSession.sparkContext
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
-    _, x = vectors(picked.column("embedding"), dim)
-    books = fit(x / np.linalg.norm(x, axis=1, keepdims=True)) if len(x) else np.zeros((BOOKS, WORDS, max(dim, 1)), np.float32)
-    shared = context.broadcast(books)
-    result = "query_id long, vec_id long, score double"
-    asks = rows.where(F.col("vec_id") % every == 0)
+    books = spark.sparkContext.broadcast(codebooks(rows, dim, sample))
+    kept = index(rows, books, dim, scratch, k)
+    sizes = dict(kept.groupBy("list").count().collect())  # WORDS rows at most
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = min(WORDS, max(1, -(-sum(sizes.values()) // JOB_ROWS), least))
+    held = [sum(n for word, n in sizes.items() if word % groups == g) for g in range(groups)]
+    chunks = [max(1, -(-n // JOB_ROWS)) for n in held]
+    asks = rows.where(F.col("vec_id") % every == 0).where(F.size("embedding") == dim)
     blocks = max(1, -(-asks.count() // QUERY_BLOCK))
-    found = None
-    for b in range(blocks):
-        block = asks.where(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)) == b).toArrow()
-        keep, q = vectors(block.column("embedding"), dim)
-        given = context.broadcast((block.column("vec_id").to_numpy()[keep].astype(np.int64), q))
-
-        def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
-            names, q = given.value
-            best: list = []
-            held = 0
-            for batch in batches:
-                for part in (batch.slice(i, ROW_BLOCK) for i in range(0, batch.num_rows, ROW_BLOCK)):
-                    keep, x = vectors(part.column("embedding"), dim)
-                    if not len(keep) or not len(names):
-                        continue
-                    ids, norms = part.column("vec_id").to_numpy()[keep], np.linalg.norm(x, axis=1)
-                    codes = encode(x / norms[:, None], shared.value)
-                    best.append(_search(q, names, ids, x, codes, norms.astype(np.float32), shared.value, k, short))
-                    held += len(best[-1][0])
-                    if held > 1 << 20:
-                        best, held = [_top(best, k)], 0
-            if best:
-                query, ids, score = _top(best, k)
-                for i in range(0, len(query), 100_000):
-                    j = slice(i, i + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(query[j], pa.int64()), pa.array(ids[j], pa.int64()), pa.array(score[j])], ["query_id", "vec_id", "score"])
-
-        part = rows.mapInArrow(run, result)
-        found = part if found is None else found.unionByName(part)
+    job = T.StructType().add("g", "integer").add("chunk", "integer").add("block", "integer").add("kind", "integer").add("list", "integer").add("vec_id", "long").add("codes", "binary").add("vector", rows.schema["embedding"].dataType)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each job that a query goes to."""
+        for batch in batches:
+            for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+                keep, q = vectors(part.column("embedding"), dim)
+                marks = probes(q, books.value[0], probe) if len(q) else np.zeros((0, WORDS), bool)
+                to = [[(g, c) for g in range(groups) if row[g::groups].any() for c in range(chunks[g])] for row in marks]
+                n = np.array([len(t) for t in to], np.int64)
+                flat = np.array([p for t in to for p in t], np.int32).reshape(-1, 2)
+                out = part.take(pa.array(np.repeat(keep, n)))
+                m = len(flat)
+                zeros, none = np.zeros(m, np.int32), pa.nulls(m, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1]), out.column("block").cast(pa.int32()), pa.array(zeros), pa.array(zeros - 1), out.column("vec_id"), none, out.column("embedding")], job.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list = []
+        held_ = 0
+
+        def send():
+            query, ids, score = _top(best, k)
+            best.clear()
+            return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(ids, pa.int64()), pa.array(score)], ["query_id", "vec_id", "score"])
+
+        for t in groups_of(batches, ["g", "chunk", "block"]):
+            n = int((t.column("kind").to_numpy() == 0).sum())
+            if not 0 < n < t.num_rows:
+                continue
+            (_, q), (_, x) = vectors(t.column("vector").slice(0, n), dim), vectors(t.column("vector").slice(n), dim)
+            codes = np.frombuffer(b"".join(t.column("codes").slice(n).to_pylist()), np.uint8).reshape(len(x), -1)
+            ids = t.column("vec_id").to_numpy()
+            found = ranked(q, ids[:n], ids[n:], x, codes, np.linalg.norm(x, axis=1).astype(np.float32), books.value, k, short, probe)
+            best.append(found)
+            held_ += len(found[0])
+            if held_ > 200_000:
+                yield send()
+                held_ = 0
+        if best:
+            yield send()
+
+    at = F.array(*[F.lit(c) for c in chunks])
+    g = F.col("list") % groups
+    block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")
+    queries = asks.select("vec_id", "embedding", block.alias("block")).mapInArrow(deal, job)
+    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    filed = kept.select(g.alias("g"), F.pmod(F.xxhash64("vec_id", F.lit(2)), at[g]).cast("int").alias("chunk"), every_block.alias("block"), F.lit(1).alias("kind"), "list", "vec_id", "codes", "vector")
+    keys = ["g", "chunk", "block"]
+    met = queries.unionByName(filed).repartition(max(least, min(sum(chunks) * blocks, 1 << 15)), *keys).sortWithinPartitions(*keys, "kind", "list")
+    found = met.mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 

@@ -41,8 +41,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
-    return neighbours.search(_table(spark, sf_dir, "embeddings"))
+    return neighbours.search(_table(spark, sf_dir, "embeddings"), Scratch(spark, "op7"))
 
 
 def op8_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:

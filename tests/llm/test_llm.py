@@ -191,12 +191,12 @@ def test_signature_tree_prunes_near_sets_that_are_not_linked():
     rng = np.random.default_rng(5)
     draw = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
     sets = [np.unique(np.concatenate([base[rng.random(80) < 0.8], draw(14)])) for base in (draw(80) for _ in range(60)) for _ in range(20)]
-    tree = jaccard.SignatureTree(sets, 80)
-    assert tree.join(graph.Forest(len(sets))) == []
+    tree = jaccard.SignatureTree.of(sets, 80)
+    assert tree.join(sets, graph.Forest(len(sets))) == []
     assert tree.compared < 0.001 * len(sets) ** 2 / 2
     lone = [np.unique(draw(n)) for n in range(8, 1208)]  # of all sizes: most pairs of nodes are out of reach
-    tree = jaccard.SignatureTree(lone, 80)
-    assert tree.join(graph.Forest(len(lone))) == [] and tree.compared == 0
+    tree = jaccard.SignatureTree.of(lone, 80)
+    assert tree.join(lone, graph.Forest(len(lone))) == [] and tree.compared == 0
     assert tree.visited < 0.4 * sum(len(n) * (len(n) + 1) / 2 for _, n, _, _ in tree.levels)
 
 
@@ -214,7 +214,7 @@ def test_signature_tree_equals_all_pairs():
     sets = [np.unique(np.concatenate([base[rng.random(100) < 0.93], rng.integers(0, 2**63, 4).astype(np.uint64)])) for _ in range(40)]
     sets += [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in rng.integers(1, 200, 40)]
     a, b = graph.Forest(80), graph.Forest(80)
-    jaccard.SignatureTree(sets, 80).join(a)
+    jaccard.SignatureTree.of(sets, 80).join(sets, a)
     for i, j in itertools.combinations(range(80), 2):
         if jaccard.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j])):
             b.union(i, j)
@@ -350,25 +350,52 @@ def vectors(spark, n=400, dim=16):
     return x, rows, spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>, label int").repartition(3)
 
 
-def test_neighbours(spark):
-    x, _, df = vectors(spark)
-    got = neighbours.search(df).toPandas()
-    assert set(got.query_id) == set(range(0, 400, 20))
+def recall(x, got, k=20):
     found = 0
     for q, g in got.groupby("query_id"):
         g = g.sort_values("rank")
         score = x @ x[q]
-        assert np.allclose(g.score, score[g.vec_id], rtol=0, atol=1e-12) and g["rank"].tolist() == list(range(1, 21))
+        assert np.allclose(g.score, score[g.vec_id], rtol=0, atol=1e-12) and g["rank"].tolist() == list(range(1, k + 1))
         assert list(zip(-g.score, g.vec_id)) == sorted(zip(-g.score, g.vec_id)) and q not in set(g.vec_id)
         score[q] = -np.inf
-        found += len(set(g.vec_id) & set(np.argsort(-score)[:20].tolist()))
-    assert found / (20 * 20) >= 0.9
-    assert neighbours.search(df.limit(0)).count() == 0
-    few = neighbours.search(df.where("vec_id < 5")).toPandas()
+        found += len(set(g.vec_id) & set(np.argsort(-score)[:k].tolist()))
+    return found / (k * got.query_id.nunique())
+
+
+def test_neighbours(spark):
+    x, _, df = vectors(spark)
+    got = neighbours.search(df, scratch(spark)).toPandas()
+    assert set(got.query_id) == set(range(0, 400, 20))
+    assert recall(x, got) >= 0.9
+    assert neighbours.search(df.limit(0), scratch(spark)).count() == 0
+    few = neighbours.search(df.where("vec_id < 5"), scratch(spark), probe=1.0).toPandas()
     assert sorted(few.vec_id) == [1, 2, 3, 4]
 
 
-@pytest.mark.parametrize("chunk", [1024, 4])
+def test_neighbours_by_short_lists(spark, monkeypatch):
+    """Short lists of 2 % of the rows of few jobs, several query blocks and shared lists; without the codes nothing would be found."""
+    monkeypatch.setattr(neighbours, "JOB_ROWS", 4000)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 250)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((10_000, 24))
+    x[7000:7030] = x[7000]
+    df = spark.createDataFrame([(i, [float(v) for v in r], "c") for i, r in enumerate(x)], "vec_id long, embedding array<double>, list string").repartition(4)
+    got = neighbours.search(df, scratch(spark), short=50).toPandas()
+    assert got.query_id.nunique() == 500 and recall(x, got[got.query_id != 7000]) >= 0.9
+    assert got[got.query_id == 7000].sort_values("rank").vec_id.tolist() == list(range(7001, 7021))  # of 29 equal ones the smallest ids
+    real = neighbours.encode
+    monkeypatch.setattr(neighbours, "encode", lambda v, books, beam=4: rng.permutation(real(v, books, beam)))
+    books = neighbours.fit(x / np.linalg.norm(x, axis=1, keepdims=True))
+    norms = np.linalg.norm(x, axis=1)
+    for encode, least, most in ((real, 0.9, 1.0), (neighbours.encode, 0.0, 0.3)):
+        codes = encode(x / norms[:, None], books)
+        order = np.argsort(codes[:, 0], kind="stable")
+        query, ids, _ = neighbours.ranked(x[:100], np.arange(100), order, x[order], codes[order], norms[order].astype(np.float32), books, 20, 100, 1.0)
+        hits = [len(set(ids[query == q].tolist()) & set(np.argsort(-np.where(np.arange(len(x)) == q, -np.inf, x @ x[q]))[:20].tolist())) for q in range(100)]
+        assert least <= np.mean(hits) / 20 <= most
+
+
+@pytest.mark.parametrize("chunk", [2048, 4])
 def test_caps(spark, chunk, monkeypatch):
     monkeypatch.setattr(caps, "CHUNK", chunk)
     x, rows, df = vectors(spark)
@@ -385,6 +412,26 @@ def test_caps(spark, chunk, monkeypatch):
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i in (1000, 1020, 1040, 1060, 1080, 1100))
 
 
+def test_caps_of_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0, 0.0], "a"), (1, [1.0, 0.0, 0.0], "a"), (1, [0.0, 1.0, 0.0], "b"), (2, [0.0, 1.0, 0.01], "b"), (3, [0.0, -0.0, 1.0], "c"), (4, [0.0, 0.0, 2.0], "c"), (None, [0.0, 1.0, 0.0], None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, vector string").repartition(3)
+    got = collections.Counter(map(tuple, caps.digest(df, scratch(spark)).select("vec_id", "n_links", "component_id").collect()))
+    assert got == collections.Counter([(1, 1, 1), (1, 1, 1), (1, 2, 1), (2, 2, 1), (None, 2, 1), (3, 1, 3), (4, 1, 3)])
+
+
+def test_caps_recall_at_the_threshold():
+    rng, dim = np.random.default_rng(9), 64
+    a, b = (rng.standard_normal((400, dim)) for _ in range(2))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.9 * a + np.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    for n in (500, 50_000, 1_000_000):
+        code = caps.ProductCode(dim, n)
+        one, two = (set(zip(*(z.tolist() for z in code.decode(x)))) for x in (a, b))
+        assert len({row for row, _ in one & two}) >= 396
+        assert len(one) / 400 * n / code.words**code.parts < 4 * caps.FILL
+
+
 # 9
 
 
