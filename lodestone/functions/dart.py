@@ -34,6 +34,7 @@ class Literal:
     value: str
     start: int
     executable: int | None
+    context: str = ""  # the name that the literal is given to
 
 
 @dataclass
@@ -165,8 +166,9 @@ class _Parser:
             i += 1 + (self.text_at(i + 1) == "*")
         return i if self.text_at(i) in ("{", "=>") else None
 
-    def literal(self, t: Token) -> None:
-        self.out.literals.append(Literal(t.text, t.start, self.stack[-1][0] if self.stack else None))
+    def literal(self, i: int) -> None:
+        t, named = self.t[i], self.text_at(i - 1) in ("=", ":") and i > 1 and self.t[i - 2].kind == "word"
+        self.out.literals.append(Literal(t.text, t.start, self.stack[-1][0] if self.stack else None, self.t[i - 2].text if named else ""))
 
     def executable(self, name: str, start: int, first: int, body: int | None, stop: str = ";") -> None:
         """Reads parameters and initialisers from token first on, then the body."""
@@ -216,7 +218,7 @@ class _Parser:
         while self.i < limit:
             t = self.t[self.i]
             if t.kind == "string":
-                self.literal(t)
+                self.literal(self.i)
             elif t.kind == "mark":
                 if t.text in stops:
                     return

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..schemas import FEEDBACK
 
+# The prompt's wording is our own; what it asks for and the fields of the reply are fixed.
 NO_SNIPPET = "// (no code snippet provided)"
 TITLE = "### 💡 Educational feedback\n\n"
 PROMPT = """You help Dart developers with secrets written into client code. Reply with one JSON object:
 {"why": "the risk in two or three short sentences", "fix": ["up to three short steps"], "maintainability": "one sentence on complexity, nesting and size", "example": "a short safe alternative in Dart"}
-Secrets belong on a server; whatever ships in an app can be extracted.
+Secrets belong on a server; whatever ships in an app can be extracted. Never move a secret to another file, and do not offer encryption in the client as the way out.
+The maintainability sentence takes its words from the issue details and begins: Because complexity is X, nesting is Y, and size is Z,
 
 Issue details:
 %s
@@ -21,7 +23,7 @@ Code (Dart):
 
 
 def prompt(issue: Column, snippet: Column) -> Column:
-    return F.format_string(PROMPT, issue, F.coalesce(F.nullif(snippet, F.lit("")), F.lit(NO_SNIPPET)))
+    return F.format_string(PROMPT.replace("%", "%%").replace("%%s", "%s"), issue, F.coalesce(F.nullif(snippet, F.lit("")), F.lit(NO_SNIPPET)))
 
 
 def json_object(raw: Column) -> Column:

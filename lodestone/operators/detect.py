@@ -2,60 +2,101 @@
 
 How rules and heuristics apply is our own reconstruction: a finding for each
 literal and matching rule in rule order, and the heuristics where no rule
-matches.  Up to UNROLLED patterns become one expression whose patterns compile
-once; more patterns go through a broadcast join.  Both give the same rows.
+matches.  Up to UNROLLED patterns become one array of hits whose patterns
+compile once; more patterns go through a broadcast join of the few literals
+that any pattern matches.  Both give the same rows, in one pass over the
+literals.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import finding_message, heuristic_message
 from ..sources.rules import Heuristics, compiled
 from .literals import entropy, literals
+from .metrics import literal_metrics
 
-UNROLLED, RULES = 64, 10_000
+UNROLLED, RULES, TOGETHER = 64, 10_000, 200
 HEURISTIC_ID = "HEUR.SECRET"
 NODE_KIND = "string literal"
 MATCH = "rule_id string, rule_name string, pattern string, severity string, rank int"
+HIT = ["rule_id", "rule_name", "severity", "rank"]
 
 
-def match_rules(found: DataFrame, rules: DataFrame, unrolled: int = UNROLLED, first_only: bool = False) -> DataFrame:
-    """Literals with each enabled rule whose pattern is found in their value; invalid patterns are left out."""
-    good, _ = compiled(rules)
+def _any(patterns: list[str]) -> Column:
+    """Whether a value matches one of the patterns: patterns that can share an expression are tried TOGETHER at a time."""
+    alone = [p for p in patterns if re.search(r"\\[1-9k]|\(\?<[A-Za-z]|\\Q", p)]
+    rest = [p for p in patterns if p not in set(alone)]
+    whole = [*alone, *("|".join(f"(?:{p})" for p in rest[i : i + TOGETHER]) for i in range(0, len(rest), TOGETHER))]
+    return F.exists(F.array(*[F.rlike("value", F.lit(p)) for p in whole]), lambda x: x)
+
+
+def _hits(found: DataFrame, good: list[dict], unrolled: int = UNROLLED) -> DataFrame:
+    """found with a struct _hit for each matching rule; one row with a null _hit where none matches."""
     if len(good) > RULES:
         raise ValueError(f"more than {RULES} rules can't be sent to every task")
     if not good:
-        return found.withColumns({"rule_id": F.lit(""), "rule_name": F.lit(""), "severity": F.lit(""), "rank": F.lit(0)}).where(F.lit(False))
+        return found.withColumn("_hit", F.lit(None).cast("struct<rule_id:string,rule_name:string,severity:string,rank:int>"))
     if len(good) <= unrolled:
-        hits = [F.when(F.rlike("value", F.lit(r["pattern"])), F.struct(*[F.lit(r[c]).alias(c) for c in ("rule_id", "rule_name", "severity", "rank")])) for r in good]
-        out = found.withColumn("_hit", F.explode(F.array_compact(F.array(*hits)))).select("*", "_hit.*").drop("_hit")
-    else:
-        table = found.sparkSession.createDataFrame([tuple(r.values()) for r in good], MATCH)
-        out = found.join(F.broadcast(table), F.expr("value rlike pattern")).drop("pattern")  # RULES rows at most
+        hits = [F.when(F.rlike("value", F.lit(r["pattern"])), F.struct(*[F.lit(r[c]).alias(c) for c in HIT])) for r in good]
+        return found.withColumn("_hit", F.explode_outer(F.array_compact(F.array(*hits))))
+    table = found.sparkSession.createDataFrame([tuple(r.values()) for r in good], MATCH)
+    table = table.select("pattern", F.struct(*HIT).alias("_hit"))
+    flagged = found.withColumn("_some", _any([r["pattern"] for r in good]))
+    return flagged.join(F.broadcast(table), F.expr("_some and value rlike pattern"), "left").drop("pattern", "_some")  # RULES rows at most
+
+
+def match_rules(found: DataFrame, rules: DataFrame, unrolled: int = UNROLLED, first_only: bool = False) -> DataFrame:
+    """Literals with each enabled rule whose pattern is found in their value; invalid patterns are left out."""
+    out = _hits(found, compiled(rules)[0], unrolled).where("_hit is not null")
+    keys = [*found.columns]
     if first_only:
-        keys = [c for c in found.columns]
-        out = out.groupBy(*keys).agg(F.min_by(F.struct("rule_id", "rule_name", "severity", "rank"), "rank").alias("_hit")).select(*keys, "_hit.*")
-    return out
+        out = out.groupBy(*keys).agg(F.min_by("_hit", F.col("_hit.rank")).alias("_hit"))
+    return out.select(*keys, "_hit.*")
 
 
-def match_heuristics(found: DataFrame, h: Heuristics) -> DataFrame:
-    """Literals that are long, random, named like a secret and not marked as harmless."""
+def suspicious(h: Heuristics) -> Column:
+    """Whether a literal (context, value) is long, random, named like a secret and not marked as harmless."""
     context, value = F.lower("context"), F.lower("value")
-    has = lambda c, words: F.greatest(F.lit(False), *[F.contains(c, F.lit(w.lower())) for w in words])
-    named = found.where(has(context, h.sensitive) & (F.length("value") >= h.min_length) & ~has(value, h.benign) & ~has(context, h.benign))
-    return named.withColumn("entropy", entropy(F.col("value"))).where(F.col("entropy") >= h.min_entropy)
+    has = lambda c, words: F.greatest(F.lit(False), F.lit(False), *[F.contains(c, F.lit(w.lower())) for w in words])
+    named = has(context, h.sensitive) & (F.length("value") >= h.min_length) & ~has(value, h.benign) & ~has(context, h.benign)
+    return F.coalesce(F.when(named, entropy(F.col("value")) >= h.min_entropy), F.lit(False))
+
+
+def match_heuristics(found: DataFrame, h: Heuristics) -> DataFrame:
+    """Suspicious literals with their entropy."""
+    return found.where(suspicious(h)).withColumn("entropy", entropy(F.col("value")))
+
+
+def detected(found: DataFrame, rules: DataFrame, h: Heuristics | None = None, node_kind: str = NODE_KIND, unrolled: int = UNROLLED) -> DataFrame:
+    """Findings of literals: their columns, rule_id, rule_name, severity, message and rank (null for the heuristics)."""
+    hits = _hits(found, compiled(rules)[0], unrolled)
+    kept = hits.where(F.col("_hit").isNotNull() | suspicious(h or Heuristics()))
+    by_rule, kind = F.col("_hit").isNotNull(), F.lit(node_kind)
+    pick = lambda c, other: F.when(by_rule, F.col(f"_hit.{c}")).otherwise(F.lit(other))
+    message = F.when(by_rule, finding_message(F.col("_hit.rule_name"), kind, F.col("context"))).otherwise(heuristic_message(kind))
+    return kept.select(*found.columns, pick("rule_id", HEURISTIC_ID).alias("rule_id"), pick("rule_name", "Secret").alias("rule_name"), pick("severity", "warning").alias("severity"), message.alias("message"), F.col("_hit.rank").alias("rank"))
 
 
 def scan(sources: DataFrame, rules: DataFrame, h: Heuristics | None = None, text: str = "content", node_kind: str = NODE_KIND) -> DataFrame:
-    """Findings of all sources: their key columns, line, column, rule_id, rule_name, severity, message, context, value."""
-    found = literals(sources, text)
-    keys = [*found.columns]
-    by_rule = match_rules(found, rules).select(*keys, "rule_id", "rule_name", "severity", finding_message(F.col("rule_name"), F.lit(node_kind), F.col("context")).alias("message"))
-    good, _ = compiled(rules)
-    rest = found
-    for r in good:
-        rest = rest.where(~F.rlike("value", F.lit(r["pattern"])))
-    by_look = match_heuristics(rest, h or Heuristics()).select(*keys, F.lit(HEURISTIC_ID).alias("rule_id"), F.lit("Secret").alias("rule_name"), F.lit("warning").alias("severity"), heuristic_message(F.lit(node_kind)).alias("message"))
-    return by_rule.unionByName(by_look)
+    """Findings of texts of any kind, whose literals are what stands in quotes on a line: the sources' other columns, line, column, lit_no, context, value, rule_id, rule_name, severity, message."""
+    return detected(literals(sources, text), rules, h, node_kind).drop("rank")
+
+
+def scan_sources(sources: DataFrame, rules: DataFrame, h: Heuristics | None = None, node_kind: str = NODE_KIND) -> DataFrame:
+    """Issues of Dart sources (path, content), ready for the store: file, line, column, rule_id, rule_name, severity, message, metrics, line_length and ord.
+
+    Literals are the parser's, so those in comments don't count and raw, triple-quoted and escaped ones do.  ord
+    numbers the findings of a file in the order of their literals and rules.
+    """
+    found = literal_metrics(sources)
+    out = detected(found, rules, h, node_kind)
+    order = F.col("literal_no").cast("long") * (RULES + 1) + F.coalesce("rank", F.lit(RULES))
+    return out.select(
+        order.alias("ord"), F.col("path").alias("file"), "line", "column", "rule_id", "rule_name", "severity", "message", "context", "value",
+        "function_name", "complexity", "nesting_depth", "function_loc", "line_length", "snippet",
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schemas import JSON_NAMES
 from ..functions.labels import (
     context_of,
     diagnostic_message,
@@ -27,9 +28,17 @@ def minimal(issues: DataFrame) -> DataFrame:
     return issues.select(*MINIMAL)
 
 
+def for_json(rows: DataFrame) -> DataFrame:
+    """The same columns under the names they have in JSON."""
+    return rows.select(*[F.col(c).alias(JSON_NAMES.get(c, c)) for c in rows.columns])
+
+
 def json_by_file(issues: DataFrame) -> DataFrame:
-    """(file, json): each file's issues as one compact JSON list with nulls kept, in the order of ord."""
-    item = F.struct("ord", F.to_json(F.struct(*MINIMAL), {"ignoreNullFields": "false"}).alias("j"))
+    """(file, json): each file's issues as one compact JSON list with nulls kept, in the order of ord.
+
+    A file's findings are gathered in one row, which its own size bounds.
+    """
+    item = F.struct("ord", F.to_json(F.struct(*[F.col(c).alias(JSON_NAMES.get(c, c)) for c in MINIMAL]), {"ignoreNullFields": "false"}).alias("j"))
     return issues.groupBy("file").agg(F.array_sort(F.collect_list(item)).alias("_i")).select("file", F.concat(F.lit("["), F.array_join(F.transform("_i", lambda x: x["j"]), ","), F.lit("]")).alias("json"))
 
 
@@ -37,6 +46,7 @@ def rich(issues: DataFrame, snippet: Column) -> DataFrame:
     """The minimal columns with what the message tells, the snippet and the fingerprint."""
     message = F.col("message")
     return issues.select(
+        *([c for c in ("ord",) if c in issues.columns]),
         *MINIMAL,
         F.coalesce(rule_name_of(message), F.col("rule_id")).alias("rule_name"),
         F.coalesce(node_kind_of(message), F.lit("")).alias("node_kind"),

@@ -10,7 +10,9 @@ BREAK = "\r\n|\n|\r"
 
 def split_lines(text: Column) -> Column:
     """Lines without their breaks; a last line break opens no further line."""
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(text, "(\r\n|\n|\r)\\z", ""), BREAK))
+    ends = lambda s: F.endswith(text, F.lit(s))
+    open_ = F.when(ends("\r\n"), F.expr("2")).when(ends("\n") | ends("\r"), F.expr("1")).otherwise(F.expr("0"))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(F.left(text, F.length(text) - open_), BREAK))
 
 
 def lines(df: DataFrame, text: str = "content") -> DataFrame:
@@ -32,7 +34,10 @@ def context(text: Column, first: Column, last: Column | None = None, around: int
 
     One slice of the file's own array: no window over all lines and no shuffle.
     """
-    rows, last = split_lines(text), first if last is None else last
-    start = F.greatest(F.lit(1), first - around)
-    stop = F.least(F.size(rows), last + around)
-    return F.when(stop >= start, F.array_join(F.slice(rows, start, stop - start + 1), "\n"))
+    last, start = first if last is None else last, F.greatest(F.lit(1), first - around)
+
+    def cut(rows: Column) -> Column:
+        stop = F.least(F.size(rows), last + around)
+        return F.when(stop >= start, F.array_join(F.slice(rows, start, stop - start + 1), "\n"))
+
+    return F.transform(F.array(split_lines(text)), cut)[0]  # so that the text is split once

@@ -12,12 +12,16 @@ LITERAL = r"""(?:([A-Za-z_][A-Za-z0-9_]*)\s*[:=]\s*)?(?:"([^"\n]*)"|'([^'\n]*)')
 
 
 def literals(sources: DataFrame, text: str = "content") -> DataFrame:
-    """A row for each literal: line, column (of the first equal match in the line), lit_no in the line, context, value."""
+    """A row for each literal: line, column, lit_no in the line, context, value."""
     rows = lines(sources, text).where(F.rlike("line_text", F.lit("[\"']")))
     keys = [c for c in rows.columns if c != "line_text"]
-    found = rows.select(*keys, "line_text", F.posexplode(F.regexp_extract_all("line_text", F.lit(LITERAL), F.lit(0))).alias("lit_no", "_m"))
+    # a match begins where its text first stands after the match before it
+    starts = "aggregate(_all, struct(1 as next, array() as at), (s, m) -> struct(locate(m, line_text, s.next) + length(m) as next, concat(s.at, array(locate(m, line_text, s.next))) as at), s -> s.at)"
+    starts = starts.replace("array() as at", "cast(array() as array<int>) as at")
+    rows = rows.withColumn("_all", F.regexp_extract_all("line_text", F.lit(LITERAL), F.lit(0)))
+    found = rows.select(*keys, "_all", F.expr(starts).alias("_at")).select(*keys, F.posexplode(F.arrays_zip("_all", "_at")).alias("lit_no", "_z")).select(*keys, "lit_no", F.col("_z._all").alias("_m"), F.col("_z._at").alias("column"))
     value = F.concat(F.regexp_extract("_m", LITERAL, 2), F.regexp_extract("_m", LITERAL, 3))
-    return found.select(*keys, F.instr("line_text", F.col("_m")).alias("column"), "lit_no", F.regexp_extract("_m", LITERAL, 1).alias("context"), value.alias("value"))
+    return found.select(*keys, "column", "lit_no", F.regexp_extract("_m", LITERAL, 1).alias("context"), value.alias("value"))
 
 
 def entropy(text: Column) -> Column:

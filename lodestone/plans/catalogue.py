@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import feedback, labels
 from ..operators import dashboard, detect, findings, lines, literals, metrics
+from ..schemas import FINDING
 from ..sources import rules
 from ..streaming import triggers
 
@@ -132,9 +133,10 @@ def rule_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 CELL = "concat(case when complexity is not null then concat('Cx=',complexity) else '' end, case when nesting_depth is not null then concat(',Depth=',nesting_depth) else '' end, case when function_loc is not null then concat(',Size=',function_loc,' LOC') else '' end)"
 
 
-@query(f"""with {FINDINGS} select ord, severity, rule_id as rule, replace(message,'"','&quot;') as message, {NAME} as file, nullif(line,0) as line, coalesce(function_name,'') as function, {CELL} as metrics from findings""")
+@query(f"""with {FINDINGS} select ord, severity, rule_id as rule, replace(replace(replace(replace(replace(concat(message, ' it''s <a> & '),'&','&amp;'),'<','&lt;'),'>','&gt;'),'"','&quot;'),'''','&#39;') as message, {NAME} as file, nullif(line,0) as line, coalesce(function_name,'') as function, {CELL} as metrics from findings""")
 def findings_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dashboard.table(events_as_findings(spark, sf_dir))
+    f = events_as_findings(spark, sf_dir)
+    return dashboard.table(f.withColumn("message", F.concat("message", F.lit(" it's <a> & "))))
 
 
 # findings
@@ -203,14 +205,27 @@ def metric_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("ord", labels.complexity_level(F.col("complexity")).alias("complexity_level"), labels.nesting_level(F.col("nesting_depth")).alias("nesting_level"), labels.size_level(F.col("function_loc")).alias("size_level"))
 
 
-@query(f"""with {FINDINGS} select ord, rule_id, regexp_extract(message,'^(.*?) hardcoded in ',1) as rule_name, 'string literal' as node_kind, 'k' as context, concat('x ',ord) as snippet from findings""")
+@query(f"""with {FINDINGS}, s as (select *, concat_ws('|', file, line, "column", rule_id, 'x '||ord) as s from findings),
+h as (select *, list_reduce(list_transform(range(1, length(s)+1), lambda i: unicode(s[i])::bigint), lambda h, x: xor({B}, {B} >> 6), 0::bigint) as h from s)
+select ord, file, rule_id, severity, message, line, "column", function_name, complexity, nesting_depth, function_loc, regexp_extract(message,'^(.*?) hardcoded in ',1) as rule_name, 'string literal' as node_kind, 'k' as context, concat('x ',ord) as snippet,
+lpad(lower(to_hex({H3})), 8, '0') as fingerprint from h""")
 def rich_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = events_as_findings(spark, sf_dir).withColumn("snippet", F.concat(F.lit("x "), F.col("ord")))
-    out = findings.rich(f.withColumn("function_name", F.col("ord").cast("string")), F.col("snippet"))
-    return out.select(F.col("function_name").cast("long").alias("ord"), "rule_id", "rule_name", "node_kind", "context", "snippet")
+    return findings.rich(events_as_findings(spark, sf_dir), F.concat(F.lit("x "), F.col("ord")))
+
 
+@query(f"""with {FINDINGS}, e as (select *, case when ord%3=0 then 'long line of '||ord else null end as text from findings)
+select ord, (case when ord%3=0 then length(text) end)::int as end_column, 0 as start_col, (case when ord%3=0 then length(text) else 0 end)::int as end_col from e""")
+def line_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings with their line's text, which two of three don't have: end column of the store, and the whole line as range."""
+    f = events_as_findings(spark, sf_dir)
+    text = f.where("ord % 3 = 0").select("ord", F.concat(F.lit("long line of "), F.col("ord")).alias("text"))
+    joined = f.join(text, "ord", "left")
+    start, end = labels.whole_line_range(F.col("text"))
+    stored = findings.to_findings(joined.withColumn("_end", end), F.length("text"))
+    return stored.select("ord", "end_column").join(joined.select("ord", start.alias("start_col"), end.alias("end_col")), "ord")
 
-@query(f"""with {FINDINGS}, j as (select file, ord, json_object('file',file,'rule_id',rule_id,'severity',severity,'message',message,'line',line,'column',"column",'function_name',function_name,'complexity',complexity,'nesting_depth',nesting_depth,'function_loc',function_loc)::varchar as j from findings)
+
+@query(f"""with {FINDINGS}, j as (select file, ord, json_object('file',file,'ruleId',rule_id,'severity',severity,'message',message,'line',line,'column',"column",'functionName',function_name,'complexity',complexity,'nestingDepth',nesting_depth,'functionLoc',function_loc)::varchar as j from findings)
 select file, concat('[', string_agg(j, ',' order by ord), ']') as json from j group by file""")
 def stdout_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.json_by_file(events_as_findings(spark, sf_dir))
@@ -228,19 +243,10 @@ def upsert_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.upsert(old, new, spark.createDataFrame([("lib/u1.dart",), ("lib/u2.dart",)], "file string"))
 
 
-@query(f"""with {FINDINGS}, {DIAGNOSTICS}, p as (select event_id as pos_id, concat('lib/u', event_id%40, '.dart') as file, (event_id%199)::int as at_line, (event_id%90)::int as at_col from events where event_id%10=3)
-select pos_id, ord, message, code from (select pos_id, d.ord, d.message, d.code, row_number() over (partition by pos_id order by d.ord) as k from p join diagnostics d on p.file=d.file and at_line=line0 and at_col between start_col and end_col) where k=1""")
-def hover_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "events").where("event_id % 10 = 3").select(
-        F.col("event_id").alias("pos_id"), F.concat(F.lit("lib/u"), F.col("event_id") % 40, F.lit(".dart")).alias("file"), (F.col("event_id") % 199).cast("int").alias("at_line"), (F.col("event_id") % 90).cast("int").alias("at_col")
-    )
-    return findings.lookup(p, findings.diagnostics(events_as_findings(spark, sf_dir)))
-
-
 @query(f"""with {FINDINGS}, {DIAGNOSTICS}, p as (select event_id as pos_id, concat('lib/u', event_id%40, '.dart') as file, (event_id%199)::int as at_line, (event_id%90)::int as at_col from events)
 select pos_id, arg_min(d.ord, d.ord) as ord, arg_min(d.message, d.ord) as message, arg_min(d.code, d.ord) as code from p join diagnostics d on p.file=d.file and at_line=line0 and at_col between start_col and end_col group by pos_id""")
-def hover_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """hover_lookup of every event's position."""
+def hover_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A position for every event."""
     p = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("pos_id"), F.concat(F.lit("lib/u"), F.col("event_id") % 40, F.lit(".dart")).alias("file"), (F.col("event_id") % 199).cast("int").alias("at_line"), (F.col("event_id") % 90).cast("int").alias("at_col")
     )
@@ -268,8 +274,8 @@ def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _literal_sql(source: str, key: str, text: str) -> str:
     q = literals.LITERAL.replace("'", "''")
     return rf"""raw_lines as (select {key}, unnest(l) as line_text, generate_subscripts(l, 1)::int as line from (select {key}, case when {text}='' then []::varchar[] else string_split_regex(regexp_replace({text}, '(\r\n|\n|\r)$', ''), '\r\n|\n|\r') end as l from {source})),
-found as (select {key}, line, line_text, unnest(m) as m, (generate_subscripts(m, 1) - 1)::int as lit_no from (select *, regexp_extract_all(line_text, '{q}') as m from raw_lines) where len(m) > 0),
-literals as (select {key}, line, strpos(line_text, m)::int as "column", lit_no, regexp_extract(m, '{q}', 1) as context, concat(regexp_extract(m, '{q}', 2), regexp_extract(m, '{q}', 3)) as value from found)"""
+found as (select {key}, line, ms, gaps, unnest(ms) as m, (generate_subscripts(ms, 1) - 1)::int as lit_no from (select *, regexp_extract_all(line_text, '{q}') as ms, string_split_regex(line_text, '{q}') as gaps from raw_lines) where len(ms) > 0),
+literals as (select {key}, line, (1 + list_sum(list_transform(gaps[1:lit_no + 1], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:lit_no], lambda g: length(g))), 0))::int as "column", lit_no, regexp_extract(m, '{q}', 1) as context, concat(regexp_extract(m, '{q}', 2), regexp_extract(m, '{q}', 3)) as value from found)"""
 
 
 ENTROPY = "case when length(value)=0 then 0.0 else list_sum(list_transform(list_distinct(string_split(value,'')), lambda c: -((length(value)-length(replace(value,c,'')))/length(value)) * log2((length(value)-length(replace(value,c,'')))/length(value)))) end"
@@ -361,6 +367,37 @@ def base_rule_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.match_rules(spark.createDataFrame(SAMPLES, "id int, value string"), rules.base_rules(spark)).select("id", "rule_id")
 
 
+FILES = [
+    ("lib/a.dart", 'class Api {\n  // final key = "AKIA' + "D" * 16 + '";\n  void call(bool a) {\n    final first = r"AKIA' + "C" * 16 + '", second = "AKIA' + "C" * 16 + "\";\n    if (a) { send(apiToken: 'q8Zr2LmX0pVw7Tn'); }\n  }\n}\n"),
+    ("lib/b.dart", "final testToken = 'q8Zr2LmX0pVw7Tn';\nfinal doc = \"\"\"it's\n ghp_\"\"\";\nfinal gh = 'ghp_" + "e" * 36 + "';\n"),
+    ("lib/c.dart", ""), ("lib/d.dart", None),
+]
+ISSUES = [
+    ("lib/a.dart", 4, 19, "AWS_ACCESS_KEY", "first", "call", 2, 1, 4), ("lib/a.dart", 4, 53, "AWS_ACCESS_KEY", "second", "call", 2, 1, 4),
+    ("lib/a.dart", 5, 29, "HEUR.SECRET", "apiToken", "call", 2, 1, 4), ("lib/b.dart", 4, 12, "GITHUB_TOKEN", "gh", None, None, None, None),
+]
+_LIST = lambda rows: "(values " + ", ".join("(" + ", ".join("null" if x is None else repr(x) for x in r) + ")" for r in rows) + ")"
+
+
+def _issues(spark: SparkSession) -> DataFrame:
+    return detect.scan_sources(spark.createDataFrame(FILES, "path string, content string"), rules.base_rules(spark))
+
+
+@query(f'select * from {_LIST(ISSUES)} v(file, line, "column", rule_id, context, function_name, complexity, nesting_depth, function_loc)')
+def scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources to findings with metrics: commented literals don't count, raw and triple-quoted ones do, equal ones have columns of their own."""
+    return _issues(spark).select("file", "line", "column", "rule_id", "context", "function_name", "complexity", "nesting_depth", "function_loc")
+
+
+@query(f"select * from {_LIST([*[(r[0], r[1], r[3]) for r in ISSUES], ('lib/z.dart', 1, 'OLD')])} v(file, line, rule_id)")
+def scan_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those findings put into a store that has older ones of a scanned file, of one that is clean now and of another."""
+    old = [(k, f, 1, 1, None, "OLD", "m", "warning", None, None, None, None) for k, f in enumerate(("lib/a.dart", "lib/c.dart", "lib/z.dart"))]
+    sources = spark.createDataFrame(FILES, "path string, content string")
+    store = findings.upsert(spark.createDataFrame(old, FINDING), findings.to_findings(_issues(spark), F.col("line_length")), sources.select(F.col("path").alias("file")))
+    return store.select("file", "line", "rule_id")
+
+
 # rules
 
 
@@ -383,6 +420,18 @@ def effective_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.effective(_pack(spark), rules.base_rules(spark)).select("id", "origin", "priority")
 
 
+@query("select * from (values ('user', 3, 2), ('base', 6, 6)) v(origin, rules, enabled)")
+def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.counts(rules.effective(_pack(spark), rules.base_rules(spark)))
+
+
+@query("select * from (values ('B'), ('A')) v(rule_id)")
+def enabled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the pack's rules those in use: not the one that is switched off, and those without a flag."""
+    found = spark.createDataFrame([("xyz",)], "value string")
+    return detect.match_rules(found, _pack(spark)).select("rule_id")
+
+
 @query("select * from (values ('A','x'), ('C','p q')) v(id, pattern)")
 def rule_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(" A ", None, "x ", None, None, True), ("", None, "y", None, None, True), ("B", None, "  ", None, None, None), (None, None, "z", None, None, None), ("C", "c", " p q", "error", "", None)]
@@ -432,24 +481,22 @@ def last_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triggers.last_document(e, "event_type")
 
 
+@query("""select event_id, coalesce(case when event_id%2=0 then concat('active', user_id) end, case when event_id%3=0 then concat('last', user_id) end, case when event_id%5=0 then concat('open', user_id) end) as doc from events""")
+def scan_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document to scan: the active one, else the last, else the first open one, else none."""
+    said = lambda k, name: F.when(F.col("event_id") % k == 0, F.concat(F.lit(name), F.col("user_id")))
+    return table(spark, sf_dir, "events").select("event_id", triggers.target(said(2, "active"), said(3, "last"), said(5, "open")).alias("doc"))
+
+
 @query("select time_bucket(interval 6 hours, ts, timestamp '1970-01-01') as start, count(*) as events from events group by 1")
 def poll_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triggers.polls(table(spark, sf_dir, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "events")
 
 
-@query("""with recursive p as (select user_id % 4 as key, epoch_us(ts) // 1000 as t, row_number() over (partition by user_id % 4 order by ts, event_id) as k from events where event_id % 10 = 0),
-r as (select key, t, k, true as passed, t as last from p where k=1 union all select p.key, p.t, p.k, p.t - r.last >= 43200000, case when p.t - r.last >= 43200000 then p.t else r.last end from r join p on p.key=r.key and p.k=r.k+1)
-select key, t, passed from r""")
-def poll_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tenth event is a poll of one of four timers."""
-    e = table(spark, sf_dir, "events").where("event_id % 10 = 0")
-    return triggers.throttle(e.select((F.col("user_id") % 4).alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("t")))
-
-
 @query("""with recursive p as (select user_id % 4 as key, epoch_us(ts) // 1000 as t, row_number() over (partition by user_id % 4, epoch_us(ts) // 1000) as k from events),
 r as (select key, min(t) as t from p group by key union all select r.key, min(p.t) from r join p on p.key = r.key and p.t >= r.t + 43200000 group by r.key)
 select p.key, p.t, p.k = 1 and r.t is not null as passed from p left join r on p.key = r.key and p.t = r.t""")
-def poll_throttle_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def poll_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event is a poll of one of four timers."""
     e = table(spark, sf_dir, "events")
     return triggers.throttle(e.select((F.col("user_id") % 4).alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("t")))
@@ -515,21 +562,10 @@ def code_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("path", "value", "function_name", "complexity", "nesting_depth", "function_loc")
 
 
-@query("""with x as (select user_id % 40 as f, event_id % 50 as s, event_id % 50 + event_id % 17 as e, event_id from events where event_id % 3 = 0), p as (select event_id, user_id % 40 as f, event_id % 60 as at from events where event_id % 7 = 0)
-select p.event_id as point_id, m.name from p left join (select p.event_id, arg_min(concat('x', x.e - x.s, '-', x.s), (x.e - x.s, x.s)) as name from p join x on p.f = x.f and p.at between x.s and x.e group by 1) m on p.event_id = m.event_id""")
-def enclosing_executable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The smallest of the file's intervals that holds each point."""
-    e = table(spark, sf_dir, "events").withColumn("file", F.col("user_id") % 40)
-    x = e.where("event_id % 3 = 0").select("file", (F.col("event_id") % 50).alias("start"), (F.col("event_id") % 50 + F.col("event_id") % 17).alias("end"))
-    x = x.withColumn("name", F.concat(F.lit("x"), F.col("end") - F.col("start"), F.lit("-"), F.col("start")))
-    p = e.where("event_id % 7 = 0").select("file", F.col("event_id").alias("point_id"), (F.col("event_id") % 60).alias("offset"))
-    return metrics.enclosing(p, x).select("point_id", "name")
-
-
 @query("""with x as (select distinct user_id % 40 as f, event_id % 50 as s, event_id % 50 + event_id % 17 as e from events), p as (select event_id, user_id % 40 as f, event_id % 60 as at from events)
 select p.event_id as point_id, arg_min(concat('x', x.e - x.s, '-', x.s), (x.e - x.s, x.s)) filter (where x.s is not null) as name from p left join x on p.f = x.f and p.at between x.s and x.e group by 1""")
-def enclosing_executable_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """enclosing_executable with an interval and a point of every event."""
+def enclosing_executable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest of the file's intervals that holds each point; an interval and a point for every event."""
     e = table(spark, sf_dir, "events").withColumn("file", F.col("user_id") % 40)
     x = e.select("file", (F.col("event_id") % 50).alias("start"), (F.col("event_id") % 50 + F.col("event_id") % 17).alias("end")).distinct()
     x = x.withColumn("name", F.concat(F.lit("x"), F.col("end") - F.col("start"), F.lit("-"), F.col("start")))

@@ -29,6 +29,12 @@ FINDING = T.StructType(
     ]
 )
 
+# The names of findings' fields in JSON.
+JSON_NAMES = {
+    "end_column": "endColumn", "rule_id": "ruleId", "rule_name": "ruleName", "node_kind": "nodeKind",
+    "function_name": "functionName", "nesting_depth": "nestingDepth", "function_loc": "functionLoc",
+}
+
 FEEDBACK = T.StructType(
     [T.StructField("why", T.StringType()), T.StructField("fix", T.ArrayType(T.StringType())), T.StructField("maintainability", T.StringType()), T.StructField("example", T.StringType())]
 )

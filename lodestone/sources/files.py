@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..schemas import FINDING
+from ..operators.findings import for_json
+from ..schemas import FINDING, JSON_NAMES
 
 
 def read_sources(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -23,23 +25,58 @@ def read_findings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_findings_json(spark: SparkSession, path: str) -> DataFrame:
-    """Findings of a JSON file of one list or of one object a line; malformed input gives none."""
+    """Findings of JSON files, each of one list or of one object; malformed input gives none.
+
+    Fields have the names of JSON_NAMES; ord, where it is not there, numbers the findings in the order of the list.
+    """
+    schema = T.StructType([T.StructField(JSON_NAMES.get(f.name, f.name), f.dataType) for f in FINDING])
     try:
-        return spark.read.schema(FINDING).option("mode", "DROPMALFORMED").option("multiLine", True).json(path)
+        found = spark.read.schema(schema).option("mode", "DROPMALFORMED").option("multiLine", True).json(path)
     except AnalysisException:
         return spark.createDataFrame([], FINDING)
+    named = found.select(*[F.col(JSON_NAMES.get(f.name, f.name)).alias(f.name) for f in FINDING])
+    return named.withColumn("ord", F.coalesce("ord", F.monotonically_increasing_id()))
+
+
+def _path(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def replace(rows: DataFrame, path: str) -> None:
+    """Replaces a table. The new one is written beside the old and takes its place when it is whole, so it may be computed from the old."""
+    spark, new = rows.sparkSession, f"{path.rstrip('/')}.new"
+    rows.write.mode("overwrite").parquet(new)
+    fs, old = _path(spark, path)
+    fs.delete(old, True)
+    if not fs.rename(_path(spark, new)[1], old):
+        raise OSError(f"{new} could not take the place of {path}")
+    spark.catalog.refreshByPath(path)
 
 
 def write_findings(findings: DataFrame, path: str) -> None:
-    """Replaces the store; Spark commits all files or none."""
-    findings.write.mode("overwrite").parquet(path)
+    """Replaces the store."""
+    replace(findings, path)
 
 
 def write_json(findings: DataFrame, path: str) -> None:
-    """One object a line with nulls kept."""
-    findings.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    """One object a line with nulls kept, under the fields' JSON names."""
+    for_json(findings).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def reset(spark: SparkSession, path: str) -> None:
     """Starts a session with an empty store."""
     write_findings(spark.createDataFrame([], FINDING), path)
+
+
+_cleared: set[tuple[str, str]] = set()
+
+
+def reset_once(spark: SparkSession, path: str) -> bool:
+    """Empties the store at its first use in an application, and only then; whether it did."""
+    key = (spark.sparkContext.applicationId, path)
+    if key in _cleared:
+        return False
+    reset(spark, path)
+    _cleared.add(key)
+    return True

@@ -68,6 +68,36 @@ def load_heuristics(spark: SparkSession, path: str) -> Heuristics:
     return Heuristics(pick("minLength", d.min_length), pick("minEntropy", d.min_entropy), tuple(pick("sensitiveKeywords", d.sensitive)), tuple(pick("benignMarkers", d.benign)))
 
 
+def found_heuristics(spark: SparkSession, path: str) -> Heuristics | None:
+    """Parameters of a JSON object; nothing where the file is missing, malformed or empty."""
+    said = read_text(spark, path).where(F.size(F.json_object_keys("content")) > 0).limit(1).count()
+    return load_heuristics(spark, path) if said else None
+
+
+def materialise(effective_rules: DataFrame, heuristics: Heuristics, folder: str) -> None:
+    """Writes the rules in effect, in order, and the heuristics below a folder, where a scan finds them."""
+    spark = effective_rules.sparkSession
+    # rules are a small table by nature: one file keeps their order
+    numbered = _in_order(effective_rules).select(*RULE.names, "origin").withColumn("ord", F.monotonically_increasing_id())
+    numbered.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/rules")
+    row = [(heuristics.min_length, heuristics.min_entropy, list(heuristics.sensitive), list(heuristics.benign))]
+    spark.createDataFrame(row, HEURISTICS).coalesce(1).write.mode("overwrite").json(f"{folder}/heuristics")
+
+
+def materialised(spark: SparkSession, folder: str) -> tuple[DataFrame, Heuristics]:
+    """Rules in effect and heuristics of a folder that `materialise` wrote; none and the defaults where there are none."""
+    try:
+        found = spark.read.schema(T.StructType([*RULE.fields]).add("origin", "string").add("ord", "long")).json(f"{folder}/rules")
+    except AnalysisException:
+        found = spark.createDataFrame([], T.StructType([*RULE.fields]).add("origin", "string").add("ord", "long"))
+    return found, load_heuristics(spark, f"{folder}/heuristics")
+
+
+def counts(rules: DataFrame) -> DataFrame:
+    """(origin, rules, enabled): how many rules there are of each origin."""
+    return rules.groupBy("origin").agg(F.count("*").alias("rules"), F.count_if(F.coalesce("enabled", F.lit(True))).alias("enabled"))
+
+
 def load_manifest(spark: SparkSession, path: str) -> DataFrame:
     """The manifest as a row, or none."""
     return read_text(spark, path).select(F.from_json("content", MANIFEST).alias("m")).where("m is not null and (m.component is not null or m.version is not null)").select("m.*")
@@ -137,14 +167,15 @@ class Pack:
     """Cached rules, heuristics, manifest version and time of the last download (epoch ms)."""
 
     rules: DataFrame
-    heuristics: Heuristics
+    heuristics: Heuristics | None
     version: str | None = None
     last: int = 0
 
 
 def bootstrap(cached: Pack, bundled: Pack) -> Pack:
-    """The cache, with the bundled rules where it has none."""
-    return Pack(cached.rules if cached.rules.limit(1).count() else bundled.rules, cached.heuristics or bundled.heuristics, cached.version, cached.last)
+    """The cache, with the bundled rules and heuristics where it has none."""
+    heuristics = bundled.heuristics if cached.heuristics is None else cached.heuristics
+    return Pack(cached.rules if cached.rules.limit(1).count() else bundled.rules, heuristics, cached.version, cached.last)
 
 
 def sync(cached: Pack, remote: Pack | None, now_ms: int, force: bool = False) -> Pack:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -21,15 +21,29 @@ def debounce(edits: DataFrame, gap: str = GAP, workspace: str | None = None, lat
 
     There is one timer for a workspace, whatever the document; without a workspace column there is one at all,
     so that a stream's sessions have a single key by definition.  Works on tables and, with a watermark
-    (`lateness`), on streams.  Of equal times the greater document counts as the last.
+    (`lateness`), on streams.  Of equal times the greater document counts as the last.  A table is cut by hour:
+    each hour's bursts are found on their own, and only these meet in one place, to join across the cuts.
     """
     rows = edits.where("ts is not null").select(F.col("ts").cast("timestamp").alias("ts"), "doc", (F.col(workspace) if workspace else F.lit("w")).alias("workspace"))
+    if not edits.isStreaming:
+        return _joined(rows, gap)
     if lateness:
         rows = rows.withWatermark("ts", lateness)
     burst = rows.groupBy("workspace", F.session_window("ts", gap).alias("s")).agg(F.max(F.struct("ts", "doc")).alias("last"), F.count("*").alias("edits"))
     return burst.select("workspace", F.col("s.start").alias("first_ts"), F.col("last.ts").alias("last_ts"), F.col("last.doc").alias("doc"), "edits")
 
 
+def _joined(rows: DataFrame, gap: str) -> DataFrame:
+    """Bursts of a table: found hour by hour, then joined where the next begins within the gap."""
+    part = rows.groupBy("workspace", F.date_trunc("hour", "ts").alias("_hour"), F.session_window("ts", gap).alias("s"))
+    part = part.agg(F.max(F.struct("ts", "doc")).alias("last"), F.count("*").alias("edits")).select("workspace", F.col("s.start").alias("first_ts"), "last", "edits")
+    order = Window.partitionBy("workspace").orderBy("first_ts")
+    opens = F.coalesce(F.col("first_ts") > F.lag("last.ts").over(order) + F.expr(f"interval {gap}"), F.lit(True))
+    number = F.sum(F.col("_opens").cast("int")).over(order)
+    burst = part.withColumn("_opens", opens).withColumn("_n", number).groupBy("workspace", "_n").agg(F.min("first_ts").alias("first_ts"), F.max("last").alias("last"), F.sum("edits").alias("edits"))
+    return burst.select("workspace", "first_ts", F.col("last.ts").alias("last_ts"), F.col("last.doc").alias("doc"), "edits")
+
+
 def last_document(events: DataFrame, key: str | None = None) -> DataFrame:
     """The document of the latest event, for each key or at all."""
     return events.groupBy(*([key] if key else [])).agg(F.max_by("doc", F.struct("ts", "doc")).alias("doc"))

@@ -11,6 +11,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lodestone import commands
 from lodestone.functions import dart, feedback, labels
 from lodestone.operators import dashboard, detect, findings, lines, literals, metrics
 from lodestone.plans import catalogue
@@ -53,7 +54,7 @@ def test_labels(spark):
     assert value(spark, labels.metric_suffix(none, none, none)) == ""
     assert value(spark, labels.metric_suffix(F.lit(1), none, F.lit(3))) == " [Cx=1, Size=3 LOC]"
     assert value(spark, labels.shorten(F.lit("abcdef"), 3)) == "…def"
-    assert value(spark, labels.escape_html(F.lit("<a href='x'>&\""))) == "&lt;a href=&#039;x&#039;&gt;&amp;&quot;"
+    assert value(spark, labels.escape_html(F.lit("<a href='x'>&\""))) == "&lt;a href=&#39;x&#39;&gt;&amp;&quot;"
     assert value(spark, labels.severity_level(F.lit("ERROR"))) == "Error" and value(spark, labels.severity_level(F.lit(None).cast("string"))) == "Warning"
 
 
@@ -94,8 +95,15 @@ def test_store_round_trip(spark, tmp_path):
     files.reset(spark, path)
     assert files.read_findings(spark, path).count() == 0
     files.write_json(rows, str(tmp_path / "json"))
-    text = next((tmp_path / "json").glob("part-*.json")).read_text()
-    assert json.loads(text)["function_name"] is None
+    lines_ = [json.loads(x) for p in (tmp_path / "json").glob("part-*.json") for x in p.read_text().splitlines()]
+    assert [x["ruleId"] for x in lines_] == ["R"] and lines_[0]["functionName"] is None and lines_[0]["nestingDepth"] is None
+    assert files.read_findings_json(spark, str(tmp_path / "json")).collect() == rows.collect()
+    (tmp_path / "list.json").write_text('[{"file": "a", "line": 2, "endColumn": 9, "ruleId": "X", "functionLoc": 4}, {"file": "b"}]')
+    got = files.read_findings_json(spark, str(tmp_path / "list.json")).collect()
+    assert [(r["ord"], r["file"], r["end_column"], r["rule_id"], r["function_loc"]) for r in got] == [(0, "a", 9, "X", 4), (1, "b", None, None, None)]
+    (tmp_path / "bad.json").write_text('[{"file": ')
+    assert files.read_findings_json(spark, str(tmp_path / "bad.json")).where("file is not null").count() == 0
+    assert files.read_findings_json(spark, str(tmp_path / "none.json")).count() == 0
 
 
 def test_rules_from_files(spark, tmp_path):
@@ -103,6 +111,9 @@ def test_rules_from_files(spark, tmp_path):
     (tmp_path / "h.json").write_text('{"minLength": 4}')
     h = rules.load_heuristics(spark, str(tmp_path / "h.json"))
     assert (h.min_length, h.min_entropy) == (4, 3.3)
+    assert rules.found_heuristics(spark, str(tmp_path / "h.json")).min_length == 4
+    (tmp_path / "void.json").write_text("{}")
+    assert rules.found_heuristics(spark, str(tmp_path / "void.json")) is None and rules.found_heuristics(spark, str(tmp_path / "no.json")) is None
     (tmp_path / "bad.json").write_text("{")
     assert rules.load_heuristics(spark, str(tmp_path / "bad.json")) == rules.Heuristics()
     (tmp_path / "m.json").write_text('{"component": "hsd", "version": "1", "files": {"baseRules": "b"}}')
@@ -123,6 +134,8 @@ def test_sync_throttles_and_keeps_time(spark):
     assert rules.sync(now, rules.Pack(r, h, "2"), 18 * hour).last == 18 * hour
     assert rules.sync(now, rules.Pack(r, h, "1"), hour, force=True).last == hour
     assert rules.bootstrap(rules.Pack(r.limit(0), h), rules.Pack(r, h)).rules.count() == 6
+    own = rules.Heuristics(min_length=3)
+    assert rules.bootstrap(rules.Pack(r, None), rules.Pack(r, own)).heuristics is own and rules.bootstrap(rules.Pack(r, h), rules.Pack(r, own)).heuristics is h
 
 
 def test_invalid_patterns_are_set_aside(spark):
@@ -147,6 +160,61 @@ def test_scan_falls_back_to_heuristics(spark):
     assert sorted((r["line"], r["rule_id"]) for r in got) == [(1, "HEUR.SECRET"), (4, "AWS_ACCESS_KEY")]
 
 
+def test_many_rules_in_one_pass(spark):
+    rows = [(f"R{i}", f"n{i}", rf"^k{i}(x)?$" if i % 2 else rf"(k{i})\1", "error", None, True) for i in range(5000)] + [("BAD", "b", "(", "error", None, True)]
+    many = spark.createDataFrame(rows, rules.RULE)
+    text = "a = 'k7';\nb = 'k8k8';\nc = 'k4999x';\napiToken = 'q8Zr2LmX0pVw7Tn';\nd = 'none';\n"
+    df = spark.createDataFrame([("a", text)], "path string, content string")
+    got = detect.scan(df, many).collect()
+    assert sorted((r["line"], r["rule_id"]) for r in got) == [(1, "R7"), (2, "R8"), (3, "R4999"), (4, "HEUR.SECRET")]
+
+
+def test_both_plans_of_a_scan_agree(spark):
+    df = spark.createDataFrame(catalogue.FILES, "path string, content string")
+    lexed = metrics.literal_metrics(df)
+    one, two = (detect.detected(lexed, rules.base_rules(spark), unrolled=n).drop("rank") for n in (64, 0))
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect())) and one.count() == len(catalogue.ISSUES)
+
+
+def test_equal_literals_have_their_own_columns(spark):
+    df = spark.createDataFrame([("a", "x = 'a'; y = 'a'; 'a' 'a'")], "path string, content string")
+    assert [(r["column"], r["lit_no"], r["context"]) for r in literals.literals(df).orderBy("lit_no").collect()] == [(1, 0, "x"), (10, 1, "y"), (19, 2, ""), (23, 3, "")]
+
+
+def test_commands(spark, tmp_path):
+    ws, src = str(tmp_path / "ws"), tmp_path / "src"
+    src.mkdir()
+    for name, text in catalogue.FILES[:2]:
+        (src / name.split("/")[1]).write_text(text)
+    pack = rules.Pack(rules.base_rules(spark), None)
+    commands.update(spark, ws, rules.Pack(rules.base_rules(spark).limit(0), None), pack, None, 0)
+    assert commands.scan(spark, ws, f"{src}/*.dart").count() == len(catalogue.ISSUES)
+    assert commands.dashboard(spark, ws)["counters"].first()["total"] == len(catalogue.ISSUES)
+    commands.manage(spark, ws, "add", {"id": "DOC", "name": "Doc", "pattern": "it's", "severity": "error"})
+    assert commands.manage(spark, ws, "add", {"id": " ", "pattern": "x"}).count() == 1
+    commands.update(spark, ws, pack, pack, None, 0)
+    (src / "a.dart").write_text("// clean now")
+    commands.scan(spark, ws, str(src / "*.dart"))
+    got = files.read_findings(spark, f"{ws}/findings").collect()
+    assert sorted(r["rule_id"] for r in got) == ["DOC", "GITHUB_TOKEN"] and {r["file"].rsplit("/", 1)[1] for r in got} == {"b.dart"}
+    assert commands.manage(spark, ws, "delete", rule_id="DOC").count() == 0
+    with pytest.raises(Exception):
+        commands.scan(spark, ws, str(src / "none.dart"))
+    assert files.reset_once(spark, f"{ws}/findings") and not files.reset_once(spark, f"{ws}/findings")
+    assert files.read_findings(spark, f"{ws}/findings").count() == 0
+
+
+def test_bursts_join_across_hours(spark):
+    rng, now, edits = random.Random(4), 0, []
+    for i in range(400):
+        now += rng.choice([1, 60, 299, 300, 301, 2000])
+        edits.append((now, f"d{i % 7}"))
+    df = spark.createDataFrame(edits, "s long, doc string").select(F.timestamp_seconds("s").alias("ts"), "doc").repartition(3)
+    whole = df.groupBy(F.session_window("ts", "5 minutes").alias("s")).agg(F.max(F.struct("ts", "doc")).alias("l"), F.count("*").alias("n")).select(F.col("s.start"), "l.ts", "l.doc", "n")
+    got = triggers.debounce(df, "5 minutes").select("first_ts", "last_ts", "doc", "edits")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
+
+
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text(alphabet="ab\r\n \t", max_size=12), min_size=1, max_size=6))
 def test_lines(spark, texts):
@@ -251,7 +319,7 @@ def test_save_trigger_and_throttle_stream(spark, tmp_path):
     assert [(r["t"] // 3_600_000, r["passed"]) for r in spark.table("passed").orderBy("t").collect()] == want
 
 
-@pytest.mark.parametrize("name, counted", [("poll_throttle_all", "events"), ("enclosing_executable_all", "events")])
+@pytest.mark.parametrize("name, counted", [("poll_throttle", "events"), ("enclosing_executable", "events")])
 def test_every_event_is_used(spark, name, counted):
     data = "/root/testdata/sf0.001"
     assert catalogue.QUERIES[name](spark, data).count() == spark.read.parquet(f"{data}/{counted}.parquet").count()
