@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .store import Scratch
 
-FILE_BYTES, BLOCK, LEVEL = 64 << 20, 1 << 16, 6
+FILE_BYTES, BLOCK, LEVEL, MOST_HEAD = 64 << 20, 1 << 16, 6, 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -58,49 +58,88 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return z.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + z.flush()
 
 
-def members(f: BinaryIO) -> Iterator[bytes]:
-    """Inflated gzip members of a file, read in fixed-size blocks."""
-    z, out, rest = zlib.decompressobj(31), [], b""
-    fresh = True
-    while rest or (rest := f.read(BLOCK)):
-        fresh = False
-        out.append(z.decompress(rest))
-        rest = z.unused_data
-        if z.eof:
-            yield b"".join(out)
-            z, out, fresh = zlib.decompressobj(31), [], True
-    if not fresh:
-        raise WarcError("the archive ends inside a member")
-
-
-def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and block of one record, framed by content-length."""
-    head, sep, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
-    if not sep or not lines[0].startswith("WARC/1."):
-        raise WarcError("no WARC header")
-    fields = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines[1:])}
-    n = int(fields["content-length"])
-    if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
-        raise WarcError("content-length does not frame the record")
-    return fields, rest[:n]
-
-
-def read(f: BinaryIO) -> Iterator[tuple]:
-    """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to) of each record; the payload is None in a revisit."""
+class Inflater:
+    """The inflated bytes of a file's gzip members, read in fixed-size blocks and never more than asked for."""
+
+    def __init__(self, f: BinaryIO):
+        self.f, self.rest, self.ahead, self.z = f, b"", b"", None
+
+    def open(self) -> bool:
+        """Goes to the next member; whether there is one."""
+        if not self.rest:
+            self.rest = self.f.read(BLOCK)
+        self.z, self.ahead = zlib.decompressobj(31), b""
+        return bool(self.rest)
+
+    def some(self, n: int = BLOCK) -> bytes:
+        """Up to n bytes of the member; none at its end."""
+        if self.ahead:
+            out, self.ahead = self.ahead[:n], self.ahead[n:]
+            return out
+        while not self.z.eof:
+            if not self.rest:
+                self.rest = self.f.read(BLOCK)
+                if not self.rest:
+                    raise WarcError("the archive ends inside a member")
+            out = self.z.decompress(self.rest, n)
+            self.rest = self.z.unused_data if self.z.eof else self.z.unconsumed_tail
+            if out:
+                return out
+        return b""
+
+    def until(self, mark: bytes, most: int = MOST_HEAD) -> bytes:
+        """Bytes up to the mark, which is read too."""
+        held = b""
+        while (at := held.find(mark)) < 0:
+            more = self.some()
+            if not more or len(held) > most:
+                raise WarcError("no end of a header")
+            held += more
+        self.ahead = held[at + len(mark) :] + self.ahead
+        return held[:at]
+
+
+def fields_of(lines: list[str]) -> dict[str, str]:
+    return {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines)}
+
+
+def read(f: BinaryIO, payloads: bool = True) -> Iterator[tuple]:
+    """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to) of each record.
+
+    A record is framed by content-length while it is inflated and its digests grow with it, so without payloads
+    memory does not depend on a record's size.  The payload is None in a revisit and without payloads.
+    """
     number = lambda x: None if x.endswith(":null>") else int(x[10:-1])
-    for data in members(f):
-        fields, block = parse(data)
-        if fields["warc-block-digest"] != f"sha1:{b32_sha1(block)}":
+    member = Inflater(f)
+    while member.open():
+        head = member.until(b"\r\n\r\n").decode().split("\r\n")
+        if not head[0].startswith("WARC/1."):
+            raise WarcError("no WARC header")
+        fields = fields_of(head[1:])
+        left = int(fields["content-length"])
+        http = member.until(b"\r\n\r\n")
+        block, payload, size, kept = hashlib.sha1(http + b"\r\n\r\n"), hashlib.sha1(), 0, []
+        left -= len(http) + 4
+        while left > 0 and (part := member.some(min(left, BLOCK))):
+            block.update(part)
+            payload.update(part)
+            size, left = size + len(part), left - len(part)
+            if payloads:
+                kept.append(part)
+        end = b""
+        while len(end) < 5 and (part := member.some(5 - len(end))):
+            end += part
+        if left or end != b"\r\n\r\n":
+            raise WarcError("content-length does not frame the record")
+        b32 = lambda h: base64.b32encode(h.digest()).decode()
+        if fields["warc-block-digest"] != f"sha1:{b32(block)}":
             raise WarcError(f"block digest of {fields['warc-record-id']}")
-        http, _, payload = block.partition(b"\r\n\r\n")
-        n = next(int(x.split(b":")[1]) for x in http.lower().split(b"\r\n") if x.startswith(b"content-length:"))
-        digest = fields["warc-payload-digest"].removeprefix("sha1:")
-        kind = fields["warc-type"]
-        if kind == "response" and (len(payload) != n or b32_sha1(payload) != digest):
+        n = int(fields_of(http.decode().split("\r\n")[1:])["content-length"])
+        digest, kind = fields["warc-payload-digest"].removeprefix("sha1:"), fields["warc-type"]
+        if kind == "response" and (size != n or b32(payload) != digest):
             raise WarcError(f"payload digest of {fields['warc-record-id']}")
         refers = fields.get("warc-refers-to")
-        yield number(fields["warc-record-id"]), fields["warc-target-uri"], payload if kind == "response" else None, n, digest, kind, number(refers) if refers else None
+        yield number(fields["warc-record-id"]), fields["warc-target-uri"], b"".join(kept) if payloads and kind == "response" else None, n, digest, kind, number(refers) if refers else None
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -171,7 +210,7 @@ def read_archives(files: DataFrame, folder: str, payloads: bool = False) -> Data
             for path, records in zip(batch.column("path").to_pylist(), batch.column("records").to_pylist()):
                 rows, n, held = [], 0, 0
                 with fs.open_input_stream(path, compression=None) as f:
-                    for page_id, url, payload, size, digest, kind, refers in read(f):
+                    for page_id, url, payload, size, digest, kind, refers in read(f, payloads):
                         rows.append((page_id, url, size, digest, kind, refers, *([payload.decode() if payload is not None else None] if payloads else [])))
                         n, held = n + 1, held + (len(payload or b"") if payloads else 100)
                         if held > 4 << 20:
@@ -190,7 +229,7 @@ def round_trip(pages: DataFrame, scratch: Scratch, least: int = 0) -> DataFrame:
     """Writes the pages and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     A null html is an empty payload, a null url is replaced by the record's own name, line breaks in urls are
-    percent-coded.  Rows that repeat a page_id and html are all responses where no smaller id has that html;
+    percent-coded.  A page is held whole to be written, a record only in blocks to be read.  Rows that repeat a page_id and html are all responses where no smaller id has that html;
     rows with a null page_id revisit any row that has one.  Extra columns are ignored; no rows give none.
     """
     folder = f"{scratch.root}/archives"

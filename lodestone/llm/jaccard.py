@@ -473,10 +473,9 @@ def classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, percent: int =
         more = traverse(work, keys, "links2")
         joined = components(links.unionByName(more), scratch, "final").select(F.col("id").alias("_row"), F.col("component").alias("label"))
     named = rep.join(joined, "_row", "left").withColumn("label", F.coalesce("label", "_row"))
-    least = named.where("label != _row or copies > 1").select("label").distinct()
-    linked_ = named.join(least, "label", "left_semi")
-    ids = linked_.groupBy("label").agg(F.min("first").alias("component_id"))
-    found = scratch.keep(linked_.join(ids, "label").select("n", "f1", "f2", "component_id"), "found")
+    ids = named.groupBy("label").agg(F.min("first").alias("component_id"), F.count("*").alias("sets"), F.max("copies").alias("copies")).where("sets > 1 or copies > 1")
+    ids = scratch.keep(ids.select("label", "component_id"), "ids")
+    found = scratch.keep(by_keys(named, ids, "label", "inner").select("n", "f1", "f2", "component_id"), "found")
     scratch.drop("tokens", "keys", "held", "nodes", "left", "links", "links2", "open")
     return sets.select("_row", "doc_id", "n", "f1", "f2"), found
 

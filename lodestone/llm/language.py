@@ -19,9 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .store import Scratch
+from .substring import without
 from .text import buffers, stream
 
-SAMPLE, LANGUAGES, PLACES = 1000, 64, 1 << 15
+SAMPLE, PLACES = 1000, 1 << 15
+#: Entries of all languages' tables together, which bounds what goes to all tasks: 64 MB.
+ENTRIES, LEAST_PLACES = 1 << 24, 1 << 10
 STRENGTH, SMOOTH, TEMPER, ACCEPT = 20.0, 2.0, 0.25, 0.6
 
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -30,7 +33,15 @@ _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[128:] = True
 
 
-def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def places_for(languages: int) -> int:
+    """Places of a language's table: fewer where there are more than 512 languages."""
+    places = PLACES
+    while places * languages > ENTRIES and places > LEAST_PLACES:
+        places //= 2
+    return places
+
+
+def trigrams(column: pa.Array, places: int = PLACES) -> tuple[np.ndarray, np.ndarray]:
     """Document number and place of each byte trigram that holds a letter; runs of other bytes read as one space."""
     raw, off = buffers(column)
     low = _FOLD[raw]
@@ -45,31 +56,40 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     h = (low[:-2] * np.uint32(0x9E3779B1)) ^ (low[1:-1] * np.uint32(0x85EBCA77)) ^ (low[2:] * np.uint32(0xC2B2AE3D))
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
-    return doc[2:][ok], (h[ok] >> np.uint32(32 - PLACES.bit_length() + 1)).astype(np.int64)
+    return doc[2:][ok], (h[ok] >> np.uint32(32 - places.bit_length() + 1)).astype(np.int64)
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages and log probabilities of trigrams, from at most `sample` labelled texts of each of LANGUAGES languages.
+    """All labelled languages and log probabilities of trigrams, from at most `sample` texts of each.
 
-    The texts are those whose ids have the least hashes; they are read whole.
+    The texts are those whose rows have the least hashes by id and text; rows that repeat count once.  They are
+    read whole, a language's by one task that holds its counts only.
     """
-    ids = docs.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang")).where("_lang is not null and _lang != '' and _id is not null")
-    most = ids.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES).select("_lang")
-    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
-    ids = ids.join(F.broadcast(most), "_lang").withColumn("_k", rank).where(F.col("_k") <= sample).select("_id", "_lang").distinct()
-    texts = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(ids), "_id")  # sample x LANGUAGES narrow rows at most
+    row = F.xxhash64(F.col(doc_id), F.coalesce(F.col(text).cast("string"), F.lit("")))
+    known = docs.select(row.alias("_r"), F.col(lang).alias("_lang"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("_lang is not null and _lang != ''")
+    sizes = known.groupBy("_lang").agg(F.count("*").alias("n"))
+    # of a large language only rows with small hashes come into question: four times the sample in the mean
+    share = F.least(F.lit(1.0), F.lit(4.0 * sample) / F.col("n"))
+    small = (F.shiftrightunsigned(F.xxhash64("_r", F.lit(9)), 11) / float(1 << 53)) < share
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_r"))
+    some = known.select("_r", "_lang").join(F.broadcast(sizes), "_lang").where(small)  # a row a language
+    picked = some.select("_r", "_lang", F.xxhash64("_r", F.lit(9)).alias("_h")).distinct().withColumn("_k", rank).where(F.col("_k") <= sample).select("_r", "_lang")
+    texts = known.join(F.broadcast(picked), ["_r", "_lang"])  # `sample` narrow rows a language
+    texts = texts.groupBy("_r", "_lang").agg(F.first("text").alias("text"))
+    places = places_for(sizes.count())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for part in stream(batches):
-            doc, at = trigrams(part.column("text"))
+            doc, at = trigrams(part.column("text"), places)
             names = np.array(part.column("_lang").to_pylist(), object)
             for name in sorted(set(names)):
-                total.setdefault(name, np.zeros(PLACES, np.int64))
-                total[name] += np.bincount(at[(names == name)[doc]], minlength=PLACES)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([c.tobytes() for c in total.values()], pa.binary())], ["lang", "counts"])
+                total.setdefault(name, np.zeros(places, np.int64))
+                total[name] += np.bincount(at[(names == name)[doc]], minlength=places)
+        for name, c in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([c.tobytes()], pa.binary())], ["lang", "counts"])
 
-    rows = sorted(texts.select("_lang", "text").repartition(1).mapInArrow(count, "lang string, counts binary").collect())
+    rows = sorted(texts.select("_lang", "text").repartition("_lang").mapInArrow(count, "lang string, counts binary").collect())  # ENTRIES numbers
     if not rows:
         return [], np.zeros((0, PLACES), np.float32)
     counts = np.array([np.frombuffer(r["counts"], np.int64) for r in rows]) + 0.5
@@ -78,11 +98,12 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
 
 def read_texts(rows: DataFrame, languages: list[str], table: np.ndarray) -> DataFrame:
     """Every column of rows but text, with grams (number of trigrams) and loglik (array, one entry a language)."""
-    shared = rows.sparkSession.sparkContext.broadcast(table)  # LANGUAGES x PLACES at most
+    shared = rows.sparkSession.sparkContext.broadcast(table)  # ENTRIES numbers at most
+    places = table.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in stream(batches):
-            doc, at = trigrams(part.column("text"))
+            doc, at = trigrams(part.column("text"), places)
             n = part.num_rows
             sums = [np.bincount(doc, row[at], n) if len(doc) else np.zeros(n) for row in shared.value]
             flat = np.stack(sums, 1).ravel() if sums else np.zeros(0)
@@ -163,21 +184,21 @@ def digest(pages: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     docs (doc_id, text, lang) teach the text model.  Null or empty html has no letters and is not accepted.
     Rows that repeat are each identified; extra columns are ignored; an empty table gives no rows; without any
-    labelled document lang is null.
+    labelled document lang is null.  A long text is held whole, at about 30 bytes a byte.
     """
     languages, table = fit(docs)
     return identify(page_evidence(pages), languages, table, scratch).withColumnRenamed("id", "page_id")
 
 
 def accept(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The documents whose language is identified; every column stays.
+    """The documents whose language is identified; every column stays, whatever its name.
 
-    lang is the declared language and source the host.  A document without letters, or without a language of
-    ACCEPT posterior probability, is rejected.  Rows that share an id and text share the decision.
+    lang is the declared language and source the host.  A document without letters (null and empty ones too), or
+    without a language of ACCEPT posterior probability, is rejected.  Rows that share an id and text share the
+    decision; an empty table gives no rows.  Only the names of the rejected rows travel.
     """
     languages, table = fit(docs)
-    row = F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")))
-    void = F.lit(None).cast("string")
-    rows = docs.select(row.alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.col("lang").alias("declared"), void.alias("suffix"), F.col("source").alias("host"), void.alias("domain"))
+    text, void = F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(None).cast("string")
+    rows = docs.select(F.xxhash64("doc_id", text).alias("id"), text.alias("text"), F.col("lang").alias("declared"), void.alias("suffix"), F.col("source").alias("host"), void.alias("domain"))
     lost = scratch.keep(identify(rows, languages, table, scratch).where("not accepted").select(F.col("id").alias("_gone")).distinct(), "rejected")
-    return docs.withColumn("_row", row).join(lost.hint("shuffle_hash"), F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
+    return without(docs, lost)

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import by_keys
 from .text import WORD
 
 HASH_DIGITS = 13
@@ -28,7 +29,8 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float =
     sizes: (source, source_size), one row a source.  Sources in code point order, null last, get the weights
     in turn and share `share` times all tokens.  No target exceeds `most` times its source's size; what is cut
     goes to the others by weight, until none exceeds (solved in closed form: sources in the order in which a
-    growing common level reaches their caps).  Rows here are sources, not documents.
+    growing common level reaches their caps).  Rows here are sources, not documents; they are ordered in one task,
+    40 bytes each, which fits for some 10**7 sources.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*[F.lit(int(x)) for x in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
@@ -53,26 +55,35 @@ def draw(doc_id: str, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, HASH_DIGITS), 16, 10).cast("double") / F.lit(float(16**HASH_DIGITS))
 
 
-def copies(sized: DataFrame, doc_id: str = "doc_id", seed: int = 17, **options) -> DataFrame:
-    """sized (doc_id, source, size) with source_size, target and copies.
+def rates(sized: DataFrame, scratch, **options) -> DataFrame:
+    """The kept table of sources: _source, source_size, target."""
+    per = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), **options)
+    return scratch.keep(per.select(F.col("source").alias("_source"), "source_size", "target"), "rates")
+
+
+def copies(sized: DataFrame, per: DataFrame, doc_id: str = "doc_id", seed: int = 17) -> DataFrame:
+    """sized (doc_id, source, size) with source_size, target and copies, by a kept table of `rates`.
 
-    The table of sources joins by null-safe equality; Spark broadcasts it where its measured size allows and
-    splits hot sources of a shuffled join otherwise.  A source without tokens has target 0 and no copies.
-    Rows that share an id share the draw.  Nulls in source are a source of their own.
+    The sources join by null-safe equality: broadcast where their counted rows are few, so that no document moves;
+    else Spark splits the hot ones.  A source without tokens has target 0 and no copies.  Rows that share an id
+    share the draw.  Nulls in source are a source of their own.
     """
-    per = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), **options)
-    per = per.select(F.col("source").alias("_source"), "source_size", "target")
-    joined = sized.join(per, sized["source"].eqNullSafe(per["_source"]), "left").drop("_source")
+    joined = by_keys(sized, per, sized["source"].eqNullSafe(per["_source"]), "left").drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     extra = (draw(doc_id, seed) < rate - F.floor(rate)).cast("long")
     return joined.withColumn("copies", F.floor(rate) + extra)
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: int = 17, **options) -> DataFrame:
-    """The documents of the mix: every input column, a row for each copy that the mix takes."""
+def mix(docs: DataFrame, scratch, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: int = 17, **options) -> DataFrame:
+    """The documents of the mix: every input column, a row for each copy that the mix takes.
+
+    A null or empty text has size 0: it takes part in the draw of its source but adds no words.  A null source is
+    a source, a null id draws as an empty one, rows that repeat draw alike; an empty table gives no rows; columns
+    may have any names.
+    """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     sized = docs.select(F.col(doc_id).alias("_id"), F.col(source).alias("source"), n_words(text).alias("size"), row)
-    taken = copies(sized, "_id", seed, **options).where("copies > 0")
+    taken = copies(sized, rates(sized, scratch, **options), "_id", seed).where("copies > 0")
     taken = taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
     return taken.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
@@ -84,7 +95,7 @@ def digest(docs: DataFrame, scratch, **options) -> DataFrame:
     The sizes are kept once, so texts are read a single time.
     """
     sized = scratch.keep(docs.select("doc_id", "source", n_words("text").alias("size")), "sizes")
-    out = copies(sized, **options)
+    out = copies(sized, rates(sized, scratch, **options))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

@@ -2,9 +2,10 @@
 
 Hierarchical residual packing.  Every task tokenises its documents, cuts those
 that are too long and packs the pieces by best fit, longest first.  Nearly full
-bins are final.  Underfull bins go up a tree as items of their own: nodes merge
-`FAN_IN` to one and best-fit the bins again, until one node is left or a node
-would hold more than NODE_ITEMS bins.  A piece's place is its place in its bin
+bins are final.  Underfull bins go up a tree as items of their own: nodes of
+about NODE_ITEMS bins best-fit them again, then `FAN_IN` nodes merge to one, until
+one node holds all that are left or a round at the same number of nodes makes
+next to nothing of them.  A piece's place is its place in its bin
 plus its bin's place in the bin above, so token ids never move.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import Scratch
-from .text import _BYTE_POWERS, _SPACE, _BYTE, buffers, mix, stream
+from .text import _BYTE_POWERS, _SPACE, _BYTE, PIECE_BYTES, buffers, mix, pieces, stream
 
 CAPACITY, END, TOKENIZER = 2048, 0, "word_bpe_49k.json"
 SLACK, FAN_IN, NODE_ITEMS = 8, 8, 1 << 16
@@ -105,6 +106,14 @@ class Encoder:
         starts = np.flatnonzero(start)
         return low, starts, np.flatnonzero(end) + 1, inside[starts]
 
+    def encode_pieces(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """`encode`, of a long text in pieces: tokens never span white space."""
+        if len(column) != 1 or len(buffers(column)[0]) <= PIECE_BYTES:
+            return self.encode(column)
+        parts = [self.encode(p)[0] for p in pieces(column, 0)]
+        ids = np.concatenate(parts)
+        return ids, np.array([0, len(ids)])
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column, and the n + 1 places where its texts begin among them."""
         if self.used > self.STORE or len(self.over) > self.STORE // 16:
@@ -193,7 +202,7 @@ def _local(capacity: int, end: int | None, tokenizer: str | None, keep_ids: bool
             return pa.RecordBatch.from_arrays(out, names)
 
         for part in stream(batches):
-            ids, first = encoder.encode(part.column("text"))
+            ids, first = encoder.encode_pieces(part.column("text"))
             view = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
             for doc, a, b in zip(part.column("doc_id").to_pylist(), first[:-1].tolist(), first[1:].tolist()):
                 n = b - a + (end is not None)
@@ -238,26 +247,24 @@ def pack(docs: DataFrame, scratch: Scratch, capacity: int = CAPACITY, end: int |
     """
     schema = PIECES + (", ids binary" if keep_ids else "")
     pieces = scratch.keep(docs.select("doc_id", "text").mapInArrow(_local(capacity, end, tokenizer, keep_ids), schema), "pieces")
-    part = F.shiftrightunsigned("bin", 40)
-    low = pieces.where(F.col("fill") < capacity - SLACK).groupBy("bin").agg(F.first("fill").alias("fill"))
+    under = F.col("fill") < capacity - SLACK
+    low = pieces.where(under).groupBy("bin").agg(F.first("fill").alias("fill"))
     tree = scratch.keep(low.select("bin", F.col("bin").alias("root"), F.lit(0).cast("long").alias("shift"), "fill"), "tree-0")
-    count, k, nodes = tree.agg(F.count("*"), F.max(part)).first(), 0, 1
-    while nodes * FAN_IN <= (count[1] or 0) + 1:
-        nodes *= FAN_IN
-    while count[0]:
-        items = tree.where(F.col("fill") < capacity - SLACK).groupBy("root").agg(F.first("fill").alias("fill")).withColumnRenamed("root", "bin")
-        merged = items.groupBy(F.pmod(F.xxhash64("bin"), F.lit(nodes)).alias("node")).applyInPandas(_merge(capacity), "bin long, up long, shift long, fill long")
+    left, k, nodes = tree.count(), 0, 0
+    while left:
+        # as many nodes as the bins need; each level has a FAN_IN-th of those below if the bins allow it
+        before, nodes = nodes, max(1, -(-left // NODE_ITEMS), nodes // FAN_IN)
+        items = tree.where(under).groupBy("root").agg(F.first("fill").alias("fill")).withColumnRenamed("root", "bin")
+        merged = items.groupBy(F.pmod(F.xxhash64("bin", F.lit(k)), F.lit(nodes)).alias("node")).applyInPandas(_merge(capacity), "bin long, up long, shift long, fill long")
         merged = merged.select(F.col("bin").alias("root"), "up", F.col("shift").alias("more"), F.col("fill").alias("new"))
         joined = tree.join(merged, "root", "left")
         joined = joined.select("bin", F.coalesce("up", "root").alias("root"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"), F.coalesce("new", "fill").alias("fill"))
         k += 1
         tree = scratch.keep(joined, f"tree-{k}")
-        if nodes == 1:
-            break
-        left = tree.where(F.col("fill") < capacity - SLACK).select("root").distinct().count()
-        if not left or left > NODE_ITEMS * (nodes // FAN_IN):
+        scratch.drop(f"tree-{k - 1}")
+        seen, left = left, tree.where(under).select("root").distinct().count()
+        if nodes == 1 or nodes == before and left > 0.99 * seen:
             break
-        nodes //= FAN_IN
     up = tree.select("bin", "root", "shift")
     out = pieces.join(up, "bin", "left")
     cols = ["doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("root", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset")]

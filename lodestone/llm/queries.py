@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, caps, jaccard, language, licenses, mixing, neighbours, packing, substring, toxicity
+from . import archives, caps, jaccard, language, licenses, mixing, neighbours, oracles, packing, substring, toxicity
 from ..session import ship
 from .store import Scratch
 
@@ -65,4 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": mixing.sql()}
+    return {
+        "op2_ngram_jaccard": oracles.jaccard(), "op3_mix_sources": mixing.sql(), "op5_substring_dedup": oracles.substring(),
+        "op8_spherical_caps": oracles.caps(), "op9_license_scan": oracles.licenses(), "op10_warc": oracles.archives(),
+    }

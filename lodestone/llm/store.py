@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
-#: Rows of narrow keys (16 to 32 bytes each in memory) that may go to all tasks.
-BROADCAST_ROWS = 1 << 21
+#: Rows of narrow keys (16 to 80 bytes each in memory) that may go to all tasks.
+BROADCAST_ROWS = 1 << 20
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -31,10 +31,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """One call's tables. `keep` writes a table and reads it again; `drop` deletes those no later step needs."""
+    """One call's tables. `keep` writes a table and reads it again; `drop` deletes those no later step needs.
+
+    A result that is read lazily needs its tables, so a query's last ones stay; a caller that has written the result
+    deletes them with `close`, or with `closing` for all that were made in between.
+    """
+
+    _made: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
+        Scratch._made.append(self)
         self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}", {}
 
     def path(self, name: str) -> str:
@@ -61,6 +68,14 @@ class Scratch:
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(conf).delete(path, True)
 
+    @classmethod
+    def closing(cls, but: Scratch | None = None) -> None:
+        """Deletes the tables of every call made so far but one."""
+        for one in cls._made:
+            if one is not but:
+                one.close()
+        cls._made = [but] if but else []
+
     @property
     def local(self) -> bool:
         return urlparse(self.root).scheme in ("", "file")

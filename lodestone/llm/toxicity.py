@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import Scratch
-from .text import PUNCTUATED, Words, mix, stream
+from .text import PUNCTUATED, Words, mix, pieces, stream
 
 SAMPLE, EPOCHS, DIMENSIONS = 20_000, 4, 1 << 20
 ALPHA, BETA, L1, L2 = 4.0, 1.0, 4.0, 0.1
@@ -25,7 +25,15 @@ CUT = 0.7
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Document number and place of each feature occurrence of a column."""
+    """Document number and place of each feature occurrence of a column; long texts in pieces, whose seams count again what they share."""
+    parts = [_features(p) for p in pieces(column, 2)]
+    if len(parts) == 1:
+        return parts[0]
+    at = np.unique(np.concatenate([np.unique(a) for _, a in parts]))  # only which features there are counts
+    return np.zeros(len(at), np.int64), at
+
+
+def _features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     w = Words(column, lower=True, separators=PUNCTUATED)
     doc = np.repeat(np.arange(len(w)), w.count)
     out, docs = [w.hash], [doc]
@@ -74,12 +82,13 @@ def remainder(doc_id: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Weights from at most `sample` labelled rows that aren't held out: those whose ids have the least hashes.
 
-    A document with several labels counts as toxic if one says so; null labels and ids count for nothing.  With
-    no labelled rows all weights are 0 and every score 0.5.
+    A document with several labels counts as toxic if one says so; null labels and ids count for nothing; of rows
+    that repeat an id one is read.  With no labelled rows all weights are 0 and every score 0.5.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(remainder() != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")  # `sample` rows of two numbers
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in stream(batches):
