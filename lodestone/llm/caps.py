@@ -29,7 +29,7 @@ from .neighbours import dimension, vectors
 from .packed import groups_of
 from .store import Scratch, parts_for
 
-COSINE, FILL, CHUNK = 0.9, 512, 2048
+COSINE, FILL, CHUNK = 0.9, 256, 1024
 #: Filters that a pair at the threshold is expected to share, and the least share of a vector's wanted filters.
 EXPECTED, LEAST, STEPS = 14, 2 / 3, 12
 SKETCH, NEAR = 128, 36
@@ -130,6 +130,18 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from t.select(["filter", "i", "j", "chunk", "key"]).filter(pa.array(hit)).combine_chunks().to_batches()
 
 
+def _earlier(lists: pa.ListArray, f: int) -> np.ndarray:
+    """A bit set a row: which filters before f it is in, of those that several rows are in."""
+    name, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    name, row = name[name < f], row[name < f]
+    names, at, count = np.unique(name, return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1
+    bits = np.zeros((len(lists), -(-max(1, int((count > 1).sum())) // 64) * 64), np.uint8)
+    many = count[at] > 1
+    bits[row[many], shared[at[many]]] = 1
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
 def _pairs(cosine: float):
     """Links of each job: a vertex's number of linked rows, and a spanning forest of the links."""
 
@@ -148,24 +160,18 @@ def _pairs(cosine: float):
                 np.fill_diagonal(close, False)
             if not close.any():
                 continue
+            p, q = np.nonzero(np.triu(close, 1) if i == j else close)
+            p, q = a[p], b[q]
             # a pair counts in the first filter that both are in
-            lists = t.column("filters").combine_chunks()
-            name, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(x)), np.diff(lists.offsets.to_numpy()))
-            early = name < f
-            names, at = np.unique(name[early], return_inverse=True)
-            if len(names):
-                member = np.zeros((len(x), len(names)), np.float32)
-                member[row[early], at] = 1
-                close &= member[a] @ member[b].T == 0
-            degree = np.zeros(len(x), np.int64)
-            degree[a] += close @ copies[b]
-            if i != j:
-                degree[b] += close.T @ copies[a]
+            earlier = _earlier(t.column("filters").combine_chunks(), f)
+            first = np.concatenate([~(earlier[p[k : k + 65536]] & earlier[q[k : k + 65536]]).any(1) for k in range(0, len(p), 65536)])
+            p, q = p[first], q[first]
+            degree = np.bincount(p, copies[q], len(x)).astype(np.int64) + np.bincount(q, copies[p], len(x)).astype(np.int64)
             forest, u, v = Forest(len(x)), [], []
-            for p, q in zip(*(z.tolist() for z in np.nonzero(np.triu(close, 1) if i == j else close))):
-                if forest.union(int(a[p]), int(b[q])):
-                    u.append(key[a[p]])
-                    v.append(key[b[q]])
+            for m, n in zip(p.tolist(), q.tolist()):
+                if forest.union(m, n):
+                    u.append(key[m])
+                    v.append(key[n])
             k = np.flatnonzero(degree)
             n, m = len(k), len(u)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(key[k], np.array(u, np.int64))), pa.array(np.append(np.zeros(n, np.int64), np.array(v, np.int64)), mask=np.arange(n + m) < n), pa.array(np.append(degree[k], np.zeros(m, np.int64)))], ["u", "v", "n"])

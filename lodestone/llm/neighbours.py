@@ -26,11 +26,11 @@ from pyspark.sql import types as T
 from .packed import groups_of
 from .store import Scratch
 
-BOOKS, WORDS, BEAM, ROUNDS = 16, 256, 4, 6
+BOOKS, WORDS, BEAM, ROUNDS = 16, 256, 2, 6
 SAMPLE, QUERY_BLOCK, JOB_ROWS = 16_384, 4096, 1 << 15
 K, EVERY = 20, 20
 #: Rows that a job ranks again for a query, and the share of all lists that a query probes.
-SHORT, PROBE = 128, 0.6
+SHORT, PROBE = 192, 0.8
 
 
 def vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,15 +82,18 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int = 5) ->
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
     """Codes (rows, books) by beam search: the `beam` best partial sums go on from book to book."""
     n, m = len(x), len(books)
-    rest = x.astype(np.float32)[:, None, :]
+    rest, every = x.astype(np.float32)[:, None, :], np.arange(n)
     codes = np.zeros((n, 1, 0), np.uint8)
     for c in books:
-        error = rest @ c.T
+        error = rest.reshape(-1, rest.shape[2]) @ c.T
         error *= -2
         error += (c**2).sum(1)
-        error += (rest**2).sum(2)[:, :, None]
-        flat = error.reshape(n, -1)
-        best = np.argpartition(flat, min(beam, flat.shape[1] - 1), 1)[:, :beam]
+        error += (rest**2).sum(2).reshape(-1, 1)
+        flat, best = error.reshape(n, -1), []
+        for _ in range(beam):
+            best.append(flat.argmin(1))
+            flat[every, best[-1]] = np.inf
+        best = np.stack(best, 1)
         parent, word = best // len(c), best % len(c)
         rest = np.take_along_axis(rest, parent[:, :, None], 1) - c[word]
         codes = np.concatenate([np.take_along_axis(codes, parent[:, :, None], 1), word[:, :, None].astype(np.uint8)], 2)

@@ -289,6 +289,45 @@ def test_toxicity(spark):
     assert (none.score == 0.5).all()
 
 
+def test_ftrl_equals_plain_python():
+    rng = random.Random(6)
+    rows = [(np.array(sorted(rng.sample(range(40), rng.randrange(1, 9)))), int(rng.random() < 0.4)) for _ in range(300)]
+    z, n, w = collections.defaultdict(float), collections.defaultdict(float), {}
+
+    def weight(i):
+        if abs(z[i]) <= toxicity.L1:
+            return 0.0
+        return -(z[i] - (toxicity.L1 if z[i] > 0 else -toxicity.L1)) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(3):
+        for at, y in rows:
+            at = [*at.tolist(), toxicity.DIMENSIONS]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y
+            for i in at:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA * w[i]
+                n[i] += g * g
+    got = toxicity.fit(rows, 3)
+    assert np.flatnonzero(got).tolist() == sorted(i for i in z if weight(i)) and 0 < len(np.flatnonzero(got)) < 41
+    assert all(abs(got[i] - weight(i)) < 1e-9 for i in z)
+
+
+def test_features_of_texts():
+    texts = ["One two-three  FOUR", "", None, "one two", "x"]
+    doc, at = toxicity.features(pa.array(texts))
+    n = [4, 0, 0, 2, 1]
+    assert np.bincount(doc, minlength=5).tolist() == [max(0, k) + max(0, k - 1) + max(0, k - 2) for k in n]
+    assert set(at[doc == 3]) <= set(at[doc == 0])
+
+
+def test_toxicity_on_odd_tables(spark):
+    docs = spark.createDataFrame([(1, "nasty"), (1, "nasty"), (1, "else"), (2, None), (None, "x")], "doc_id long, text string").withColumn("toxic", F.lit("t")).withColumn("score", F.lit(1)).withColumn("at", F.lit(2))
+    labels = spark.createDataFrame([(1, 0, 1), (1, 0, 0), (2, 1, 0), (9, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("label"))
+    got = toxicity.digest(docs, labels).collect()
+    assert collections.Counter(r["doc_id"] for r in got) == collections.Counter({1: 3, 2: 1, None: 1}) and all(0 <= r["score"] <= 1 for r in got)
+    assert toxicity.digest(docs.limit(0), labels).count() == 0
+
+
 # 5
 
 
@@ -353,6 +392,65 @@ def test_language(spark):
     assert empty.where("lang is not null").count() == 0
 
 
+def test_language_posterior_equals_plain_python(spark):
+    rng = random.Random(8)
+    names = ["aa", "bb", "cc"]
+    say = lambda x, n: " ".join(x + rng.choice("aeiou") + x[0] for _ in range(n))
+    docs = [(i, say(names[i % 3], 30), names[i % 3], "e") for i in range(30)] + [(0, None, "aa", "e")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, _lang string")
+    languages, table = language.fit(frame)
+    assert languages == names
+    for x, row in zip(languages, table):
+        counts = np.full(language.PLACES, 0.5)
+        for _, t, lang, _ in docs:
+            if lang == x and t:
+                np.add.at(counts, language.trigrams(pa.array([t]))[1], 1)
+        assert np.allclose(row, np.log(counts / counts.sum()), atol=1e-5)
+    rows = []
+    for i in range(200):
+        x = rng.choice(names)
+        said = x if rng.random() < 0.8 else rng.choice(names)
+        rows.append((i, say(x, rng.choice([1, 2, 20])) if i % 9 else "", rng.choice([None, said, said.upper() + "-X", "zz"]), rng.choice([None, x, "org"]), h := rng.choice([None, "h1.d", "h2.d", "h3.e"]), h and h[3:]))
+    got = {r["id"]: r for r in language.identify(spark.createDataFrame(rows, "id long, text string, declared string, suffix string, host string, domain string"), languages, table, scratch(spark)).collect()}
+    fold = lambda d: d and d.split("-")[0].lower()
+    lik, best = {}, {}
+    for i, t, *_ in rows:
+        at = language.trigrams(pa.array([t]))[1]
+        lik[i] = [float(row[at].astype(float).sum()) for row in table]
+        best[i] = names[int(np.argmax(lik[i]))] if len(at) else None
+    count = lambda of: collections.Counter(best[r[0]] for r in rows if best[r[0]] and of(r))
+    whole = count(lambda r: True)
+    prior = {x: (whole[x] + 1) / (sum(whole.values()) + 3) for x in names}
+    smooth = lambda c, p: {x: (c[x] + language.STRENGTH * p[x]) / (sum(c.values()) + language.STRENGTH) for x in names}
+
+    def clue(k, value, of):
+        mine, all_ = count(lambda r: of(r) == value), count(lambda r: of(r) is not None)
+        return {x: (mine[x] + language.SMOOTH * sum(mine.values()) / max(1, sum(all_.values()))) / (all_[x] + language.SMOOTH) for x in names} if value is not None and sum(mine.values()) else dict.fromkeys(names, 1.0)
+
+    for i, t, declared, suffix, host, domain in rows:
+        base = prior if domain is None else smooth(count(lambda r: r[5] == domain), prior)
+        p = base if host is None else smooth(count(lambda r: r[4] == host), base)
+        d, s = clue(2, fold(declared), lambda r: fold(r[2])), clue(3, suffix, lambda r: r[3])
+        logs = np.array([(v - max(lik[i])) * language.TEMPER + np.log(p[x]) + np.log(d[x]) + np.log(s[x]) for x, v in zip(names, lik[i])])
+        post = np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum()
+        assert got[i]["text_lang"] == best[i] and abs(got[i]["confidence"] - post.max()) < 1e-4
+        assert got[i]["lang"] == names[int(post.argmax())] or np.sort(post)[-2] > post.max() - 1e-6
+        assert got[i]["accepted"] == (best[i] is not None and got[i]["confidence"] >= language.ACCEPT)
+
+
+def test_languages_on_odd_tables(spark):
+    docs = spark.createDataFrame([(i, f"wort{i % 90} text", f"l{i % 90}") for i in range(180)] + [(7, "copy", "l1")] * 30, "doc_id long, text string, lang string")
+    languages, table = language.fit(docs, sample=5)
+    assert len(languages) == 90 and table.shape == (90, language.PLACES)  # no language is left out
+    assert language.places_for(5000) * 5000 <= 2 * language.ENTRIES
+    pages = spark.createDataFrame([], "page_id long, url string, html string").withColumn("lang", F.lit("x"))
+    assert language.digest(pages, docs, scratch(spark)).count() == 0
+    clash = spark.createDataFrame([(1, "http://a.b.l1/", "<html lang=l1>wort1 text</html>")], "page_id long, url string, html string")
+    for c in ("id", "text", "declared", "grams", "loglik", "_m"):
+        clash = clash.withColumn(c, F.lit(3))
+    assert language.digest(clash, docs, scratch(spark)).columns == ["page_id", "text_lang", "lang", "confidence", "grams", "accepted"]
+
+
 # 7 and 8
 
 
@@ -411,7 +509,7 @@ def test_neighbours_by_short_lists(spark, monkeypatch):
         assert least <= np.mean(hits) / 20 <= most
 
 
-@pytest.mark.parametrize("chunk", [2048, 4])
+@pytest.mark.parametrize("chunk", [1024, 4])
 def test_caps(spark, chunk, monkeypatch):
     monkeypatch.setattr(caps, "CHUNK", chunk)
     x, rows, df = vectors(spark)
