@@ -22,7 +22,7 @@ from .store import Scratch
 from .substring import without
 from .text import buffers, stream
 
-SAMPLE, PLACES = 1000, 1 << 15
+SAMPLE, PLACES, CHUNK = 1000, 1 << 15, 1 << 19
 #: Entries of all languages' tables together, which bounds what goes to all tasks: 64 MB.
 ENTRIES, LEAST_PLACES = 1 << 24, 1 << 10
 STRENGTH, SMOOTH, TEMPER, ACCEPT = 20.0, 2.0, 0.25, 0.6
@@ -80,7 +80,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for part in stream(batches):
+        for part in stream(batches, limit=CHUNK):
             doc, at = trigrams(part.column("text"), places)
             names = np.array(part.column("_lang").to_pylist(), object)
             for name in sorted(set(names)):
@@ -102,7 +102,7 @@ def read_texts(rows: DataFrame, languages: list[str], table: np.ndarray) -> Data
     places = table.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in stream(batches):
+        for part in stream(batches, limit=CHUNK):
             doc, at = trigrams(part.column("text"), places)
             n = part.num_rows
             sums = [np.bincount(doc, row[at], n) if len(doc) else np.zeros(n) for row in shared.value]

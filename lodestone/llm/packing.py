@@ -24,7 +24,7 @@ from .store import Scratch
 from .text import _BYTE_POWERS, _SPACE, _BYTE, PIECE_BYTES, buffers, mix, pieces, stream
 
 CAPACITY, END, TOKENIZER = 2048, 0, "word_bpe_49k.json"
-SLACK, FAN_IN, NODE_ITEMS = 8, 8, 1 << 16
+SLACK, FAN_IN, NODE_ITEMS, NODE_TOKENS = 8, 8, 1 << 16, 1 << 22
 
 _LETTER, _DIGIT, _MARK, _OTHER = 1, 2, 3, 4
 _CLASS = np.full(256, _OTHER, np.uint8)
@@ -184,7 +184,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin l
 
 def _local(capacity: int, end: int | None, tokenizer: str | None, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, rows, ids_out = Encoder(tokenizer), [], []
+        encoder, rows, ids_out, held = Encoder(tokenizer), [], [], 0
         bins = TaskContext.get().partitionId() << 40
         closing = b"" if end is None else np.uint32(end).tobytes()
 
@@ -213,8 +213,10 @@ def _local(capacity: int, end: int | None, tokenizer: str | None, keep_ids: bool
                     rows.append((doc, piece, s, m, zlib.crc32(last, zlib.crc32(body))))
                     if keep_ids:
                         ids_out.append(bytes(body) + last)
-            if len(rows) >= NODE_ITEMS:
+            held += len(ids)
+            if len(rows) >= NODE_ITEMS or keep_ids and held >= NODE_TOKENS:
                 yield emit()
+                held = 0
         if rows:
             yield emit()
 

@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from .packed import bounds, pack_row, runs, to_batch, unpack
 from .store import Scratch, by_keys, parts_for
-from .text import stream, windows_of
+from .text import cuts, stream, windows_of
 
 WINDOW = 35
-GROUP_WORDS, BUCKET_BYTES = 1 << 21, 8 << 20
+GROUP_WORDS, BUCKET_BYTES = 1 << 20, 8 << 20
 
 PACKED = "bucket int, probes binary, twice binary, keys binary, owners binary, counts binary, places binary, known binary"
 
@@ -286,8 +286,7 @@ def remove(docs: DataFrame, scratch: Scratch, window: int = WINDOW, length: str
     found = repeats(base.select("doc_id", "text", "_row"), scratch, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            all_, places = batch.column(0), batch.column(1)
+        for all_, places in ((b.column(0).slice(i, n), b.column(1).slice(i, n)) for b in batches for i, n in cuts(pc.struct_field(b.column(0), "text").cast(pa.string()))):
             names = [f.name for f in all_.type]
             columns = dict(zip(names, all_.flatten()))
             old = columns["text"].cast(pa.string()).to_pylist()

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 WORD = r"[^\x20\x09-\x0D]+"
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: A text beyond this is read in pieces of about so many bytes.
 PIECE_BYTES = 4 << 20
 
@@ -81,18 +81,23 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about `limit` bytes of text, one row at least."""
-    column = batch.column(batch.schema.get_field_index(text))
+def cuts(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of slices with about `limit` bytes of text, one row at least."""
     _, off = buffers(column)
     start = 0
     while start < len(column):
         stop = int(np.searchsorted(off, off[start] + limit, "right")) - 1
         stop = min(len(column), max(start + 1, stop))
-        yield batch.slice(start, stop - start)
+        yield start, stop - start
         start = stop
 
 
+def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about `limit` bytes of text, one row at least."""
+    for start, n in cuts(batch.column(batch.schema.get_field_index(text)), limit):
+        yield batch.slice(start, n)
+
+
 class Words:
     """Words of each text of a column: hashes, byte spans, and `first[d]:first[d + 1]` per document."""
 
