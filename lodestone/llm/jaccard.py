@@ -27,12 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import Forest, components
-from .packed import bounds, groups_of, pack_row, runs, to_batch, unpack
-from .store import Scratch, by_keys, parts_for
+from .packed import bounds, groups_of, in_turn, pack_row, parts_of, runs, to_batch, unpack
+from .store import Scratch, by_keys, parts_for, subs_for
 from .substring import keyed, without
 from .text import mix, shingle_sets, stream
 
@@ -64,25 +65,32 @@ ANSWER = "dest int, owners binary, shared binary, about binary, tokens binary, d
 SETS = "kind int, _row long, doc_id long, n long, f1 long, f2 long, shared long"
 
 
+_POST_SUB = pa.schema([("sub", pa.int32()), *list(_POST)[1:]])
+_ANSWER_SUB = pa.schema([("sub", pa.int32()), *list(_ANSWER)[1:]])
+
+
+def _deal(t: np.ndarray, o: np.ndarray, a: np.ndarray, b: np.ndarray, n: int, schema: pa.Schema) -> pa.RecordBatch:
+    """Packed rows of shingles (low 32 bits) and owners by bucket b, with an even share of the documents in each."""
+    order = np.argsort(b, kind="stable")
+    t, o, cuts = t[order].astype(np.uint32), o[order], bounds(b[order], n)
+    share, rows = np.linspace(0, len(a), n + 1).astype(np.int64), []
+    for i in range(n):
+        p, q = cuts[i], cuts[i + 1]
+        if p < q or share[i] < share[i + 1]:
+            who, counts = runs(o[p:q])
+            rows.append({schema.names[0]: i} | pack_row(tokens=t[p:q], owners=who, counts=counts, about=a[share[i] : share[i + 1]]))
+    return to_batch(rows, schema)
+
+
 def _posts(k: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, owners, about, n = [], [], [], 0
 
         def send():
-            t, o, a = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64), np.concatenate(owners), np.concatenate(about)
-            b = ((t >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(b, kind="stable")
-            t, o, cuts = t[order].astype(np.uint32), o[order], bounds(b[order], buckets)
-            share = np.linspace(0, len(a), buckets + 1).astype(np.int64)
-            rows = []
-            for i in range(buckets):
-                p, q = cuts[i], cuts[i + 1]
-                if p < q or share[i] < share[i + 1]:
-                    who, counts = runs(o[p:q])
-                    rows.append(pack_row(bucket=i, tokens=t[p:q], owners=who, counts=counts, about=a[share[i] : share[i + 1]]))
+            t, o, a = (np.concatenate(x) for x in (tokens, owners, about))
             for x in (tokens, owners, about):
                 x.clear()
-            return to_batch(rows, _POST)
+            return _deal(t, o, a, ((t >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32), buckets, _POST)
 
         for part in stream(batches):
             sets = shingle_sets(part.column("text"), k)
@@ -109,72 +117,97 @@ def _posts(k: int, buckets: int):
     return run
 
 
+def _post_parts(subs: int):
+    """Deals the posts of a partition to its parts, by the low bits of the shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def send():
+            t, o, a = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            return _deal(t, o, a, (t % np.uint32(subs)).astype(np.int32), subs, _POST_SUB)
+
+        for row in (r for b in batches for r in b.to_pylist()):
+            held.append((unpack(row, "tokens", np.uint32), np.repeat(unpack(row, "owners", np.int64), unpack(row, "counts", np.int32)), unpack(row, "about", _ABOUT)))
+            n += len(held[-1][0])
+            if n >= GROUP_TOKENS:
+                yield send()
+                n = 0
+        if held:
+            yield send()
+
+    return run
+
+
 def _frequencies(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, tuple[list, list]] = {}
-        about, owners, shared, token, df = [], [], [], [], []
-        for batch in batches:
-            for row in batch.to_pylist():
-                t, o = parts.setdefault(row["bucket"], ([], []))
-                t.append(unpack(row, "tokens", np.uint32))
-                o.append(np.repeat(unpack(row, "owners", np.int64), unpack(row, "counts", np.int32)))
-                about.append(unpack(row, "about", _ABOUT))
-        for bucket in list(parts):
-            t, o = (np.concatenate(x) for x in parts.pop(bucket))
+        here = TaskContext.get().partitionId()
+        for rows in parts_of(batches):
+            t = np.concatenate([unpack(r, "tokens", np.uint32) for r in rows])
+            o = np.concatenate([np.repeat(unpack(r, "owners", np.int64), unpack(r, "counts", np.int32)) for r in rows])
+            about = np.concatenate([unpack(r, "about", _ABOUT) for r in rows])
             order = np.argsort(t, kind="stable")
             s = t[order]
             cut = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
             count = np.diff(np.append(cut, len(s)))
             many = np.zeros(len(s), bool)
             many[order] = np.repeat(count > 1, count)
-            who, n = np.unique(o[many], return_counts=True)
-            owners.append(who)
-            shared.append(n)
+            owners, shared = np.unique(o[many], return_counts=True)
             hot = count >= FREQUENT_FROM
-            token.append(s[cut[hot]].astype(np.uint64) | np.uint64(bucket << 32))
-            df.append(count[hot])
-        if not about:
-            return
-        about, owners, shared, token, df = (np.concatenate(x) for x in (about, owners, shared, token, df))
-        to = lambda x: (x.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
-        rows = []
-        a, o = np.argsort(to(about["row"]), kind="stable"), np.argsort(to(owners), kind="stable")
-        about, owners, shared = about[a], owners[o], shared[o]
-        ca, co, ct = bounds(to(about["row"]), buckets), bounds(to(owners), buckets), np.linspace(0, len(token), buckets + 1).astype(np.int64)
-        for i in range(buckets):
-            (p, q), (r, s), (x, y) = ca[i : i + 2], co[i : i + 2], ct[i : i + 2]
-            if p < q or r < s or x < y:
-                rows.append(pack_row(dest=i, owners=owners[r:s], shared=shared[r:s].astype(np.int32), about=about[p:q], tokens=token[x:y], df=df[x:y].astype(np.int64)))
-        yield to_batch(rows, _ANSWER)
+            token, df = s[cut[hot]].astype(np.uint64) | np.uint64(here << 32), count[hot].astype(np.int64)
+            yield _answer(about, owners, shared.astype(np.int32), token, df, lambda x: (x.view(np.uint64) % np.uint64(buckets)).astype(np.int32), buckets, _ANSWER)
+
+    return run
+
+
+def _answer(about, owners, shared, token, df, to, n: int, schema: pa.Schema) -> pa.RecordBatch:
+    """Packed rows of documents and of how many shingles of an owner are shared, by to(row); frequent shingles go anywhere."""
+    a, o = np.argsort(to(about["row"]), kind="stable"), np.argsort(to(owners), kind="stable")
+    about, owners, shared = about[a], owners[o], shared[o]
+    ca, co, ct = bounds(to(about["row"]), n), bounds(to(owners), n), np.linspace(0, len(token), n + 1).astype(np.int64)
+    rows = []
+    for i in range(n):
+        (p, q), (r, s), (x, y) = ca[i : i + 2], co[i : i + 2], ct[i : i + 2]
+        if p < q or r < s or x < y:
+            rows.append({schema.names[0]: i} | pack_row(owners=owners[r:s], shared=shared[r:s], about=about[p:q], tokens=token[x:y], df=df[x:y]))
+    return to_batch(rows, schema)
+
+
+def _answered(rows: list[dict]) -> tuple[np.ndarray, ...]:
+    kinds = (("about", _ABOUT), ("owners", np.int64), ("shared", np.int32), ("tokens", np.int64), ("df", np.int64))
+    return tuple(np.concatenate([unpack(r, name, kind) for r in rows]) for name, kind in kinds)
+
+
+def _answer_parts(subs: int, buckets: int):
+    """Deals the answers of a partition to its parts, by row."""
+    to = lambda x: (x.view(np.uint64) // np.uint64(buckets) % np.uint64(subs)).astype(np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            for i in range(0, len(rows), 1000):
+                yield _answer(*_answered(rows[i : i + 1000]), to, subs, _ANSWER_SUB)
 
     return run
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row a document (kind 0), with how many of its shingles others hold, and one a frequent shingle (kind 1: _row is the shingle, n its frequency)."""
-    about, owners, shared, token, df = [], [], [], [], []
-    for batch in batches:
-        for row in batch.to_pylist():
-            about.append(unpack(row, "about", _ABOUT))
-            owners.append(unpack(row, "owners", np.int64))
-            shared.append(unpack(row, "shared", np.int32))
-            token.append(unpack(row, "tokens", np.int64))
-            df.append(unpack(row, "df", np.int64))
-    if not about:
-        return
-    about, owners, shared, token, df = (np.concatenate(x) for x in (about, owners, shared, token, df))
-    who, back = np.unique(owners, return_inverse=True)
-    total = np.bincount(back, shared, len(who)).astype(np.int64)
-    at = np.minimum(np.searchsorted(who, about["row"]), max(len(who) - 1, 0))
-    got = np.where(who[at] == about["row"], total[at], 0) if len(who) else np.zeros(len(about), np.int64)
-    got = np.minimum(got, about["n"])  # rows that repeat count twice
-    k, m = len(about), len(token)
-    zeros = np.zeros(m, np.int64)
-    columns = [np.append(np.zeros(k, np.int32), np.ones(m, np.int32)).astype(np.int32), np.append(about["row"], token), np.append(about["doc"], zeros), np.append(about["n"], df)]
-    columns += [np.append(about["f1"], zeros), np.append(about["f2"], zeros), np.append(got, zeros)]
-    arrays = [pa.array(c) for c in columns]
-    arrays[2] = pa.array(columns[2], mask=np.append(about["null"] != 0, zeros != 0))
-    yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in SETS.split(", ")])
+    for rows in parts_of(batches):
+        about, owners, shared, token, df = _answered(rows)
+        who, back = np.unique(owners, return_inverse=True)
+        total = np.bincount(back, shared, len(who)).astype(np.int64)
+        at = np.minimum(np.searchsorted(who, about["row"]), max(len(who) - 1, 0))
+        got = np.where(who[at] == about["row"], total[at], 0) if len(who) else np.zeros(len(about), np.int64)
+        got = np.minimum(got, about["n"])  # rows that repeat count twice
+        k, m = len(about), len(token)
+        zeros = np.zeros(m, np.int64)
+        columns = [np.append(np.zeros(k, np.int32), np.ones(m, np.int32)).astype(np.int32), np.append(about["row"], token), np.append(about["doc"], zeros), np.append(about["n"], df)]
+        columns += [np.append(about["f1"], zeros), np.append(about["f2"], zeros), np.append(got, zeros)]
+        arrays = [pa.array(c) for c in columns]
+        arrays[2] = pa.array(columns[2], mask=np.append(about["null"] != 0, zeros != 0))
+        yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in SETS.split(", ")])
 
 
 # 2. leaves and prefixes
@@ -422,8 +455,9 @@ def classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, percent: int =
     (n, f1, f2, component_id).
     """
     buckets = parts_for(docs, BUCKET_BYTES)
-    posts = docs.mapInArrow(_posts(k, buckets), POST).repartitionById(buckets, "bucket")
-    answers = posts.mapInArrow(_frequencies(buckets), ANSWER).repartitionById(buckets, "dest")
+    subs = subs_for(docs, BUCKET_BYTES, buckets)
+    posts = in_turn(docs.mapInArrow(_posts(k, buckets), POST).repartitionById(buckets, "bucket"), _post_parts(subs), subs)
+    answers = in_turn(posts.mapInArrow(_frequencies(buckets), ANSWER).repartitionById(buckets, "dest"), _answer_parts(subs, buckets), subs)
     both = scratch.keep(answers.mapInArrow(_gather, SETS), "sets")
     sets = both.where("kind = 0").drop("kind")
     top = both.where("kind = 1").orderBy(F.desc("n"), "_row").limit(FREQUENT).select("_row")

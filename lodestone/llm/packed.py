@@ -29,6 +29,29 @@ def runs(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner[cut].astype(np.int64), np.diff(np.append(cut, len(owner))).astype(np.int32)
 
 
+def in_turn(dealt, split, subs: int):
+    """A shuffled table of packed rows whose partitions are worked on part by part.
+
+    split deals the rows of a partition to its parts (column sub); Spark's own sort, which spills, puts them in order.
+    """
+    return dealt.mapInArrow(split, f"sub int, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in dealt.schema if f.dataType.simpleString() == 'binary')}").sortWithinPartitions("sub") if subs > 1 else dealt
+
+
+def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The packed rows of each part of a partition, of the whole partition where it has no parts."""
+    rows: list[dict] = []
+    now = None
+    for batch in batches:
+        for row in batch.to_pylist():
+            if rows and row.get("sub") != now:
+                yield rows
+                rows = []
+            now = row.get("sub")
+            rows.append(row)
+    if rows:
+        yield rows
+
+
 def unpack(row: dict, name: str, kind) -> np.ndarray:
     return np.frombuffer(row[name], kind)
 

@@ -19,6 +19,8 @@ from ..session import ship
 
 #: Rows of narrow keys (16 to 80 bytes each in memory) that may go to all tasks.
 BROADCAST_ROWS = 1 << 20
+#: Partitions of a shuffle at most; larger tables have several parts to a partition, worked on one after the other.
+MOST_PARTS = 1 << 16
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -95,6 +97,11 @@ def by_keys(rows: DataFrame, keys: DataFrame, on, how: str, known: int | None =
 
 
 def parts_for(df: DataFrame, per: int) -> int:
-    """Partitions so that each holds about `per` bytes of the table, the session's number at least."""
+    """Partitions so that each holds about `per` bytes of the table, the session's number at least and MOST_PARTS at most."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(100_000, math.ceil(bytes_of(df) / per)))
+    return max(least, min(MOST_PARTS, math.ceil(bytes_of(df) / per)))
+
+
+def subs_for(df: DataFrame, per: int, parts: int) -> int:
+    """Parts of a partition so that each holds about `per` bytes of the table."""
+    return max(1, math.ceil(bytes_of(df) / per / parts))

@@ -26,8 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packed import bounds, pack_row, runs, to_batch, unpack
-from .store import Scratch, by_keys, parts_for
+from .packed import bounds, in_turn, pack_row, parts_of, runs, to_batch, unpack
+from .store import Scratch, by_keys, parts_for, subs_for
 from .text import cuts, stream, windows_of
 
 WINDOW = 35
@@ -40,99 +40,125 @@ _SCHEMA = pa.schema([("bucket", pa.int32()), *((x.split()[0], pa.binary()) for x
 _HITS = pa.schema([("dest", pa.int32()), ("owners", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())])
 
 
-def _requests(hashes: np.ndarray, ask: np.ndarray, owner: np.ndarray, place: np.ndarray, buckets: int, wide: bool) -> Iterator[dict]:
-    """Packed rows of one group.
+_SUB = pa.schema([("sub", pa.int32()), *list(_SCHEMA)[1:]])
+_HITS_SUB = pa.schema([("sub", pa.int32()), *list(_HITS)[1:]])
 
-    hashes: of all places of the group; ask: of those places that want to know whether their hash stands
-    elsewhere, with their owner and place.  Hashes that repeat within the group are known at once.
-    """
+
+def _packed(new, twice, ask, owner, place, known_owner, known_place, which, n: int, wide: bool, schema: pa.Schema) -> pa.RecordBatch:
+    """Packed rows by bucket which(hash); places that are known to repeat go anywhere."""
     kind = np.uint64 if wide else np.uint32
-    bucket_of = lambda h: ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-    new, count = np.unique(hashes, return_counts=True)
-    many = count[np.searchsorted(new, ask)] > 1
-    known_owner, known_place = owner[many], place[many]
-    ask, owner, place = ask[~many], owner[~many], place[~many]
-    b = bucket_of(new)
+    b = which(new)
     order = np.argsort(b, kind="stable")
-    new, twice, cuts = new[order].astype(kind), count[order] > 1, bounds(b[order], buckets)
-    b = bucket_of(ask)
+    new, twice, cuts = new[order].astype(kind), twice[order], bounds(b[order], n)
+    b = which(ask)
     order = np.argsort(b, kind="stable")
-    ask, owner, place, mine = ask[order].astype(kind), owner[order], place[order], bounds(b[order], buckets)
-    share = np.linspace(0, len(known_owner), buckets + 1).astype(np.int64)
-    for k in range(buckets):
-        i, j = cuts[k], cuts[k + 1]
-        p, q = mine[k], mine[k + 1]
-        s, t = share[k], share[k + 1]
-        if i == j and s == t:
+    ask, owner, place, mine = ask[order].astype(kind), owner[order], place[order].astype(np.int32), bounds(b[order], n)
+    share, rows = np.linspace(0, len(known_owner), n + 1).astype(np.int64), []
+    for k in range(n):
+        (i, j), (p, q), (s, t) = cuts[k : k + 2], mine[k : k + 2], share[k : k + 2]
+        if i == j and s == t and p == q:
             continue
         o, c = runs(owner[p:q])
         ko, kc = runs(known_owner[s:t])
         known = np.concatenate([np.array([len(ko)], np.int64).view(np.uint8), ko.view(np.uint8), kc.view(np.uint8), known_place[s:t].astype(np.int32).view(np.uint8)])
-        yield pack_row(bucket=k, probes=new[i:j], twice=np.packbits(twice[i:j]), keys=ask[p:q], owners=o, counts=c, places=place[p:q].astype(np.int32), known=known)
+        rows.append({schema.names[0]: k} | pack_row(probes=new[i:j], twice=np.packbits(twice[i:j]), keys=ask[p:q], owners=o, counts=c, places=place[p:q], known=known))
+    return to_batch(rows, schema)
+
+
+def _requests(hashes: np.ndarray, ask: np.ndarray, owner: np.ndarray, place: np.ndarray, buckets: int, wide: bool) -> pa.RecordBatch:
+    """Packed rows of one group.
+
+    hashes: of all places of the group; ask: of those places that want to know whether their hash stands
+    elsewhere, with their owner and place.  Hashes that repeat within the group are known at once.
+    """
+    new, count = np.unique(hashes, return_counts=True)
+    many = count[np.searchsorted(new, ask)] > 1
+    which = lambda h: ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+    return _packed(new, count > 1, ask[~many], owner[~many], place[~many], owner[many], place[many], which, buckets, wide, _SCHEMA)
+
+
+def _requested(rows: list[dict], wide: bool) -> tuple[np.ndarray, ...]:
+    kind, out = np.uint64 if wide else np.uint32, []
+    for row in rows:
+        p, raw = unpack(row, "probes", kind), unpack(row, "known", np.uint8)
+        n = int(raw[:8].view(np.int64)[0])
+        c = raw[8 + 8 * n : 8 + 12 * n].view(np.int32)
+        twice = np.unpackbits(unpack(row, "twice", np.uint8), count=len(p)).astype(bool)
+        owner = np.repeat(unpack(row, "owners", np.int64), unpack(row, "counts", np.int32))
+        out.append((p, twice, unpack(row, "keys", kind), owner, unpack(row, "places", np.int32), np.repeat(raw[8 : 8 + 8 * n].view(np.int64), c), raw[8 + 12 * n :].view(np.int32)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _request_parts(subs: int, wide: bool):
+    """Deals the requests of a partition to its parts, by the low bits of the hashes."""
+    which = lambda h: ((h.astype(np.uint64) & np.uint64(0xFFFFFFFF)) % np.uint64(subs)).astype(np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            for i in range(0, len(rows), 1000):
+                yield _packed(*_requested(rows[i : i + 1000], wide), which, subs, wide, _SUB)
+
+    return run
 
 
 def _answers(buckets: int, wide: bool):
     """Of all rows of some buckets: the places whose hash stands somewhere else, packed by destination of the owner."""
-    kind = np.uint64 if wide else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, dict[str, list]] = {}
-        owners, counts, places = [], [], []
-        for batch in batches:
-            for row in batch.to_pylist():
-                d = parts.setdefault(row["bucket"], {"probes": [], "twice": [], "keys": [], "owner": [], "place": []})
-                p = unpack(row, "probes", kind)
-                d["probes"].append(p)
-                d["twice"].append(np.unpackbits(unpack(row, "twice", np.uint8), count=len(p)).astype(bool))
-                d["keys"].append(unpack(row, "keys", kind))
-                d["owner"].append(np.repeat(unpack(row, "owners", np.int64), unpack(row, "counts", np.int32)))
-                d["place"].append(unpack(row, "places", np.int32))
-                raw = unpack(row, "known", np.uint8)
-                n = int(raw[:8].view(np.int64)[0])
-                c = raw[8 + 8 * n : 8 + 12 * n].view(np.int32)
-                owners.append(np.repeat(raw[8 : 8 + 8 * n].view(np.int64), c))
-                places.append(raw[8 + 12 * n :].view(np.int32))
-        for key in list(parts):
-            d = parts.pop(key)
-            probes = np.concatenate(d["probes"])
-            twice = np.concatenate(d["twice"])
+        for rows in parts_of(batches):
+            probes, twice, keys, owner, place, known_owner, known_place = _requested(rows, wide)
             again = probes[twice]
-            probes.sort()
+            probes = np.sort(probes)
             again = np.unique(np.concatenate([again, probes[1:][probes[1:] == probes[:-1]]]))
-            keys = np.concatenate(d["keys"])
-            if not len(again) or not len(keys):
-                continue
-            at = np.minimum(np.searchsorted(again, keys), len(again) - 1)
-            hit = again[at] == keys
-            owners.append(np.concatenate(d["owner"])[hit])
-            places.append(np.concatenate(d["place"])[hit])
-        owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-        place = np.concatenate(places) if places else np.zeros(0, np.int32)
-        dest = (owner.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
-        order = np.lexsort((place, owner, dest))
-        dest, owner, place = dest[order], owner[order], place[order]
-        cuts, rows = bounds(dest, buckets), []
-        for k in range(buckets):
-            i, j = cuts[k], cuts[k + 1]
-            if i < j:
-                o, counts = runs(owner[i:j])
-                rows.append(pack_row(dest=k, owners=o, counts=counts, places=place[i:j]))
-        if rows:
-            yield to_batch(rows, _HITS)
+            if len(again) and len(keys):
+                hit = again[np.minimum(np.searchsorted(again, keys), len(again) - 1)] == keys
+                owner, place = np.concatenate([known_owner, owner[hit]]), np.concatenate([known_place, place[hit]])
+            else:
+                owner, place = known_owner, known_place
+            if len(owner):
+                yield _hits(owner, place, (owner.view(np.uint64) % np.uint64(buckets)).astype(np.int32), buckets, _HITS)
+
+    return run
+
+
+def _hits(owner: np.ndarray, place: np.ndarray, to: np.ndarray, n: int, schema: pa.Schema) -> pa.RecordBatch:
+    """Packed places by bucket."""
+    order = np.lexsort((place, owner, to))
+    to, owner, place = to[order], owner[order], place[order]
+    cuts, rows = bounds(to, n), []
+    for k in range(n):
+        i, j = cuts[k], cuts[k + 1]
+        if i < j:
+            o, counts = runs(owner[i:j])
+            rows.append({schema.names[0]: k} | pack_row(owners=o, counts=counts, places=place[i:j]))
+    return to_batch(rows, schema)
+
+
+def _hit_places(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([np.repeat(unpack(r, "owners", np.int64), unpack(r, "counts", np.int32)) for r in rows]), np.concatenate([unpack(r, "places", np.int32) for r in rows])
+
+
+def _hit_parts(subs: int, buckets: int):
+    """Deals the hits of a partition to its parts, by owner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            for i in range(0, len(rows), 1000):
+                owner, place = _hit_places(rows[i : i + 1000])
+                yield _hits(owner, place, (owner.view(np.uint64) // np.uint64(buckets) % np.uint64(subs)).astype(np.int32), subs, _HITS_SUB)
 
     return run
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packed places to one row an owner: (_row, places), where places are the ends of runs of consecutive places (first, last, first, ...)."""
-    owners, places = [], []
-    for batch in batches:
-        for row in batch.to_pylist():
-            owners.append(np.repeat(unpack(row, "owners", np.int64), unpack(row, "counts", np.int32)))
-            places.append(unpack(row, "places", np.int32))
-    if not owners:
-        return
-    owner, place = np.concatenate(owners), np.concatenate(places)
+    for rows in parts_of(batches):
+        yield from _runs_of(*_hit_places(rows))
+
+
+def _runs_of(owner: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
     order = np.lexsort((place, owner))
     owner, place = owner[order], place[order]
     opens = np.append(True, (owner[1:] != owner[:-1]) | (place[1:] > place[:-1] + 1))
@@ -145,10 +171,11 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield to_batch(rows, pa.schema([("_row", pa.int64()), ("places", pa.binary())]))
 
 
-def _exchange(rows: DataFrame, buckets: int, wide: bool) -> DataFrame:
+def _exchange(rows: DataFrame, buckets: int, subs: int, wide: bool) -> DataFrame:
     """Requests to answers, one row an owner."""
-    answers = rows.repartitionById(buckets, "bucket").mapInArrow(_answers(buckets, wide), "dest int, owners binary, counts binary, places binary")
-    return answers.repartitionById(buckets, "dest").mapInArrow(_gather, "_row long, places binary")
+    asked = in_turn(rows.repartitionById(buckets, "bucket"), _request_parts(subs, wide), subs)
+    answers = asked.mapInArrow(_answers(buckets, wide), "dest int, owners binary, counts binary, places binary").repartitionById(buckets, "dest")
+    return in_turn(answers, _hit_parts(subs, buckets), subs).mapInArrow(_gather, "_row long, places binary")
 
 
 def _blocks(window: int, buckets: int):
@@ -158,10 +185,10 @@ def _blocks(window: int, buckets: int):
         all_h, ask, owner, place, n = [], [], [], [], 0
 
         def send():
-            rows = list(_requests(*(np.concatenate(x) for x in (all_h, ask, owner, place)), buckets, False))
+            given = [np.concatenate(x) for x in (all_h, ask, owner, place)]
             for x in (all_h, ask, owner, place):
                 x.clear()
-            return to_batch(rows, _SCHEMA)
+            return _requests(*given, buckets, False)
 
         for part in stream(batches):
             h, doc, at, count = windows_of(part.column("text"), size)
@@ -190,10 +217,10 @@ def _windows(window: int, buckets: int):
 
         def send():
             h = np.concatenate(all_h)
-            rows = list(_requests(h, h, np.concatenate(owner), np.concatenate(place), buckets, True))
+            given = np.concatenate(owner), np.concatenate(place)
             for x in (all_h, owner, place):
                 x.clear()
-            return to_batch(rows, _SCHEMA)
+            return _requests(h, h, *given, buckets, True)
 
         for part in stream(batches):
             h, doc, at, count = windows_of(part.column("text"), window)
@@ -233,9 +260,10 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
     """(_row, places): the starts of the windows of each keyed row that also start anywhere else, as packed int32 ends of runs (first, last, ...)."""
     buckets = parts_for(docs, BUCKET_BYTES)
-    hits = scratch.keep(_exchange(docs.select("_row", "text").mapInArrow(_blocks(window, buckets), PACKED), buckets, False), "anchors")
+    subs = subs_for(docs, BUCKET_BYTES, buckets)
+    hits = scratch.keep(_exchange(docs.select("_row", "text").mapInArrow(_blocks(window, buckets), PACKED), buckets, subs, False), "anchors")
     near = by_keys(docs.select("_row", "text"), hits, "_row", "inner").select("_row", "text", "places")
-    out = scratch.keep(_exchange(near.mapInArrow(_windows(window, buckets), PACKED), buckets, True), "repeats")
+    out = scratch.keep(_exchange(near.mapInArrow(_windows(window, buckets), PACKED), buckets, subs, True), "repeats")
     scratch.drop("anchors")
     return out
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import archives, caps, graph, jaccard, language, licenses, mixing, neighbours, packing, substring, text, toxicity
+from lodestone.llm import archives, caps, graph, jaccard, language, licenses, mixing, neighbours, packing, store, substring, text, toxicity
 from lodestone.llm.store import Scratch
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -365,6 +365,20 @@ def test_substring(spark, docs, rows, piece, monkeypatch):
     assert cleaned.where("text is not null and n_chars != length(text)").count() == 0
 
 
+def test_parts_of_a_partition_change_nothing(spark, docs, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "MOST_PARTS", 4)
+    for module in (jaccard, substring):
+        monkeypatch.setattr(module, "BUCKET_BYTES", 300)
+        monkeypatch.setattr(module, "GROUP_TOKENS" if module is jaccard else "GROUP_WORDS", 500)
+    docs.write.parquet(str(tmp_path / "docs"))
+    kept = spark.read.parquet(str(tmp_path / "docs"))
+    assert store.parts_for(kept, 300) == 4 and store.subs_for(kept, 300, 4) > 3
+    got = collections.Counter(map(tuple, jaccard.digest(kept, scratch(spark)).select("doc_id", "n_shingles", "component_id").collect()))
+    assert got == brute_components(rows)
+    cleaned = substring.remove(kept, scratch(spark))
+    assert collections.Counter((r["doc_id"], r["text"]) for r in cleaned.collect()) == brute_cut([(r[0], r[1]) for r in rows])
+
+
 # 6
 
 
