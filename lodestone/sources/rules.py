@@ -49,6 +49,14 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], "path string, content string")
 
 
+def read_json(spark: SparkSession, path: str, schema: T.StructType | T.ArrayType) -> DataFrame:
+    """The value of each JSON file in a column v; no row where the file is missing, malformed or of another kind."""
+    opens = "[" if isinstance(schema, T.ArrayType) else "{"
+    parsed = F.from_json("content", schema, {"mode": "PERMISSIVE"})
+    found = read_text(spark, path).where(F.startswith(F.ltrim("content"), F.lit(opens)) & (F.get_json_object("content", "$").isNotNull()))
+    return found.select(parsed.alias("v")).where("v is not null")
+
+
 def rules_from_text(texts: DataFrame, origin: str = "base") -> DataFrame:
     """Rules of JSON texts, in order: elements that aren't objects are dropped, the others stay; a text that isn't a list has none."""
     items = texts.select(F.posexplode(F.from_json("content", T.ArrayType(T.StringType()))).alias("ord", "item"))

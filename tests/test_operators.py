@@ -10,6 +10,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone import commands
 from lodestone.functions import dart, feedback, labels
@@ -116,6 +117,12 @@ def test_rules_from_files(spark, tmp_path):
     assert rules.found_heuristics(spark, str(tmp_path / "void.json")) is None and rules.found_heuristics(spark, str(tmp_path / "no.json")) is None
     (tmp_path / "bad.json").write_text("{")
     assert rules.load_heuristics(spark, str(tmp_path / "bad.json")) == rules.Heuristics()
+    strings = T.ArrayType(T.StringType())
+    (tmp_path / "l.json").write_text('["a", null, "b"]')
+    assert rules.read_json(spark, str(tmp_path / "l.json"), strings).first()["v"] == ["a", None, "b"]
+    for name in ("bad.json", "h.json", "missing.json"):
+        assert rules.read_json(spark, str(tmp_path / name), strings).count() == 0
+    assert rules.read_json(spark, str(tmp_path / "h.json"), rules.HEURISTICS).first()["v"]["minLength"] == 4
     (tmp_path / "m.json").write_text('{"component": "hsd", "version": "1", "files": {"baseRules": "b"}}')
     assert rules.load_manifest(spark, str(tmp_path / "m.json")).first()["files"]["baseRules"] == "b"
     (tmp_path / "data").mkdir()
