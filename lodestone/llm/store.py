@@ -36,7 +36,7 @@ class Scratch:
     """One call's tables. `keep` writes a table and reads it again; `drop` deletes those no later step needs.
 
     A result that is read lazily needs its tables, so a query's last ones stay; a caller that has written the result
-    deletes them with `close`, or with `closing` for all that were made in between.
+    deletes them with `close`, or those of all calls in between with `mark` and `close_since`.
     """
 
     _made: list[Scratch] = []
@@ -71,12 +71,14 @@ class Scratch:
         path.getFileSystem(conf).delete(path, True)
 
     @classmethod
-    def closing(cls, but: Scratch | None = None) -> None:
-        """Deletes the tables of every call made so far but one."""
-        for one in cls._made:
-            if one is not but:
-                one.close()
-        cls._made = [but] if but else []
+    def mark(cls) -> int:
+        return len(cls._made)
+
+    @classmethod
+    def close_since(cls, mark: int) -> None:
+        """Deletes the tables of the calls made since the mark."""
+        while len(cls._made) > mark:
+            cls._made.pop().close()
 
     @property
     def local(self) -> bool:
