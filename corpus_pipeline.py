@@ -54,10 +54,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     any name stay until packing, and an empty table gives no rows.  What only earlier stages needed is deleted.
     """
     scratch, docs = Scratch(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = None
+    before, mark = None, Scratch.mark()
     for name, stage in STAGES:
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
-        Scratch.closing(but=scratch)
+        Scratch.close_since(mark)
         if before:
             scratch.drop(before)
         before = name
