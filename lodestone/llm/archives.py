@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .packed import steady
 from .store import Scratch
 
 FILE_BYTES, BLOCK, LEVEL, MOST_HEAD = 64 << 20, 1 << 16, 6, 1 << 20
@@ -189,7 +190,7 @@ def write(pages: DataFrame, scratch: Scratch, folder: str, least: int = 0) -> Da
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in done]), pa.array([x for _, x in done], pa.int64())], ["path", "records"])
 
-    return scratch.keep(marked.mapInArrow(run, "path string, records long"), "files")
+    return scratch.keep(marked.mapInArrow(steady(run), "path string, records long"), "files")
 
 
 FIELDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -222,7 +223,7 @@ def read_archives(files: DataFrame, folder: str, payloads: bool = False) -> Data
                     yield table(rows)
 
     n = max(1, min(100_000, files.count()))
-    return files.repartition(n).mapInArrow(run, FIELDS + (", html string" if payloads else ""))
+    return files.repartition(n).mapInArrow(steady(run), FIELDS + (", html string" if payloads else ""))
 
 
 def round_trip(pages: DataFrame, scratch: Scratch, least: int = 0) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .graph import Forest, components
 from .neighbours import dimension, vectors
-from .packed import groups_of
+from .packed import groups_of, steady
 from .store import Scratch, parts_for
 
 COSINE, FILL, CHUNK = 0.9, 256, 1024
@@ -209,17 +209,17 @@ def digest(rows: DataFrame, scratch: Scratch, cosine: float = COSINE) -> DataFra
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("vector"), part.column("copies"), lists, pa.array(s[:, 0]), pa.array(s[:, 1])], ["key", "vector", "copies", "filters", "s0", "s1"])
 
     vector = f"vector array<{kind.simpleString()}>"
-    coded = scratch.keep(whole.select("key", "vector", "copies").mapInArrow(decode, f"key long, {vector}, copies long, filters array<long>, s0 long, s1 long"), "coded")
+    coded = scratch.keep(whole.select("key", "vector", "copies").mapInArrow(steady(decode), f"key long, {vector}, copies long, filters array<long>, s0 long, s1 long"), "coded")
     of = coded.select(F.explode("filters").alias("filter"), "key", "s0", "s1")
     large = of.groupBy("filter").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select("filter", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     dealt = of.join(scratch.keep(large, "large"), "filter", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(7)), F.col("chunks")).cast("int"))
     jobs = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).select("filter", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "key", "s0", "s1")
     order = ["filter", "i", "j"]
-    near = jobs.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(_near, "filter long, i int, j int, chunk int, key long")
+    near = jobs.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(steady(_near), "filter long, i int, j int, chunk int, key long")
     near = scratch.keep(near, "near")
     full = near.join(coded.select("key", "vector", "copies", "filters"), "key")
-    links = full.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(_pairs(cosine), "u long, v long, n long")
+    links = full.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(steady(_pairs(cosine)), "u long, v long, n long")
     links = scratch.keep(links, "links")
     degree = links.where("v is null").groupBy(F.col("u").alias("key")).agg(F.sum("n").alias("n"))
     joined = components(links.where("v is not null").select("u", "v"), scratch, "joined").select(F.col("id").alias("key"), F.col("component").alias("label"))

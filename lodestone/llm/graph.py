@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .packed import steady
 from .store import Scratch
 
 SMALL = 1 << 20
@@ -80,7 +81,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str, small: int = SMALL
     """
     now = scratch.keep(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v"), f"{name}-0")
     if now.count() <= small:
-        out = scratch.keep(now.coalesce(1).mapInArrow(_least, "id long, component long"), name)
+        out = scratch.keep(now.coalesce(1).mapInArrow(steady(_least), "id long, component long"), name)
         scratch.drop(f"{name}-0")
         return out
     mark = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()

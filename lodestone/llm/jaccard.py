@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import Forest, components
-from .packed import bounds, groups_of, in_turn, pack_row, parts_of, runs, to_batch, unpack
+from .packed import bounds, groups_of, in_turn, pack_row, parts_of, runs, steady, to_batch, unpack
 from .store import Scratch, by_keys, parts_for, subs_for
 from .substring import keyed, without
 from .text import mix, shingle_sets, stream
@@ -456,9 +456,9 @@ def classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, percent: int =
     """
     buckets = parts_for(docs, BUCKET_BYTES)
     subs = subs_for(docs, BUCKET_BYTES, buckets)
-    posts = in_turn(docs.mapInArrow(_posts(k, buckets), POST).repartitionById(buckets, "bucket"), _post_parts(subs), subs)
-    answers = in_turn(posts.mapInArrow(_frequencies(buckets), ANSWER).repartitionById(buckets, "dest"), _answer_parts(subs, buckets), subs)
-    both = scratch.keep(answers.mapInArrow(_gather, SETS), "sets")
+    posts = in_turn(docs.mapInArrow(steady(_posts(k, buckets)), POST).repartitionById(buckets, "bucket"), _post_parts(subs), subs)
+    answers = in_turn(posts.mapInArrow(steady(_frequencies(buckets)), ANSWER).repartitionById(buckets, "dest"), _answer_parts(subs, buckets), subs)
+    both = scratch.keep(answers.mapInArrow(steady(_gather), SETS), "sets")
     sets = both.where("kind = 0").drop("kind")
     top = both.where("kind = 1").orderBy(F.desc("n"), "_row").limit(FREQUENT).select("_row")
     frequent = np.sort(np.array([r[0] for r in top.collect()], np.uint64))  # FREQUENT at most
@@ -473,13 +473,13 @@ def classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, percent: int =
             yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array([s.tobytes() for s in found], pa.binary())], ["_row", "tokens"])
 
     # rows that repeat have one name and label, so they meet in every node without a comparison
-    full = by_keys(docs.select("_row", "text"), open_, "_row", "left_semi").mapInArrow(tokens, "_row long, tokens binary")
+    full = by_keys(docs.select("_row", "text"), open_, "_row", "left_semi").mapInArrow(steady(tokens), "_row long, tokens binary")
     full = scratch.keep(full, "tokens")
-    near = scratch.keep(full.mapInArrow(_keys(percent, frequent, buckets), "_row long, n int, prefix array<long>, leaf array<long>, map binary").dropDuplicates(["_row"]), "keys")
+    near = scratch.keep(full.mapInArrow(steady(_keys(percent, frequent, buckets)), "_row long, n int, prefix array<long>, leaf array<long>, map binary").dropDuplicates(["_row"]), "keys")
 
     def traverse(work: DataFrame, keys: list[str], name: str) -> DataFrame:
         dealt = work.join(full, "_row").repartition(buckets, *keys).sortWithinPartitions(*keys)
-        return scratch.keep(dealt.mapInArrow(_links(keys, percent), "u long, v long"), name)
+        return scratch.keep(dealt.mapInArrow(steady(_links(keys, percent)), "u long, v long"), name)
 
     leaves = near.select("_row", "n", F.posexplode("leaf").alias("turn", "leaf"))
     shared = leaves.groupBy("turn", "leaf").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens")).where("sets > 1").select("turn", "leaf", _chunks().alias("chunks"))
@@ -503,7 +503,7 @@ def classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, percent: int =
             small = small.unionByName(_children(inside.where("chunks > 1"), percent))
         keys = ["token", "i", "j"]
         bits = small.join(near.select("_row", "map"), "_row").repartition(buckets, *keys).sortWithinPartitions(*keys)
-        work = scratch.keep(bits.mapInArrow(_open(keys, percent), "_row long, label long, token long, i long, j long, side int"), "left")
+        work = scratch.keep(bits.mapInArrow(steady(_open(keys, percent)), "_row long, label long, token long, i long, j long, side int"), "left")
         more = traverse(work, keys, "links2")
         joined = components(links.unionByName(more), scratch, "final").select(F.col("id").alias("_row"), F.col("component").alias("label"))
     named = rep.join(joined, "_row", "left").withColumn("label", F.coalesce("label", "_row"))

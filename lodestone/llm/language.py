@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .packed import steady
 from .store import Scratch
 from .substring import without
 from .text import buffers, stream
@@ -89,7 +90,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
         for name, c in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([c.tobytes()], pa.binary())], ["lang", "counts"])
 
-    rows = sorted(texts.select("_lang", "text").repartition("_lang").mapInArrow(count, "lang string, counts binary").collect())  # ENTRIES numbers
+    rows = sorted(texts.select("_lang", "text").repartition("_lang").mapInArrow(steady(count), "lang string, counts binary").collect())  # ENTRIES numbers
     if not rows:
         return [], np.zeros((0, PLACES), np.float32)
     counts = np.array([np.frombuffer(r["counts"], np.int64) for r in rows]) + 0.5
@@ -112,7 +113,7 @@ def read_texts(rows: DataFrame, languages: list[str], table: np.ndarray) -> Data
             yield out.append_column("grams", pa.array(np.bincount(doc, minlength=n).astype(np.int64))).append_column("loglik", lists)
 
     schema = rows.drop("text").schema.add("grams", "long").add("loglik", T.ArrayType(T.DoubleType()))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(steady(run), schema)
 
 
 def identify(rows: DataFrame, languages: list[str], table: np.ndarray, scratch: Scratch) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .packed import groups_of
+from .packed import groups_of, steady
 from .store import Scratch
 
 BOOKS, WORDS, BEAM, ROUNDS = 16, 256, 2, 6
@@ -170,7 +170,7 @@ def index(rows: DataFrame, books, dim: int, scratch: Scratch, k: int = K) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(codes[:, 0].astype(np.int32)), part.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), part.column("embedding")], ["list", "vec_id", "codes", "vector"])
 
     schema = T.StructType().add("list", "integer").add("vec_id", "long").add("codes", "binary").add("vector", kind)
-    return scratch.keep(few.select("vec_id", "embedding").mapInArrow(run, schema), "index")
+    return scratch.keep(few.select("vec_id", "embedding").mapInArrow(steady(run), schema), "index")
 
 
 def search(rows: DataFrame, scratch: Scratch, k: int = K, every: int = EVERY, short: int = SHORT, probe: float = PROBE, sample: int = SAMPLE, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -237,12 +237,12 @@ def search(rows: DataFrame, scratch: Scratch, k: int = K, every: int = EVERY, sh
     at = F.array(*[F.lit(c) for c in chunks])
     g = F.col("list") % groups
     block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")
-    queries = asks.select("vec_id", "embedding", block.alias("block")).mapInArrow(deal, job)
+    queries = asks.select("vec_id", "embedding", block.alias("block")).mapInArrow(steady(deal), job)
     every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     filed = kept.select(g.alias("g"), F.pmod(F.xxhash64("vec_id", F.lit(2)), at[g]).cast("int").alias("chunk"), every_block.alias("block"), F.lit(1).alias("kind"), "list", "vec_id", "codes", "vector")
     keys = ["g", "chunk", "block"]
     met = queries.unionByName(filed).repartition(max(least, min(sum(chunks) * blocks, 1 << 15)), *keys).sortWithinPartitions(*keys, "kind", "list")
-    found = met.mapInArrow(run, "query_id long, vec_id long, score double")
+    found = met.mapInArrow(steady(run), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 

@@ -2,11 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # not this C library
+    _trim = None
+
+
+def settle() -> None:
+    """Gives freed memory back to the system; Python workers live on from task to task and would keep it."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def steady(run: Callable) -> Callable:
+    """A function for mapInArrow that settles its worker's memory at its end."""
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        settle()
+
+    return settled
+
 
 def pack_row(**columns) -> dict:
     return {k: v if isinstance(v, int) else np.ascontiguousarray(v).tobytes() for k, v in columns.items()}
@@ -34,7 +57,7 @@ def in_turn(dealt, split, subs: int):
 
     split deals the rows of a partition to its parts (column sub); Spark's own sort, which spills, puts them in order.
     """
-    return dealt.mapInArrow(split, f"sub int, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in dealt.schema if f.dataType.simpleString() == 'binary')}").sortWithinPartitions("sub") if subs > 1 else dealt
+    return dealt.mapInArrow(steady(split), f"sub int, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in dealt.schema if f.dataType.simpleString() == 'binary')}").sortWithinPartitions("sub") if subs > 1 else dealt
 
 
 def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:

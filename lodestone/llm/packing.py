@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .packed import steady
 from .store import Scratch
 from .text import _BYTE_POWERS, _SPACE, _BYTE, PIECE_BYTES, buffers, mix, pieces, stream
 
@@ -199,7 +200,8 @@ def _local(capacity: int, end: int | None, tokenizer: str | None, keep_ids: bool
             bins += len(fill)
             rows.clear()
             ids_out.clear()
-            return pa.RecordBatch.from_arrays(out, names)
+            whole = pa.RecordBatch.from_arrays(out, names)
+            return (whole.slice(i, 4096) for i in range(0, whole.num_rows, 4096))
 
         for part in stream(batches):
             ids, first = encoder.encode_pieces(part.column("text"))
@@ -215,10 +217,10 @@ def _local(capacity: int, end: int | None, tokenizer: str | None, keep_ids: bool
                         ids_out.append(bytes(body) + last)
             held += len(ids)
             if len(rows) >= NODE_ITEMS or keep_ids and held >= NODE_TOKENS:
-                yield emit()
+                yield from emit()
                 held = 0
         if rows:
-            yield emit()
+            yield from emit()
 
     return run
 
@@ -248,7 +250,7 @@ def pack(docs: DataFrame, scratch: Scratch, capacity: int = CAPACITY, end: int |
     Rows that repeat are packed each; null ids stay null; extra columns are ignored; an empty table gives none.
     """
     schema = PIECES + (", ids binary" if keep_ids else "")
-    pieces = scratch.keep(docs.select("doc_id", "text").mapInArrow(_local(capacity, end, tokenizer, keep_ids), schema), "pieces")
+    pieces = scratch.keep(docs.select("doc_id", "text").mapInArrow(steady(_local(capacity, end, tokenizer, keep_ids)), schema), "pieces")
     under = F.col("fill") < capacity - SLACK
     low = pieces.where(under).groupBy("bin").agg(F.first("fill").alias("fill"))
     tree = scratch.keep(low.select("bin", F.col("bin").alias("root"), F.lit(0).cast("long").alias("shift"), "fill"), "tree-0")

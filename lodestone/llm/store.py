@@ -21,6 +21,7 @@ from ..session import ship
 BROADCAST_ROWS = 1 << 20
 #: Partitions of a shuffle at most; larger tables have several parts to a partition, worked on one after the other.
 MOST_PARTS = 1 << 16
+RECORDS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -50,12 +51,17 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        before = self.spark.conf.get(CLEAN, None)
-        self.spark.conf.set(CLEAN, "true")  # a written step's shuffle files are of no more use
+        conf = self.spark.conf
+        # a written step's shuffle files are of no more use; batches of whole texts are held twice, so they stay small
+        now = {CLEAN: "true", RECORDS: str(min(BATCH_ROWS, int(conf.get(RECORDS))))}
+        before = {k: conf.get(k, None) for k in now}
         try:
+            for k, v in now.items():
+                conf.set(k, v)
             df.write.mode("overwrite").parquet(self.path(name))
         finally:
-            self.spark.conf.unset(CLEAN) if before is None else self.spark.conf.set(CLEAN, before)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

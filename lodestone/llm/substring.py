@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packed import bounds, in_turn, pack_row, parts_of, runs, to_batch, unpack
+from .packed import bounds, in_turn, pack_row, parts_of, runs, steady, to_batch, unpack
 from .store import Scratch, by_keys, parts_for, subs_for
 from .text import cuts, stream, windows_of
 
@@ -174,8 +174,8 @@ def _runs_of(owner: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
 def _exchange(rows: DataFrame, buckets: int, subs: int, wide: bool) -> DataFrame:
     """Requests to answers, one row an owner."""
     asked = in_turn(rows.repartitionById(buckets, "bucket"), _request_parts(subs, wide), subs)
-    answers = asked.mapInArrow(_answers(buckets, wide), "dest int, owners binary, counts binary, places binary").repartitionById(buckets, "dest")
-    return in_turn(answers, _hit_parts(subs, buckets), subs).mapInArrow(_gather, "_row long, places binary")
+    answers = asked.mapInArrow(steady(_answers(buckets, wide)), "dest int, owners binary, counts binary, places binary").repartitionById(buckets, "dest")
+    return in_turn(answers, _hit_parts(subs, buckets), subs).mapInArrow(steady(_gather), "_row long, places binary")
 
 
 def _blocks(window: int, buckets: int):
@@ -261,9 +261,9 @@ def repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFram
     """(_row, places): the starts of the windows of each keyed row that also start anywhere else, as packed int32 ends of runs (first, last, ...)."""
     buckets = parts_for(docs, BUCKET_BYTES)
     subs = subs_for(docs, BUCKET_BYTES, buckets)
-    hits = scratch.keep(_exchange(docs.select("_row", "text").mapInArrow(_blocks(window, buckets), PACKED), buckets, subs, False), "anchors")
+    hits = scratch.keep(_exchange(docs.select("_row", "text").mapInArrow(steady(_blocks(window, buckets)), PACKED), buckets, subs, False), "anchors")
     near = by_keys(docs.select("_row", "text"), hits, "_row", "inner").select("_row", "text", "places")
-    out = scratch.keep(_exchange(near.mapInArrow(_windows(window, buckets), PACKED), buckets, subs, True), "repeats")
+    out = scratch.keep(_exchange(near.mapInArrow(steady(_windows(window, buckets)), PACKED), buckets, subs, True), "repeats")
     scratch.drop("anchors")
     return out
 
@@ -298,7 +298,7 @@ def digest(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame
                 rows.append((doc, n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return _with_places(keyed(docs), scratch, window).select("doc_id", "text", "places").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _with_places(keyed(docs), scratch, window).select("doc_id", "text", "places").mapInArrow(steady(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, scratch: Scratch, window: int = WINDOW, length: str | None = "n_chars") -> DataFrame:
@@ -327,4 +327,4 @@ def remove(docs: DataFrame, scratch: Scratch, window: int = WINDOW, length: str
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 
     joined = by_keys(base.drop("doc_id", "text"), found, "_row", "left").select("_all", "places")
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(steady(run), docs.schema)

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .packed import settle
+
 WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 1 << 20
 #: A text beyond this is read in pieces of about so many bytes.
@@ -205,3 +207,4 @@ def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
 def stream(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield from chunks(batch, text, limit)
+        settle()

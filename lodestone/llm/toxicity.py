@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import Scratch
+from .packed import steady
 from .text import PUNCTUATED, Words, mix, pieces, stream
 
 SAMPLE, EPOCHS, DIMENSIONS = 20_000, 4, 1 << 20
@@ -108,8 +108,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array([at.astype(np.int32).tobytes()]), pa.array([w[at].tobytes()])], ["at", "w"])
 
-    found = rows.mapInArrow(extract, "doc_id long, toxic int, at binary")
-    found = found.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").mapInArrow(learn, "at binary, w binary").first()
+    found = rows.mapInArrow(steady(extract), "doc_id long, toxic int, at binary")
+    found = found.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").mapInArrow(steady(learn), "at binary, w binary").first()
     w = np.zeros(DIMENSIONS + 1, np.float32)
     if found:
         w[np.frombuffer(found["at"], np.int32)] = np.frombuffer(found["w"], np.float32)
@@ -142,5 +142,5 @@ def digest(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
             yield part.select(["doc_id", "held_out"]).append_column("score", pa.array(score(part.column("text"), w)))
 
     rows = docs.select("doc_id", (remainder() == 1).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    out = rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
+    out = rows.mapInArrow(steady(run), "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
