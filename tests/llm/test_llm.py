@@ -174,8 +174,7 @@ def chained(rng, groups, size, step):
     return out
 
 
-@pytest.mark.parametrize("chunk", [1000, 4])
-@pytest.mark.parametrize("frequent", [1 << 17, 0])
+@pytest.mark.parametrize("chunk, frequent", [(1000, 1 << 17), (4, 0)])
 def test_jaccard_of_drifting_families(spark, chunk, frequent, monkeypatch):
     monkeypatch.setattr(jaccard, "CHUNK_SETS", chunk)
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
@@ -702,6 +701,43 @@ def test_pipeline(spark, tmp_path, docs):
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_pieces_of_encoder_and_features(monkeypatch):
+    rng = random.Random(12)
+    column = pa.array([" ".join(rng.choice(["naïve", "idiot", "don't", "x.y", "日本語", "abc"]) for _ in range(400))])
+    e = packing.Encoder()
+    whole, (doc, at) = e.encode(column), toxicity.features(column)
+    for module in (text, packing):
+        monkeypatch.setattr(module, "PIECE_BYTES", 100)
+    cut = e.encode_pieces(column)
+    assert whole[0].tolist() == cut[0].tolist() and whole[1].tolist() == cut[1].tolist()
+    assert toxicity.features(column)[1].tolist() == np.unique(at).tolist() and not doc.any()
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(13)
+    long = " ".join(f"v{rng.randrange(10**6)}" for _ in range(600_000)) + " all rights reserved"
+    assert len(long) > text.PIECE_BYTES
+    given = [(1, long), (2, long + " end"), (3, "short text of seven words in all"), (4, " ".join(long.split()[300_000:300_040]))]
+    docs = spark.createDataFrame(given, "doc_id long, text string").withColumn("source", F.lit("s")).withColumn("lang", F.lit("en")).repartition(2)
+    got = {r["doc_id"]: r for r in jaccard.digest(docs, scratch(spark)).collect()}
+    n = len(long.split())
+    assert [got[i]["component_id"] for i in (1, 2, 3, 4)] == [1, 1, 3, 4] and got[1]["n_shingles"] == n - 4 and got[2]["n_shingles"] == n - 3
+    cut = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring.digest(docs, scratch(spark)).collect()}
+    assert cut == {1: (n, n), 2: (n + 1, n), 3: (7, 0), 4: (40, 40)}
+    packed = packing.pack(docs, scratch(spark)).groupBy("doc_id").agg(F.sum("length").alias("n"), F.count("*").alias("k"), F.max("piece").alias("p")).collect()
+    ids = packing.Encoder().encode(pa.array([t for _, t in given]))[1]
+    assert {r["doc_id"]: (r["n"], r["k"], r["p"]) for r in packed} == {i + 1: (b - a + 1, -(-(b - a + 1) // 2048), -(-(b - a + 1) // 2048) - 1) for i, (a, b) in enumerate(zip(ids[:-1].tolist(), ids[1:].tolist()))}
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 5)], "doc_id long, quality int, toxic int")
+    assert all(0 <= r["score"] <= 1 for r in toxicity.digest(docs, labels).collect())
+    scan = {r["doc_id"]: r for r in licenses.scan(docs, scratch(spark)).collect()}
+    assert (scan[1]["n_words"], scan[1]["n_base"], scan[1]["first_word"], scan[1]["labels"]) == (n, 1, n - 3, "reserved") and scan[3]["n_base"] == 0
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://a.b/").alias("url"), F.col("text").alias("html"))
+    back = {r["page_id"]: r for r in archives.round_trip(pages, scratch(spark)).collect()}
+    assert back[1]["payload_bytes"] == len(long) and back[1]["payload_digest"] == base64.b32encode(hashlib.sha1(long.encode()).digest()).decode()
+    assert language.digest(pages, docs, scratch(spark)).count() == 4
+    assert mixing.digest(docs, scratch(spark)).where("doc_id = 1").first()["size"] == n
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     for f in (packing.pack, jaccard.digest, mixing.digest, substring.digest, licenses.scan):

@@ -19,9 +19,8 @@ def rows(table):
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
-@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
-def test_oracle(spark, name, sf):
-    data, con = f"/root/testdata/{sf}", duckdb.connect()
+def test_oracle(spark, name):
+    data, con = "/root/testdata/sf0.01", duckdb.connect()
     for file in os.listdir(data):
         con.execute(f"create view {file.split('.')[0]} as select * from '{data}/{file}'")
     assert rows(QUERIES[name](spark, data).toArrow()) == rows(con.sql(SQL[name]).to_arrow_table())
