@@ -152,11 +152,11 @@ def diagnostics_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.diagnostics(events_as_findings(spark, sf_dir))
 
 
-@query(f"with {FINDINGS}, {DIAGNOSTICS} select file, count(*) as n, arg_min(message, ord) as first_message, arg_max(message, ord) as last_message from diagnostics group by file")
+@query(f"with {FINDINGS}, {DIAGNOSTICS} select file, count(*) as n, arg_min(message, ord) as first_message, arg_max(message, ord) as last_message, string_agg(concat(line0, ':', start_col, '-', end_col, ' ', severity, ' ', code), '|' order by ord) as entries from diagnostics group by file")
 def diagnostics_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = findings.by_file(findings.diagnostics(events_as_findings(spark, sf_dir)))
-    d = F.col("diagnostics")
-    return grouped.select("file", F.size(d).cast("long").alias("n"), F.element_at(d, 1)["message"].alias("first_message"), F.element_at(d, -1)["message"].alias("last_message"))
+    d, entry = F.col("diagnostics"), lambda x: F.concat(x["line0"], F.lit(":"), x["start_col"], F.lit("-"), x["end_col"], F.lit(" "), x["severity"], F.lit(" "), x["code"])
+    return grouped.select("file", F.size(d).cast("long").alias("n"), F.element_at(d, 1)["message"].alias("first_message"), F.element_at(d, -1)["message"].alias("last_message"), F.array_join(F.transform(d, entry), "|").alias("entries"))
 
 
 MESSAGES = """messages as (select event_id as id, case event_id%6 when 0 then concat('Key ',event_id,' hardcoded in literal in "ctx"') when 1 then 'Possible hardcoded secret in literal in "a" in "b"'
@@ -320,9 +320,14 @@ def heuristic_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.select("doc_id", "line", "lit_no", "context", "value", F.round("entropy", 4).alias("entropy"))
 
 
-@query(f"with {_literal_sql('pages', 'page_id', 'html')} select page_id, line, lit_no, context, value, round({ENTROPY}, 4)::double as entropy from literals where {HEURISTIC}")
+KEYED = """(select page_id, concat(html, chr(10), 'apiToken = ''q8Zr2LmX0p', page_id, ''' testKey="q8Zr2LmX0pVw7Tn"') as html from pages) p"""
+
+
+@query(f"with {_literal_sql(KEYED, 'page_id', 'html')} select page_id, line, lit_no, context, value, round({ENTROPY}, 4)::double as entropy from literals where {HEURISTIC}")
 def heuristic_scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hit = detect.match_heuristics(literals.literals(_pages(spark, sf_dir)), _H)
+    """Pages with a line of two literals put below each, one named like a secret, the other marked as harmless."""
+    line = F.concat("content", F.lit("\napiToken = 'q8Zr2LmX0p"), F.col("page_id"), F.lit("' testKey=\"q8Zr2LmX0pVw7Tn\""))
+    hit = detect.match_heuristics(literals.literals(_pages(spark, sf_dir).withColumn("content", line)), _H)
     return hit.select("page_id", "line", "lit_no", "context", "value", F.round("entropy", 4).alias("entropy"))
 
 
@@ -532,11 +537,14 @@ def cache_invalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feedback.invalidate(cache, "lib/u1")
 
 
-@query("select event_id, contains(props, 'k') and length(props) > 0 as has_snippet, event_type as issue from events")
+_PARTS = ["'" + part.replace("'", "''") + "'" for part in feedback.PROMPT.split("%s")]
+
+
+@query(f"select event_id, concat({_PARTS[0]}, event_type, {_PARTS[1]}, case when event_id%2=0 then props else '{feedback.NO_SNIPPET}' end, {_PARTS[2]}) as prompt from events")
 def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of every event, half of which have no snippet."""
     e = table(spark, sf_dir, "events")
-    p = feedback.prompt(F.col("event_type"), F.col("props"))
-    return e.select("event_id", F.contains(p, F.col("props")).alias("has_snippet"), F.trim(F.regexp_extract(p, r"Issue details:\n(.*)\n", 1)).alias("issue"))
+    return e.select("event_id", feedback.prompt(F.col("event_type"), F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise("")).alias("prompt"))
 
 
 # code metrics
