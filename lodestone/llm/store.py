@@ -53,7 +53,8 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         conf = self.spark.conf
         # a written step's shuffle files are of no more use; batches of whole texts are held twice, so they stay small
-        now = {CLEAN: "true", RECORDS: str(min(BATCH_ROWS, int(conf.get(RECORDS))))}
+        rows = int(conf.get(RECORDS))
+        now = {CLEAN: "true", RECORDS: str(min(BATCH_ROWS, rows) if rows > 0 else BATCH_ROWS)}
         before = {k: conf.get(k, None) for k in now}
         try:
             for k, v in now.items():
