@@ -6,25 +6,28 @@ effect, `findings/` the store, `user_rules/` the user's own rules.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from .operators import dashboard as board
 from .operators import detect, findings
 from .schemas import RULE
+from .shared import keep
 from .sources import files, rules
+from .sources.store import Store
 
 USER_RULES = T.StructType([*RULE.fields]).add("ord", "long")
 
 
+def _own_rules(spark: SparkSession, workspace: str) -> Store:
+    return Store(spark, f"{workspace}/user_rules", T.StructType([*USER_RULES.fields]).add("file", "string"), buckets=1)
+
+
 def user_rules(spark: SparkSession, workspace: str) -> DataFrame:
     """The user's own rules, numbered from 0; none where there are none yet."""
-    try:
-        return spark.read.schema(USER_RULES).parquet(f"{workspace}/user_rules")
-    except AnalysisException:
-        return spark.createDataFrame([], USER_RULES)
+    return _own_rules(spark, workspace).read().select(*USER_RULES.names)
 
 
 def update(spark: SparkSession, workspace: str, cached: rules.Pack, bundled: rules.Pack, remote: rules.Pack | None, now_ms: int, force: bool = False) -> rules.Pack:
@@ -52,21 +55,51 @@ def manage(spark: SparkSession, workspace: str, action: str, rule: dict | None =
     elif action != "list":
         raise ValueError(f"no action {action}")
     if action != "list":
-        files.replace(now.select(*USER_RULES.names), f"{workspace}/user_rules")
+        _own_rules(spark, workspace).replace(now.select(*USER_RULES.names, F.lit("user_rules").alias("file")))
     return user_rules(spark, workspace)
 
 
+#: The order in which a scan's findings come: files by their paths, a file's findings as `detect` numbers them.
+ORDER = ["file", "ord", "line", "column", "rule_id", "message"]
+
+
 def scan(spark: SparkSession, workspace: str, paths: str | list[str]) -> DataFrame:
-    """Scans files by the rules in effect, replaces their findings in the store and returns the issues. A missing path raises."""
-    sources = files.read_sources(spark, paths)
+    """Scans files by the rules in effect, replaces their findings in the store and returns the issues. A missing path raises.
+
+    Files are read and parsed once: the issues come from a kept table.
+    """
+    return scanned(workspace, files.read_sources(spark, paths))
+
+
+def scanned(workspace: str, sources: DataFrame, batch: tuple[str, int] | None = None) -> DataFrame:
+    """`scan` of sources (path, content); a batch that the store has already changes nothing."""
+    spark = sources.sparkSession
     known, h = rules.materialised(spark, f"{workspace}/data")
-    issues = detect.scan_sources(sources, known, h)
-    store = f"{workspace}/findings"
-    new = findings.to_findings(issues, F.col("line_length"))
-    files.write_findings(findings.upsert(files.read_findings(spark, store), new, sources.select(F.col("path").alias("file"))), store)
+    issues = keep(detect.scan_sources(sources, known, h), "issues")
+    store = files.findings_store(spark, f"{workspace}/findings")
+    store.upsert(findings.to_findings(issues, F.col("line_length")), sources.select(F.col("path").alias("file")), ORDER, batch)
     return issues
 
 
+def watch(spark: SparkSession, workspace: str, folder: str, checkpoint: str, name: str = "watch", read: dict | None = None, **trigger) -> StreamingQuery:
+    """Scans files as they arrive in a folder, micro-batch by micro-batch, into the store.
+
+    The store records each batch with its findings in one commit, so a batch that is run again after a stop changes
+    nothing: the store ends up as a scan of all files at once would leave it, but for the numbers' order.
+    """
+    stream = files.stream_sources(spark, folder, **(read or {}))
+    write = stream.writeStream.foreachBatch(lambda df, k: scanned(workspace, df, (name, k)) and None)
+    return write.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def start(spark: SparkSession, workspace: str) -> bool:
+    """The first use of a workspace in a session empties its findings, and folders of it that hold nothing go; whether this was the first."""
+    if not files.reset_once(spark, f"{workspace}/findings"):
+        return False
+    files.reset_folders(spark, f"{workspace}/out", f"{workspace}/data/rules", f"{workspace}/data/heuristics", f"{workspace}/data")
+    return True
+
+
 def dashboard(spark: SparkSession, workspace: str) -> dict[str, DataFrame]:
     """Counters, table, top lists and hotspots of the store; all of an empty one where there is none."""
     found = files.read_findings(spark, f"{workspace}/findings")

@@ -3,51 +3,32 @@
 How rules and heuristics apply is our own reconstruction: a finding for each
 literal and matching rule in rule order, and the heuristics where no rule
 matches.  Up to UNROLLED patterns become one array of hits whose patterns
-compile once; more patterns go through a broadcast join of the few literals
-that any pattern matches.  Both give the same rows, in one pass over the
-literals.
+compile once; more go through an index of the texts that their matches must
+hold.  Both give the same rows.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import finding_message, heuristic_message
-from ..sources.rules import Heuristics, compiled
+from ..sources.rules import RULES, Heuristics, compiled
+from . import rule_index
 from .literals import entropy, literals
 from .metrics import literal_metrics
 
-UNROLLED, RULES, TOGETHER = 64, 10_000, 200
+UNROLLED = 64
 HEURISTIC_ID = "HEUR.SECRET"
 NODE_KIND = "string literal"
-MATCH = "rule_id string, rule_name string, pattern string, severity string, rank int"
-HIT = ["rule_id", "rule_name", "severity", "rank"]
-
-
-def _any(patterns: list[str]) -> Column:
-    """Whether a value matches one of the patterns: patterns that can share an expression are tried TOGETHER at a time."""
-    alone = [p for p in patterns if re.search(r"\\[1-9k]|\(\?<[A-Za-z]|\\Q", p)]
-    rest = [p for p in patterns if p not in set(alone)]
-    whole = [*alone, *("|".join(f"(?:{p})" for p in rest[i : i + TOGETHER]) for i in range(0, len(rest), TOGETHER))]
-    return F.exists(F.array(*[F.rlike("value", F.lit(p)) for p in whole]), lambda x: x)
 
 
 def _hits(found: DataFrame, good: list[dict], unrolled: int = UNROLLED) -> DataFrame:
     """found with a struct _hit for each matching rule; one row with a null _hit where none matches."""
-    if len(good) > RULES:
-        raise ValueError(f"more than {RULES} rules can't be sent to every task")
     if not good:
-        return found.withColumn("_hit", F.lit(None).cast("struct<rule_id:string,rule_name:string,severity:string,rank:int>"))
-    if len(good) <= unrolled:
-        hits = [F.when(F.rlike("value", F.lit(r["pattern"])), F.struct(*[F.lit(r[c]).alias(c) for c in HIT])) for r in good]
-        return found.withColumn("_hit", F.explode_outer(F.array_compact(F.array(*hits))))
-    table = found.sparkSession.createDataFrame([tuple(r.values()) for r in good], MATCH)
-    table = table.select("pattern", F.struct(*HIT).alias("_hit"))
-    flagged = found.withColumn("_some", _any([r["pattern"] for r in good]))
-    return flagged.join(F.broadcast(table), F.expr("_some and value rlike pattern"), "left").drop("pattern", "_some")  # RULES rows at most
+        return found.withColumn("_hit", F.lit(None).cast(rule_index.HIT_TYPE))
+    all_ = rule_index.hits(found, good, unrolled)
+    return all_.select(*found.columns, F.explode_outer("_hits").alias("_hit"))
 
 
 def match_rules(found: DataFrame, rules: DataFrame, unrolled: int = UNROLLED, first_only: bool = False) -> DataFrame:

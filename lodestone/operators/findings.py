@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import intervals
 from ..schemas import JSON_NAMES
 from ..functions.labels import (
     context_of,
@@ -95,5 +96,6 @@ def by_file(diags: DataFrame) -> DataFrame:
 
 def lookup(positions: DataFrame, diags: DataFrame) -> DataFrame:
     """For each position (pos_id, file, at_line, at_col): the first diagnostic, by ord, whose range holds it (both ends included)."""
-    hit = positions.join(diags, "file").where("at_line = line0 and at_col between start_col and end_col")
-    return hit.groupBy("pos_id").agg(F.min_by(F.struct("ord", "message", "code"), "ord").alias("d")).select("pos_id", "d.*")
+    spots = positions.select("pos_id", "file", F.col("at_line").alias("line0"), "at_col")
+    hit = intervals.best(spots, diags, ["file", "line0"], "at_col", "start_col", "end_col", F.struct("ord", "message", "code"))
+    return hit.groupBy("pos_id").agg(F.min("_best").alias("d")).select("pos_id", "d.*")

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import intervals
 from ..functions.dart import parse
 from ..session import ship
 
@@ -61,6 +62,7 @@ def literal_metrics(sources: DataFrame) -> DataFrame:
 
 def enclosing(points: DataFrame, executables: DataFrame) -> DataFrame:
     """Points (file, point_id, offset) with the smallest executable (file, name, start, end) that holds them, if any."""
-    hit = points.join(executables, "file").where("offset between start and end")
-    inner = hit.groupBy("file", "point_id").agg(F.min_by(F.struct("name", "start", "end"), F.struct(F.col("end") - F.col("start"), F.col("start"))).alias("e"))
-    return points.join(inner, ["file", "point_id"], "left").select("file", "point_id", "offset", "e.name", "e.start", "e.end")
+    spans = executables.select("file", "name", "start", "end")
+    rank = F.struct((F.col("end") - F.col("start")).alias("size"), "start", "name", "end")
+    held = intervals.best(points.select("file", "point_id", "offset"), spans, ["file"], "offset", "start", "end", rank)
+    return points.join(held, ["file", "point_id", "offset"], "left").select("file", "point_id", "offset", "_best.name", "_best.start", "_best.end")

@@ -2,26 +2,43 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.findings import for_json
 from ..schemas import FINDING, JSON_NAMES
+from .store import Store
+
+
+def plain_path(uri: Column, given: str | list[str]) -> Column:
+    """A file's address as a path: percent signs decoded, and without the scheme of local files unless one was given."""
+    path = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+    schemes = any(re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", p) for p in ([given] if isinstance(given, str) else given))
+    return path if schemes else F.regexp_replace(path, "^file:/+", "/")
 
 
 def read_sources(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Files of any folders or patterns, one row each: path and content. A missing path raises, as a scan without its file must."""
-    return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    """Files of any folders or patterns, one row each: path, as it was given, and content. A missing path raises, as a scan without its file must."""
+    return spark.read.text(paths, wholetext=True).select(plain_path(F.col("_metadata.file_path"), paths).alias("path"), F.col("value").alias("content"))
+
+
+def stream_sources(spark: SparkSession, folder: str, **options) -> DataFrame:
+    """The same for files that arrive in a folder: a stream of path and content."""
+    read = spark.readStream.options(**options).option("wholetext", True)
+    return read.text(folder).select(plain_path(F.col("_metadata.file_path"), folder).alias("path"), F.col("value").alias("content"))
+
+
+def findings_store(spark: SparkSession, path: str) -> Store:
+    return Store(spark, path, FINDING)
 
 
 def read_findings(spark: SparkSession, path: str) -> DataFrame:
-    """The findings store (Parquet); empty where there is none yet."""
-    try:
-        return spark.read.schema(FINDING).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], FINDING)
+    """The findings store; empty where there is none yet."""
+    return findings_store(spark, path).read()
 
 
 def read_findings_json(spark: SparkSession, path: str) -> DataFrame:
@@ -38,25 +55,9 @@ def read_findings_json(spark: SparkSession, path: str) -> DataFrame:
     return named.withColumn("ord", F.coalesce("ord", F.monotonically_increasing_id()))
 
 
-def _path(spark: SparkSession, path: str):
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
-def replace(rows: DataFrame, path: str) -> None:
-    """Replaces a table. The new one is written beside the old and takes its place when it is whole, so it may be computed from the old."""
-    spark, new = rows.sparkSession, f"{path.rstrip('/')}.new"
-    rows.write.mode("overwrite").parquet(new)
-    fs, old = _path(spark, path)
-    fs.delete(old, True)
-    if not fs.rename(_path(spark, new)[1], old):
-        raise OSError(f"{new} could not take the place of {path}")
-    spark.catalog.refreshByPath(path)
-
-
 def write_findings(findings: DataFrame, path: str) -> None:
     """Replaces the store."""
-    replace(findings, path)
+    findings_store(findings.sparkSession, path).replace(findings)
 
 
 def write_json(findings: DataFrame, path: str) -> None:
@@ -69,6 +70,19 @@ def reset(spark: SparkSession, path: str) -> None:
     write_findings(spark.createDataFrame([], FINDING), path)
 
 
+def reset_folders(spark: SparkSession, *folders: str) -> list[str]:
+    """Removes those of the folders, and of the folders within them, that hold nothing; which of the given ones went."""
+    conf, paths = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    gone = []
+    for folder in folders:
+        where = paths(folder)
+        fs = where.getFileSystem(conf)
+        if fs.exists(where) and not fs.listStatus(where):
+            fs.delete(where, False)
+            gone.append(folder)
+    return gone
+
+
 _cleared: set[tuple[str, str]] = set()
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 from ..schemas import HEURISTICS, MANIFEST, RULE
 
+#: Rules in use at most; they are read, compiled and sent to every task.
+RULES = 100_000
 THROTTLE_MS = 12 * 60 * 60 * 1000
 POLL = "6 hours"
 
@@ -206,8 +208,10 @@ def compiled(rules: DataFrame) -> tuple[list[dict], list[dict]]:
     A closing $ becomes \\z, as the patterns' own dialect doesn't let it match before a final line break.
     """
     jvm = rules.sparkSession.sparkContext._jvm
-    good, bad = [], []
-    for k, row in enumerate(_in_order(rules.where(F.coalesce("enabled", F.lit(True)))).collect()):
+    good, bad, used = [], [], rules.where(F.coalesce("enabled", F.lit(True)))
+    if used.limit(RULES + 1).count() > RULES:
+        raise ValueError(f"more than {RULES} rules can't be sent to every task")
+    for k, row in enumerate(_in_order(used).collect()):
         pattern = re.sub(r"(?<!\\)((?:\\\\)*)\$$", r"\1\\z", row["pattern"] or "")
         rule = {"rule_id": row["id"], "rule_name": row["name"] or row["id"], "pattern": pattern, "severity": row["severity"] or "warning", "rank": k}
         try:

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from . import sessions
+from ..session import ship
 
 GAP, POLL, THROTTLE_MS = "1500 milliseconds", "6 hours", 12 * 60 * 60 * 1000
 
@@ -21,29 +20,18 @@ def debounce(edits: DataFrame, gap: str = GAP, workspace: str | None = None, lat
 
     There is one timer for a workspace, whatever the document; without a workspace column there is one at all,
     so that a stream's sessions have a single key by definition.  Works on tables and, with a watermark
-    (`lateness`), on streams.  Of equal times the greater document counts as the last.  A table is cut by hour:
-    each hour's bursts are found on their own, and only these meet in one place, to join across the cuts.
+    (`lateness`), on streams.  Of equal times the greater document counts as the last.  A table's bursts are found
+    range by range (`sessions.bursts`), so one timer's edits are shared out among any number of tasks.
     """
     rows = edits.where("ts is not null").select(F.col("ts").cast("timestamp").alias("ts"), "doc", (F.col(workspace) if workspace else F.lit("w")).alias("workspace"))
     if not edits.isStreaming:
-        return _joined(rows, gap)
+        return sessions.bursts(rows, gap)
     if lateness:
         rows = rows.withWatermark("ts", lateness)
     burst = rows.groupBy("workspace", F.session_window("ts", gap).alias("s")).agg(F.max(F.struct("ts", "doc")).alias("last"), F.count("*").alias("edits"))
     return burst.select("workspace", F.col("s.start").alias("first_ts"), F.col("last.ts").alias("last_ts"), F.col("last.doc").alias("doc"), "edits")
 
 
-def _joined(rows: DataFrame, gap: str) -> DataFrame:
-    """Bursts of a table: found hour by hour, then joined where the next begins within the gap."""
-    part = rows.groupBy("workspace", F.date_trunc("hour", "ts").alias("_hour"), F.session_window("ts", gap).alias("s"))
-    part = part.agg(F.max(F.struct("ts", "doc")).alias("last"), F.count("*").alias("edits")).select("workspace", F.col("s.start").alias("first_ts"), "last", "edits")
-    order = Window.partitionBy("workspace").orderBy("first_ts")
-    opens = F.coalesce(F.col("first_ts") > F.lag("last.ts").over(order) + F.expr(f"interval {gap}"), F.lit(True))
-    number = F.sum(F.col("_opens").cast("int")).over(order)
-    burst = part.withColumn("_opens", opens).withColumn("_n", number).groupBy("workspace", "_n").agg(F.min("first_ts").alias("first_ts"), F.max("last").alias("last"), F.sum("edits").alias("edits"))
-    return burst.select("workspace", "first_ts", F.col("last.ts").alias("last_ts"), F.col("last.doc").alias("doc"), "edits")
-
-
 def last_document(events: DataFrame, key: str | None = None) -> DataFrame:
     """The document of the latest event, for each key or at all."""
     return events.groupBy(*([key] if key else [])).agg(F.max_by("doc", F.struct("ts", "doc")).alias("doc"))
@@ -65,43 +53,60 @@ def on_save(events: DataFrame, scan: Callable[[DataFrame, int], None], checkpoin
     return saves.writeStream.foreachBatch(lambda df, k: scan(df.select("doc").distinct(), k)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def throttle(polled: DataFrame, age_ms: int = THROTTLE_MS) -> DataFrame:
-    """Which polls (key, t in epoch ms) go through: the first, and each that comes age_ms or more after the last that did.
+def throttle(polled: DataFrame, age_ms: int = THROTTLE_MS, parts: int | None = None) -> DataFrame:
+    """Which polls (key, t in epoch ms) go through: the first, and each that comes age_ms or more after the last that did; `sessions.throttled`."""
+    return sessions.throttled(polled.where("t is not null").select("key", F.col("t").cast("long").alias("t")), age_ms, parts)
+
 
-    Each key's polls are read in order, a batch at a time; only the last that went through is carried on.
+class Throttle(StatefulProcessor):
+    """`throttle` over a stream: a value state holds the last poll that went through, for as long as it can matter.
+
+    With ttl_ms a timer that went quiet loses its state that long after its last poll by the clock (it should be the age at least); `every_ms`
+    sets a processing-time timer that polls by itself, as a job that wakes up every so often does.
     """
-    ordered = polled.where("t is not null").select("key", F.col("t").cast("long").alias("t")).repartition("key").sortWithinPartitions("key", "t")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, now, last = False, None, None
-        for batch in batches:
-            keys, t = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            passed = np.zeros(len(t), bool)
-            starts = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]
-            for a, b in zip(starts, [*starts[1:], len(keys)]):
-                if not seen or keys[a] != now:
-                    seen, now, last = True, keys[a], None
-                at = a if last is None else a + int(np.searchsorted(t[a:b], last + age_ms))
-                while at < b:
-                    passed[at], last = True, int(t[at])
-                    at = max(at + 1, a + int(np.searchsorted(t[a:b], last + age_ms)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(passed)], ["key", "t", "passed"])
-
-    return ordered.mapInArrow(run, T.StructType([*ordered.schema.fields]).add("passed", "boolean"))
-
-
-def throttle_stream(polled: DataFrame, age_ms: int = THROTTLE_MS) -> DataFrame:
-    """`throttle` over a stream: the state is the time of the last poll that went through."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
+
+    def __init__(self, age_ms: int, ttl_ms: int | None = None, every_ms: int | None = None):
+        self.age, self.ttl, self.every = age_ms, ttl_ms, every_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "t long", ttlDurationMs=self.ttl)
+
+    def _through(self, key: tuple, times: list[int], kind: str) -> Iterator[pd.DataFrame]:
+        held = self.last.get() if self.last.exists() else None
+        last = held[0] if held else None
         rows = []
-        for t in sorted(t for b in batches for t in b["t"].tolist()):
-            passed = last is None or t - last >= age_ms
+        for t in times:
+            passed = last is None or t - last >= self.age
             last = t if passed else last
-            rows.append((key[0], t, passed))
+            rows.append((key[0], t, passed, kind))
         if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(rows, columns=["key", "t", "passed"])
+            self.last.update((last,))
+        yield pd.DataFrame(rows, columns=["key", "t", "passed", "kind"])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if self.every and not any(True for _ in self.handle.listTimers()):
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.every)
+        yield from self._through(key, sorted(t for b in rows for t in b["t"].tolist()), "poll")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        self.handle.registerTimer(now + self.every)
+        yield from self._through(key, [now], "timer")
+
+    def close(self) -> None:
+        pass
+
+
+def throttle_stream(polled: DataFrame, age_ms: int = THROTTLE_MS, ttl_ms: int | None = None, every_ms: int | None = None) -> DataFrame:
+    """`throttle` over a stream of polls: key, t, passed and kind (a poll of the stream, or of the timer's own).
+
+    State lives in RocksDB, so that keys needn't fit into memory; polls of one micro-batch are taken in order of time.
+    The session's state store is set to the RocksDB one, which such processors need; streams that have a checkpoint keep theirs.
+    """
+    ship(polled.sparkSession)
+    polled.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    mode = "ProcessingTime" if every_ms or ttl_ms else "None"
+    kind = polled.schema["key"].dataType.simpleString()
+    return polled.select("key", "t").groupBy("key").transformWithStateInPandas(Throttle(age_ms, ttl_ms, every_ms), f"key {kind}, t long, passed boolean, kind string", "Append", mode)
 
-    return polled.groupBy("key").applyInPandasWithState(run, "key string, t long, passed boolean", "last long", "append", GroupStateTimeout.NoTimeout)
