@@ -54,3 +54,16 @@ def cache_key(uri: Column, line: Column, character: Column) -> Column:
 def invalidate(cache: DataFrame, uri: Column | str) -> DataFrame:
     """The cache (key, feedback) without the keys that start with the address; longer addresses with that start go too."""
     return cache.where(~F.startswith(F.col("key"), F.lit(uri) if isinstance(uri, str) else uri))
+
+
+def invalidate_all(cache: DataFrame, addresses: DataFrame) -> DataFrame:
+    """The cache without the keys that start with any of many addresses (uri).
+
+    A key is looked up by its beginnings of the lengths that addresses have, so all joins are by equal texts.  An
+    empty address starts every key; null addresses start none, and a null key starts with none.
+    """
+    known = addresses.select("uri").where("uri is not null").distinct()
+    lengths = sorted(r[0] for r in known.select(F.length("uri")).distinct().collect())  # bounded by the longest address
+    each = F.explode(F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("key")))
+    starts = cache.select("key").where("key is not null").select("key", each.alias("n")).select("key", F.expr("left(key, n)").alias("uri"))
+    return cache.join(starts.join(known, "uri", "left_semi").select("key").distinct(), "key", "left_anti").select(*cache.columns)

@@ -14,111 +14,12 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.patterns import GRAM, required
 from ..shared import by_few, keep
 
-GRAM, TOGETHER = 3, 200
+TOGETHER = 200
 HIT = ["rule_id", "rule_name", "severity", "rank"]
 HIT_TYPE = "struct<rule_id:string,rule_name:string,severity:string,rank:int>"
-_PLAIN = re.compile(r"[^\\\[\](){}.*+?^$|]")
-_TIMES = re.compile(r"([*+?]|\{(\d+)(?:,\d*)?\})[?+]?")
-_CLASS = re.compile(r"\[\^?(?:[^\]\[\\&]|\\.)(?:[^\]\[\\&]|\\.)*\]", re.S)
-
-
-class Unknown(Exception):
-    """A construct that isn't read; the pattern counts as one without a required text."""
-
-
-def _best(found: list[frozenset[str]]) -> frozenset[str] | None:
-    """Of several sets that all must be met, the one whose shortest text is longest."""
-    found = [s for s in found if min(map(len, s)) >= GRAM]
-    return max(found, key=lambda s: (min(map(len, s)), -len(s)), default=None)
-
-
-def _branch(p: str, at: int) -> tuple[frozenset[str] | None, int]:
-    """The texts required by one alternative from `at` on, and where it ends."""
-    run, found = "", []
-
-    def close():
-        nonlocal run
-        if run:
-            found.append(frozenset([run]))
-        run = ""
-
-    while at < len(p) and p[at] not in "|)":
-        c, text, inner = p[at], None, None
-        if c in "^$":
-            at += 1
-            continue
-        if c == "\\":
-            if at + 1 >= len(p):
-                raise Unknown
-            e = p[at + 1]
-            at += 2
-            if e in "bBAzZG":
-                continue
-            if e in "pP" and p[at : at + 1] == "{" and "}" in p[at:]:
-                at = p.index("}", at) + 1
-            elif e.isalnum():
-                if e not in "dDwWsS":
-                    raise Unknown
-            else:
-                text = e
-        elif c == "(":
-            if p.startswith("(?", at) and not p.startswith("(?:", at):
-                raise Unknown
-            inner, at = _either(p, at + (3 if p.startswith("(?:", at) else 1))
-            if p[at : at + 1] != ")":
-                raise Unknown
-            at += 1
-        elif c == "[":
-            m = _CLASS.match(p, at)
-            if not m:
-                raise Unknown
-            at = m.end()
-        elif c == ".":
-            at += 1
-        elif _PLAIN.match(c):
-            text, at = c, at + 1
-        else:
-            raise Unknown
-        times = _TIMES.match(p, at)
-        if times:
-            at = times.end()
-        at_least = 1 if not times else {"*": 0, "?": 0, "+": 1}.get(times[1], int(times[2] or 0))
-        if text and at_least:
-            run += text
-            if times:
-                close()
-        else:
-            close()
-            if inner and at_least:
-                found.append(inner)
-    close()
-    return _best(found), at
-
-
-def _either(p: str, at: int) -> tuple[frozenset[str] | None, int]:
-    """The texts of which one is required by alternatives from `at` on."""
-    parts = []
-    while True:
-        texts, at = _branch(p, at)
-        parts.append(texts)
-        if p[at : at + 1] != "|":
-            break
-        at += 1
-    return (None if None in parts else frozenset().union(*parts)), at
-
-
-def required(pattern: str) -> frozenset[str] | None:
-    """Texts of GRAM characters or more of which every match holds at least one; nothing where none are known.
-
-    Flags, look-around, back references, quotations and nested classes are not read: such patterns have none.
-    """
-    try:
-        texts, at = _either(pattern, 0)
-        return texts if at == len(pattern) else None
-    except Unknown:
-        return None
 
 
 def grams(value: Column) -> Column:
@@ -170,9 +71,9 @@ def candidates(found: DataFrame, rules: list[dict]) -> DataFrame:
     spark = found.sparkSession
     values = found.select("_vid", F.explode(grams(F.col("value"))).alias("gram"))
     met = by_few(values, index(values, rules), "gram", "inner").select("_vid", "rank").distinct()
-    table = spark.createDataFrame([(r["rank"], r["pattern"], r["rule_id"], r["rule_name"], r["severity"]) for r in rules], "rank int, pattern string, rule_id string, rule_name string, severity string")
+    table = spark.createDataFrame([(r["rank"], r["pattern"], sorted(r["required"]), r["rule_id"], r["rule_name"], r["severity"]) for r in rules], "rank int, pattern string, texts array<string>, rule_id string, rule_name string, severity string")
     told = met.join(F.broadcast(table), "rank")  # one row a rule, which the caller bounds
-    return told.groupBy("_vid").agg(F.collect_list(F.struct("pattern", F.struct(*HIT).alias("hit"))).alias("_rules"))
+    return told.groupBy("_vid").agg(F.collect_list(F.struct("texts", "pattern", F.struct(*HIT).alias("hit"))).alias("_rules"))
 
 
 def hits(found: DataFrame, rules: list[dict], unroll: int) -> DataFrame:
@@ -191,6 +92,8 @@ def hits(found: DataFrame, rules: list[dict], unroll: int) -> DataFrame:
         kept = keep(found.withColumn("_vid", F.xxhash64("value")), "literals")
         few = keep(candidates(kept, indexed), "candidates")
         out = by_few(kept, few, "_vid", "left").drop("_vid")
-        parts.append(F.transform(F.filter("_rules", lambda x: F.rlike(F.col("value"), x["pattern"])), lambda x: x["hit"]))
+        value = F.col("value")
+        held = F.filter("_rules", lambda x: F.exists(x["texts"], lambda t: F.contains(value, t)))  # a text in whole, before a pattern is compiled
+        parts.append(F.transform(F.filter(held, lambda x: F.rlike(value, x["pattern"])), lambda x: x["hit"]))
     whole = F.concat(*[F.coalesce(p, F.array().cast(f"array<{HIT_TYPE}>")) for p in parts])
     return out.withColumn("_hits", F.array_sort(whole, lambda a, b: a["rank"] - b["rank"])).drop("_rules")

@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import commands
+from ..commands import ORDER
 from ..functions import feedback, labels
 from ..operators import dashboard, detect, findings, lines, literals, metrics
-from ..schemas import FINDING
-from ..sources import rules
+from ..schemas import FEEDBACK
+from ..shared import keep, new_folder
+from ..sources import elements, files, rules
 from ..streaming import triggers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -359,111 +362,231 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.scan(_documents(spark, sf_dir), effective).select("doc_id", "line", "lit_no", "rule_id", "severity", "message")
 
 
-#: Built from parts, so that no string here looks like a key.
-SAMPLES = [
-    (0, "AIza" + "a" * 35), (1, "AIza" + "a" * 34), (2, "AKIA" + "A" * 16), (3, "AKIA" + "a" * 16), (4, "AKIA" + "A" * 16 + "\n"), (5, "sk_live_" + "a" * 16), (6, "sk_live_" + "a" * 15),
-    (7, "x eyJ" + "a.b.c"), (8, "eyJ" + "a.b"), (9, "ghp_" + "a" * 36), (10, " ghp_" + "a" * 36), (11, "glpat-" + "a" * 20), (12, "glpat-" + "a" * 19),
+#: Values shaped like keys, some a character short or long: a head, how many hexadecimal digits follow, in which case, and a tail.
+SHAPES = [
+    ("AIza", 35, False, ""), ("AIza", 34, False, ""), ("AKIA", 16, True, ""), ("AKIA", 16, False, ""), ("AKIA", 16, True, "\n"), ("sk_live_", 16, False, ""), ("sk_live_", 15, False, ""),
+    ("x eyJ", 8, False, ".b.c"), ("eyJ", 8, False, ".b"), ("ghp_", 36, False, ""), (" ghp_", 36, False, ""), ("glpat-", 20, False, ""), ("glpat-", 19, False, ""),
 ]
-_VALUES = ", ".join("({}, '{}')".format(k, v.replace("\n", "' || chr(10) || '")) for k, v in SAMPLES)
+_SHAPE_SQL = " ".join("when {} then '{}' || {}(substr(h, 1, {})) || {}".format(k, head, "upper" if up else "lower", n, "chr(10)" if tail == "\n" else f"'{tail}'") for k, (head, n, up, tail) in enumerate(SHAPES))
+BASE_SQL = "(values " + ", ".join("('{}', '{}')".format(r[0], r[2]) for r in rules.BASE_RULES) + ") r(rule_id, pattern)"
 
 
-@query(f"select id, rule_id from (values {_VALUES}) v(id, value) join (values " + ", ".join("('{}', '{}')".format(r[0], r[2]) for r in rules.BASE_RULES) + ") r(rule_id, pattern) on regexp_matches(value, pattern)")
+@query(f"""with h as (select event_id, md5(event_id::varchar) || md5(props) as h from events), v as (select event_id as id, case event_id % {len(SHAPES)} {_SHAPE_SQL} end as value from h)
+select id, rule_id from v join {BASE_SQL} on regexp_matches(value, pattern)""")
 def base_rule_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.match_rules(spark.createDataFrame(SAMPLES, "id int, value string"), rules.base_rules(spark)).select("id", "rule_id")
+    """A value shaped like one of the keys for every event."""
+    value = F.lit(None).cast("string")
+    for k, (head, n, up, tail) in enumerate(SHAPES):
+        digits = F.substring("h", 1, n)
+        value = F.when(F.col("event_id") % len(SHAPES) == k, F.concat(F.lit(head), F.upper(digits) if up else digits, F.lit(tail))).otherwise(value)
+    h = table(spark, sf_dir, "events").select("event_id", F.concat(F.md5(F.col("event_id").cast("string")), F.md5("props")).alias("h"))
+    return detect.match_rules(h.select(F.col("event_id").alias("id"), value.alias("value")), rules.base_rules(spark)).select("id", "rule_id")
+
+
+def _dart(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
+    """A Dart source for every document: keys made from its text, and the text itself as a literal."""
+    d, n, h = table(spark, sf_dir, "documents"), F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")))
+    path = F.concat(F.lit("lib/"), F.col("lang"), F.lit("/d"), n, F.when(n % 5 == 0, "_test").otherwise(""), F.lit(".dart"))
+    parts = [
+        F.lit("// final key = 'AKIA"), F.upper(F.substring(h, 1, 16)), F.lit("';\nint f"), n, F.lit("(bool a, bool b) {\n  if (a && b) { final first = r\"AKIA"), F.upper(F.substring(h, 1, 16)),
+        F.lit("\"; }\n  send(apiToken: '"), F.substring(h, 1, 24), F.lit("');\n  return 1;\n}\nfinal gh"), n, F.lit(" = \""), F.when(n % 3 == 0, F.concat(F.lit("ghp_"), h, F.lit("0000"))).otherwise("none"), F.lit("\";\n"),
+    ]
+    body = [F.lit("final body = r\"\"\""), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit("'")), F.lit("\"\"\";\n")] if whole else []
+    return d.select(n, path.alias("path"), F.concat(*parts, *body).alias("content"))
+
+
+FOUND = f"""m as (select doc_id, 'lib/' || lang || '/d' || doc_id || case when doc_id % 5 = 0 then '_test' else '' end || '.dart' as file, md5(coalesce(text, '')) as h, replace(coalesce(text, ''), chr(34), chr(39)) as body from documents),
+lits as (select doc_id, file, 3 as line, 31 as "column", 'first' as context, 'AKIA' || upper(h[1:16]) as value, 'f' || doc_id as function_name, 3 as complexity, 1 as nesting_depth, 5 as function_loc from m
+ union all select doc_id, file, 4, 18, 'apiToken', h[1:24], 'f' || doc_id, 3, 1, 5 from m
+ union all select doc_id, file, 7, 12 + length(doc_id::varchar), 'gh' || doc_id, case when doc_id % 3 = 0 then 'ghp_' || h || '0000' else 'none' end, null, null, null, null from m
+ union all select doc_id, file, 8, 14, 'body', body, null, null, null, null from m),
+ruled as (select lits.*, r.rule_id from lits join {BASE_SQL} on regexp_matches(value, pattern)),
+found as (select * from ruled union all select lits.*, 'HEUR.SECRET' from lits where (doc_id, line) not in (select (doc_id, line) from ruled) and {HEURISTIC})"""
+
+
+@query(f'with {FOUND} select file, line, "column", rule_id, context, function_name, complexity, nesting_depth, function_loc from found')
+def scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources made of whole documents to findings with metrics: commented literals don't count, raw and triple-quoted ones do."""
+    issues = detect.scan_sources(_dart(spark, sf_dir), rules.base_rules(spark))
+    return issues.select("file", "line", "column", "rule_id", "context", "function_name", "complexity", "nesting_depth", "function_loc")
 
 
-FILES = [
-    ("lib/a.dart", 'class Api {\n  // final key = "AKIA' + "D" * 16 + '";\n  void call(bool a) {\n    final first = r"AKIA' + "C" * 16 + '", second = "AKIA' + "C" * 16 + "\";\n    if (a) { send(apiToken: 'q8Zr2LmX0pVw7Tn'); }\n  }\n}\n"),
-    ("lib/b.dart", "final testToken = 'q8Zr2LmX0pVw7Tn';\nfinal doc = \"\"\"it's\n ghp_\"\"\";\nfinal gh = 'ghp_" + "e" * 36 + "';\n"),
-    ("lib/c.dart", ""), ("lib/d.dart", None),
-]
-ISSUES = [
-    ("lib/a.dart", 4, 19, "AWS_ACCESS_KEY", "first", "call", 2, 1, 4), ("lib/a.dart", 4, 53, "AWS_ACCESS_KEY", "second", "call", 2, 1, 4),
-    ("lib/a.dart", 5, 29, "HEUR.SECRET", "apiToken", "call", 2, 1, 4), ("lib/b.dart", 4, 12, "GITHUB_TOKEN", "gh", None, None, None, None),
-]
-_LIST = lambda rows: "(values " + ", ".join("(" + ", ".join("null" if x is None else repr(x) for x in r) + ")" for r in rows) + ")"
+@query(f"""with {FOUND}, kept as (select file, line, rule_id, row_number() over (order by file, line, "column", rule_id) - 1 as ord from found),
+again as (select file, line, rule_id, row_number() over (order by file, line, "column", rule_id) - 1 + (select count(*) from kept) as ord from found where doc_id % 4 = 0 and line < 7)
+select * from kept where file not in (select file from m where doc_id % 4 in (0, 1)) union all select * from again""")
+def scan_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those findings in a store on disk, then a quarter of the files scanned again without their key, and a quarter scanned clean: numbers go on."""
+    store, issues = files.findings_store(spark, new_folder(spark, "store")), keep(detect.scan_sources(_dart(spark, sf_dir), rules.base_rules(spark)), "issues")
+    rows, sources = findings.to_findings(issues, F.col("line_length")), _dart(spark, sf_dir, False).select("doc_id", F.col("path").alias("file"))
+    store.upsert(rows, sources, ORDER)
+    quarter = sources.where("doc_id % 4 in (0, 1)")
+    store.upsert(rows.join(quarter.where("doc_id % 4 = 0").select("file"), "file", "left_semi").where("line < 7"), quarter, ORDER)
+    return store.read().select("file", "line", "rule_id", F.col("ord").cast("long").alias("ord"))
 
 
-def _issues(spark: SparkSession) -> DataFrame:
-    return detect.scan_sources(spark.createDataFrame(FILES, "path string, content string"), rules.base_rules(spark))
+TOP_FOUND = f"""numbered as (select *, row_number() over (order by file, line, "column", rule_id) - 1 as ord from found)"""
 
 
-@query(f'select * from {_LIST(ISSUES)} v(file, line, "column", rule_id, context, function_name, complexity, nesting_depth, function_loc)')
-def scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources to findings with metrics: commented literals don't count, raw and triple-quoted ones do, equal ones have columns of their own."""
-    return _issues(spark).select("file", "line", "column", "rule_id", "context", "function_name", "complexity", "nesting_depth", "function_loc")
+@query(f"with {FOUND}, {TOP_FOUND} select {NAME} as label, n from (select file, count(*) as n, min(ord) as f from numbered group by 1 order by n desc, f limit 8)")
+def scanned_top_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The top list over the engine's own findings: ties by the place in the store, whatever the partitions."""
+    return dashboard.top_counts(_stored(spark, sf_dir), F.col("file"), lambda c: labels.shorten(labels.file_name(c), 28))
 
 
-@query(f"select * from {_LIST([*[(r[0], r[1], r[3]) for r in ISSUES], ('lib/z.dart', 1, 'OLD')])} v(file, line, rule_id)")
-def scan_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Those findings put into a store that has older ones of a scanned file, of one that is clean now and of another."""
-    old = [(k, f, 1, 1, None, "OLD", "m", "warning", None, None, None, None) for k, f in enumerate(("lib/a.dart", "lib/c.dart", "lib/z.dart"))]
-    sources = spark.createDataFrame(FILES, "path string, content string")
-    store = findings.upsert(spark.createDataFrame(old, FINDING), findings.to_findings(_issues(spark), F.col("line_length")), sources.select(F.col("path").alias("file")))
-    return store.select("file", "line", "rule_id")
+@query(f"""with {FOUND}, {TOP_FOUND} select ord, coalesce(function_name,'<anonymous>') as function, {NAME} as file, nullif(line,0) as line, complexity, nesting_depth, function_loc
+from numbered where complexity>0 order by complexity desc, coalesce(nesting_depth,0) desc, ord limit 15""")
+def scanned_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dashboard.hotspots(_stored(spark, sf_dir))
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = files.findings_store(spark, new_folder(spark, "store"))
+    sources = _dart(spark, sf_dir)
+    store.upsert(findings.to_findings(detect.scan_sources(sources, rules.base_rules(spark)), F.col("line_length")), sources.select(F.col("path").alias("file")), ORDER)
+    return store.read()
+
+
+@query(f"""with {FOUND}, first as (select doc_id, doc_id % 8 as p, (row_number() over (partition by doc_id % 8 order by doc_id) - 1) * 8 as lines_before from m)
+select p, (line + lines_before)::int as line, rule_id from found join first using (doc_id) where line < 8""")
+def stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight source files, made of all documents, that arrive in a folder and are scanned as a stream, three at a time, into the store; a second run finds nothing new."""
+    root = new_folder(spark, "watched")
+    sources = _dart(spark, sf_dir, False).withColumn("p", F.col("doc_id") % 8)
+    sources.repartition(8, "p").sortWithinPartitions("p", "doc_id").select("p", "content").write.partitionBy("p").text(f"{root}/in")
+    commands.update(spark, f"{root}/ws", *[rules.Pack(rules.base_rules(spark), rules.Heuristics())] * 2, remote=None, now_ms=0)
+    for _ in range(2):
+        commands.watch(spark, f"{root}/ws", f"{root}/in/*", f"{root}/checkpoint", read={"maxFilesPerTrigger": 3}).awaitTermination()
+    return files.read_findings(spark, f"{root}/ws/findings").select(F.regexp_extract("file", "/p=([0-9]+)/", 1).cast("long").alias("p"), "line", "rule_id")
+
+
+# rules by the thousand
+
+
+_WORD_RULES = r"""w as (select distinct unnest(regexp_extract_all(text, '[a-z]{8,}')) as w from conversations),
+r as (select w, case length(w) % 4 when 0 then '^/' || w || '[.,]?$' when 1 then '(?:in|re)?' || w when 2 then '[a-z]*' || w || '(?:s|ed)?[.,]?$' else '^' || w || '|/' || w || '\b' end as pattern from w)"""
+
+
+def _word_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for every word of eight letters or more of the conversations, of four shapes."""
+    w = table(spark, sf_dir, "conversations").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{8,}"), F.lit(0))).alias("w")).distinct()
+    of, shape = F.col("w"), F.length("w") % 4
+    pattern = F.when(shape == 0, F.concat(F.lit("^/"), of, F.lit("[.,]?$"))).when(shape == 1, F.concat(F.lit("(?:in|re)?"), of)).when(shape == 2, F.concat(F.lit("[a-z]*"), of, F.lit("(?:s|ed)?[.,]?$")))
+    pattern = pattern.otherwise(F.concat(F.lit("^"), of, F.lit("|/"), of, F.lit("\\b")))
+    none = F.lit(None).cast("string")
+    return w.select(of.alias("id"), none.alias("name"), pattern.alias("pattern"), none.alias("severity"), none.alias("description"), F.lit(True).alias("enabled"))
+
+
+@query(rf"""with {_WORD_RULES}, {_literal_sql('pages', 'page_id', 'html')} select page_id, line, lit_no, w as rule_id from literals join r on regexp_matches(value, pattern)""")
+def rule_index_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thousands of patterns over all literals of the pages, by the index of the texts that they require."""
+    return detect.match_rules(literals.literals(_pages(spark, sf_dir)), _word_rules(spark, sf_dir)).select("page_id", "line", "lit_no", "rule_id")
+
+
+@query(rf"""with {_WORD_RULES}, v as (select doc_id, unnest(string_split_regex(text, '\r\n|\n|\r')) as value from documents), few as (select doc_id, value, w, pattern from v join r on contains(value, w))
+select distinct doc_id, w as rule_id from few where regexp_matches(value, pattern)""")
+def rule_index_scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same patterns over all lines of the documents."""
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\r\n|\n|\r")).alias("value"))
+    return detect.match_rules(found, _word_rules(spark, sf_dir)).select("doc_id", "rule_id").distinct()
 
 
 # rules
 
 
-PACK = '[{"id":"A","name":"a","pattern":"x","severity":"error","enabled":false},3,"s",{"id":"B","pattern":"y"},{"id":"A","pattern":"z"}]'
-BROKEN = ["[]", '{"a":1}', '[{"id":']
+_ITEM = """case event_id % 4 when 0 then '{"id":"E' || event_id || '","name":"' || event_type || '","pattern":"\\"k\\": ' || k || '\\\\}","enabled":' || (event_id % 8 = 0) || '}' when 1 then props when 2 then k else '"' || event_type || '"' end"""
+PACKS = """k as (select *, json_extract_string(props, '$.k') as k, event_id // 100 as pack, (event_id % 100)::int as ord from events),
+pack as (select case when event_id % 4 = 0 then 'E' || event_id end as id, case when event_id % 4 = 0 then event_type end as name, case when event_id % 4 = 0 then '"k": ' || k || '\\}' end as pattern, case when event_id % 4 = 0 then event_id % 8 = 0 end as enabled, ord, 'user' as origin from k where event_id % 4 < 2 and pack % 10 < 8)"""
+
+
+def _packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule packs of a hundred events each: objects with and without the fields of a rule, numbers and texts; two of ten are broken or no list."""
+    k, n = F.get_json_object("props", "$.k"), F.col("event_id")
+    rule = F.concat(F.lit('{"id":"E'), n, F.lit('","name":"'), F.col("event_type"), F.lit('","pattern":"\\"k\\": '), k, F.lit('\\\\}","enabled":'), (n % 8 == 0).cast("string"), F.lit("}"))
+    item = F.when(n % 4 == 0, rule).when(n % 4 == 1, F.col("props")).when(n % 4 == 2, k).otherwise(F.concat(F.lit('"'), F.col("event_type"), F.lit('"')))
+    pack = F.expr("event_id div 100")
+    items = table(spark, sf_dir, "events").groupBy(pack.alias("pack")).agg(F.array_sort(F.collect_list(F.struct("event_id", item.alias("item")))).alias("i"))
+    body = F.array_join(F.transform("i", lambda x: x["item"]), ",")
+    text = F.when(F.col("pack") % 10 == 8, F.concat(F.lit("["), body)).when(F.col("pack") % 10 == 9, F.concat(F.lit('{"rules":['), body, F.lit("]}"))).otherwise(F.concat(F.lit("["), body, F.lit("]")))
+    return items.select(F.concat(F.lit("p"), "pack").alias("path"), text.alias("content"))
 
 
-def _pack(spark: SparkSession) -> DataFrame:
-    texts = spark.createDataFrame([(f"p{k}", t) for k, t in enumerate([PACK, *BROKEN])], "path string, content string")
-    return rules.rules_from_text(texts, "user")
+def _pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.rules_from_text(_packs(spark, sf_dir), "user")
 
 
-@query("select * from (values ('A','x',false,0,'user'), ('B','y',null,3,'user'), ('A','z',null,4,'user')) v(id, pattern, enabled, ord, origin)")
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for every part; every third is switched off."""
+    none = F.lit(None).cast("string")
+    n = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("P"), n).alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("pattern"), none.alias("severity"), none.alias("description"), (n % 3 > 0).alias("enabled"), n.alias("ord"))
+
+
+@query(f"with {PACKS} select id, pattern, enabled, ord, origin from pack")
 def rule_pack_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pack(spark).select("id", "pattern", "enabled", "ord", "origin")
+    return _pack(spark, sf_dir).select("id", "pattern", "enabled", F.col("ord").cast("int").alias("ord"), "origin")
+
+
+@query(f"""with {PACKS} select case when pack % 10 = 8 then 'not JSON' when pack % 10 = 9 then 'not a list' when event_id % 4 >= 2 then 'not an object' end as reason, count(distinct case when pack % 10 >= 8 then pack * 100 else event_id end) as n from k group by 1""")
+def rule_pack_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many elements of the packs are rules, and how many are refused for what."""
+    return elements.counts(rules.pack_elements(_packs(spark, sf_dir)))
 
 
-@query("select * from (values ('A','user',0), ('B','user',0), ('A','user',0), " + ", ".join(f"('{r[0]}','base',1)" for r in rules.BASE_RULES) + ") v(id, origin, priority)")
+@query(f"with {PACKS} select id, 'user' as origin, 0 as priority from pack union all select 'P' || p_partkey, 'base', 1 from part")
 def effective_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.effective(_pack(spark), rules.base_rules(spark)).select("id", "origin", "priority")
+    return rules.effective(_pack(spark, sf_dir), _parts(spark, sf_dir)).select("id", "origin", "priority")
 
 
-@query("select * from (values ('user', 3, 2), ('base', 6, 6)) v(origin, rules, enabled)")
+@query(f"with {PACKS} select 'user' as origin, count(*) as rules, count(*) filter (where enabled is not false) as enabled from pack union all select 'base', count(*), count(*) filter (where p_partkey % 3 > 0) from part")
 def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.counts(rules.effective(_pack(spark), rules.base_rules(spark)))
+    return rules.counts(rules.effective(_pack(spark, sf_dir), _parts(spark, sf_dir)))
 
 
-@query("select * from (values ('B'), ('A')) v(rule_id)")
+@query(f"with {PACKS}, v as (select distinct props as value from events) select value, id as rule_id from v join pack on enabled is not false and regexp_matches(value, pattern)")
 def enabled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the pack's rules those in use: not the one that is switched off, and those without a flag."""
-    found = spark.createDataFrame([("xyz",)], "value string")
-    return detect.match_rules(found, _pack(spark)).select("rule_id")
+    """Of the packs' rules those in use and their matches: not the ones that are switched off, nor those without a pattern."""
+    values = table(spark, sf_dir, "events").select(F.col("props").alias("value")).distinct()
+    return detect.match_rules(values, _pack(spark, sf_dir).where("pattern is not null")).select("value", "rule_id")
 
 
-@query("select * from (values ('A','x'), ('C','p q')) v(id, pattern)")
+@query("select 'E' || event_id as id, event_type as pattern from events where event_id % 5 in (0, 3)")
 def rule_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(" A ", None, "x ", None, None, True), ("", None, "y", None, None, True), ("B", None, "  ", None, None, None), (None, None, "z", None, None, None), ("C", "c", " p q", "error", "", None)]
-    return rules.validate(spark.createDataFrame(rows, rules.RULE)).select("id", "pattern")
+    """Forms of which some lack an id or a pattern."""
+    n, none = F.col("event_id"), F.lit(None).cast("string")
+    id_ = F.when(n % 5 == 1, "  ").when(n % 5 == 2, none).otherwise(F.concat(F.lit(" E"), n, F.lit(" ")))
+    pattern = F.when(n % 5 == 4, "   ").otherwise(F.concat(F.col("event_type"), F.lit("  ")))
+    forms = table(spark, sf_dir, "events").select(id_.alias("id"), none.alias("name"), pattern.alias("pattern"), none.alias("severity"), F.lit("").alias("description"), F.lit(True).alias("enabled"))
+    return rules.validate(forms).select("id", "pattern")
 
 
-def _numbered(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("A", "x", True, 0), ("B", "y", None, 1), ("A", "z", None, 2)], "id string, pattern string, enabled boolean, ord int")
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a rule; ids repeat."""
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("U"), "user_id").alias("id"), F.col("event_type").alias("pattern"), (F.col("event_id") % 3 > 0).alias("enabled"), F.col("event_id").cast("int").alias("ord"))
 
 
-@query("select * from (values ('by_id','B',0), ('by_id','A',1), ('by_place','A',0), ('by_place','A',1), ('neither','A',0), ('neither','B',1), ('neither','A',2)) v(how, id, ord)")
+@query("""with first as (select min(event_id) as gone from events where user_id = 7), how as (select 'by_id' as how, gone from first union all select 'by_place', 11 union all select 'neither', null)
+select how, 'U' || user_id as id, (event_id - case when event_id > gone then 1 else 0 end)::int as ord from events, how where gone is null or event_id <> gone""")
 def rule_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _numbered(spark)
-    out = [rules.delete(r, *args).select(F.lit(how).alias("how"), "id", "ord") for how, args in (("by_id", ("A", None)), ("by_place", ("none", 1)), ("neither", ("none", 9)))]
+    r = _numbered(spark, sf_dir)
+    out = [rules.delete(r, *args).select(F.lit(how).alias("how"), "id", "ord") for how, args in (("by_id", ("U7", None)), ("by_place", ("none", 11)), ("neither", ("none", -9)))]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@query("select * from (values ('A','x',true,0), ('N','n',null,1), ('A','z',null,2), ('D','d',null,3)) v(id, pattern, enabled, ord)")
+@query("""select case when event_id = 5 then 'N' else 'U' || user_id end as id, case when event_id = 5 then 'n' else event_type end as pattern, case when event_id <> 5 then event_id % 3 > 0 end as enabled, event_id::int as ord from events
+union all select 'D' || p_partkey, p_brand, null, (p_partkey + 1 + (select max(event_id) from events))::int from part""")
 def rule_edit_add(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changed = rules.edit(_numbered(spark), 1, {"id": "N", "pattern": "n"})
-    return rules.add(changed, spark.createDataFrame([("D", "d", 0)], "id string, pattern string, ord int")).select("id", "pattern", "enabled", "ord")
+    """One of the rules edited, and every part added as a further one."""
+    changed = rules.edit(_numbered(spark, sf_dir), 5, {"id": "N", "pattern": "n"})
+    more = table(spark, sf_dir, "part").select(F.concat(F.lit("D"), "p_partkey").alias("id"), F.col("p_brand").alias("pattern"), F.col("p_partkey").cast("int").alias("ord"))
+    return rules.add(changed, more).select("id", "pattern", "enabled", "ord")
 
 
-@query("select * from (values ('1.0.0', false), ('1.0.1', true)) v(version, needs)")
+@query("select event_id, '1.' || user_id as version, '1.' || user_id is distinct from (select '1.' || min(user_id) from events) as needs from events")
 def manifest_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    local = spark.createDataFrame([("1.0.0",)], "version string")
-    return rules.needs_update(local, spark.createDataFrame([("1.0.0",), ("1.0.1",)], "version string")).select("version", "needs")
+    """A remote manifest for every event against one local version."""
+    e = table(spark, sf_dir, "events")
+    version = lambda c: F.concat(F.lit("1."), c).alias("version")
+    return rules.needs_update(e.agg(F.min("user_id").alias("u")).select(version("u")), e.select("event_id", version("user_id"))).select("event_id", "version", "needs")
 
 
 # streams, in batch
@@ -537,6 +660,31 @@ def cache_invalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feedback.invalidate(cache, "lib/u1")
 
 
+@query("""with cache as (select concat(url, ':', page_id % 50, ':', page_id % 9) as key, page_id from pages union all select concat('lib/u', event_id, ':', user_id, ':1'), event_id from events),
+gone as (select distinct url[1:12 + page_id % 20] as uri from pages where page_id % 3 = 0 union select distinct 'lib/u' || event_id || case when event_id % 2 = 0 then ':' else '' end from events where event_id % 7 = 0)
+select key, page_id::varchar as feedback from cache where not exists (select 1 from gone where starts_with(key, uri))""")
+def cache_invalidate_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache over all pages and events without the keys that start with any of thousands of addresses."""
+    pages, events = table(spark, sf_dir, "pages"), table(spark, sf_dir, "events")
+    n, e = F.col("page_id"), F.col("event_id")
+    cache = pages.select(feedback.cache_key(F.col("url"), n % 50, n % 9).alias("key"), n.cast("string").alias("feedback"))
+    cache = cache.unionByName(events.select(feedback.cache_key(F.concat(F.lit("lib/u"), e), F.col("user_id"), F.lit(1)).alias("key"), e.cast("string").alias("feedback")))
+    gone = pages.where("page_id % 3 = 0").select(F.expr("left(url, cast(12 + page_id % 20 as int))").alias("uri"))
+    gone = gone.unionByName(events.where("event_id % 7 = 0").select(F.concat(F.lit("lib/u"), e, F.when(e % 2 == 0, ":").otherwise("")).alias("uri")))
+    return feedback.invalidate_all(cache, gone)
+
+
+@query("""with r as (select event_id, event_id % 4 as kind, json_extract_string(props, '$.k')::int as k from events)
+select event_id, case kind when 0 then 'why ' || k end as why, case when kind < 1 then 'plain' end as maintainability, case kind when 1 then 'field why is not string' when 2 then 'not JSON' when 3 then 'not an object' end as reason from r""")
+def reply_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies made of all events, field by field: good ones, one with a field of another type, broken ones and lists."""
+    n, k = F.col("event_id"), F.get_json_object("props", "$.k")
+    raw = F.when(n % 4 == 0, F.concat(F.lit('{"why":"why '), k, F.lit('","maintainability":"plain"}'))).when(n % 4 == 1, F.concat(F.lit('{"why":'), k, F.lit("}")))
+    raw = raw.when(n % 4 == 2, F.concat(F.lit('{"why":'), "props")).otherwise(F.concat(F.lit("["), "props", F.lit("]")))
+    read = elements.objects(table(spark, sf_dir, "events").select("event_id", raw.alias("content")), FEEDBACK, strict=True)
+    return read.select("event_id", "value.why", "value.maintainability", "reason")
+
+
 _PARTS = ["'" + part.replace("'", "''") + "'" for part in feedback.PROMPT.split("%s")]
 
 
@@ -550,24 +698,15 @@ def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 # code metrics
 
 
-SOURCES = [
-    ("M1", 'void plain() {\n final k = "x";\n}'),
-    ("M2", 'int branchy(bool a, bool b, bool c) {\n if (a && b) {\n return k["1"];\n } else if (c) {\n return 2;\n }\n return 3;\n}'),
-    ("M3", 'String loops(List<int> xs) {\n for (final x in xs) {\n while (x > 0) {\n do { } while (x > 1);\n }\n }\n return xs.isEmpty ? "a" : "b";\n}'),
-    ("M4", 'void sw(int n) {\n try {\n switch (n) {\n case 1: break;\n case 2: break;\n default: break;\n }\n } catch (e) {\n print("x");\n }\n}'),
-    ("M5", 'void outer(List<int> xs) {\n xs.forEach((x) {\n if (x > 0 || x < -5) {\n print("in");\n }\n });\n final s = "out";\n}'),
-    ("M6", 'class A {\n final String k;\n A.named() : k = "c" {\n print("d");\n }\n String get g => "e";\n}\nfinal top = "f";'),
-]
-EXPECTED = [
-    ("M1", "x", "plain", 1, 0, 3), ("M2", "1", "branchy", 4, 2, 8), ("M3", "a", "loops", 5, 3, 8), ("M3", "b", "loops", 5, 3, 8), ("M4", "x", "sw", 4, 2, 11), ("M5", "in", "<anonymous>", 3, 1, 5),
-    ("M5", "out", "outer", 1, 0, 8), ("M6", "c", "A.named", 1, 0, 3), ("M6", "d", "A.named", 1, 0, 3), ("M6", "e", "g", 1, 0, 1), ("M6", "f", None, None, None, None),
-]
-
-
-@query("select * from (values " + ", ".join("(" + ", ".join("null" if x is None else repr(x) for x in r) + ")" for r in EXPECTED) + ") v(path, value, function_name, complexity, nesting_depth, function_loc)")
+@query("""with k as (select event_id, json_extract_string(props, '$.k')::int as k from events)
+select 'e' || event_id as path, 'v' || event_id as value, 'f' || event_id as function_name, 1 + k % 5 + k % 3 as complexity, greatest(k % 3, least(k % 5, 1)) as nesting_depth, 3 + k % 5 as function_loc from k""")
 def code_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = metrics.literal_metrics(spark.createDataFrame(SOURCES, "path string, content string"))
-    return out.select("path", "value", "function_name", "complexity", "nesting_depth", "function_loc")
+    """A function for every event, with as many branches and as deep as its k says."""
+    n, k = F.col("event_id"), F.get_json_object("props", "$.k").cast("int")
+    times = lambda text, m: F.repeat(F.lit(text), m)
+    body = F.concat(F.lit("void f"), n, F.lit("(bool a) {\n"), times("  if (a) { x(); }\n", k % 5), times("while (a) { ", k % 3), F.lit('final s = "v'), n, F.lit('";'), times(" }", k % 3), F.lit("\n}\n"))
+    sources = table(spark, sf_dir, "events").select(F.concat(F.lit("e"), n).alias("path"), body.alias("content"))
+    return metrics.literal_metrics(sources).select("path", "value", "function_name", "complexity", "nesting_depth", "function_loc")
 
 
 @query("""with x as (select distinct user_id % 40 as f, event_id % 50 as s, event_id % 50 + event_id % 17 as e from events), p as (select event_id, user_id % 40 as f, event_id % 60 as at from events)

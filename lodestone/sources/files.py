@@ -28,8 +28,8 @@ def read_sources(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def stream_sources(spark: SparkSession, folder: str, **options) -> DataFrame:
     """The same for files that arrive in a folder: a stream of path and content."""
-    read = spark.readStream.options(**options).option("wholetext", True)
-    return read.text(folder).select(plain_path(F.col("_metadata.file_path"), folder).alias("path"), F.col("value").alias("content"))
+    read = spark.readStream.options(**options).text(folder, wholetext=True)
+    return read.select(plain_path(F.col("_metadata.file_path"), folder).alias("path"), F.col("value").alias("content"))
 
 
 def findings_store(spark: SparkSession, path: str) -> Store:

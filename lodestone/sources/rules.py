@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import elements
+from ..functions.patterns import sound
 from ..schemas import HEURISTICS, MANIFEST, RULE
 
 #: Rules in use at most; they are read, compiled and sent to every task.
-RULES = 100_000
+RULES = 500_000
 THROTTLE_MS = 12 * 60 * 60 * 1000
 POLL = "6 hours"
 
@@ -59,11 +61,14 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | T.ArrayType
     return found.select(parsed.alias("v")).where("v is not null")
 
 
+def pack_elements(texts: DataFrame) -> DataFrame:
+    """All elements of packs (path, content): path, ord, value (a rule, or null), raw and the reason for which one is refused."""
+    return elements.lists(texts, RULE, strict=False)
+
+
 def rules_from_text(texts: DataFrame, origin: str = "base") -> DataFrame:
     """Rules of JSON texts, in order: elements that aren't objects are dropped, the others stay; a text that isn't a list has none."""
-    items = texts.select(F.posexplode(F.from_json("content", T.ArrayType(T.StringType()))).alias("ord", "item"))
-    items = items.where(F.startswith(F.ltrim("item"), F.lit("{"))).select("ord", F.from_json("item", RULE).alias("r"))
-    return items.select("r.*", F.lit(origin).alias("origin"), "ord")
+    return pack_elements(texts).where("reason is null").select("value.*", F.lit(origin).alias("origin"), "ord")
 
 
 def load_rules(spark: SparkSession, path: str, origin: str = "base") -> DataFrame:
@@ -215,7 +220,8 @@ def compiled(rules: DataFrame) -> tuple[list[dict], list[dict]]:
         pattern = re.sub(r"(?<!\\)((?:\\\\)*)\$$", r"\1\\z", row["pattern"] or "")
         rule = {"rule_id": row["id"], "rule_name": row["name"] or row["id"], "pattern": pattern, "severity": row["severity"] or "warning", "rank": k}
         try:
-            jvm.java.util.regex.Pattern.compile(pattern)
+            if not sound(pattern):
+                jvm.java.util.regex.Pattern.compile(pattern)
             good.append(rule)
         except Exception:  # py4j raises its own error for a pattern that Java rejects
             bad.append(rule)

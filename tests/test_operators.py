@@ -16,7 +16,7 @@ from lodestone import commands
 from lodestone.functions import dart, feedback, labels
 from lodestone.operators import dashboard, detect, findings, lines, literals, metrics
 from lodestone.plans import catalogue
-from lodestone.plans.catalogue import EXPECTED, SOURCES
+from cases import BROKEN, EXPECTED, FILES, ISSUES, PACK, SAMPLES, SOURCES
 from lodestone.schemas import FINDING
 from lodestone.sources import files, rules
 from lodestone.streaming import triggers
@@ -177,10 +177,10 @@ def test_many_rules_in_one_pass(spark):
 
 
 def test_both_plans_of_a_scan_agree(spark):
-    df = spark.createDataFrame(catalogue.FILES, "path string, content string")
+    df = spark.createDataFrame(FILES, "path string, content string")
     lexed = metrics.literal_metrics(df)
     one, two = (detect.detected(lexed, rules.base_rules(spark), unrolled=n).drop("rank") for n in (64, 0))
-    assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect())) and one.count() == len(catalogue.ISSUES)
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect())) and one.count() == len(ISSUES)
 
 
 def test_equal_literals_have_their_own_columns(spark):
@@ -191,12 +191,12 @@ def test_equal_literals_have_their_own_columns(spark):
 def test_commands(spark, tmp_path):
     ws, src = str(tmp_path / "ws"), tmp_path / "src"
     src.mkdir()
-    for name, text in catalogue.FILES[:2]:
+    for name, text in FILES[:2]:
         (src / name.split("/")[1]).write_text(text)
     pack = rules.Pack(rules.base_rules(spark), None)
     commands.update(spark, ws, rules.Pack(rules.base_rules(spark).limit(0), None), pack, None, 0)
-    assert commands.scan(spark, ws, f"{src}/*.dart").count() == len(catalogue.ISSUES)
-    assert commands.dashboard(spark, ws)["counters"].first()["total"] == len(catalogue.ISSUES)
+    assert commands.scan(spark, ws, f"{src}/*.dart").count() == len(ISSUES)
+    assert commands.dashboard(spark, ws)["counters"].first()["total"] == len(ISSUES)
     commands.manage(spark, ws, "add", {"id": "DOC", "name": "Doc", "pattern": "it's", "severity": "error"})
     assert commands.manage(spark, ws, "add", {"id": " ", "pattern": "x"}).count() == 1
     commands.update(spark, ws, pack, pack, None, 0)
