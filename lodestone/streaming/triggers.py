@@ -103,6 +103,7 @@ def throttle_stream(polled: DataFrame, age_ms: int = THROTTLE_MS, ttl_ms: int |
 
     State lives in RocksDB, so that keys needn't fit into memory; polls of one micro-batch are taken in order of time.
     The session's state store is set to the RocksDB one, which such processors need; streams that have a checkpoint keep theirs.
+    With ttl_ms or every_ms the clock drives it, so it needs a processingTime trigger: availableNow would not end.
     """
     ship(polled.sparkSession)
     polled.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
