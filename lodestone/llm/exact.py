@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .neighbours import dimension
+from .neighbours import dimension, located
 from .packed import steady
 from .store import Scratch
 
@@ -113,12 +113,6 @@ def histogram(kept: DataFrame, wave, dim: int) -> DataFrame:
     return kept.select("vec_id", "code").mapInArrow(steady(run), "query int, bin int, n long").groupBy("query", "bin").agg(F.sum("n").alias("n"))
 
 
-def located(counts: DataFrame, want: DataFrame) -> DataFrame:
-    """query, bin, above, n: the bin that holds the score looked for, how many are above it and in it."""
-    above = F.sum("n").over(Window.partitionBy("query").orderBy(F.desc("bin"))) - F.col("n")
-    return counts.join(F.broadcast(want), "query").withColumn("above", above).where("above < want and above + n >= want").select("query", "bin", "above", "n")
-
-
 def narrowed(kept: DataFrame, wave: Wave, dim: int) -> Wave:
     """The wave with the k-th scores located: each query's low end is so that few rows, or only ties, reach it."""
     spark = kept.sparkSession

@@ -3,18 +3,19 @@
 A vector is its norm times a direction; the direction is coded as a sum of one
 codeword from each of BOOKS full-dimensional codebooks, fitted to residuals of
 a bounded sample and searched with a beam.  Every row is encoded once, into a
-kept index.  Its first codeword is its list.  A query goes to the lists whose
-codewords it is nearest to; there its inner products with all codewords form a
-lookup table, a code's score is a sum of table entries times the stored norm,
-and the best-scored rows are ranked again on their original vectors in double
-precision.  Lists and queries meet as tables: a job holds some lists, or a share
-of a large one, and a block of the queries that probe them.
+kept index that is read in place: queries go to its tasks in waves of bounded
+size.  A query's inner products with all codewords form a lookup table, and a
+code's score is a sum of table entries times the stored norm.  The first pass
+counts these scores by bin and so finds, over all tasks, the score that a short
+list of the best rows reaches; the second ranks those rows again, where they
+are, on their original vectors in double precision.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +24,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .packed import groups_of, steady
+from .packed import steady
 from .store import Scratch
 
 BOOKS, WORDS, BEAM, ROUNDS = 16, 256, 2, 6
-SAMPLE, QUERY_BLOCK, JOB_ROWS = 16_384, 4096, 1 << 15
 K, EVERY = 20, 20
-#: Rows that a job ranks again for a query, and the share of all lists that a query probes.
-SHORT, PROBE = 192, 0.8
+#: Vectors that codebooks are fitted on, queries of a wave, and rows and queries that are scored at once.
+SAMPLE, WAVE, ROWS, QUERIES = 16_384, 4096, 8192, 256
+#: A query ranks again so many rows, or this share of all rows if that is more.
+SHORT, SHARE = 1024, 0.02
+BINS = 1024
 
 
 def vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,48 +104,24 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
     return codes[np.arange(n), best].reshape(n, m)
 
 
-def probes(queries: np.ndarray, first: np.ndarray, share: float) -> np.ndarray:
-    """(queries, lists) marks: the share of lists whose codewords have the largest inner products with each query."""
-    n = max(1, math.ceil(share * len(first)))
-    near = queries.astype(np.float32) @ first.T
-    out = np.zeros(near.shape, bool)
-    np.put_along_axis(out, np.argpartition(-near, n - 1, 1)[:, :n] if n < len(first) else np.broadcast_to(np.arange(len(first)), near.shape), True, 1)
-    return out
+def tables(queries: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Inner products of all codewords and queries: (books, words, queries)."""
+    return np.einsum("mwd,qd->mwq", books, queries.astype(np.float32))
 
 
-def ranked(queries: np.ndarray, names: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: np.ndarray, k: int, short: int, probe: float):
-    """For each query the k best of its short list among rows of the lists it probes: (query, id, exact inner product) arrays.
+def scored(codes: np.ndarray, norms: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Scores (rows, queries) of coded rows by table lookup."""
+    total = table[0][codes[:, 0]]
+    for m in range(1, len(table)):
+        total += table[m][codes[:, m]]
+    total *= norms[:, None]
+    return total
 
-    Rows are sorted by their first codeword.
-    """
-    q32, out = queries.astype(np.float32), ([], [], [])
-    lists, starts = np.unique(codes[:, 0], return_index=True)
-    stops = np.append(starts[1:], len(codes))
-    marks = probes(queries, books[0], probe)
-    for a in range(0, len(queries), 256):
-        table = np.einsum("mwd,qd->mwq", books, q32[a : a + 256])
-        score = np.full((table.shape[2], len(ids)), -np.inf, np.float32)
-        for word, i, j in zip(lists.tolist(), starts.tolist(), stops.tolist()):
-            who = np.flatnonzero(marks[a : a + 256, word])
-            if not len(who):
-                continue
-            part = table[:, :, who]
-            total = np.repeat(part[0][word][None], j - i, 0)
-            for m in range(1, len(books)):
-                total += part[m][codes[i:j, m]]
-            total *= norms[i:j, None]
-            score[who, i:j] = total.T
-        n = min(short + 1, len(ids))  # one more: the query's own row drops out
-        best = np.argpartition(score, len(ids) - n, 1)[:, len(ids) - n :] if n < len(ids) else np.broadcast_to(np.arange(n), score.shape)
-        for j in range(len(score)):
-            rows = best[j]
-            rows = rows[(ids[rows] != names[a + j]) & (score[j, rows] > -np.inf)]
-            exact = x[rows] @ queries[a + j]
-            top = np.lexsort((ids[rows], -exact))[:k]
-            out[0].append(np.full(len(top), names[a + j]))
-            out[1].append(ids[rows[top]])
-            out[2].append(exact[top])
-    return [np.concatenate(v) if v else np.zeros(0) for v in out]
+
+def located(counts: DataFrame, want: DataFrame) -> DataFrame:
+    """query, bin, above, n: the bin that holds the score looked for, how many are above it and in it."""
+    above = F.sum("n").over(Window.partitionBy("query").orderBy(F.desc("bin"))) - F.col("n")
+    return counts.join(F.broadcast(want), "query").withColumn("above", above).where("above < want and above + n >= want").select("query", "bin", "above", "n")
 
 
 def codebooks(rows: DataFrame, dim: int, sample: int) -> np.ndarray:
@@ -153,98 +132,142 @@ def codebooks(rows: DataFrame, dim: int, sample: int) -> np.ndarray:
 
 
 def index(rows: DataFrame, books, dim: int, scratch: Scratch, k: int = K) -> DataFrame:
-    """The kept index: list, vec_id, codes, vector and rank of every row that takes part.
+    """The kept index: vec_id, codes, norm and vector of every row that takes part.
 
-    rank numbers the rows of one and the same vector by id: beyond the k + 1 smallest none can be in a result.
+    Of the rows of one and the same vector those with the k + 1 smallest ids are kept; no other can be in a result.
     """
     kind = rows.schema["embedding"].dataType
     rank = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
-    few = rows.where(F.size("embedding") == dim).select("vec_id", "embedding", rank.alias("rank")).where((F.col("rank") <= k + 1))
+    few = rows.select("vec_id", "embedding", rank.alias("rank")).where(F.col("rank") <= k + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
                 keep, x = vectors(part.column("embedding"), dim)
-                codes = encode(x / np.linalg.norm(x, axis=1, keepdims=True), books.value) if len(x) else np.zeros((0, BOOKS), np.uint8)
+                norms = np.linalg.norm(x, axis=1)
+                codes = encode(x / norms[:, None], books.value) if len(x) else np.zeros((0, BOOKS), np.uint8)
                 part = part.take(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([pa.array(codes[:, 0].astype(np.int32)), part.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), part.column("embedding")], ["list", "vec_id", "codes", "vector"])
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), part.column("embedding")], ["vec_id", "codes", "norm", "vector"])
 
-    schema = T.StructType().add("list", "integer").add("vec_id", "long").add("codes", "binary").add("vector", kind)
+    schema = T.StructType().add("vec_id", "long").add("codes", "binary").add("norm", "double").add("vector", kind)
     return scratch.keep(few.select("vec_id", "embedding").mapInArrow(steady(run), schema), "index")
 
 
-def search(rows: DataFrame, scratch: Scratch, k: int = K, every: int = EVERY, short: int = SHORT, probe: float = PROBE, sample: int = SAMPLE, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+@dataclass
+class Wave:
+    """Some queries: ids, vectors, the ends of their scores' range, and the bin from which rows are ranked again."""
+
+    ids: np.ndarray
+    x: np.ndarray
+    reach: np.ndarray
+    low: np.ndarray
+
+    def bins(self, at: slice, score: np.ndarray) -> np.ndarray:
+        """Bins (rows, queries) of scores; what is beyond the range, by the codes' error, goes to the first or last one."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            place = (score / self.reach[at].astype(np.float32) + np.float32(1)) * np.float32(BINS / 2)
+        return np.clip(np.nan_to_num(place, nan=0.0), 0, BINS - 1).astype(np.int32)
+
+
+def blocks(batches: Iterator[pa.RecordBatch], wave: Wave, books: np.ndarray) -> Iterator[tuple[slice, pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Queries, rows, ids and bins (rows, queries) of some rows and queries at a time; -1 at a query's own row."""
+    for batch in batches:
+        for part in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
+            ids = part.column("vec_id").to_numpy()
+            codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
+            norms = part.column("norm").to_numpy().astype(np.float32)
+            for a in range(0, len(wave.ids), QUERIES):
+                at = slice(a, min(a + QUERIES, len(wave.ids)))
+                bins = wave.bins(at, scored(codes, norms, tables(wave.x[at], books)))
+                own = np.flatnonzero(np.isin(wave.ids[at], ids))
+                for j in own.tolist():
+                    bins[ids == wave.ids[a + j], j] = -1
+                yield at, part, ids, bins
+
+
+def counted(kept: DataFrame, wave, books, short: int) -> DataFrame:
+    """query, bin, n: how many rows score in each bin, from the top down to where a task alone fills the short list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w: Wave = wave.value
+        count, floor = np.zeros((len(w.ids), BINS), np.int32), np.zeros(len(w.ids), np.int32)
+        for at, _, _, bins in blocks(batches, w, books.value):
+            r, q = np.nonzero(bins >= floor[at])
+            n = at.stop - at.start
+            count[at] += np.bincount(q * BINS + bins[r, q], minlength=n * BINS).reshape(n, BINS)
+            full = np.cumsum(count[at, ::-1], 1) >= short
+            floor[at] = np.where(full.any(1), BINS - 1 - full.argmax(1), 0)
+        count *= np.arange(BINS) >= floor[:, None]
+        q, bins = np.nonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(bins, pa.int32()), pa.array(count[q, bins], pa.int64())], ["query", "bin", "n"])
+
+    return kept.select("vec_id", "codes", "norm").mapInArrow(steady(run), "query int, bin int, n long").groupBy("query", "bin").agg(F.sum("n").alias("n"))
+
+
+def reranked(kept: DataFrame, wave, books, dim: int, k: int) -> DataFrame:
+    """query_id, vec_id, score: of the rows on a query's short list a task's k best by exact inner product."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w: Wave = wave.value
+        held, n = [], 0
+        for at, part, ids, bins in blocks(batches, w, books.value):
+            r, q = np.nonzero(bins >= w.low[at])
+            if not len(r):
+                continue
+            x = part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), dim)
+            for a in range(0, len(r), 1 << 16):
+                b = slice(a, a + (1 << 16))
+                held.append((w.ids[at][q[b]], ids[r[b]], np.einsum("nd,nd->n", x[r[b]], w.x[at][q[b]])))
+            n += len(r)
+            if n > 1 << 20:
+                held, n = [_top(held, k)], 0
+        if held:
+            query, ids, score = _top(held, k)
+            yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(ids, pa.int64()), pa.array(score)], ["query_id", "vec_id", "score"])
+
+    return kept.mapInArrow(steady(run), "query_id long, vec_id long, score double")
+
+
+def search(rows: DataFrame, scratch: Scratch, k: int = K, every: int = EVERY, short: int | None = None, sample: int = SAMPLE, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, the k rows of largest inner product.
 
     The codebooks are fitted on `sample` vectors at most, those whose ids have the least hashes; every row is
-    encoded and searched.  Vectors that are null, zero, of an unusual dimension or hold null or non-finite
-    components take no part, and rows without an id neither.  Ties go to the smaller id; rows that repeat an id
-    are candidates each, but not for their own id.  An empty table gives no rows; extra columns are ignored.
+    encoded and scored.  Vectors that are null, zero, of an unusual dimension or hold null or non-finite
+    components take no part, and rows without an id neither.  Ties go to the smaller id.  Rows that repeat an id
+    count once, with the smallest of their vectors that take part, so a query has one list of distinct ids.
+    An empty table gives no rows; extra columns are ignored.  A query ranks again `short` rows over all tasks, or the
+    few more that share the last bin of scores.  The number of partitions changes no result.
     """
     spark = rows.sparkSession
     rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("embedding")).where("vec_id is not null")
     dim = dimension(rows, "embedding")
+    result = "query_id long, rank int, vec_id long, score double"
+    usable = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
+    once = rows.where(F.size("embedding") == dim).where(usable).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    rows = scratch.keep(once, "vectors")
+    number = rows.where(F.col("vec_id") % every == 0).count()
+    if not dim or not number:
+        return spark.createDataFrame([], result)
     books = spark.sparkContext.broadcast(codebooks(rows, dim, sample))
     kept = index(rows, books, dim, scratch, k)
-    sizes = dict(kept.groupBy("list").count().collect())  # WORDS rows at most
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = min(WORDS, max(1, -(-sum(sizes.values()) // JOB_ROWS), least))
-    held = [sum(n for word, n in sizes.items() if word % groups == g) for g in range(groups)]
-    chunks = [max(1, -(-n // JOB_ROWS)) for n in held]
-    asks = rows.where(F.col("vec_id") % every == 0).where(F.size("embedding") == dim)
-    blocks = max(1, -(-asks.count() // QUERY_BLOCK))
-    job = T.StructType().add("g", "integer").add("chunk", "integer").add("block", "integer").add("kind", "integer").add("list", "integer").add("vec_id", "long").add("codes", "binary").add("vector", rows.schema["embedding"].dataType)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each job that a query goes to."""
-        for batch in batches:
-            for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
-                keep, q = vectors(part.column("embedding"), dim)
-                marks = probes(q, books.value[0], probe) if len(q) else np.zeros((0, WORDS), bool)
-                to = [[(g, c) for g in range(groups) if row[g::groups].any() for c in range(chunks[g])] for row in marks]
-                n = np.array([len(t) for t in to], np.int64)
-                flat = np.array([p for t in to for p in t], np.int32).reshape(-1, 2)
-                out = part.take(pa.array(np.repeat(keep, n)))
-                m = len(flat)
-                zeros, none = np.zeros(m, np.int32), pa.nulls(m, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1]), out.column("block").cast(pa.int32()), pa.array(zeros), pa.array(zeros - 1), out.column("vec_id"), none, out.column("embedding")], job.names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list = []
-        held_ = 0
-
-        def send():
-            query, ids, score = _top(best, k)
-            best.clear()
-            return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(ids, pa.int64()), pa.array(score)], ["query_id", "vec_id", "score"])
-
-        for t in groups_of(batches, ["g", "chunk", "block"]):
-            n = int((t.column("kind").to_numpy() == 0).sum())
-            if not 0 < n < t.num_rows:
-                continue
-            (_, q), (_, x) = vectors(t.column("vector").slice(0, n), dim), vectors(t.column("vector").slice(n), dim)
-            codes = np.frombuffer(b"".join(t.column("codes").slice(n).to_pylist()), np.uint8).reshape(len(x), -1)
-            ids = t.column("vec_id").to_numpy()
-            found = ranked(q, ids[:n], ids[n:], x, codes, np.linalg.norm(x, axis=1).astype(np.float32), books.value, k, short, probe)
-            best.append(found)
-            held_ += len(found[0])
-            if held_ > 200_000:
-                yield send()
-                held_ = 0
-        if best:
-            yield send()
-
-    at = F.array(*[F.lit(c) for c in chunks])
-    g = F.col("list") % groups
-    block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")
-    queries = asks.select("vec_id", "embedding", block.alias("block")).mapInArrow(steady(deal), job)
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    filed = kept.select(g.alias("g"), F.pmod(F.xxhash64("vec_id", F.lit(2)), at[g]).cast("int").alias("chunk"), every_block.alias("block"), F.lit(1).alias("kind"), "list", "vec_id", "codes", "vector")
-    keys = ["g", "chunk", "block"]
-    met = queries.unionByName(filed).repartition(max(least, min(sum(chunks) * blocks, 1 << 15)), *keys).sortWithinPartitions(*keys, "kind", "list")
-    found = met.mapInArrow(steady(run), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    size, longest = kept.agg(F.count("*"), F.max("norm")).first()
+    short = max(k, short or max(SHORT, math.ceil(SHARE * size)))
+    waves = math.ceil(1.25 * number / WAVE) if number > WAVE else 1
+    for n in range(waves):
+        t = rows.where((F.col("vec_id") % every == 0) & (F.pmod(F.xxhash64("vec_id"), F.lit(waves)) == n)).toArrow()  # WAVE rows, but for chance
+        _, x = vectors(t.column("embedding"), dim)
+        wave = Wave(t.column("vec_id").to_numpy(), x, np.linalg.norm(x, axis=1) * longest, np.zeros(len(x), np.int32))
+        sent = spark.sparkContext.broadcast(wave)
+        want = spark.createDataFrame(pa.table({"query": pa.array(np.arange(len(x)), pa.int32()), "want": pa.array(np.full(len(x), short))}))
+        found = located(counted(kept, sent, books, short), want).toArrow()  # a row a query; those without one rank all rows again
+        wave.low[found.column("query").to_numpy()] = found.column("bin").to_numpy()
+        sent.destroy()
+        sent = spark.sparkContext.broadcast(wave)
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        best = reranked(kept, sent, books, dim, k).select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+        scratch.keep(best, f"found/wave={n}")
+        sent.destroy()
+    return spark.read.schema(result).parquet(*[scratch.path(f"found/wave={n}") for n in range(waves)])
 
 
 def _top(parts: list, k: int) -> list[np.ndarray]:

@@ -495,14 +495,15 @@ def test_neighbours(spark):
     assert set(got.query_id) == set(range(0, 400, 20))
     assert recall(x, got) >= 0.9
     assert neighbours.search(df.limit(0), scratch(spark)).count() == 0
-    few = neighbours.search(df.where("vec_id < 5"), scratch(spark), probe=1.0).toPandas()
+    few = neighbours.search(df.where("vec_id < 5"), scratch(spark)).toPandas()
     assert sorted(few.vec_id) == [1, 2, 3, 4]
 
 
 def test_neighbours_by_short_lists(spark, monkeypatch):
-    """Short lists of 2 % of the rows of few jobs, several query blocks and shared lists; without the codes nothing would be found."""
-    monkeypatch.setattr(neighbours, "JOB_ROWS", 4000)
-    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 250)
+    """Short lists of half a per cent of the rows, several waves and blocks; without the codes nothing would be found."""
+    monkeypatch.setattr(neighbours, "WAVE", 250)
+    monkeypatch.setattr(neighbours, "ROWS", 1500)
+    monkeypatch.setattr(neighbours, "QUERIES", 90)
     rng = np.random.default_rng(3)
     x = rng.standard_normal((10_000, 24))
     x[7000:7030] = x[7000]
@@ -516,12 +517,30 @@ def test_neighbours_by_short_lists(spark, monkeypatch):
     norms = np.linalg.norm(x, axis=1)
     for encode, least, most in ((real, 0.9, 1.0), (neighbours.encode, 0.0, 0.3)):
         codes = encode(x / norms[:, None], books)
-        order = np.argsort(codes[:, 0], kind="stable")
-        query, ids, _ = neighbours.ranked(x[:100], np.arange(100), order, x[order], codes[order], norms[order].astype(np.float32), books, 20, 100, 1.0)
-        hits = [len(set(ids[query == q].tolist()) & set(np.argsort(-np.where(np.arange(len(x)) == q, -np.inf, x @ x[q]))[:20].tolist())) for q in range(100)]
+        score = neighbours.scored(codes, norms.astype(np.float32), neighbours.tables(x[:100], books))
+        score[np.arange(100), np.arange(100)] = -np.inf
+        best = [sorted(np.argsort(-score[:, q])[:100].tolist(), key=lambda i, q=q: (-(x[i] @ x[q]), i))[:20] for q in range(100)]
+        hits = [len(set(best[q]) & set(np.argsort(-np.where(np.arange(len(x)) == q, -np.inf, x @ x[q]))[:20].tolist())) for q in range(100)]
         assert least <= np.mean(hits) / 20 <= most
 
 
+@pytest.mark.parametrize("parts", [1, 4, 40])
+def test_neighbours_do_not_depend_on_partitions_or_repeated_ids(spark, parts):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(v) for v in rng.standard_normal(8)]) for i in range(200)]
+    rows += [rows[20], rows[20], rows[33], (40, [9.0] * 8), (60, [None] * 8), (60, [float("nan")] * 8)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts)
+        got = sorted(map(tuple, neighbours.search(df, scratch(spark), short=60).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    x = np.array([min(v for i, v in rows if i == k and None not in v and v[0] == v[0]) for k in range(200)])
+    want = [(q, n + 1, c) for q in range(0, 200, 20) for n, c in enumerate(sorted((c for c in range(200) if c != q), key=lambda c, q=q: (-(x[c] @ x[q]), c))[:20])]
+    assert [t[:3] for t in got] == want
+
+
 @pytest.mark.parametrize("chunk", [1024, 4])
 def test_caps(spark, chunk, monkeypatch):
     monkeypatch.setattr(caps, "CHUNK", chunk)
