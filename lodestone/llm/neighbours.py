@@ -33,7 +33,8 @@ K, EVERY = 20, 20
 SAMPLE, WAVE, ROWS, QUERIES = 16_384, 4096, 8192, 256
 #: A query ranks again so many rows, or this share of all rows if that is more.
 SHORT, SHARE = 1024, 0.02
-BINS = 1024
+#: Bins of a query's scores, and queries whose counts travel as one row.
+BINS, TOGETHER = 256, 32
 
 
 def vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,12 +119,6 @@ def scored(codes: np.ndarray, norms: np.ndarray, table: np.ndarray) -> np.ndarra
     return total
 
 
-def located(counts: DataFrame, want: DataFrame) -> DataFrame:
-    """query, bin, above, n: the bin that holds the score looked for, how many are above it and in it."""
-    above = F.sum("n").over(Window.partitionBy("query").orderBy(F.desc("bin"))) - F.col("n")
-    return counts.join(F.broadcast(want), "query").withColumn("above", above).where("above < want and above + n >= want").select("query", "bin", "above", "n")
-
-
 def codebooks(rows: DataFrame, dim: int, sample: int) -> np.ndarray:
     """Codebooks of the directions of at most `sample` vectors, those whose ids have the least hashes."""
     picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
@@ -185,8 +180,11 @@ def blocks(batches: Iterator[pa.RecordBatch], wave: Wave, books: np.ndarray) ->
                 yield at, part, ids, bins
 
 
-def counted(kept: DataFrame, wave, books, short: int) -> DataFrame:
-    """query, bin, n: how many rows score in each bin, from the top down to where a task alone fills the short list."""
+def shortlisted(kept: DataFrame, wave, books, short: int) -> DataFrame:
+    """query, bin: the bin that the best `short` rows of a query reach down to; none for a query with fewer rows.
+
+    Counts go from the top down to where a task alone fills the short list, since lower bins can't matter then.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w: Wave = wave.value
@@ -198,10 +196,17 @@ def counted(kept: DataFrame, wave, books, short: int) -> DataFrame:
             full = np.cumsum(count[at, ::-1], 1) >= short
             floor[at] = np.where(full.any(1), BINS - 1 - full.argmax(1), 0)
         count *= np.arange(BINS) >= floor[:, None]
-        q, bins = np.nonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(bins, pa.int32()), pa.array(count[q, bins], pa.int64())], ["query", "bin", "n"])
+        parts = [count[a : a + TOGETHER].tobytes() for a in range(0, len(count), TOGETHER)] if count.any() else []
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["block", "counts"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), np.int32).reshape(-1, BINS).astype(np.int64) for x in t.column("counts"))
+        full = np.cumsum(total[:, ::-1], 1) >= short
+        q = np.flatnonzero(full.any(1))
+        return pa.table({"query": pa.array(q + t.column("block")[0].as_py() * TOGETHER, pa.int32()), "bin": pa.array(BINS - 1 - full[q].argmax(1), pa.int32())})
 
-    return kept.select("vec_id", "codes", "norm").mapInArrow(steady(run), "query int, bin int, n long").groupBy("query", "bin").agg(F.sum("n").alias("n"))
+    counts = kept.select("vec_id", "codes", "norm").mapInArrow(steady(run), "block int, counts binary")
+    return counts.groupBy("block").applyInArrow(add, "query int, bin int")
 
 
 def reranked(kept: DataFrame, wave, books, dim: int, k: int) -> DataFrame:
@@ -258,8 +263,7 @@ def search(rows: DataFrame, scratch: Scratch, k: int = K, every: int = EVERY, sh
         _, x = vectors(t.column("embedding"), dim)
         wave = Wave(t.column("vec_id").to_numpy(), x, np.linalg.norm(x, axis=1) * longest, np.zeros(len(x), np.int32))
         sent = spark.sparkContext.broadcast(wave)
-        want = spark.createDataFrame(pa.table({"query": pa.array(np.arange(len(x)), pa.int32()), "want": pa.array(np.full(len(x), short))}))
-        found = located(counted(kept, sent, books, short), want).toArrow()  # a row a query; those without one rank all rows again
+        found = shortlisted(kept, sent, books, short).toArrow()  # a row a query; those without one rank all rows again
         wave.low[found.column("query").to_numpy()] = found.column("bin").to_numpy()
         sent.destroy()
         sent = spark.sparkContext.broadcast(wave)
