@@ -472,10 +472,18 @@ def classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, percent: int =
             found = shingle_sets(part.column("text"), k)
             yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array([s.tobytes() for s in found], pa.binary())], ["_row", "tokens"])
 
-    # rows that repeat have one name and label, so they meet in every node without a comparison
-    full = by_keys(docs.select("_row", "text"), open_, "_row", "left_semi").mapInArrow(steady(tokens), "_row long, tokens binary")
+    def tokenised(names: DataFrame) -> DataFrame:
+        return by_keys(docs.select("_row", "text"), names, "_row", "left_semi").mapInArrow(steady(tokens), "_row long, tokens binary")
+
+    # rows that repeat have one name: one of them goes on, and only those few that do repeat are shuffled to find it
+    twice = scratch.keep(sets.groupBy("_row").agg(F.count("*").alias("times")).where("times > 1").select("_row"), "twice")
+    if twice.limit(1).count():
+        once, again = (scratch.keep(open_.join(twice, "_row", how), f"open-{how}") for how in ("left_anti", "left_semi"))
+        full = tokenised(once).unionByName(tokenised(again).dropDuplicates(["_row"]))
+    else:
+        full = tokenised(open_)
     full = scratch.keep(full, "tokens")
-    near = scratch.keep(full.mapInArrow(steady(_keys(percent, frequent, buckets)), "_row long, n int, prefix array<long>, leaf array<long>, map binary").dropDuplicates(["_row"]), "keys")
+    near = scratch.keep(full.mapInArrow(steady(_keys(percent, frequent, buckets)), "_row long, n int, prefix array<long>, leaf array<long>, map binary"), "keys")
 
     def traverse(work: DataFrame, keys: list[str], name: str) -> DataFrame:
         dealt = work.join(full, "_row").repartition(buckets, *keys).sortWithinPartitions(*keys)
