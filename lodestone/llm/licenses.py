@@ -1,13 +1,14 @@
 """License scans with DataFrame operations only.
 
 Two results.  Base places: where a phrase's words stand consecutively.  The
-method: an exact set-similarity join between text blocks (lines) and license
-templates.  Template words are ordered by how many texts of the corpus hold
-them, rarest first; a block that holds a share `threshold` of a template's
-words holds one of its first |T| - ceil(threshold |T|) + 1 words (prefix
-filter), has that many words itself (length filter), and, where their first
-common word stands late in either order, too few can follow (positional
-filter).  What passes is verified by counting.
+method: an exact set-similarity join between text blocks and license templates,
+by one index of all templates.  Template words are ordered by how many texts of
+the corpus hold them, rarest first; a block that holds a share `threshold` of a
+template's words holds one of its first |T| - ceil(threshold |T|) + 1 words
+(prefix filter), has that many words itself (length filter), and, where their
+first common word stands late in either order, too few can follow (positional
+filter).  Blocks are met from large to small: whole texts first, then the lines
+and the windows of words of those that pass; what passes is verified by counting.
 
 The template library is a parameter of the query, not data: its size is fixed
 by its author, so it is inlined and broadcast.
@@ -21,6 +22,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import by_keys
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -51,6 +54,10 @@ NOTICES = (
     ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ("lesser", "affero"), ("gnu", "3")),
     ("gpl-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", ("lesser", "affero"), ("gnu", "3")),
     ("gpl-3.0", "The GNU General Public License is a free, copyleft license for software and other kinds of works.", ("lesser", "affero"), ("gnu",)),
+    ("gpl-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", ("lesser", "affero"), ("gnu", "2")),
+    ("gpl-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991", ("lesser", "affero"), ("gnu", "2", "1991")),
+    ("lgpl-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", (), ("lesser", "3")),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", (), ("fee",)),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", (), ()),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/", (), ("mozilla", "2")),
 )
@@ -91,45 +98,47 @@ def base(docs: DataFrame, phrases: dict[str, str] | None = None, text: str = "te
     )
 
 
-def word_order(docs: DataFrame, templates: dict[str, str], text: str = "text") -> dict[str, int]:
-    """Rank of each template word by the number of texts that hold it, rarest first; at most a row a word comes to the driver."""
-    vocab = sorted({w for t in templates.values() for w in t.split()})
-    words = F.array_intersect(F.split(spaced(lowered(F.col(text))), " "), F.array(*[F.lit(w) for w in vocab]))
-    counts = dict(docs.select(F.explode(words).alias("w")).groupBy("w").count().collect())
-    return {w: k for k, w in enumerate(sorted(vocab, key=lambda w: (counts.get(w, 0), w)))}
+def vocabulary(docs: DataFrame, words: set[str], text: str = "text", also: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns `also`, _n, _v of each text: its number of words, and the distinct ones that templates have."""
+    all_ = F.split(F.trim(F.regexp_replace(lowered(F.col(text)), SEPARATORS, " ")), " ")
+    return docs.select(*also, F.size(all_).alias("_n"), F.array_intersect(all_, F.array(*[F.lit(w) for w in sorted(words)])).alias("_v"))
 
 
-def blocks_join(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, text: str = "text", also: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Every text block (line) that holds a share `threshold` or more of a template's distinct words.
+def word_order(texts: DataFrame, words: set[str]) -> dict[str, int]:
+    """Rank of each template word by the number of texts (_v) that hold it, rarest first; at most a row a word comes to the driver."""
+    counts = dict(texts.select(F.explode("_v").alias("w")).groupBy("w").count().collect())
+    return {w: k for k, w in enumerate(sorted(words, key=lambda w: (counts.get(w, 0), w)))}
 
-    Columns: `also`, block (number from 0), label, overlap, containment.  Null and empty texts have no blocks.
-    """
-    templates = templates or TEMPLATES
-    spark, rank = docs.sparkSession, word_order(docs, templates, text)
-    vocab = F.array(*[F.lit(w) for w in sorted(rank)])
-    index, first = [], set()
-    for label, t in templates.items():
-        words = sorted(set(t.split()), key=rank.get)
-        need = math.ceil(threshold * len(words) - 1e-9)
-        for i, w in enumerate(words[: len(words) - need + 1]):
-            index.append((w, label, i, len(words), need, words))
-            first.add(w)
-    index = spark.createDataFrame(index, "token string, label string, t_pos int, t_size int, need int, t_words array<string>")
-    may = None
-    for w in sorted(first):
-        has = F.contains(F.col("_low"), F.lit(w))
-        may = has if may is None else may | has
-    low = docs.select(*also, lowered(F.col(text)).alias("_low")).where(may)
-    lines = low.select(*also, F.posexplode(F.split("_low", "\n")).alias("block", "_low")).where(may)
-    words = lines.select(*also, "block", F.array_distinct(F.split(F.trim(F.regexp_replace("_low", SEPARATORS, " ")), " ")).alias("_all"))
+
+def met(blocks: DataFrame, known: list[tuple], rank: dict[str, int], also: list[str]) -> DataFrame:
+    """Columns `also`, _t, t_size, overlap: every template of the library of whose words a block (_n, _v) holds enough."""
+    rows = []
+    for number, _, words, need, *_ in known:
+        ordered = sorted(words, key=rank.get)
+        rows += [(w, number, i, len(ordered), need, ordered) for i, w in enumerate(ordered[: len(ordered) - need + 1])]
+    index = blocks.sparkSession.createDataFrame(rows, "token string, _t int, t_pos int, t_size int, need int, t_words array<string>")
     order = F.create_map(*[x for w, k in rank.items() for x in (F.lit(w), F.lit(k))])
-    ranked = F.array_sort(F.transform(F.array_intersect("_all", vocab), lambda w: F.struct(order[w].alias("r"), w.alias("w"))))
-    words = words.select(*also, "block", F.size("_all").alias("_n"), F.transform(ranked, lambda x: x["w"]).alias("_b"))
-    probe = words.select("*", F.posexplode("_b").alias("b_pos", "token"))
+    ranked = F.array_sort(F.transform("_v", lambda w: F.struct(order[w].alias("r"), w.alias("w"))))
+    some = blocks.where(F.arrays_overlap("_v", F.array(*[F.lit(w) for w in sorted({r[0] for r in rows})])))
+    probe = some.select(*also, "_n", F.transform(ranked, lambda x: x["w"]).alias("_b")).select("*", F.posexplode("_b").alias("b_pos", "token"))
     near = probe.join(F.broadcast(index), "token")  # the library, fixed by the caller
     near = near.where("_n >= need and 1 + least(t_size - t_pos - 1, size(_b) - b_pos - 1) >= need")
-    sure = near.select(*also, "block", "label", "t_size", "need", F.size(F.array_intersect("_b", "t_words")).alias("overlap")).where("overlap >= need").distinct()
-    return sure.select(*also, "block", "label", "overlap", (F.col("overlap") / F.col("t_size")).alias("containment"))
+    return near.select(*also, "_t", "t_size", "need", F.size(F.array_intersect("_b", "t_words")).alias("overlap")).where("overlap >= need").drop("need").distinct()
+
+
+def blocks_join(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, text: str = "text", also: tuple[str, ...] = ("doc_id",), rank: dict[str, int] | None = None) -> DataFrame:
+    """Every text block (line) that holds a share `threshold` or more of a template's distinct words.
+
+    Columns: `also`, block (number from 0), label, overlap, containment.  Null and empty texts have no blocks.  Words
+    are ordered by `rank`, or by the given texts.
+    """
+    known = library(templates or TEMPLATES, threshold)
+    words = {w for t in known for w in t[2]}
+    rank = rank or word_order(vocabulary(docs, words, text, ()), words)
+    lines = docs.where(F.col(text).isNotNull()).select(*also, F.posexplode(F.split(lowered(F.col(text)), "\n")).alias("block", "_line"))
+    found = met(vocabulary(lines, words, "_line", (*also, "block")), known, {w: rank[w] for w in words}, [*also, "block"])
+    names = F.create_map(*[x for t in known for x in (F.lit(t[0]), F.lit(t[1]))])
+    return found.select(*also, "block", names[F.col("_t")].alias("label"), "overlap", (F.col("overlap") / F.col("t_size")).alias("containment"))
 
 
 def library(templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> list[tuple[int, str, list[str], int, int, list[str], list[str]]]:
@@ -147,17 +156,6 @@ def library(templates: dict[str, str] | None = None, threshold: float = THRESHOL
     return out
 
 
-def candidates(docs: DataFrame, known: list[tuple], text: str = "text", also: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns `also`, text, _in: the texts that hold enough words of a template of the library, at any places, with those templates' numbers."""
-    vocab = F.array(*[F.lit(w) for w in sorted({w for t in known for w in t[2]})])
-    held = docs.select(*also, F.col(text).alias("text"), F.array_intersect(F.split(spaced(lowered(F.col(text))), " "), vocab).alias("_v"))
-    enough = [F.when(F.size(F.array_intersect("_v", F.array(*[F.lit(w) for w in t[2]]))) >= t[3], F.lit(t[0])) for t in known]
-    some = F.when(F.size("_v") >= min(t[3] for t in known), F.array_compact(F.array(*enough)))
-    # outer, so that no filter on the arrays is computed apart from them
-    found = held.select(*also, "text", some.alias("_some")).select(*also, "text", F.explode_outer(F.when(F.size("_some") > 0, F.array("_some"))).alias("_in"))
-    return found.where("_in is not null")
-
-
 def windows_join(found: DataFrame, known: list[tuple], also: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Every template that a window of consecutive words of a candidate text holds a share `threshold` or more of.
 
@@ -182,13 +180,19 @@ def scan(docs: DataFrame, scratch, templates: dict[str, str] | None = None, phra
 
     Labels are of templates found in a line or in a window of words that spans lines.  score is 1 where a base phrase stands, else the best containment of a template found, else 0.  Labels are
     strings of distinct sorted labels joined by commas, empty where there are none.  Rows that repeat an id and
-    text each get their own result; an empty table gives no rows; extra columns are ignored.
+    text each get their own result; null and empty texts have no words and no labels; long texts are read whole, a
+    few times their size in memory; an empty table gives no rows; extra columns are ignored.
     """
     docs = docs.select("doc_id", "text").withColumn("_key", F.xxhash64("text"))
     key = ("doc_id", "_key")
     known = library(templates, threshold)
-    held = scratch.keep(candidates(docs, known, also=key), "held")
-    lines = blocks_join(held, templates, threshold, also=key).select(*key, "label", "containment")
+    words = {w for t in known for w in t[2]}
+    texts = scratch.keep(vocabulary(docs, words, also=key), "texts")
+    rank = word_order(texts, words)
+    inside = scratch.keep(met(texts, known, rank, [*key]).groupBy(*key).agg(F.collect_set("_t").alias("_in")).select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k"), "_in"), "inside")
+    same = docs["doc_id"].eqNullSafe(inside["_id"]) & (docs["_key"] == inside["_k"])
+    held = scratch.keep(by_keys(docs, inside, same, "inner").select(*key, "text", "_in"), "held")
+    lines = blocks_join(held, templates, threshold, also=key, rank=rank).select(*key, "label", "containment")
     hits = lines.unionByName(windows_join(held, known, key)).groupBy(*key).agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"))
     hits = scratch.keep(hits, "hits").select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k"), "_more", "_best")
     found = base(docs, phrases, also=key)

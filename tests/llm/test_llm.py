@@ -186,6 +186,22 @@ def test_jaccard_of_drifting_families(spark, chunk, frequent, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_repeated_rows_are_compared_once(spark, monkeypatch):
+    """Thousands of rows with one id and text, and a near copy of them: one set of tokens each."""
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:-1], "other"])
+    rows = [(7, " ".join(words))] * 3000 + [(9, near), (9, near), (3, "quite another text of some words here")]
+    kept = {}
+    real = Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: kept.setdefault(name, real(self, df, name)))
+    counts = {}
+    drop = Scratch.drop
+    monkeypatch.setattr(Scratch, "drop", lambda self, *names: (counts.update({n: kept[n].count() for n in ("tokens", "keys") if n in kept and n in names}), drop(self, *names)))
+    got = jaccard.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), scratch(spark)).collect()
+    assert collections.Counter(map(tuple, got)) == {(7, 56, 7): 3000, (9, 56, 7): 2, (3, 3, 3): 1}
+    assert counts == {"tokens": 2, "keys": 2}
+
+
 def test_signature_tree_prunes_near_sets_that_are_not_linked():
     rng = np.random.default_rng(5)
     draw = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
@@ -614,7 +630,7 @@ def test_licenses_across_lines(spark):
         3: ("released x " + "y " * 40 + "\n under the mit license", set()),
         4: (wrap(notices[2][1], 30) + "\n\n" + wrap(notices[6][1], 25), {"cc-by-4.0", "cc-by-sa-4.0"}),
         5: ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0\nInternational License", set()),
-        7: (wrap(notices[10][1], 50).replace("version 3", "version 2"), set()),
+        7: (wrap(notices[10][1], 50).replace("version 3", "version 2"), {"gpl-2.0"}),
         6: ("released " + "y " * 40 + " under the mit license", {"mit"}),
     }
     texts |= {100 + i: ("Aa bb\n" * 30 + wrap(t, 40) + "\nzz dd" * 30, {label}) for i, (label, t, *_) in enumerate(notices)}
