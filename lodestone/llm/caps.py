@@ -184,7 +184,8 @@ def digest(rows: DataFrame, scratch: Scratch, cosine: float = COSINE) -> DataFra
 
     Vectors that are null, zero, of an unusual dimension or hold null or non-finite components link with
     nothing, not even with equal ones.  Rows that repeat a vector link with each other; rows that repeat an id
-    too.  Labels and other columns are ignored; an empty table gives no rows.
+    too.  Vectors with one 64-bit hash are taken for equal: of n different ones about n^2 / 2^65 pairs are.
+    Labels and other columns are ignored; an empty table gives no rows.
     """
     rows = rows.select("vec_id", "embedding")
     dim = dimension(rows)

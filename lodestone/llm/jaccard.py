@@ -526,8 +526,8 @@ def digest(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, percent: int = P
     """Per document: doc_id, n_shingles, component_id.
 
     Without words (null and empty texts) a document has no shingles and is its own component.  Rows that repeat
-    are linked like any copies.  A null id is never a component's id unless all ids in it are null.  Extra
-    columns are ignored; an empty table gives no rows.
+    are linked like any copies.  A null id is never a component's id unless all ids in it are null.  Long texts are
+    read whole, in pieces.  Extra columns are ignored; an empty table gives no rows.
     """
     sets, found = classes(keyed(docs), scratch, k, percent)
     out = sets.join(found, ["n", "f1", "f2"], "left")

@@ -10,11 +10,12 @@ prior is smoothed towards its domain's, a domain's towards the whole corpus.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,45 +125,54 @@ def identify(rows: DataFrame, languages: list[str], table: np.ndarray, scratch:
     """
     if not languages:
         return rows.select("id", F.lit(None).cast("string").alias("text_lang"), F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(0).cast("long").alias("grams"), F.lit(False).alias("accepted"))
-    names = F.array(*[F.lit(x) for x in languages])
+    size = len(languages)
+    constant = lambda values, kind: F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")  # noqa: E731  one constant, however many languages
+    names, ones = constant(languages, "string"), constant([1.0] * size, "double")
     seen = read_texts(rows, languages, table)
-    best = F.when(F.col("grams") > 0, F.element_at(names, F.array_position("loglik", F.array_max("loglik")).cast("int")))
+    best = F.when(F.col("grams") > 0, F.array_position("loglik", F.array_max("loglik")).cast("int") - 1)
     fold = lambda c: F.lower(F.split(c, "[-_]")[0])
-    seen = scratch.keep(seen.select("id", fold(F.col("declared")).alias("declared"), F.lower("suffix").alias("suffix"), "host", "domain", "grams", "loglik", best.alias("text_lang")), "texts")
+    seen = seen.select("id", fold(F.col("declared")).alias("declared"), F.lower("suffix").alias("suffix"), "host", "domain", "grams", "loglik", best.alias("ix"))
+    seen = scratch.keep(seen.withColumn("text_lang", F.try_element_at(names, F.col("ix") + 1)), "texts")
     # how often each clue goes with each language, by what the texts say: one pass, a row a host, clue and language
-    cells = seen.where("text_lang is not null").groupBy("declared", "suffix", "host", "domain", F.col("text_lang").alias("lang")).agg(F.count("*").alias("n"))
+    cells = seen.where("ix is not null").groupBy("declared", "suffix", "host", "domain", "ix").agg(F.count("*").alias("n"))
     cells = scratch.keep(cells, "cells")
-    whole = {r["lang"]: r["n"] for r in cells.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # a row a language
-    total, size = sum(whole.values()), len(languages)
-    prior = {x: (whole.get(x, 0) + 1.0) / (total + size) for x in languages}
+    whole = {r["ix"]: r["n"] for r in cells.groupBy("ix").agg(F.sum("n").alias("n")).collect()}  # a row a language
+    total = sum(whole.values())
+    base = constant([(whole.get(i, 0) + 1.0) / (total + size) for i in range(size)], "double")
 
     def table_of(of: DataFrame, key: str, name: str, *more: str) -> DataFrame:
-        per = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).cast("double") for x in languages]
-        return of.where(F.col(key).isNotNull()).groupBy(key, *more).agg(F.array(*per).alias(name))
+        """Counts by language of each value of a clue, as one array; only languages that occur travel."""
+        some = of.where(F.col(key).isNotNull()).groupBy(key, *more, "ix").agg(F.sum("n").cast("double").alias("n"))
+        found = some.groupBy(key, *more).agg(F.map_from_entries(F.collect_list(F.struct("ix", "n"))).alias("_c"))
+        return found.select(key, *more, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("_c", i), F.lit(0.0))).alias(name))
+
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
 
     # likelihood of a clue: smoothed by all clues' spread
     def clue(key: str) -> DataFrame:
-        counted = table_of(cells, key, f"_{key}")
-        kinds = cells.where(F.col(key).isNotNull()).groupBy("lang").agg(F.sum("n").alias("n"))
-        known = {r["lang"]: r["n"] for r in kinds.collect()}
-        all_ = sum(known.values())
-        part = F.array(*[(F.col(f"_{key}")[i] + SMOOTH * F.aggregate(f"_{key}", F.lit(0.0), lambda s, v: s + v) / max(all_, 1)) / (known.get(x, 0) + SMOOTH) for i, x in enumerate(languages)])
+        counted = table_of(cells, key, "_n").withColumn("_s", add("_n"))
+        kinds = cells.where(F.col(key).isNotNull()).groupBy("ix").agg(F.sum("n").alias("n"))
+        known = {r["ix"]: r["n"] for r in kinds.collect()}
+        all_ = max(sum(known.values()), 1)
+        held = constant([float(known.get(i, 0)) for i in range(size)], "double")
+        part = F.zip_with("_n", held, lambda n, k: (n + SMOOTH * F.col("_s") / all_) / (k + SMOOTH))
         return counted.select(key, part.alias(f"p_{key}"))
 
-    domains = table_of(cells, "domain", "_d")
-    hosts = table_of(cells, "host", "_h", "domain")
-    add = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
-    base = F.array(*[F.lit(prior[x]) for x in languages])
-    smooth = lambda c, below: F.zip_with(c, below, lambda n, p: (n + STRENGTH * p) / (add(c) + STRENGTH))
-    domains = domains.select("domain", smooth("_d", base).alias("p_domain"))
-    hosts = hosts.join(domains, "domain", "left").select("host", F.col("domain").alias("_domain"), smooth("_h", F.coalesce("p_domain", base)).alias("p_host"))
+    def smooth(of: DataFrame, counts: str, below: Column, name: str) -> DataFrame:
+        return of.withColumn("_s", add(counts)).withColumn(name, F.zip_with(counts, below, lambda n, p: (n + STRENGTH * p) / (F.col("_s") + STRENGTH)))
+
+    domains = smooth(table_of(cells, "domain", "_d"), "_d", base, "p_domain").select("domain", "p_domain")
+    hosts = table_of(cells, "host", "_h", "domain").join(domains, "domain", "left")
+    hosts = smooth(hosts, "_h", F.coalesce("p_domain", base), "p_host").select("host", F.col("domain").alias("_domain"), "p_host")
     joined = seen.join(hosts, (seen["host"] == hosts["host"]) & seen["domain"].eqNullSafe(hosts["_domain"]), "left").drop(hosts["host"]).drop("_domain")
     for key in ("declared", "suffix"):
         joined = joined.join(clue(key), key, "left")
     # trigrams of a text depend on each other, so their evidence is tempered
-    text = F.transform("loglik", lambda v: (v - F.array_max("loglik")) * TEMPER)
-    logs = F.array(*[text[i] + F.log(F.coalesce(F.col("p_host"), base)[i]) + F.coalesce(F.log(F.col("p_declared")[i]), F.lit(0.0)) + F.coalesce(F.log(F.col("p_suffix")[i]), F.lit(0.0)) for i in range(size)])
-    out = joined.select("id", "text_lang", "grams", logs.alias("_l"))
+    out = joined.select("*", F.array_max("loglik").alias("_top"))
+    logs = F.transform("loglik", lambda v: (v - F.col("_top")) * TEMPER)
+    for p in (F.coalesce("p_host", base), F.coalesce("p_declared", ones), F.coalesce("p_suffix", ones)):
+        logs = F.zip_with(logs, p, lambda a, b: a + F.log(b))
+    out = out.select("id", "text_lang", "grams", logs.alias("_l"))
     out = out.select("*", F.array_max("_l").alias("_m"))
     out = out.select("id", "text_lang", F.element_at(names, F.array_position("_l", F.col("_m")).cast("int")).alias("lang"), (1 / F.aggregate("_l", F.lit(0.0), lambda s, v: s + F.exp(v - F.col("_m")))).alias("confidence"), "grams")
     return out.withColumn("accepted", (F.col("grams") > 0) & (F.col("confidence") >= ACCEPT))

@@ -78,8 +78,8 @@ def mix(docs: DataFrame, scratch, text: str = "text", source: str = "source", do
     """The documents of the mix: every input column, a row for each copy that the mix takes.
 
     A null or empty text has size 0: it takes part in the draw of its source but adds no words.  A null source is
-    a source, a null id draws as an empty one, rows that repeat draw alike; an empty table gives no rows; columns
-    may have any names.
+    a source, a null id draws as an empty one, rows that repeat draw alike; long texts stay whole; an empty table
+    gives no rows; columns may have any names.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     sized = docs.select(F.col(doc_id).alias("_id"), F.col(source).alias("source"), n_words(text).alias("size"), row)
@@ -91,8 +91,8 @@ def mix(docs: DataFrame, scratch, text: str = "text", source: str = "source", do
 def digest(docs: DataFrame, scratch, **options) -> DataFrame:
     """The mix as numbers: doc_id, size, source_size, target, taken (size times copies).
 
-    A null or empty text has size 0; an empty table gives no rows; extra columns of docs are ignored.
-    The sizes are kept once, so texts are read a single time.
+    A null or empty text has size 0; a long text counts whole, as one string of the JVM; an empty table gives no rows;
+    extra columns of docs are ignored.  The sizes are kept once, so texts are read a single time.
     """
     sized = scratch.keep(docs.select("doc_id", "source", n_words("text").alias("size")), "sizes")
     out = copies(sized, rates(sized, scratch, **options))

@@ -128,8 +128,8 @@ def score(column: pa.Array, w: np.ndarray) -> np.ndarray:
 def digest(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted.
 
-    Only texts are inputs of a score; null and empty texts get the intercept's.  Rows that repeat are scored
-    alike; extra columns are ignored; an empty table gives no rows.
+    Only texts are inputs of a score; null and empty texts get the intercept's.  Long texts are read whole, in
+    pieces.  Rows that repeat are scored alike; extra columns are ignored; an empty table gives no rows.
     """
     w = train(docs, labels, sample)
     at = np.flatnonzero(w)

@@ -467,6 +467,21 @@ def test_language_posterior_equals_plain_python(spark):
         assert got[i]["accepted"] == (best[i] is not None and got[i]["confidence"] >= language.ACCEPT)
 
 
+def test_many_languages(spark):
+    """The plan holds no expression a language, so two hundred of them take no longer to plan than three."""
+    rng, lengths = random.Random(12), []
+    for n in (3, 200):
+        words = {f"l{k}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzàéîõüßñ") for _ in range(rng.randrange(3, 8))) for _ in range(12)] for k in range(n)}
+        text_ = lambda name: " ".join(rng.choice(words[name]) for _ in range(60))
+        docs = spark.createDataFrame([(3 * k + j, text_(name), name, None, 0) for k, name in enumerate(words) for j in range(3)], "doc_id long, text string, lang string, source string, n_chars long")
+        pages = spark.createDataFrame([(k, f"http://h{k % 5}.{name}.org/x", f"<html lang='{name}'><p>{text_(name)}</p></html>") for k, name in enumerate(words)], "page_id long, url string, html string")
+        out = language.digest(pages, docs, scratch(spark))
+        lengths.append(len(out._jdf.queryExecution().analyzed().toString()))
+        got = {r["page_id"]: r["text_lang"] for r in out.collect()}
+        assert np.mean([got[k] == name for k, name in enumerate(words)]) > 0.95
+    assert lengths[1] < 6 * lengths[0]  # constants grow, expressions don't
+
+
 def test_languages_on_odd_tables(spark):
     docs = spark.createDataFrame([(i, f"wort{i % 90} text", f"l{i % 90}") for i in range(180)] + [(7, "copy", "l1")] * 30, "doc_id long, text string, lang string")
     languages, table = language.fit(docs, sample=5)
