@@ -349,7 +349,7 @@ def user_rule_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_literal_sql('documents', 'doc_id', 'text')} {USER_HIT}")
 def user_rule_scan_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by the broadcast join, for rule sets too large to unroll."""
+    """The same the way that rule sets take which are too large to unroll."""
     hit = detect.match_rules(literals.literals(_documents(spark, sf_dir)), _user_rule(spark), unrolled=0)
     return hit.select("doc_id", "line", "lit_no", "rule_id", "severity", "value")
 
