@@ -9,6 +9,7 @@ word.  Patterns without such a text are tried one by one.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -49,7 +50,8 @@ def unrolled(rules: list[dict]) -> Column:
 
 def _tried(rules: list[dict]) -> Column:
     """The hits of many rules without a required text, tried one by one on values that any of them matches."""
-    each = F.array(*[F.struct(F.lit(r["pattern"]).alias("pattern"), _hit(r).alias("hit")) for r in rules])
+    # one constant of the plan, however many rules
+    each = F.from_json(F.lit(json.dumps([{"pattern": r["pattern"], "hit": {c: r[c] for c in HIT}} for r in rules])), f"array<struct<pattern:string,hit:{HIT_TYPE}>>")
     return F.when(any_of([r["pattern"] for r in rules]), F.transform(F.filter(each, lambda x: F.rlike(F.col("value"), x["pattern"])), lambda x: x["hit"]))
 
 
