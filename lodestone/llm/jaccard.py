@@ -14,9 +14,12 @@ n - ceil(0.8 n) + 1 shingles of each set under any order of all shingles.
    verifies sets on their full shingles.
 3. What these links connect has one label.  The upper levels of the trees are
    tables: a node is the holders of one prefix shingle, and nodes whose holders
-   all have one label are pruned.  Large nodes are cut by size range and label,
-   and pairs of their children go on only if sizes allow a link and labels
-   differ.  Nodes are traversed on bitmaps first, which leaves the sets that may
+   all have one label are pruned.  Shingles are ordered by counted frequency, so
+   what many texts share comes last, and a set that has less left from the
+   node's shingle on than a link takes is pruned too: of two linked sets the
+   first common shingle leaves at least the overlap to come.  Large nodes are
+   cut by size range and label, and pairs of their children go on only if sizes
+   and what is left allow a link and labels differ.  Nodes are traversed on bitmaps first, which leaves the sets that may
    have a partner of another label; these are traversed as in 2.  No candidate
    pair is written, and nothing depends on how far candidates chain up.
 """
@@ -39,7 +42,8 @@ from .text import mix, shingle_sets, stream
 
 SHINGLE, PERCENT = 5, 80
 GROUP_TOKENS, BUCKET_BYTES = 1 << 20, 8 << 20
-FREQUENT_FROM, FREQUENT = 32, 1 << 17
+#: Shingles with this many holders are ordered by their number; so many of the most frequent go to all tasks, others travel with their sets.
+FREQUENT_FROM, FREQUENT = 32, 1 << 20
 CHUNK_SETS, CHUNK_TOKENS, TURNS = 1000, 2_000_000, 2
 LEAF, WIDE = 8, 64
 #: Bits of a signature: this many a shingle, rounded up to a power of 2, within these bounds.
@@ -55,6 +59,11 @@ def linked(common: int, a: int, b: int, percent: int = PERCENT) -> bool:
     return 100 * common >= percent * (a + b - common)
 
 
+def enough(common, sizes, percent: int = PERCENT):
+    """Whether sets whose sizes add up to `sizes` can link with `common` shingles in common."""
+    return (100 + percent) * common >= percent * sizes
+
+
 # 1. document frequencies
 
 _POST = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("owners", pa.binary()), ("counts", pa.binary()), ("about", pa.binary())])
@@ -223,21 +232,58 @@ def signature(t: np.ndarray) -> np.ndarray:
     return bitmap(t, 1 << int(min(MOST_BITS, max(LEAST_BITS, BITS * len(t))) - 1).bit_length())
 
 
-def _keys(percent: int, frequent: np.ndarray, of: int):
-    """Of each set its size, the shingles of which a partner must hold one, its leaves (the least shingle under TURNS hashes) and its bitmap."""
+def _short(t: np.ndarray, of: int) -> np.ndarray:
+    """Names under which frequencies are counted: the bucket and the low 32 bits."""
+    return ((t >> np.uint64(32)) % np.uint64(of)) << np.uint64(32) | (t & np.uint64(0xFFFFFFFF))
+
+
+class Frequent:
+    """Frequencies of the most frequent shingles, by name; 0 of any other."""
+
+    def __init__(self, names: np.ndarray, df: np.ndarray, of: int):
+        order = np.argsort(names)
+        self.names, self.df, self.of = names[order], df[order], of
+
+    def __call__(self, t: np.ndarray) -> np.ndarray:
+        if not len(self.names):
+            return np.zeros(len(t), np.int64)
+        name = _short(t, self.of)
+        at = np.minimum(np.searchsorted(self.names, name), len(self.names) - 1)
+        return np.where(self.names[at] == name, self.df[at], 0)
+
+
+def _unknown(frequent: Frequent):
+    """(_row, name, place) of the shingles of each set that are not among the most frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
+                sets = [np.frombuffer(b, np.uint64) for b in part.column("tokens").to_pylist()]
+                places = [np.flatnonzero(frequent(t) == 0) for t in sets]
+                names = np.concatenate([_short(t[at], frequent.of) for t, at in zip(sets, places)]).view(np.int64)
+                row = np.repeat(part.column("_row").to_numpy(), [len(x) for x in places])
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(names), pa.array(np.concatenate(places).astype(np.int32))], ["_row", "name", "place"])
+
+    return run
+
+
+def _keys(percent: int, frequent: Frequent):
+    """Of each set its size, the shingles of which a partner must hold one, its leaves (the least shingle under TURNS hashes) and its bitmap.
+
+    Shingles are ordered by frequency, then by hash; a column `told` has the frequencies (place, df) that `frequent` lacks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, prefixes, leaves, maps = [], [], [], []
-            for blob in batch.column("tokens").to_pylist():
+            told = batch.column("told").to_pylist() if "told" in batch.schema.names else [None] * batch.num_rows
+            for blob, more in zip(batch.column("tokens").to_pylist(), told):
                 t = np.frombuffer(blob, np.uint64)
-                last = np.zeros(len(t), bool)
-                if len(frequent):
-                    short = ((t >> np.uint64(32)) % np.uint64(of)) << np.uint64(32) | (t & np.uint64(0xFFFFFFFF))
-                    at = np.minimum(np.searchsorted(frequent, short), len(frequent) - 1)
-                    last = frequent[at] == short
+                df = frequent(t)
+                if more:
+                    df[[x["place"] for x in more]] = [x["df"] for x in more]
                 sizes.append(len(t))
-                prefixes.append(np.concatenate([t[~last], t[last]])[: prefix_length(len(t), percent)].view(np.int64))
+                prefixes.append(t[np.argsort(df, kind="stable")[: prefix_length(len(t), percent)]].view(np.int64))
                 leaves.append([int(mix(t, 21 + turn).min().view(np.int64)) for turn in range(TURNS)])
                 maps.append(signature(t).tobytes())
             lists = pa.ListArray.from_arrays(np.append(0, np.cumsum([len(x) for x in prefixes])).astype(np.int32), pa.array(np.concatenate(prefixes))) if prefixes else pa.array([], pa.list_(pa.int64()))
@@ -339,17 +385,25 @@ class SignatureTree:
                         out.append((p, q))
         return out
 
-    def partnered(self, label: np.ndarray, may) -> np.ndarray:
-        """Marks of the sets that may link with one of another label; may(i, j) tells which pairs count."""
+    def partnered(self, label: np.ndarray, rest: np.ndarray, may) -> np.ndarray:
+        """Marks of the sets that may link with one of another label; rest bounds a set's overlap with any other, may(i, j) tells which pairs count."""
         low = [np.minimum.reduceat(label[self.order], np.arange(0, len(label), self.leaf))]
         high = [np.maximum.reduceat(label[self.order], np.arange(0, len(label), self.leaf))]
+        most = [np.maximum.reduceat(rest[self.order], np.arange(0, len(label), self.leaf))]
         for maps, *_ in self.levels[:-1]:
             starts = np.arange(0, len(maps), 2)
             low.append(np.minimum.reduceat(low[-1], starts))
             high.append(np.maximum.reduceat(high[-1], starts))
-        out = np.zeros(len(label), bool)
-        for i, j in self.walk(lambda level, a, b: min(low[level][a], low[level][b]) != max(high[level][a], high[level][b])):
-            ok = (label[i] != label[j]) & may(i, j)
+            most.append(np.maximum.reduceat(most[-1], starts))
+
+        def wanted(level: int, a: int, b: int) -> bool:
+            n = self.levels[level][1]
+            return min(low[level][a], low[level][b]) != max(high[level][a], high[level][b]) and enough(min(most[level][a], most[level][b]), n[a] + n[b], self.percent)
+
+        out, n = np.zeros(len(label), bool), np.empty_like(self.n)
+        n[self.order] = self.n
+        for i, j in self.walk(wanted):
+            ok = (label[i] != label[j]) & enough(np.minimum(rest[i], rest[j]), n[i] + n[j], self.percent) & may(i, j)
             out[i[ok]] = out[j[ok]] = True
         return out
 
@@ -407,7 +461,7 @@ def _open(keys: list[str], percent: int):
             label, n = t.column("label").to_numpy(), t.column("n").to_numpy().astype(np.int64)
             if label.min() == label.max():
                 continue
-            side, maps = t.column("side").to_numpy(), [np.frombuffer(m, np.uint64) for m in t.column("map").to_pylist()]
+            side, rest, maps = t.column("side").to_numpy(), t.column("rest").to_numpy().astype(np.int64), [np.frombuffer(m, np.uint64) for m in t.column("map").to_pylist()]
             words = np.array([len(m) for m in maps])
             across, hit = side.any(), np.zeros(len(n), bool)
             for w in np.unique(words).tolist():
@@ -417,7 +471,7 @@ def _open(keys: list[str], percent: int):
                 flat = np.stack([maps[i] if words[i] == w else maps[i][:w] | maps[i][w:] for i in at])
                 own, s = words[at] == w, side[at]
                 may = lambda i, j: (own[i] | own[j]) & (s[i] != s[j] if across else True)  # noqa: B023, E731
-                hit[at] |= SignatureTree(flat, n[at], label[at], percent, WIDE).partnered(label[at], may)
+                hit[at] |= SignatureTree(flat, n[at], label[at], percent, WIDE).partnered(label[at], rest[at], may)
             if hit.any():
                 yield from t.select(["_row", "label", *keys, "side"]).filter(pa.array(hit)).combine_chunks().to_batches()
 
@@ -429,23 +483,23 @@ def _chunks(sets: str = "sets", tokens: str = "tokens"):
 
 
 def _children(held: DataFrame, percent: int) -> DataFrame:
-    """Pairs of children of large nodes: (_row, n, label, token, i, j, side) of held (_row, n, label, token, chunks).
+    """Pairs of children of large nodes: (_row, n, label, token, rest, i, j, side) of held (_row, n, label, token, rest, chunks).
 
     A child has one size class, and either one label or a share of the small labels.  A pair goes on only if its
-    size ranges allow a link and its labels are not all the same.
+    size ranges and what is left from the node's shingle on allow a link and its labels are not all the same.
     """
     key = ["token", "class", "label"]
     rows = held.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int"))
     own = rows.groupBy(*key).agg(F.count("*").alias("sets"), F.sum("n").alias("tokens")).where((F.col("sets") > CHUNK_SETS // 2) | (F.col("tokens") > CHUNK_TOKENS // 2))
     rows = rows.join(own.select(*key, _chunks().alias("own")), key, "left")
     node = F.when(F.col("own").isNotNull(), F.xxhash64("class", "label", F.pmod(F.xxhash64("_row"), F.col("own")))).otherwise(F.xxhash64("class", F.pmod(F.xxhash64("label", F.lit(5)), F.col("chunks"))))
-    rows = rows.select("_row", "n", "label", "token", "class", node.alias("node"))
-    nodes = rows.groupBy("token", "class", "node").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("a"), F.max("label").alias("b"))
-    named = lambda s: nodes.select("token", F.col("class").alias(f"class{s}"), *[F.col(c).alias(c + s) for c in ("node", "low", "high", "a", "b")])
+    rows = rows.select("_row", "n", "label", "token", "rest", "class", node.alias("node"))
+    nodes = rows.groupBy("token", "class", "node").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("a"), F.max("label").alias("b"), F.max("rest").alias("rest"))
+    named = lambda s: nodes.select("token", F.col("class").alias(f"class{s}"), *[F.col(c).alias(c + s) for c in ("node", "low", "high", "a", "b", "rest")])
     one = named("1").withColumn("class2", F.explode(F.array("class1", F.col("class1") + 1)))
-    pairs = one.join(named("2"), ["token", "class2"]).where(f"(class1 < class2 or node1 <= node2) and 100 * least(high1, high2) >= {percent} * greatest(low1, low2) and not (a1 = b1 and a2 = b2 and a1 = a2)")
+    pairs = one.join(named("2"), ["token", "class2"]).where(f"(class1 < class2 or node1 <= node2) and 100 * least(high1, high2) >= {percent} * greatest(low1, low2) and {100 + percent} * least(rest1, rest2) >= {percent} * (low1 + low2) and not (a1 = b1 and a2 = b2 and a1 = a2)")
     ends = pairs.select("token", F.col("node1").alias("i"), F.col("node2").alias("j")).select("*", F.explode(F.array_distinct(F.array("i", "j"))).alias("node"))
-    return rows.join(ends, ["token", "node"]).select("_row", "n", "label", "token", "i", "j", (F.col("node") != F.col("i")).cast("int").alias("side"))
+    return rows.join(ends, ["token", "node"]).select("_row", "n", "label", "token", "rest", "i", "j", (F.col("node") != F.col("i")).cast("int").alias("side"))
 
 
 def classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -460,8 +514,9 @@ def classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, percent: int =
     answers = in_turn(posts.mapInArrow(steady(_frequencies(buckets)), ANSWER).repartitionById(buckets, "dest"), _answer_parts(subs, buckets), subs)
     both = scratch.keep(answers.mapInArrow(steady(_gather), SETS), "sets")
     sets = both.where("kind = 0").drop("kind")
-    top = both.where("kind = 1").orderBy(F.desc("n"), "_row").limit(FREQUENT).select("_row")
-    frequent = np.sort(np.array([r[0] for r in top.collect()], np.uint64))  # FREQUENT at most
+    counted = both.where("kind = 1").select(F.col("_row").alias("name"), F.col("n").alias("df"))
+    top = counted.orderBy(F.desc("df"), "name").limit(FREQUENT).toArrow()  # FREQUENT at most
+    frequent = Frequent(top.column("name").to_numpy().view(np.uint64), top.column("df").to_numpy(), buckets)
     rep = sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min_by(F.struct("_row", "shared"), F.struct("doc_id", "_row")).alias("r"), F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     rep = scratch.keep(rep.select("n", "f1", "f2", "r._row", "r.shared", "first", "copies"), "classes")
     # fewer shingles of its own than the prefix is long
@@ -483,7 +538,16 @@ def classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, percent: int =
     else:
         full = tokenised(open_)
     full = scratch.keep(full, "tokens")
-    near = scratch.keep(full.mapInArrow(steady(_keys(percent, frequent, buckets)), "_row long, n int, prefix array<long>, leaf array<long>, map binary"), "keys")
+    asking = full
+    if top.num_rows == FREQUENT:
+        # each of these has less than a FREQUENT-th of all places, so none is a hot key
+        others = counted
+        if top.num_rows:
+            df, name = (int(top.column(c)[-1].as_py()) for c in ("df", "name"))
+            others = counted.where((F.col("df") < df) | (F.col("df") == df) & (F.col("name") > name))
+        told = full.mapInArrow(steady(_unknown(frequent)), "_row long, name long, place int").join(others, "name")
+        asking = full.join(told.groupBy("_row").agg(F.collect_list(F.struct("place", "df")).alias("told")), "_row", "left")
+    near = scratch.keep(asking.mapInArrow(steady(_keys(percent, frequent)), "_row long, n int, prefix array<long>, leaf array<long>, map binary"), "keys")
 
     def traverse(work: DataFrame, keys: list[str], name: str) -> DataFrame:
         dealt = work.join(full, "_row").repartition(buckets, *keys).sortWithinPartitions(*keys)
@@ -496,19 +560,25 @@ def classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, percent: int =
     joined = components(links, scratch, "near").select(F.col("id").alias("_row"), F.col("component").alias("label"))
 
     held = near.select("_row", "n", "prefix").join(joined, "_row", "left")
-    held = scratch.keep(held.select("_row", "n", F.coalesce("label", "_row").alias("label"), F.explode("prefix").alias("token")), "held")
-    nodes = held.groupBy("token").agg(
-        F.min("label").alias("a"), F.max("label").alias("b"), F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("sets"), F.sum("n").alias("tokens"),
-        F.bit_xor(F.xxhash64("_row")).alias("x"), F.bit_xor(F.xxhash64("_row", F.lit(1))).alias("y"),
-    )
-    nodes = nodes.where(f"a < b and (sets > 2 or 100 * low >= {percent} * high)")
-    # shingles with the same holders are one node
-    nodes = scratch.keep(nodes.groupBy("x", "y", "sets", "tokens").agg(F.min("token").alias("token")).select("token", _chunks().alias("chunks")), "nodes")
+    held = held.select("_row", "n", F.coalesce("label", "_row").alias("label"), F.posexplode("prefix").alias("place", "token"))
+    held = scratch.keep(held.select("_row", "n", "label", "token", (F.col("n") - F.col("place")).alias("rest")), "held")
+    measures = [f.alias(a) for f, a in ((F.min("label"), "a"), (F.max("label"), "b"), (F.min("n"), "low"), (F.max("n"), "high"), (F.max("rest"), "most"), (F.count("*"), "sets"), (F.sum("n"), "tokens"))]
+    open_node = f"a < b and (sets > 2 or 100 * low >= {percent} * high) and {100 + percent} * most >= {2 * percent} * low"
+    open_set = f"{100 + percent} * least(rest, most) >= {percent} * (n + low)"
+    nodes = held.groupBy("token").agg(*measures, F.sum("rest").alias("reach"), F.bit_xor(F.xxhash64("_row")).alias("x"), F.bit_xor(F.xxhash64("_row", F.lit(1))).alias("y")).where(open_node)
+    # shingles with the same holders are one node: the first of them in order, of which most is left
+    nodes = nodes.groupBy("x", "y", "sets", "tokens", "low").agg(F.max_by(F.struct("token", "most"), F.col("reach")).alias("s"))
+    nodes = scratch.keep(nodes.select("s.*", "low", _chunks().alias("chunks")), "nodes")
     if nodes.limit(1).count():
-        inside = held.join(nodes, "token")
-        small = inside.where("chunks = 1").select("_row", "n", "label", "token", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side"))
+        inside = held.join(nodes, "token").where(open_set).select(*held.columns, "chunks")
+        one = [F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side")]
+        small = inside.where("chunks = 1").select(*held.columns, *one)
         if nodes.where("chunks > 1").limit(1).count():
-            small = small.unionByName(_children(inside.where("chunks > 1"), percent))
+            # of large nodes the sets that are left are measured again
+            large = scratch.keep(inside.where("chunks > 1").select(*held.columns), "large")
+            again = scratch.keep(large.groupBy("token").agg(*measures).where(open_node).select("token", "low", "most", _chunks().alias("chunks")), "again")
+            large = large.join(again, "token").where(open_set).select(*held.columns, "chunks")
+            small = small.unionByName(large.where("chunks = 1").select(*held.columns, *one)).unionByName(_children(large.where("chunks > 1"), percent))
         keys = ["token", "i", "j"]
         bits = small.join(near.select("_row", "map"), "_row").repartition(buckets, *keys).sortWithinPartitions(*keys)
         work = scratch.keep(bits.mapInArrow(steady(_open(keys, percent)), "_row long, label long, token long, i long, j long, side int"), "left")
@@ -518,7 +588,7 @@ def classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, percent: int =
     ids = named.groupBy("label").agg(F.min("first").alias("component_id"), F.count("*").alias("sets"), F.max("copies").alias("copies")).where("sets > 1 or copies > 1")
     ids = scratch.keep(ids.select("label", "component_id"), "ids")
     found = scratch.keep(by_keys(named, ids, "label", "inner").select("n", "f1", "f2", "component_id"), "found")
-    scratch.drop("tokens", "keys", "held", "nodes", "left", "links", "links2", "open")
+    scratch.drop("tokens", "keys", "held", "nodes", "large", "again", "left", "links", "links2", "open")
     return sets.select("_row", "doc_id", "n", "f1", "f2"), found
 
 

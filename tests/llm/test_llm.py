@@ -186,6 +186,31 @@ def test_jaccard_of_drifting_families(spark, chunk, frequent, monkeypatch):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("chunk, frequent, short", [(1000, 1 << 20, ()), (20, 8, (2, 3, 4, 9))])
+def test_a_passage_that_unlinked_texts_share(spark, chunk, frequent, short, monkeypatch):
+    """Texts of one long passage and some words of their own, which link from 15 such words together on down."""
+    monkeypatch.setattr(jaccard, "CHUNK_SETS", chunk)
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    monkeypatch.setattr(jaccard, "TURNS", 0)  # nodes of shingles alone
+    rng = random.Random(3)
+    own = [rng.randrange(10, 16) for _ in range(400)] + [*short]
+    rows = [(i, " ".join([f"p{j}" for j in range(64)] + [f"o{rng.randrange(10**9)}" for _ in range(n)])) for i, n in enumerate(own)]
+    sizes, real = {}, Scratch.keep
+
+    def keep(self, df, name):
+        out = real(self, df, name)
+        if name in ("held", "left"):
+            sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", keep)
+    got = collections.Counter(map(tuple, jaccard.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), scratch(spark)).collect()))
+    assert got == brute_components(rows)
+    assert sizes["held"] >= 400
+    if not short:  # nothing links: no set is left to compare with another, though all hold one shingle of their prefix
+        assert sizes.get("left", 0) == 0
+
+
 def test_repeated_rows_are_compared_once(spark, monkeypatch):
     """Thousands of rows with one id and text, and a near copy of them: one set of tokens each."""
     words = [f"w{i}" for i in range(60)]
