@@ -26,6 +26,8 @@ from .text import _BYTE_POWERS, _SPACE, _BYTE, PIECE_BYTES, buffers, mix, pieces
 
 CAPACITY, END, TOKENIZER = 2048, 0, "word_bpe_49k.json"
 SLACK, FAN_IN, NODE_ITEMS, NODE_TOKENS = 8, 8, 1 << 16, 1 << 22
+#: Bytes of text tokenised at once, whose hashes and sums take many times as much; rows with ids in a batch that goes back to Spark.
+CHUNK_BYTES, OUT_ROWS = 1 << 18, 1024
 
 _LETTER, _DIGIT, _MARK, _OTHER = 1, 2, 3, 4
 _CLASS = np.full(256, _OTHER, np.uint8)
@@ -48,7 +50,7 @@ class Encoder:
     Its special tokens' strings count as ordinary text.  The cache has a fixed size.
     """
 
-    SLOTS, STORE = 1 << 21, 1 << 23
+    SLOT_BITS, STORE = 20, 1 << 23
 
     def __init__(self, path: str | None = None):
         import public_tokenizers
@@ -67,8 +69,8 @@ class Encoder:
         return [chr(b if b in keep else next(rest)) for b in range(256)]
 
     def _reset(self) -> None:
-        self.key = np.zeros(self.SLOTS, np.uint64)
-        self.at, self.size = np.zeros(self.SLOTS, np.int64), np.zeros(self.SLOTS, np.int32)
+        slots = 1 << self.SLOT_BITS
+        self.key, self.at, self.size = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
         self.store, self.used, self.over = np.zeros(1 << 20, np.uint32), 0, {}
 
     def _put(self, ids: list[int]) -> tuple[int, int]:
@@ -127,8 +129,8 @@ class Encoder:
         total = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(_BYTE[low] * up[: len(raw)], out=total[1:])
         h = mix((total[end] - total[start]) * down[start])
-        slot = (h >> np.uint64(43)).astype(np.int64)
-        at, size = self.at[slot], self.size[slot]
+        slot = (h >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)
+        at, size = self.at[slot].astype(np.int64), self.size[slot]
         miss = np.flatnonzero(self.key[slot] != h)
         if len(miss):
             new, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
@@ -143,7 +145,7 @@ class Encoder:
                     else:
                         ids = [t.id for t in model.tokenize("".join([chars[b] for b in run]) if max(run) > 126 else run.decode())]
                     found = self._put(ids)
-                    s = x >> 43
+                    s = x >> 64 - self.SLOT_BITS
                     if self.key[s]:
                         self.over[x] = found
                     else:
@@ -185,25 +187,30 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin l
 
 def _local(capacity: int, end: int | None, tokenizer: str | None, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, rows, ids_out, held = Encoder(tokenizer), [], [], 0
+        encoder, rows, ids_out, held = Encoder(tokenizer), [], bytearray(), 0
         bins = TaskContext.get().partitionId() << 40
         closing = b"" if end is None else np.uint32(end).tobytes()
 
         def emit():
-            nonlocal bins
+            nonlocal bins, ids_out
             doc, piece, start, length, crc = (np.array(x, dtype=object if k == 0 else np.int64) for k, x in enumerate(zip(*rows)))
             at, offset, fill = best_fit(length, capacity)
             out = [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc), pa.array(at + bins), pa.array(offset), pa.array(np.array(fill, np.int64)[at])]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "fill"]
-            if keep_ids:
-                out, names = [*out, pa.array(ids_out, pa.binary())], [*names, "ids"]
+            whole, ends, held_ids = pa.RecordBatch.from_arrays(out, names), np.append(0, 4 * np.cumsum(length)), memoryview(ids_out)
             bins += len(fill)
             rows.clear()
-            ids_out.clear()
-            whole = pa.RecordBatch.from_arrays(out, names)
-            return (whole.slice(i, 4096) for i in range(0, whole.num_rows, 4096))
-
-        for part in stream(batches):
+            ids_out = bytearray()
+            step = OUT_ROWS if keep_ids else 4096
+            for i in range(0, whole.num_rows, step):
+                part = whole.slice(i, step)
+                if keep_ids:  # a batch's ids are a part of those bytes, not a copy
+                    at = ends[i : i + step + 1]
+                    found = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer((at - at[0]).astype(np.int32)), pa.py_buffer(held_ids[at[0] : at[-1]])])
+                    part = pa.RecordBatch.from_arrays([*part.columns, found], [*names, "ids"])
+                yield part
+
+        for part in stream(batches, limit=CHUNK_BYTES):
             ids, first = encoder.encode_pieces(part.column("text"))
             view = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
             for doc, a, b in zip(part.column("doc_id").to_pylist(), first[:-1].tolist(), first[1:].tolist()):
@@ -214,7 +221,8 @@ def _local(capacity: int, end: int | None, tokenizer: str | None, keep_ids: bool
                     last = closing if a + s + m > b else b""
                     rows.append((doc, piece, s, m, zlib.crc32(last, zlib.crc32(body))))
                     if keep_ids:
-                        ids_out.append(bytes(body) + last)
+                        ids_out += body
+                        ids_out += last
             held += len(ids)
             if len(rows) >= NODE_ITEMS or keep_ids and held >= NODE_TOKENS:
                 yield from emit()
