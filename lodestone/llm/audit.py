@@ -109,9 +109,11 @@ def digest(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """
     plan = [("".join(order), k + 1, f, sum(BIT[g] for g in order[:k])) for order in permutations(FILTERS) for k, f in enumerate(order)]
     orders = docs.sparkSession.createDataFrame(plan, "filter_order string, step int, filter string, before int")  # 600 rows
-    counted = scratch.keep(classes(docs, labels), "classes")  # 128 rows a part at most; texts are read once
+    # few rows, so no more files than the cluster has cores: where Hadoop's native library is missing, each file costs processes that count like their executor
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    counted = scratch.keep(classes(docs, labels).coalesce(cores), "classes")  # 128 rows a part at most; texts are read once
     found = steps(survivors(counted)).join(F.broadcast(orders), ["filter", "before"])
-    return found.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+    return found.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley").coalesce(cores)
 
 
 def sql() -> str:

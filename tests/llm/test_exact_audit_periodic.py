@@ -205,3 +205,24 @@ def test_periodic_digest(spark):
     key = repr
     assert sorted(map(tuple, periodic.digest(df).collect()), key=key) == sorted(want, key=key)
     assert periodic.digest(df.limit(0)).count() == 0
+
+
+def test_audit_writes_no_more_files_than_cores(spark, tmp_path):
+    """A file of a local folder costs a process, so few rows must not go to a file for each shuffle partition."""
+    docs = spark.createDataFrame([(i, "Word " * (i % 7), f"l{i % 40}") for i in range(400)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2, i % 3) for i in range(0, 400, 5)], "doc_id long, quality int, toxic int")
+    keys = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        scratch = Scratch(spark, "audit-files")
+        out = audit.digest(docs, labels, scratch)
+        out.write.parquet(str(tmp_path / "out"))
+        kept = spark.read.parquet(scratch.path("classes"))
+        assert len(kept.inputFiles()) <= spark.sparkContext.defaultParallelism
+        assert len(list((tmp_path / "out").glob("part-*"))) <= spark.sparkContext.defaultParallelism
+        assert kept.agg({"n": "sum"}).first()[0] == 400 and spark.read.parquet(str(tmp_path / "out")).count() == 40 * 600
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
