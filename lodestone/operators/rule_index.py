@@ -1,34 +1,43 @@
 """Many patterns over many values: an index of the texts that a match must hold.
 
 A pattern is read for literal texts of which every match holds at least one.
-Each such text goes into an index under one of its trigrams, the one that
-fewest values hold, and values meet the index by their own trigrams: an equi-join in
-place of trying each pattern on each value.  The pattern itself has the last
-word.  Patterns without such a text are tried one by one.
+All tasks get these texts, and look up every place of a value in them, in place
+of trying each pattern on each value: `functions.search`.  The pattern itself has
+the last word.  Patterns without such a text are tried one by one.  Rules stay a
+table, and those that share a pattern meet the values that it matches by its
+number.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.patterns import GRAM, required
+from . import ranges
+from ..functions.patterns import at_the_end, lean, required
+from ..functions.search import Search, Texts
+from ..session import ship
 from ..shared import by_few, keep
+from ..sources.rules import RULES, in_use
 
-TOGETHER = 200
+TOGETHER, UNROLLED = 200, 64
+#: Bytes of values that are searched at once, and patterns that go back to Spark in one batch; a value is never split.
+SEARCHED, SENT = 1 << 20, 1 << 17
+#: Bytes of the patterns that go to all tasks at once, of which each counts ENTRY beside itself and its texts, and patterns without a text that are one pass over the values.
+WAVE, ENTRY, TRIED = 1 << 26, 40, 20_000
 HIT = ["rule_id", "rule_name", "severity", "rank"]
-HIT_TYPE = "struct<rule_id:string,rule_name:string,severity:string,rank:int>"
-
-
-def grams(value: Column) -> Column:
-    """The distinct trigrams of a text."""
-    c = F.split(value, "")
-    pairs = F.zip_with(c, F.slice(c, 2, 1 << 30), lambda a, b: F.concat(a, b))
-    whole = F.zip_with(pairs, F.slice(c, GRAM, 1 << 30), lambda a, b: F.concat(a, b))  # null where the text is over
-    return F.array_distinct(F.array_compact(whole))
+HIT_TYPE = "struct<rule_id:string,rule_name:string,severity:string,rank:bigint>"
+PATTERN = T.StructType([T.StructField("no", T.LongType()), T.StructField("pattern", T.StringType())])
 
 
 def any_of(patterns: list[str]) -> Column:
@@ -40,7 +49,7 @@ def any_of(patterns: list[str]) -> Column:
 
 
 def _hit(r: dict) -> Column:
-    return F.struct(*[F.lit(r[c]).alias(c) for c in HIT])
+    return F.struct(*[F.lit(r[c]).cast("long" if c == "rank" else "string").alias(c) for c in HIT])
 
 
 def unrolled(rules: list[dict]) -> Column:
@@ -48,34 +57,135 @@ def unrolled(rules: list[dict]) -> Column:
     return F.array_compact(F.array(*[F.when(F.rlike("value", F.lit(r["pattern"])), _hit(r)) for r in rules]))
 
 
-def _tried(rules: list[dict]) -> Column:
-    """The hits of many rules without a required text, tried one by one on values that any of them matches."""
-    # one constant of the plan, however many rules
-    each = F.from_json(F.lit(json.dumps([{"pattern": r["pattern"], "hit": {c: r[c] for c in HIT}} for r in rules])), f"array<struct<pattern:string,hit:{HIT_TYPE}>>")
-    return F.when(any_of([r["pattern"] for r in rules]), F.transform(F.filter(each, lambda x: F.rlike(F.col("value"), x["pattern"])), lambda x: x["hit"]))
-
-
-def index(values: DataFrame, rules: list[dict]) -> DataFrame:
-    """(gram, rank): each required text's trigram that fewest of the values hold. values: (_vid, gram)."""
-    spark = values.sparkSession
-    texts = [(r["rank"], k, t[i : i + GRAM]) for r in rules for k, t in enumerate(sorted(r["required"])) for i in range(len(t) - GRAM + 1)]
-    all_ = keep(spark.createDataFrame(texts, "rank int, text int, gram string").distinct(), "rule-grams")
-    held = by_few(values, all_.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = all_.join(held, "gram", "left").groupBy("rank", "text").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("g"))
-    return keep(rarest.select(F.col("g.gram").alias("gram"), "rank").distinct(), "rule-index")
-
-
-def candidates(found: DataFrame, rules: list[dict]) -> DataFrame:
-    """(_vid, _rules): for each value the rules one of whose required texts may stand in it. found: (_vid, value).
-
-    _vid is a hash of the value; values that share it share their candidates, which costs a try and loses nothing.
+def _tried(patterns: list[tuple[int, str]]) -> Column:
+    """The numbers of the patterns that match, of those without a required text: many are tried one by one on values that any of them matches."""
+    if len(patterns) <= UNROLLED:
+        return F.array_compact(F.array(*[F.when(F.rlike("value", F.lit(p)), F.lit(k).cast("long")) for k, p in patterns]))
+    # one constant of the plan, however many patterns
+    each = F.from_json(F.lit(json.dumps([{"no": k, "pattern": p} for k, p in patterns])), f"array<{PATTERN.simpleString()}>")
+    return F.when(any_of([p for _, p in patterns]), _matching(each))
+
+
+def _matching(patterns: Column) -> Column:
+    """Of an array of patterns the numbers of those that match the value."""
+    return F.transform(F.filter(patterns, lambda x: F.rlike(F.col("value"), x["pattern"])), lambda x: x["no"])
+
+
+@dataclass
+class Wave:
+    """Patterns that go to all tasks: the texts that they require, their numbers and themselves."""
+
+    texts: Texts
+    no: pa.Array
+    pattern: pa.Array
+
+    @classmethod
+    def of(cls, rows: pa.Table) -> Wave:
+        rows = rows.combine_chunks()
+        texts = rows.column("texts").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.string()))
+        owner = np.repeat(np.arange(len(texts)), np.diff(texts.offsets.to_numpy()))
+        one = lambda c: rows.column(c).combine_chunks() if rows.num_rows else pa.array([], rows.schema.field(c).type)
+        return cls(Texts.of(texts.flatten(), owner), one("no"), one("pattern"))
+
+
+def _cuts(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Runs of entries that hold `most` at most together, or are one entry."""
+    total, out, at = np.cumsum(sizes), [], 0
+    while at < len(sizes):
+        before = total[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(total, before + most, "right")))
+        out.append((at, to))
+        at = to
+    return out
+
+
+def _candidates(found: DataFrame, wave: Wave) -> DataFrame:
+    """found with an array _may of the patterns one of whose texts stands in the value."""
+    sent = found.sparkSession.sparkContext.broadcast(wave)
+    at = found.columns.index("value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w: Wave = sent.value
+        search, names = Search(w.texts), None
+        for batch in batches:
+            names = names or [*batch.schema.names, "_may"]
+            for a, b in _cuts(pc.binary_length(batch.column(at)).fill_null(0).to_numpy(), SEARCHED):
+                part = batch.slice(a, b - a)
+                value, owner = search.pairs(part.column(at))
+                counts = np.bincount(value, minlength=b - a)
+                bounds = np.append(0, np.cumsum(counts))
+                for c, d in _cuts(counts, SENT):
+                    own = pa.array(owner[bounds[c] : bounds[d]])
+                    may = pa.StructArray.from_arrays([w.no.take(own), w.pattern.take(own)], ["no", "pattern"])
+                    lists = pa.ListArray.from_arrays(pa.array(bounds[c : d + 1] - bounds[c], pa.int32()), may)
+                    yield pa.RecordBatch.from_arrays([*part.slice(c, d - c).columns, lists], names)
+
+    return found.mapInArrow(run, T.StructType([*found.schema.fields, T.StructField("_may", T.ArrayType(PATTERN))]))
+
+
+def matched(found: DataFrame, patterns: DataFrame) -> DataFrame:
+    """found with an array _matched of the numbers of the patterns that match its value, in no order; empty without any.
+
+    patterns: no, pattern and texts, of which every match holds one; null where none are known.  A null value matches nothing.
+    Patterns go over the values in waves, so none are too many; between two waves the values are written.
     """
-    spark = found.sparkSession
-    values = found.select("_vid", F.explode(grams(F.col("value"))).alias("gram"))
-    met = by_few(values, index(values, rules), "gram", "inner").select("_vid", "rank").distinct()
-    table = spark.createDataFrame([(r["rank"], r["pattern"], sorted(r["required"]), r["rule_id"], r["rule_name"], r["severity"]) for r in rules], "rank int, pattern string, texts array<string>, rule_id string, rule_name string, severity string")
-    told = met.join(F.broadcast(table), "rank")  # one row a rule, which the caller bounds
-    return told.groupBy("_vid").agg(F.collect_list(F.struct("texts", "pattern", F.struct(*HIT).alias("hit"))).alias("_rules"))
+    ship(found.sparkSession)
+    indexed, none = F.col("texts").isNotNull(), F.array().cast("array<bigint>")
+    size = F.octet_length("pattern") + F.octet_length(F.array_join("texts", "")) + ENTRY
+    held, alone = patterns.agg(F.sum(F.when(indexed, size)), F.count_if(~indexed)).first()
+    waves, tries = math.ceil((held or 0) / WAVE), math.ceil(alone / TRIED)
+    out = found.withColumn("_matched", none)
+    for k in range(max(waves, tries)):
+        part = lambda c, n: patterns.where(c & (F.pmod(F.xxhash64("no"), F.lit(n)) == k))  # noqa: B023, E731
+        more = []
+        if k:
+            out = keep(out, "matched")
+        if k < tries and (rest := [(r["no"], r["pattern"]) for r in part(~indexed, tries).select("no", "pattern").collect()]):
+            more.append(_tried(rest))
+        if k < waves:
+            out = _candidates(out, Wave.of(part(indexed, waves).select("no", "pattern", "texts").toArrow()))
+            more.append(_matching(F.col("_may")))
+        out = out.withColumn("_matched", F.concat("_matched", *[F.coalesce(m, none) for m in more])).drop("_may")
+    return out
+
+
+def read_patterns(raw: DataFrame) -> DataFrame:
+    """raw, no, pattern, texts: patterns (a column of them) that compile, numbered, as they are tried and with the texts that they require."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = batch.column(0).to_pylist()
+            whole = [at_the_end(p) for p in given]
+            texts = [sorted(t) if t else None for t in map(required, whole)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in (given, whole, [lean(p) for p in whole])), pa.array(texts, pa.list_(pa.string()))], ["raw", "whole", "pattern", "texts"])
+
+    ship(raw.sparkSession)
+    read = raw.mapInArrow(run, "raw string, whole string, pattern string, texts array<string>")
+    sound = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col("whole")).isNotNull()
+    return keep(read.where(sound).select("raw", F.monotonically_increasing_id().alias("no"), "pattern", "texts"), "patterns")
+
+
+def told(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rules in use whose patterns compile (_no of the pattern and the struct _hit), and the patterns (no, pattern, texts)."""
+    by = [c for c in ("priority", "ord") if c in rules.columns]
+    text = lambda c, other: F.when(F.col(c) != "", F.col(c)).otherwise(other)
+    used = in_use(rules).select(F.col("id").alias("rule_id"), text("name", F.col("id")).alias("rule_name"), text("severity", F.lit("warning")).alias("severity"), F.coalesce("pattern", F.lit("")).alias("raw"), *by)
+    used = keep(used.withColumn("_at", F.monotonically_increasing_id()), "rules")
+    if used.limit(RULES + 1).count() > RULES:
+        raise ValueError(f"more than {RULES} rules can't be sent to every task")
+    patterns = read_patterns(used.select("raw").distinct())
+    ranked = ranges.ordinal(used, [*by, "_at"], name="rank")
+    hits = by_few(ranked, patterns.select("raw", F.col("no").alias("_no")), "raw", "inner").select("_no", F.struct(*HIT).alias("_hit"))
+    return keep(hits, "rule-hits"), patterns.drop("raw")
+
+
+def met(found: DataFrame, rules: DataFrame, outer: bool = True) -> DataFrame:
+    """found with a struct _hit for each rule in use that matches its value; outer: one row with a null _hit where none does."""
+    hits, patterns = told(rules)
+    out = matched(found, patterns).withColumn("_no", F.explode_outer("_matched") if outer else F.explode("_matched")).drop("_matched")
+    if outer:  # rows that match nothing are no common key
+        out = out.withColumn("_no", F.coalesce("_no", -1 - F.monotonically_increasing_id()))
+    return by_few(out, hits, "_no", "left" if outer else "inner").select(*found.columns, "_hit")
 
 
 def hits(found: DataFrame, rules: list[dict], unroll: int) -> DataFrame:
@@ -85,17 +195,8 @@ def hits(found: DataFrame, rules: list[dict], unroll: int) -> DataFrame:
     """
     if len(rules) <= unroll:
         return found.withColumn("_hits", unrolled(rules))
-    known = [{**r, "required": required(r["pattern"])} for r in rules]
-    indexed, rest = [r for r in known if r["required"]], [r for r in known if not r["required"]]
-    out, parts = found, []
-    if rest:
-        parts.append(unrolled(rest) if len(rest) <= unroll else _tried(rest))
-    if indexed:
-        kept = keep(found.withColumn("_vid", F.xxhash64("value")), "literals")
-        few = keep(candidates(kept, indexed), "candidates")
-        out = by_few(kept, few, "_vid", "left").drop("_vid")
-        value = F.col("value")
-        held = F.filter("_rules", lambda x: F.exists(x["texts"], lambda t: F.contains(value, t)))  # a text in whole, before a pattern is compiled
-        parts.append(F.transform(F.filter(held, lambda x: F.rlike(value, x["pattern"])), lambda x: x["hit"]))
-    whole = F.concat(*[F.coalesce(p, F.array().cast(f"array<{HIT_TYPE}>")) for p in parts])
-    return out.withColumn("_hits", F.array_sort(whole, lambda a, b: a["rank"] - b["rank"])).drop("_rules")
+    rows = [(k, lean(r["pattern"]), sorted(t) if (t := required(r["pattern"])) else None) for k, r in enumerate(rules)]
+    patterns = found.sparkSession.createDataFrame(rows, "no long, pattern string, texts array<string>")
+    each = F.from_json(F.lit(json.dumps([{c: r[c] for c in HIT} for r in rules])), f"array<{HIT_TYPE}>")
+    of_value = F.transform("_matched", lambda k: F.get(each, k.cast("int")))
+    return matched(found, patterns).withColumn("_hits", F.array_sort(of_value, lambda a, b: (a["rank"] - b["rank"]).cast("int"))).drop("_matched")

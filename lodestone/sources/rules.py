@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import elements
-from ..functions.patterns import sound
+from ..functions.patterns import at_the_end, sound
 from ..schemas import HEURISTICS, MANIFEST, RULE
 
 #: Rules in use at most; they are read, compiled and sent to every task.
@@ -207,17 +207,21 @@ def _in_order(rules: DataFrame) -> DataFrame:
     return rules.orderBy(*by) if by else rules
 
 
+def in_use(rules: DataFrame) -> DataFrame:
+    return rules.where(F.coalesce("enabled", F.lit(True)))
+
+
 def compiled(rules: DataFrame) -> tuple[list[dict], list[dict]]:
     """Enabled rules in order, and those whose patterns don't compile. Rules are a small table by nature; they reach the driver.
 
     A closing $ becomes \\z, as the patterns' own dialect doesn't let it match before a final line break.
     """
     jvm = rules.sparkSession.sparkContext._jvm
-    good, bad, used = [], [], rules.where(F.coalesce("enabled", F.lit(True)))
+    good, bad, used = [], [], in_use(rules)
     if used.limit(RULES + 1).count() > RULES:
         raise ValueError(f"more than {RULES} rules can't be sent to every task")
     for k, row in enumerate(_in_order(used).collect()):
-        pattern = re.sub(r"(?<!\\)((?:\\\\)*)\$$", r"\1\\z", row["pattern"] or "")
+        pattern = at_the_end(row["pattern"] or "")
         rule = {"rule_id": row["id"], "rule_name": row["name"] or row["id"], "pattern": pattern, "severity": row["severity"] or "warning", "rank": k}
         try:
             if not sound(pattern):

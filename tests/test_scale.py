@@ -6,13 +6,15 @@ import collections
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from cases import BROKEN, EXPECTED, FILES, ISSUES, PACK, SAMPLES, SOURCES
 from pyspark.sql import functions as F
 
 from lodestone import commands
-from lodestone.functions import feedback
-from lodestone.functions.patterns import required, sound
+from lodestone.functions import feedback, search
+from lodestone.functions.patterns import lean, required, sound
 from lodestone.operators import dashboard, detect, findings, intervals, metrics, ranges, rule_index
 from lodestone.plans import catalogue
 from lodestone.schemas import FEEDBACK, FINDING, RULE
@@ -94,6 +96,46 @@ def test_too_many_rules_are_counted_first(spark, monkeypatch):
         rules.compiled(spark.range(6).select(*[F.col("id").cast("string").alias(c) for c in ("id", "name", "pattern", "severity", "description")], F.lit(True).alias("enabled")))
 
 
+@pytest.mark.parametrize("letters, chunk", [("ab", 64), ("abcdeé😀", 1 << 16), ("abcdefghij", 5)])
+def test_search_for_texts(letters, chunk, monkeypatch):
+    monkeypatch.setattr(search, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    word = lambda a, b: "".join(rng.choice(letters) for _ in range(rng.randrange(a, b)))
+    for most in (5, 9, 20):
+        texts = [word(3, most) for _ in range(30)] + ["ab" * 200, "ab" * 128 + "x"]
+        values = [None, "", *[word(0, 60) for _ in range(60)], "ab" * 300, "c" + "ab" * 199, None]
+        owners = np.array([rng.randrange(20) for _ in texts])
+        value, owner = search.Search(search.Texts.of(pa.array(texts), owners)).pairs(pa.array(values).slice(2))
+        held = lambda v, t: v is not None and t.encode()[: search.LONGEST] in v.encode()
+        assert list(zip(value.tolist(), owner.tolist())) == sorted({(k, o) for k, v in enumerate(values[2:]) for t, o in zip(texts, owners.tolist()) if held(v, t)})
+    assert not len(search.Search(search.Texts.of(pa.array([], pa.string()), np.zeros(0, np.int64))).pairs(pa.array(["abc"]))[0])
+
+
+LEANER = [("(?:in|re)?word", "word"), (r"[a-z]*word(?:s|ed)?[.,]?\z", r"word(?:s|ed)?[.,]?\z"), ("^a?bc", "^a?bc"), ("a*+bcd", "a*+bcd"), ("x{0,3}?abc.{0}", "abc"), ("x{1,3}abc", "x{1,3}abc"), ("a?b|c", "a?b|c"), ("a?", "a?"), ("(?i)a?bc", "(?i)a?bc")]
+
+
+@pytest.mark.parametrize("pattern, leaner", LEANER)
+def test_lean_patterns_are_found_in_the_same_values(spark, pattern, leaner):
+    assert lean(pattern) == leaner
+    rng = random.Random(6)
+    values = spark.createDataFrame([("".join(rng.choice(["a", "b", "bc", "d", "x", "abc", "in", "word", "s", ".", "Z", " "]) for _ in range(rng.randrange(5))),) for _ in range(300)], "value string")
+    assert values.where(F.rlike("value", F.lit(pattern)) != F.rlike("value", F.lit(leaner))).count() == 0
+
+
+def test_only_patterns_whose_text_stands_in_a_value_are_tried(spark):
+    """Words of four syllables share their trigrams, so all rules met all values by these."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice(["the", "ti", "on", "er", "ing", "an", "ed"]) for _ in range(n))
+    words, values = sorted({word(4) for _ in range(1500)}), [" ".join(word(rng.randrange(1, 9)) for _ in range(20)) for _ in range(200)]
+    found = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "id int, value string")
+    patterns = spark.createDataFrame([(k, f"{w}$", [w]) for k, w in enumerate(words)], "no long, pattern string, texts array<string>")
+    tried = rule_index._candidates(found, rule_index.Wave.of(patterns.toArrow()))
+    assert {(r["id"], m["no"]) for r in tried.collect() for m in r["_may"]} == {(k, n) for k, v in enumerate(values) for n, w in enumerate(words) if w in v}
+    out = detect.match_rules(found, spark.createDataFrame([(w, None, f"(?:re)?{w}(?:s|ed)?$", None, None, True) for w in words], RULE))
+    assert sorted(map(tuple, out.select("id", "rule_id").collect())) == sorted((k, w) for k, v in enumerate(values) for w in words if re.search(f"{w}(?:s|ed)?$", v))
+    assert "Exchange hashpartitioning" not in plan(out) and "NestedLoop" not in plan(out)
+
+
 # intervals
 
 
