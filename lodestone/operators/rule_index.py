@@ -28,7 +28,7 @@ from ..functions.patterns import at_the_end, lean, required
 from ..functions.search import Search, Texts
 from ..session import ship
 from ..shared import by_few, keep
-from ..sources.rules import RULES, in_use
+from ..sources.rules import in_use
 
 TOGETHER, UNROLLED = 200, 64
 #: Bytes of values that are searched at once, and patterns that go back to Spark in one batch; a value is never split.
@@ -171,8 +171,6 @@ def told(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     text = lambda c, other: F.when(F.col(c) != "", F.col(c)).otherwise(other)
     used = in_use(rules).select(F.col("id").alias("rule_id"), text("name", F.col("id")).alias("rule_name"), text("severity", F.lit("warning")).alias("severity"), F.coalesce("pattern", F.lit("")).alias("raw"), *by)
     used = keep(used.withColumn("_at", F.monotonically_increasing_id()), "rules")
-    if used.limit(RULES + 1).count() > RULES:
-        raise ValueError(f"more than {RULES} rules can't be sent to every task")
     patterns = read_patterns(used.select("raw").distinct())
     ranked = ranges.ordinal(used, [*by, "_at"], name="rank")
     hits = by_few(ranked, patterns.select("raw", F.col("no").alias("_no")), "raw", "inner").select("_no", F.struct(*HIT).alias("_hit"))

@@ -15,7 +15,7 @@ from . import elements
 from ..functions.patterns import at_the_end, sound
 from ..schemas import HEURISTICS, MANIFEST, RULE
 
-#: Rules in use at most; they are read, compiled and sent to every task.
+#: Rules in use at most that are read as a list; more stay a table (operators.rule_index).
 RULES = 500_000
 THROTTLE_MS = 12 * 60 * 60 * 1000
 POLL = "6 hours"
@@ -212,7 +212,7 @@ def in_use(rules: DataFrame) -> DataFrame:
 
 
 def compiled(rules: DataFrame) -> tuple[list[dict], list[dict]]:
-    """Enabled rules in order, and those whose patterns don't compile. Rules are a small table by nature; they reach the driver.
+    """Enabled rules in order as a list on the driver, and those whose patterns don't compile.
 
     A closing $ becomes \\z, as the patterns' own dialect doesn't let it match before a final line break.
     """

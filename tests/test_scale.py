@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from cases import BROKEN, EXPECTED, FILES, ISSUES, PACK, SAMPLES, SOURCES
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone import commands
 from lodestone.functions import feedback, search
@@ -136,6 +137,31 @@ def test_only_patterns_whose_text_stands_in_a_value_are_tried(spark):
     assert "Exchange hashpartitioning" not in plan(out) and "NestedLoop" not in plan(out)
 
 
+def test_rules_stay_a_table_and_share_their_patterns(spark, monkeypatch):
+    """More rules than may reach the driver as a list: each pattern is tried once, and every rule in use that has it is found."""
+    monkeypatch.setattr(rules, "RULES", 5)
+    patterns = [r"key: 1\d*", "^none$", "(", "(?i)KEY", "", None]
+    made = [(f"R{k}", f"n{k}" if k % 3 else "", patterns[k % 6], "error" if k % 2 else None, None, None if k % 5 else False, k // 7, k % 2) for k in range(300)]
+    table = spark.createDataFrame(made, T.StructType([*RULE.fields]).add("ord", T.IntegerType()).add("priority", T.IntegerType())).repartition(5)
+    found = spark.createDataFrame([(0, "a key: 17"), (1, "none"), (2, "other"), (3, None), (4, "none\n"), (5, "none")], "id int, value string")
+    holds = {r"key: 1\d*": {0}, "^none$": {1, 5}, "(": set(), "(?i)KEY": {0}, "": {0, 1, 2, 4, 5}, None: {0, 1, 2, 4, 5}}
+    got = [tuple(r) for r in detect.match_rules(found, table).select("id", "rule_id", "rule_name", "severity", "rank").collect()]
+    used = [r for r in made if r[5] is None]
+    want = {(i, r[0], r[1] or r[0], r[3] or "warning") for r in used for i in holds[r[2]]}
+    assert {g[:4] for g in got} == want and len(got) == len(want)
+    place = {r[0]: (r[7], r[6]) for r in made}
+    by_rank = [place[r] for _, r in sorted({(g[4], g[1]) for g in got})]
+    assert by_rank == sorted(by_rank) and 0 <= min(g[4] for g in got) and max(g[4] for g in got) < len(used)
+    first = detect.match_rules(found, table, first_only=True).select("id", "rule_id").collect()
+    assert {tuple(r) for r in first} == {min((g[4], (g[0], g[1])) for g in got if g[0] == i)[1] for i in (0, 1, 2, 4, 5)}
+    none = detect.detected(found.withColumn("context", F.lit("")), table.where("pattern = '^none$'"), unrolled=3).select("id", "rule_id").collect()
+    assert {r["id"] for r in none} == {1, 5} and len(none) == 2 * sum(r[2] == "^none$" for r in used)
+    odd = [r for r in made if r[2] in ("^none$", "(")]
+    some = spark.createDataFrame(odd, table.schema)
+    tokens = spark.createDataFrame([(0, "apiToken", "q8Zr2LmX0pVw7Tn"), (1, "", "none"), (2, "", "q")], "id int, context string, value string")
+    assert {(r["id"], r["rule_id"]) for r in detect.detected(tokens, some, unrolled=3).collect()} == {(0, detect.HEURISTIC_ID)} | {(1, r[0]) for r in odd if r[2] == "^none$" and r[5] is None}
+
+
 # intervals
 
 
