@@ -162,6 +162,23 @@ def test_rules_stay_a_table_and_share_their_patterns(spark, monkeypatch):
     assert {(r["id"], r["rule_id"]) for r in detect.detected(tokens, some, unrolled=3).collect()} == {(0, detect.HEURISTIC_ID)} | {(1, r[0]) for r in odd if r[2] == "^none$" and r[5] is None}
 
 
+def test_patterns_go_over_the_values_in_waves(spark, monkeypatch):
+    """More patterns than go to all tasks at once, with and without a text: every wave is small, and no match is lost."""
+    waves, of = [], rule_index.Wave.of
+    for name, value in (("WAVE", 4000), ("TRIED", 60), ("UNROLLED", 20), ("SEARCHED", 40), ("SENT", 3)):
+        monkeypatch.setattr(rule_index, name, value)
+    monkeypatch.setattr(rules, "RULES", 5)
+    monkeypatch.setattr(rule_index.Wave, "of", lambda rows: waves.append(rows.num_rows) or of(rows))
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randrange(3, 6)))
+    patterns = sorted({rng.choice(["^{}", "{}$", "[ab]?{}", "(?:{}|{})x?", "(?i){}"]).format(word(), word()) for _ in range(500)})
+    values = [" ".join(word() for _ in range(rng.randrange(5))) for _ in range(80)] + [None, ""]
+    found = spark.createDataFrame(list(enumerate(values)), "id int, value string").repartition(2)
+    got = detect.match_rules(found, spark.createDataFrame([(p, None, p, None, None, True) for p in patterns], RULE)).select("id", "rule_id").collect()
+    assert sorted(map(tuple, got)) == sorted((k, p) for k, v in enumerate(values) for p in patterns if v is not None and re.search(p, v))
+    assert len(waves) > 3 and max(waves) < 120 and sum(waves) == sum(p[:4] != "(?i)" for p in patterns)
+
+
 # intervals
 
 
